@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import decontamination, quality_rules, sentencepiece_bpe
+from boutworks.llm import decontamination, quality_rules, sentencepiece_bpe, simhash
 from boutworks.runtime import read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,12 +21,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op8_simhash, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
