@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import decontamination, quality_rules, sentencepiece_bpe, simhash
+from boutworks.llm import decontamination, quality_rules, sentencepiece_bpe, simhash, substring_dedup
 from boutworks.runtime import read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,9 +29,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op8_simhash, op9_decontamination)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op8_simhash, op9_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontamination.SQL}
+    return {"op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL}
