@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import decontamination, quality_rules, sentencepiece_bpe, simhash, substring_dedup
+from boutworks.llm import decontamination, kneser_ney, quality_rules, sentencepiece_bpe, simhash, substring_dedup
 from boutworks.runtime import read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op8_simhash, op9_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
