@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import chat_format, decontamination, kneser_ney, quality_rules, sentencepiece_bpe, simhash, substring_dedup
+from boutworks.llm import chat_format, decontamination, kneser_ney, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
 from boutworks.runtime import read_table
 
 CHAT_TOKENIZER = chat_format.ChatTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -26,6 +26,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(read_table(spark, sf_dir, "conversations"), CHAT_TOKENIZER)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read_table(spark, sf_dir, "pages"))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.report(read_table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op5_chat_format, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {"op5_chat_format": chat_format.SQL, "op6_warc": warc.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL}
