@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import chat_format, decontamination, kneser_ney, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
+from boutworks.llm import chat_format, decontamination, kneser_ney, license_scan, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
 from boutworks.runtime import read_table
 
 CHAT_TOKENIZER = chat_format.ChatTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -47,8 +51,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_quality_rules, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.SQL, "op6_warc": warc.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op5_chat_format": chat_format.SQL, "op6_warc": warc.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL}
