@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import chat_format, decontamination, kneser_ney, license_scan, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
+from boutworks.llm import chat_format, decontamination, html_text, kneser_ney, license_scan, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
 from boutworks.runtime import read_table
 
 CHAT_TOKENIZER = chat_format.ChatTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(read_table(spark, sf_dir, "conversations"), CHAT_TOKENIZER)
 
@@ -51,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_quality_rules, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
