@@ -54,8 +54,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it takes this module's parameters
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (pipeline, op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

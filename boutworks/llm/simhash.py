@@ -198,3 +198,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``documents`` with one row of each component: the one with the smallest id, nulls first.
+
+    Among rows with that id a hash of the row decides, and of equal rows one stays.
+    """
+    columns = documents.columns
+    keyed = documents.select("*", F.col(id_col).alias("_id"), F.xxhash64(*columns).alias("_row"))
+    named = keyed.select(F.struct("_id", "_row").alias("_key"), F.col(text_col).alias("_text"))
+    kept = near_duplicates(named, "_key", "_text", shingle).select("component_id.*").distinct()
+    kept = kept.select(F.col("_id").alias("_keep_id"), F.col("_row").alias("_keep_row"))
+    stay = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row") == F.col("_keep_row")), "left_semi")
+    return stay.dropDuplicates(["_id", "_row"]).select(*columns)

@@ -294,14 +294,15 @@ def _cover(starts: list[dict] | None, width: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``documents`` with ``removed_spans`` (byte ranges) and ``kept_bytes`` (what is left of the UTF-8 text).
+    """``documents`` with ``removed_spans`` (byte ranges), ``kept_bytes`` (what is left of the UTF-8 text) and
+    ``kept_text`` (the same without the rest of characters that were cut).
 
     Input columns named like an output are replaced.
     """
     keyed = _keyed(documents, id_col, text_col)
     spans = staged(repeated_spans(keyed.select("_r1", "_r2", text_col), text_col, width), "repeats")
     rows = keyed.join(spans, ["_r1", "_r2"], "left").drop("_r1", "_r2")
-    fields = [T.StructField("removed_spans", _SPANS), T.StructField("kept_bytes", T.BinaryType())]
+    fields = [T.StructField("removed_spans", _SPANS), T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_text", T.StringType())]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(part: pa.RecordBatch) -> list[pa.Array]:
@@ -313,7 +314,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 keep[at + a : at + b] = False
         left = np.concatenate([[0], np.cumsum(keep)])[offsets]
         listed = pa.array([[{"start": a, "end": b} for a, b in own] for own in ranges], kind)
-        return [listed, binary_from(flat[keep], left).cast(pa.binary())]
+        kept = binary_from(flat[keep], left)
+        if len(flat[keep]) == len(flat):
+            return [listed, kept.cast(pa.binary()), kept.cast(pa.large_string()).cast(pa.string())]
+        return [listed, kept.cast(pa.binary()), pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())]
 
     return append_columns(rows, text_col, fields, cut).drop("_spans")
 
