@@ -4,12 +4,305 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from boutworks.functions import expected as E
+from boutworks.functions import outcomes
+from boutworks.operators import evaluation, fits, matchmaking, records, splits, state, systems
+from boutworks.operators.fold import history_of, known_fixtures, leaderboard, predict, ratings_of, replay, split_groups
+from boutworks.operators.sequence import with_sequence
+from boutworks.plans import oracle
+from boutworks.runtime import read_table, staged
+from boutworks.sources import synthetic
+from boutworks.sources.fixtures import bouts_events, bouts_supplier
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _board(system, timed: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rated = ratings_of(replay(bouts_events(spark, sf_dir), system, timed=timed))
+        return leaderboard(rated.select("competitor", F.round("rating", 6).alias("rating")))
+
+    return run
+
+
+def elo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(history_of(replay(bouts_events(spark, sf_dir), systems.Elo())), 9, "predicted").drop("league")
+
+
+def elo_by_league(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five leagues replayed side by side."""
+    bouts = with_sequence(bouts_supplier(spark, sf_dir), ["ts", "order_key", "a", "b"])
+    return _rounded(ratings_of(replay(bouts, systems.Elo())), 6, "rating").select("league", "competitor", "rating", "games")
+
+
+def elo_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected groups replayed side by side give the same ratings."""
+    rated = ratings_of(replay(split_groups(bouts_events(spark, sf_dir)), systems.Elo()))
+    return rated.select("competitor", F.round("rating", 6).alias("rating"))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history whose predictions are the same doubles in every engine."""
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    p = (F.pmod(a * 37 + b * 91 + F.col("seq") * 13, F.lit(1000)) + 0.5) / 1000.0
+    return bouts_events(spark, sf_dir).select("seq", "a", "b", p.alias("predicted"), outcomes.label_of_number(F.col("outcome")).alias("label"))
+
+
+def _of_history(f: Callable[[DataFrame], DataFrame], digits: int = 9) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(_history(spark, sf_dir))
+        return out.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
+
+    return run
+
+
+def records_wlt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.records(bouts_events(spark, sf_dir))
+
+
+def supplier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.records(bouts_supplier(spark, sf_dir))
+
+
+def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(records.pairs(bouts_events(spark, sf_dir)), 4, "margin", "points").drop("league")
+
+
+def points_for_against(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(records.points(bouts_events(spark, sf_dir)), 4, "pts_for", "pts_against", "margin").drop("league")
+
+
+def unit_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.points(records.unit_scores(bouts_events(spark, sf_dir))).select("competitor", "margin")
+
+
+def pythagorean_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(records.pythagorean(bouts_events(spark, sf_dir)), 9, "rating").drop("league")
+
+
+def pythagorean_log5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts = bouts_events(spark, sf_dir)
+    out = predict(bouts, records.pythagorean(bouts), E.log5, 0.5)
+    return out.select("seq", F.round("predicted", 9).alias("expected"))
+
+
+def _fit(system: str, digits: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fitted = fits.fit(records.unit_scores(bouts_events(spark, sf_dir)), system)
+        return fitted.select("competitor", F.round("rating", digits).alias("rating"))
+
+    return run
+
+
+def whr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fits.whole_history(bouts_events(spark, sf_dir)), 6, "rating")
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bouts, and ratings that are the same doubles in every engine."""
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    games = records.records(bouts).select("competitor", "games")
+    rated = records.pythagorean(bouts).join(games, "competitor")
+    return bouts, rated.select("league", "competitor", F.round(F.col("rating") * 1000, 3).alias("rating"), (30.0 + F.col("games")).alias("spread"), "games")
+
+
+def _grid(f: Callable[[Column, Column, Column, Column], dict[str, Column]]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bouts, rated = _rated(spark, sf_dir)
+        side = lambda c: rated.select(F.col("competitor").alias(c), F.col("rating").alias(f"r{c}"), F.col("spread").alias(f"d{c}"))
+        rows = bouts.select("seq", "a", "b").join(side("a"), "a").join(side("b"), "b")
+        made = f(F.col("ra"), F.col("rb"), F.col("da"), F.col("db"))
+        return rows.select("seq", *[F.round(v, 6 if k == "rating_sum" else 9).alias(k) for k, v in made.items()])
+
+    return run
+
+
+def _all_expected(ra: Column, rb: Column, da: Column, db: Column) -> dict[str, Column]:
+    a, b = ra / 10, rb / 10
+    return {
+        "elo": E.elo(a, b), "ecf": E.ecf(a, b), "glicko": E.glicko(a, b, db), "glicko2": E.glicko2(a / 100, b / 100, db / 100),
+        "colley": E.colley(a / 100, b / 100), "massey": E.massey(a, b, F.lit(25.0)), "keener": E.keener(a, b),
+        "bradley_terry": E.bradley_terry(a / 100, b / 100), "whole_history": E.whole_history(a, b),
+    }
+
+
+def _two_members(ra: Column, rb: Column, da: Column, db: Column) -> dict[str, Column]:
+    mean = (E.elo(ra, rb) + E.colley(ra / 1000, rb / 1000)) / 2
+    return {"expected": mean, "rating_sum": ra + ra / 1000 + rb + rb / 1000}
+
+
+def trueskill_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c, k, low: (low + F.col(c).cast("long") % k).cast("double")
+    args = [part("a", 11, 20), part("a", 5, 4), part("b", 11, 20), part("b", 5, 4)]
+    return bouts_events(spark, sf_dir).select("seq", F.round(E.trueskill(*args), 9).alias("expected"), F.round(E.trueskill_quality(*args), 9).alias("quality"))
+
+
+def matchmaking_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matchmaking.nearest(_rated(spark, sf_dir)[1]), 6, "diff")
+
+
+def matchmaking_rd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matchmaking.deviation_quality(_rated(spark, sf_dir)[1]), 6, "quality")
+
+
+def closest_pair_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matchmaking.closest_pair(_rated(spark, sf_dir)[1]), 6, "gap").drop("league")
+
+
+def team_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = _rated(spark, sf_dir)[1].select("competitor", F.col("rating").alias("mu"), F.col("spread").alias("sigma"))
+    teams = rated.select("competitor", (F.col("competitor").cast("long") % 10).alias("team"))
+    return _rounded(matchmaking.team_strength(rated, teams), 4, "mu", "sigma", "mean")
+
+
+def leaderboard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = leaderboard(_rated(spark, sf_dir)[1], 10)
+    return with_sequence(top.select("competitor", "rating"), [F.desc("rating"), F.col("competitor")], "at").select("competitor", "rating", (F.col("at") + 1).alias("place"))
+
+
+def min_games_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = _rated(spark, sf_dir)[1]
+    return rated.crossJoin(F.broadcast(rated.agg(F.avg("games").alias("mean")))).where("games >= mean").select("competitor", "rating", "games")
+
+
+def rating_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts, rated = _rated(spark, sf_dir)
+    both = bouts.select("league", F.to_date("ts").alias("day"), F.explode(F.array(F.struct(F.col("a").alias("who"), F.col("score_a").alias("s")), F.struct(F.col("b").alias("who"), F.col("score_b").alias("s")))).alias("x"))
+    curve = both.groupBy("league", F.col("x.who").alias("competitor"), "day").agg(F.max(F.round("x.s", 3)).alias("rating"))
+    wanted = rated.select("league", "competitor", F.explode(F.array(F.lit("2024-01-10").cast("date"), F.lit("2023-12-31").cast("date"))).alias("day"))
+    return fits.rating_at(curve, wanted).drop("league")
+
+
+def bout_counts_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    both = bouts_events(spark, sf_dir).select("seq", F.explode(F.array("a", "b")).alias("who"))
+    earlier = Window.partitionBy("who").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return both.select("seq", "who", F.count("*").over(earlier).alias("earlier"))
+
+
+def time_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.time_split(bouts_events(spark, sf_dir), 0.3).groupBy("split").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.random_split(bouts_events(spark, sf_dir), 0.3, 7).select("seq", "split")
+
+
+def competitor_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.competitor_split(bouts_events(spark, sf_dir), 0.2, 7).select("seq", "split")
+
+
+def outcome_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*[F.lit(x) for x in ("WIN", "Loss", "tie", "yes", "No", "0.5", "1", "0", "unknown", "T", "f", "eq", "draw")])
+    return read_table(spark, sf_dir, "events").select("event_id", outcomes.label_of_text(F.element_at(said, (F.col("event_id") % 13 + 1).cast("int"))).alias("label"))
+
+
+def scores_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bouts_events(spark, sf_dir).select("seq", outcomes.scores_agree(F.col("score_a"), F.col("score_b"), F.col("outcome")).alias("ok"))
+
+
+def evaluate_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the earlier bouts, judged on the later ones whose competitors are known."""
+    split = staged(splits.time_split(bouts_events(spark, sf_dir), 0.3), "split")
+    rated = staged(ratings_of(replay(split.where("split = 'train'"), systems.Elo())), "ratings")
+    fixtures = known_fixtures(split.where("split = 'test'"), rated)
+    history = predict(fixtures, rated, E.elo, 400.0).withColumn("label", outcomes.label_of_number(F.col("outcome")))
+    return evaluation.metrics(history)
+
+
+def benchmark_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of every incremental system on its own pre-bout predictions, best first."""
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    out = None
+    for system in (systems.Elo(), systems.Glicko(), systems.Glicko2(), systems.TrueSkill(), systems.Ecf(), systems.Dwz(), systems.Ensemble()):
+        history = history_of(replay(bouts, system)).withColumn("label", outcomes.label_of_number(F.col("outcome")))
+        row = evaluation.metrics(history).withColumn("system", F.lit(system.name))
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(F.desc("accuracy"), "system")
+
+
+def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half replayed, exported, imported and continued equals one replay."""
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    half = bouts.agg((F.max("seq") / 2).cast("long")).first()[0]
+    system = systems.Elo()
+    first = ratings_of(replay(bouts.where(F.col("seq") < half), system))
+    seeds = state.import_state(staged(state.export_state(first, system), "state"), system)
+    return ratings_of(replay(bouts.where(F.col("seq") >= half), system, seeds=seeds)).select("competitor", F.round("rating", 6).alias("rating"))
+
+
+def synthetic_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.bouts(spark, 2000, 50).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+_TABLE: dict[str, tuple[Query, str | None]] = {
+    "elo_leaderboard": (_board(systems.Elo()), oracle.ELO),
+    "elo_history": (elo_history, oracle.ELO_HISTORY),
+    "elo_by_group": (elo_by_group, oracle.ELO),
+    "elo_by_league": (elo_by_league, None),
+    "state_round_trip": (state_round_trip, oracle.ELO),
+    "glicko_leaderboard": (_board(systems.Glicko(), timed=True), oracle.GLICKO),
+    "glicko2_leaderboard": (_board(systems.Glicko2(), timed=True), None),
+    "trueskill_leaderboard": (_board(systems.TrueSkill()), None),
+    "ecf_leaderboard": (_board(systems.Ecf()), oracle.ECF),
+    "dwz_leaderboard": (_board(systems.Dwz()), oracle.DWZ),
+    "ensemble_leaderboard": (_board(systems.Ensemble()), None),
+    "colley_ratings": (_fit("colley", 9), oracle.COLLEY),
+    "massey_ratings": (_fit("massey", 9), oracle.MASSEY),
+    "keener_ratings": (_fit("keener", 6), oracle.KEENER),
+    "bradley_terry_ratings": (_fit("bradley_terry", 7), oracle.BRADLEY_TERRY),
+    "whr_curve": (whr_curve, None),
+    "records_wlt": (records_wlt, f"WITH {oracle.BOUTS}, {oracle.SIDES} {oracle.RECORDS}"),
+    "supplier_records": (supplier_records, f"WITH {oracle.SUPPLIER}, {oracle.SIDES} {oracle.RECORDS}"),
+    "head_to_head": (head_to_head, f"WITH {oracle.BOUTS}, {oracle.SIDES} {oracle.HEAD_TO_HEAD}"),
+    "points_for_against": (points_for_against, f"WITH {oracle.BOUTS}, {oracle.SIDES} {oracle.POINTS}"),
+    "unit_margins": (unit_margins, f"WITH {oracle.BOUTS}, {oracle.SIDES} SELECT who AS competitor, sum(pf - pa) AS margin FROM unit GROUP BY who"),
+    "pythagorean_ratings": (pythagorean_ratings, f"WITH {oracle.BOUTS}, {oracle.SIDES}, {oracle.PYTHAGOREAN_CTE} SELECT competitor, round(rating, 9) AS rating FROM r"),
+    "pythagorean_log5": (pythagorean_log5, oracle.LOG5),
+    "expected_grid": (_grid(_all_expected), oracle.EXPECTED_GRID),
+    "ensemble_mean": (_grid(_two_members), oracle.ENSEMBLE_MEAN),
+    "trueskill_expected": (trueskill_expected, oracle.trueskill(E.trueskill_margin())),
+    "confusion_matrix": (_of_history(evaluation.confusion), oracle.confusion(0.45, 0.55)),
+    "metrics_default": (_of_history(evaluation.metrics), oracle.METRICS),
+    "metrics_with_draws": (_of_history(evaluation.metrics_with_draws), oracle.METRICS_DRAWS),
+    "report_results": (_of_history(lambda h: evaluation.report(h, 0.4, 0.6), 6), oracle.REPORT),
+    "calibration_bins": (_of_history(evaluation.calibration_bins, 6), oracle.CALIBRATION),
+    "prediction_density": (_of_history(evaluation.density), oracle.DENSITY),
+    "log_loss_brier": (_of_history(evaluation.losses), oracle.LOSSES),
+    "prediction_summary": (_of_history(evaluation.summary), oracle.SUMMARY),
+    "cohort_accuracy": (_of_history(evaluation.cohorts), oracle.COHORTS),
+    "threshold_sweep": (_of_history(evaluation.best_cuts), oracle.SWEEP),
+    "random_search": (_of_history(evaluation.random_search), None),
+    "evaluate_elo": (evaluate_elo, None),
+    "benchmark_systems": (benchmark_systems, None),
+    "time_split_counts": (time_split_counts, oracle.TIME_SPLIT),
+    "random_split": (random_split, oracle.RANDOM_SPLIT),
+    "competitor_split": (competitor_split, oracle.COMPETITOR_SPLIT),
+    "outcome_labels": (outcome_labels, oracle.LABELS),
+    "scores_valid": (scores_valid, oracle.SCORES_OK),
+    "bout_counts_running": (bout_counts_running, oracle.RUNNING),
+    "leaderboard_topk": (leaderboard_topk, oracle.TOP),
+    "min_games_ranking": (min_games_ranking, oracle.MIN_GAMES),
+    "matchmaking_nearest": (matchmaking_nearest, oracle.NEAREST),
+    "matchmaking_rd_quality": (matchmaking_rd_quality, oracle.DEVIATION),
+    "closest_pair_next": (closest_pair_next, oracle.CLOSEST),
+    "team_strength": (team_strength, oracle.TEAMS),
+    "rating_asof": (rating_asof, oracle.ASOF),
+    "synthetic_bouts": (synthetic_bouts, None),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: run for name, (run, _) in _TABLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _TABLE.items() if sql}
