@@ -6,8 +6,10 @@ folder that the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,5 +80,14 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def locate(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever their working folder."""
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    locate(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
