@@ -215,16 +215,19 @@ def repeated_windows(suffixes: list[bytes], before: list[bytes], weight: np.ndar
     return out
 
 
-_BUCKET = "digest binary, weight int, r1 long, r2 long, s int, e int"
+_BUCKET = "dest long, packed binary, r1 long, r2 long, s int, e int"
+#: A window of an edge group: its digest, whether it is known to repeat, and its place.
+_WINDOW = np.dtype([("d", "S16"), ("known", "i1"), ("r1", "<i8"), ("r2", "<i8"), ("s", "<i4")])
 
 
-def _sort_bucket(width: int):
-    """Spans of repeated windows of a bucket; windows of its edge groups go out by digest."""
+def _bucket_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["dest", "packed", "r1", "r2", "s", "e"])
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "weight", "r1", "r2", "s", "e"])
+
+def _sort_bucket(width: int, dests: int):
+    """Spans of repeated windows of a bucket; windows of its edge groups go out packed, dealt by digest."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
@@ -235,29 +238,64 @@ def _sort_bucket(width: int):
         edges = {min(lead), max(lead)}
         again = repeated_windows(suffixes, before, np.array([r[2] for r in rows], dtype=np.int64), width)
         out: list[tuple] = []
+        edge: list[tuple] = []
+        witnessed: set[bytes] = set()
         for i, (suffix, prefix, weight, r1, r2, a) in enumerate(rows):
             known = weight > 1  # all windows of the run repeat, and their spans are known
             if not known:
                 marks = np.flatnonzero(np.diff(np.concatenate([[0], again[i].astype(np.int8), [0]])))
-                out += [(None, 0, r1, r2, a - int(far) + 1, a - int(near)) for near, far in zip(marks[::2], marks[1::2], strict=True)]
+                out += [(None, None, r1, r2, a - int(far) + 1, a - int(near)) for near, far in zip(marks[::2], marks[1::2], strict=True)]
             if lead[i] in edges:
                 string = prefix[::-1] + suffix
                 for o in range(width - len(suffix), len(prefix) + 1):
-                    who = (None,) * 4 if known or again[i][o] else (r1, r2, a - o, a - o)
                     at = len(prefix) - o
-                    out.append((hashlib.blake2b(string[at : at + width], digest_size=16).digest(), 1, *who))
-            if len(out) > 50_000:
-                yield emit(out)
-                out = []
-        yield emit(out)
+                    digest = hashlib.blake2b(string[at : at + width], digest_size=16).digest()
+                    if not (known or again[i][o]):
+                        edge.append((digest, 0, r1, r2, a - o))
+                    elif digest not in witnessed:
+                        witnessed.add(digest)
+                        edge.append((digest, 1, 0, 0, 0))
+        yield _bucket_batch(out)
+        windows = np.array(edge, dtype=_WINDOW)
+        dest = np.array([int.from_bytes(e[0][:8], "little") % dests for e in edge], dtype=np.int64)
+        order = np.argsort(dest, kind="stable")
+        windows, dest = windows[order], dest[order]
+        heads = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]])) if len(dest) else []
+        yield _bucket_batch([(int(dest[x]), windows[x:y].tobytes(), None, None, None, None) for x, y in zip(heads, [*heads[1:], len(dest)], strict=True)])
 
     return run
 
 
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of edge groups that another bucket has too; rows ascend by ``dest``."""
+
+    def found(raw: list[bytes]) -> pa.RecordBatch:
+        windows = np.frombuffer(b"".join(raw), dtype=_WINDOW)
+        windows = windows[np.argsort(windows["d"], kind="stable")]
+        heads = np.flatnonzero(np.concatenate([[True], windows["d"][1:] != windows["d"][:-1]]))
+        sizes = np.diff(np.append(heads, len(windows)))
+        hit = windows[(np.repeat(sizes, sizes) > 1) & (windows["known"] == 0)]
+        columns = [pa.nulls(len(hit), pa.int64()), pa.nulls(len(hit), pa.binary()), *(pa.array(hit[c]) for c in ("r1", "r2", "s", "s"))]
+        return pa.RecordBatch.from_arrays(columns, names=["dest", "packed", "r1", "r2", "s", "e"])
+
+    now, held = None, []
+    for batch in batches:
+        for dest, packed in zip(batch.column("dest").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if dest != now and held:
+                yield found(held)
+                held = []
+            now = dest
+            held.append(packed)
+    if held:
+        yield found(held)
+
+
 def repeated_spans(keyed: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
     """(_r1, _r2, spans): window starts [s, e] of each row that repeat somewhere."""
     found = _all_runs(keyed, text_col, width)
     shared = found.groupBy("kh").agg(F.count("*").alias("n"), (F.min("bh") != F.max("bh")).alias("mixed")).where("n > 1").select("kh", "mixed")
+    # stored first, so that the join shuffles both sides itself and splits a frequent anchor's partition
+    shared = staged(shared, "shared-anchors")
     occurring = staged(found.join(shared, "kh"), "shared-runs")
     same = occurring.where("not mixed").select("_r1", "_r2", "s", "e")
     mixed = occurring.where("mixed")
@@ -268,14 +306,15 @@ def repeated_spans(keyed: DataFrame, text_col: str, width: int = WIDTH) -> DataF
     open_runs = one.groupBy("_r1", "_r2").agg(F.collect_list(F.struct("s", "e", "a", "w")).alias("open"))
     contexts = staged(_contexts(keyed.join(open_runs, ["_r1", "_r2"]), text_col, width), "suffixes")
     size = contexts.agg(F.sum(F.octet_length("suffix") + F.octet_length("before"))).first()[0] or 0
-    buckets = contexts.repartitionByRange(max(2, -(-size // BUCKET_BYTES)), "suffix", "before")
-    sorted_ = staged(buckets.mapInArrow(_sort_bucket(width), _BUCKET), "bucket-spans")
-    # windows of edge groups: equal digests in several buckets, or beside a window known to repeat
-    edge = sorted_.where("digest is not null")
-    met = edge.groupBy("digest").agg(F.sum("weight").alias("n")).where("n > 1").select("digest")
-    across = edge.where("r1 is not null").join(met, "digest")
+    count = max(2, -(-size // BUCKET_BYTES))
+    dests = 4 * count
+    buckets = contexts.repartitionByRange(count, "suffix", "before")
+    sorted_ = staged(buckets.mapInArrow(_sort_bucket(width, dests), _BUCKET), "bucket-spans")
+    # windows of edge groups that two buckets have, or that stand beside a window known to repeat
+    edge = sorted_.where("dest is not null").repartition(dests, "dest").sortWithinPartitions("dest")
+    across = edge.mapInArrow(_meet, _BUCKET)
     column = lambda df: df.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), "s", "e")
-    every = same.unionByName(copied).unionByName(column(sorted_.where("digest is null"))).unionByName(column(across))
+    every = same.unionByName(copied).unionByName(column(sorted_.where("dest is null"))).unionByName(column(across))
     return every.groupBy("_r1", "_r2").agg(F.collect_set(F.struct("s", "e")).alias("_spans"))
 
 
