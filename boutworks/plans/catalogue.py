@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, records, splits, state, systems
+from boutworks.operators import evaluation, fits, matchmaking, records, reports, splits, state, systems
 from boutworks.operators.fold import history_of, known_fixtures, leaderboard, predict, ratings_of, replay, split_groups
 from boutworks.operators.sequence import with_sequence
 from boutworks.plans import oracle
@@ -239,6 +239,52 @@ def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings_of(replay(bouts.where(F.col("seq") >= half), system, seeds=seeds)).select("competitor", F.round("rating", 6).alias("rating"))
 
 
+def strict_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _history(spark, sf_dir)
+    outcome = F.when(F.col("label") == "a", 1.0).when(F.col("label") == "b", 0.0).otherwise(0.5)
+    said = history.withColumns({"outcome": outcome, "predicted": F.col("predicted").cast("string")})
+    return reports.strict_flags(reports.text_predictions(said))
+
+
+def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.round_robin(records.records(bouts_events(spark, sf_dir)).select("league", "competitor")).select("a", "b")
+
+
+def skipped_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    rated = ratings_of(replay(bouts.where("seq < 50"), systems.Elo()))
+    return reports.skipped_fixtures(bouts.where("seq >= 50"), rated).select("seq")
+
+
+def weighted_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weight = F.element_at(F.array(*[F.lit(w) for w in (2.0, 1.5, 1.0, 1.0, 0.8)]), (F.col("seq") % 5 + 1).cast("int"))
+    return reports.weighted_votes(bouts_events(spark, sf_dir).select("seq", "a"), weight, 3)
+
+
+def multi_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = records.sides(bouts_events(spark, sf_dir)).groupBy(F.col("who").alias("competitor")).agg(F.round(F.avg("pts_for"), 6).alias("points"), F.round(F.avg("score"), 6).alias("wins"), F.lit(1.0).alias("other"))
+    long = sides.unpivot(["competitor"], ["points", "wins", "other"], "criterion", "rating")
+    return _rounded(reports.multi_criteria(long, {"points": 0.25, "wins": 3.0}), 4, "rating")
+
+
+def explore_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = staged(_rated(spark, sf_dir)[1], "rated")
+    return reports.explore(rated, matchmaking.nearest(rated), 100.0, 0.2, 5)
+
+
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systems with their accuracy at 0.5 and at their best thresholds."""
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    plain, best = None, None
+    for system in (systems.Elo(), systems.Dwz()):
+        history = staged(history_of(replay(bouts, system)).withColumn("label", outcomes.label_of_number(F.col("outcome"))), "history")
+        _, (lower, upper) = evaluation.optimize_thresholds(history)
+        rows = [m.withColumn("system", F.lit(system.name)) for m in (evaluation.metrics(history), evaluation.metrics_with_draws(history, lower, upper))]
+        plain = rows[0] if plain is None else plain.unionByName(rows[0])
+        best = rows[1] if best is None else best.unionByName(rows[1])
+    return reports.comparison_table(plain, best)
+
+
 def synthetic_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.bouts(spark, 2000, 50).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -297,6 +343,14 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "team_strength": (team_strength, oracle.TEAMS),
     "rating_asof": (rating_asof, oracle.ASOF),
     "synthetic_bouts": (synthetic_bouts, None),
+    "strict_flags": (strict_flags, oracle.STRICT),
+    "prior_bouts_line": (_of_history(lambda h: reports.prior_bouts_line(evaluation.cohorts(h))), oracle.PRIOR_LINE),
+    "round_robin": (round_robin, oracle.ROUND_ROBIN),
+    "skipped_fixtures": (skipped_fixtures, oracle.SKIPPED),
+    "weighted_votes": (weighted_votes, oracle.VOTES),
+    "multi_criteria": (multi_criteria, oracle.CRITERIA),
+    "explore_matches": (explore_matches, oracle.EXPLORE),
+    "comparison_table": (comparison_table, None),
 }
 
 

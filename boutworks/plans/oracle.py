@@ -213,3 +213,17 @@ SELECT seq, CASE WHEN a IN (SELECT who FROM held) OR b IN (SELECT who FROM held)
 LABELS = """SELECT event_id, CASE WHEN o IN ('win', 'yes', '1', 't') THEN 'a' WHEN o IN ('loss', 'no', '0', 'f') THEN 'b' WHEN o IN ('draw', 'tie', '0.5', 'eq') THEN 'draw' END AS label
 FROM (SELECT event_id, lower(['WIN', 'Loss', 'tie', 'yes', 'No', '0.5', '1', '0', 'unknown', 'T', 'f', 'eq', 'draw'][event_id % 13 + 1]) AS o FROM events)"""
 SCORES_OK = f"WITH {BOUTS} SELECT seq, sign(score_a - score_b) = sign(outcome - 0.5) AND score_a >= 0 AND score_b >= 0 AS ok FROM bouts"
+STRICT = f"""WITH {HISTORY}, o AS (SELECT h.*, outcome FROM h JOIN bouts USING (seq))
+SELECT seq, predicted > 0.5::DOUBLE AND outcome = 1 AS true_positive, predicted > 0.5::DOUBLE AND outcome <> 1 AS false_positive,
+       predicted <= 0.5::DOUBLE AND outcome = 0 AS true_negative, predicted <= 0.5::DOUBLE AND outcome <> 0 AS false_negative FROM o"""
+PRIOR_LINE = f"WITH c AS ({COHORTS}) SELECT (min_bouts + max_bouts) // 2 AS x, accuracy AS y, total AS n FROM c"
+ROUND_ROBIN = f"WITH {BOUTS}, w AS (SELECT a AS c FROM bouts UNION SELECT b FROM bouts) SELECT x.c AS a, y.c AS b FROM w x JOIN w y ON x.c < y.c"
+SKIPPED = f"""WITH {BOUTS}, w AS (SELECT who FROM (SELECT seq, a AS who FROM bouts UNION ALL SELECT seq, b FROM bouts) WHERE seq < 50)
+SELECT seq FROM bouts WHERE seq >= 50 AND (a NOT IN (SELECT who FROM w) OR b NOT IN (SELECT who FROM w))"""
+VOTES = f"""WITH {BOUTS}, v AS (SELECT seq, a, [2.0, 1.5, 1.0, 1.0, 0.8][seq % 5 + 1]::DOUBLE AS weight, (('0x' || md5(seq || ':3')[1:8])::BIGINT % 1000) / 1000.0::DOUBLE AS chance FROM bouts)
+SELECT seq, a, CAST(unnest(range(1, CAST(floor(weight) + CASE WHEN chance < weight - floor(weight) THEN 1 ELSE 0 END AS BIGINT) + 1)) AS INTEGER) AS copy FROM v"""
+CRITERIA = f"""WITH {BOUTS}, {SIDES}, c AS (SELECT 'points' AS criterion, who AS competitor, round(avg(pf), 6) AS rating FROM sides GROUP BY who UNION ALL SELECT 'wins', who, round(avg(score), 6) FROM sides GROUP BY who UNION ALL SELECT 'other', who, 1.0 FROM sides GROUP BY who)
+SELECT competitor, round(sum(rating * w) / sum(w), 4) AS rating, count(*) AS criteria FROM (SELECT *, CASE criterion WHEN 'points' THEN 0.25::DOUBLE WHEN 'wins' THEN 3.0::DOUBLE END AS w FROM c) WHERE w IS NOT NULL GROUP BY competitor"""
+EXPLORE = f"""WITH {RATED}, near AS ({NEAREST.replace("WITH " + RATED, "")}), reach AS (
+  SELECT x.competitor, y.competitor AS opponent, row_number() OVER (PARTITION BY x.competitor ORDER BY md5(x.competitor || ':' || y.competitor || ':5')) AS k FROM rated x JOIN rated y ON x.competitor <> y.competitor AND abs(x.rating - y.rating) <= 100)
+SELECT near.competitor, CASE WHEN (('0x' || md5(near.competitor || ':5')[1:8])::BIGINT % 1000) / 1000.0::DOUBLE < 0.2::DOUBLE THEN reach.opponent ELSE near.opponent END AS opponent FROM near JOIN reach ON reach.competitor = near.competitor AND reach.k = 1"""
