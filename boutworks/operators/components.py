@@ -28,6 +28,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one parent, which has none: the stars are the components."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("v"), F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``; the component is its smallest node.
 
@@ -35,13 +41,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node aren't listed.
     """
     now = staged(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    seen = None
     for _ in range(max_rounds):
         now = staged(_small_star(_large_star(now)), "stars")
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == (mark.n, mark.h):
+        if _settled(now):
             break
-        seen = (mark.n, mark.h)
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
