@@ -7,11 +7,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a task; a longer document is a chunk alone.
 CHUNK_BYTES = 4 << 20
+#: Size of the Arrow batches that the session hands to Python.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches end at a size, so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def text_array(column: pa.Array) -> pa.Array:
@@ -47,6 +55,7 @@ def append_columns(
     Input columns whose name clashes with a new column, in any letter case, are
     replaced by the new column.
     """
+    bound_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     keep = [f for f in df.schema.fields if f.name.lower() not in new]
     schema = T.StructType(keep + fields)

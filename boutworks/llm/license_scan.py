@@ -26,6 +26,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boutworks.runtime import staged
+
 THRESHOLD = 0.6
 NOTICE_SHARE = 0.8
 CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribut|warrant|public domain|rights reserved|free software"
@@ -134,7 +136,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
         rows.select("dir").distinct().select("dir", F.posexplode(ancestors).alias("distance", "holder")).join(of_dir, "holder")
         .groupBy("dir").agg(F.min(F.struct("distance", "holder", "dir_license", "dir_score")).alias("b")).select("dir", "b.*")
     )
-    out = _join_key(rows.select("file_id", "path", "dir", "key"), own).join(near, "dir", "left")
+    # stored first, so that the join can split a directory with very many files
+    out = _join_key(rows.select("file_id", "path", "dir", "key"), own).join(staged(near, "near-licences"), "dir", "left")
     mine = F.col("license").isNotNull()
     return out.select(
         F.col("file_id").alias(id_col),

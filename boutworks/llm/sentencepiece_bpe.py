@@ -27,7 +27,9 @@ from boutworks.llm._batches import append_columns, binary_from, codes_of, gather
 
 MAX_MODEL_BYTES = 64 << 20
 #: Encoded segments that a worker keeps for the next chunks.
-KNOWN_SEGMENTS = 400_000
+KNOWN_SEGMENTS = 200_000
+#: Text bytes encoded at once.
+ENCODE_BYTES = 1 << 20
 _SPACE = 0x2581
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int32).max
@@ -351,7 +353,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
         offsets = np.concatenate([[0], ends * 4])
         return [binary_from(ids.view(np.uint8), offsets).cast(pa.binary())]
 
-    return append_columns(df, text_col, [T.StructField(ids_col, T.BinaryType())], compute)
+    return append_columns(df, text_col, [T.StructField(ids_col, T.BinaryType())], compute, ENCODE_BYTES)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -362,7 +364,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
         rows = [r or b"" for r in part.column(ids_col).to_pylist()]
         return [pa.array(_model(shared).decode(rows), pa.string())]
 
-    return append_columns(df, ids_col, [T.StructField(text_col, T.StringType())], compute)
+    return append_columns(df, ids_col, [T.StructField(text_col, T.StringType())], compute, ENCODE_BYTES)
 
 
 def digests(documents: DataFrame, model_path: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutworks.llm._batches import append_columns, binary_from, chunks, gather, joined, text_array
+from boutworks.llm._batches import append_columns, binary_from, bound_batches, chunks, gather, joined, text_array
 from boutworks.runtime import staged
 
 WIDTH = 200
@@ -338,6 +338,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Input columns named like an output are replaced.
     """
+    bound_batches(documents.sparkSession)
     keyed = _keyed(documents, id_col, text_col)
     spans = staged(repeated_spans(keyed.select("_r1", "_r2", text_col), text_col, width), "repeats")
     rows = keyed.join(spans, ["_r1", "_r2"], "left").drop("_r1", "_r2")

@@ -119,7 +119,7 @@ class _Archive:
     def _begin(self) -> None:
         system, plain = _open(self.path)
         system.create_dir(os.path.dirname(plain), recursive=True)
-        self.out = system.open_output_stream(plain)
+        self.out = system.open_output_stream(plain, compression=None)
         dictionary = train(self.held)
         self.squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
         raw = dictionary.as_bytes()
@@ -164,7 +164,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
 def records_of(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive, read as a stream."""
     system, plain = _open(path)
-    with system.open_input_stream(plain) as raw:
+    with system.open_input_stream(plain, compression=None) as raw:
         head = raw.read(8)
         if head[:4] != _MAGIC:
             raise ValueError(f"{path} doesn't begin with a dictionary frame")
