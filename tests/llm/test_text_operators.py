@@ -283,12 +283,66 @@ def test_dense_balls_link_completely():
     assert all((int(a) ^ int(b)).bit_count() <= 64 for a, b in zip(u, v, strict=True))
 
 
+def brute_set(text, size=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def brute_similar(texts):
+    """The first row of each row's group: links are shingle sets of a Jaccard similarity of 0.8 or more."""
+    sets = [brute_set(t) for t in texts]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y) > 0:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(words, changes, rng):
+    v = list(words)
+    for at in rng.sample(range(len(v)), changes):
+        v[at] = f"changed{rng.randrange(999)}"
+    return " ".join(v)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_similar_groups(spark, small, block):
+    rng = random.Random(8)
+    base = [[f"x{rng.randrange(3000)}" for _ in range(n)] for n in (40, 60, 120, 400, 1500) for _ in range(4)]
+    near = [edited(w, round(len(w) * share), rng) for w in base for share in (0, 0.005, 0.01, 0.02, 0.021, 0.03, 0.05)]
+    near += [" ".join(w[:k]) for w in base[:8] for k in (4, 5, 6, 30, 33, 37)]
+    rows = [(i, t) for i, t in enumerate([t for _, t in ODD + rows_of(small)] + near)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows), block=block).collect()}
+    assert got == dict(enumerate(brute_similar([t for _, t in rows])))
+    assert len(set(got.values())) < len(set(t for _, t in rows)) - 40
+
+
+def test_linked_sets_equal_all_pairs():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.append(rng.choice(60, rng.integers(20, 40), replace=False), 1000 + rng.integers(0, 3, 2))).astype(np.uint64) for _ in range(60)]
+    sets += [np.append(np.delete(s, k), np.uint64(5000)) for s in sets[:20] for k in (0, 3, 7)] + [sets[0][:0]]
+    u, v = simhash.link_sets(np.arange(len(sets)), np.concatenate(sets), np.array([len(s) for s in sets]))
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x) and 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))]
+    a, b = (np.array(x) for x in zip(*links, strict=True))
+    roots = [dict(zip(*(x.tolist() for x in simhash.spanning_forest(*p)), strict=True)) for p in ((u, v), (a, b))]
+    assert roots[0] == roots[1] and len(u) == len(roots[0]) < len(links)
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     got = kept.collect()
-    assert len(got) == len(set(brute_components([brute_fingerprint(t) for _, t in ODD])))
+    assert len(got) == len(set(brute_similar([t for _, t in ODD])))
     assert sum(r.doc_id == 8 for r in got) == 0 and sum(r.doc_id == 7 for r in got) == 1
     assert simhash.keep_one(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
@@ -408,7 +462,7 @@ def test_pipeline(spark, small):
     alone = stage["SimHash near-dedup"](spark, kept, SF).cache()
     assert alone.columns == docs.columns
     least = {}
-    for (d, _), r in zip(rows, brute_components([brute_fingerprint(t) for _, t in rows]), strict=True):
+    for (d, _), r in zip(rows, brute_similar([t for _, t in rows]), strict=True):
         least[r] = min(d, least.get(r, d))
     assert {r.doc_id for r in alone.collect()} == set(least.values())
     rows = rows_of(alone)
