@@ -52,6 +52,8 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 SET_SEGMENTS, SET_CHAIN, SET_BITS_APART = 64, 4, 18
 #: Sets and shingles of one block of a cluster.
 SET_BLOCK, SHINGLE_BLOCK = 2048, 1 << 21
+#: A cluster of more sets than this is spread over several tasks, in so many blocks unless it needs more.
+SPREAD_BLOCK, SPREAD_BLOCKS = 128, 24
 
 
 def _spaced(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -333,7 +335,8 @@ def link_sets(nodes: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity
 
 def _set_links(members: DataFrame, texts: DataFrame, shingle: int, block: int) -> DataFrame:
     """(u, v): a forest of the similar sets inside each cluster of ``members`` (id, root, own, size)."""
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / SHINGLE_BLOCK)).alias("n"))
+    spread = F.least(F.ceil(F.count("*") / SPREAD_BLOCK), F.lit(SPREAD_BLOCKS))
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / SHINGLE_BLOCK), spread).alias("n"))
     dealt = members.join(staged(blocks, "cluster-blocks"), "root")
     field = [T.StructField("_set", T.BinaryType())]
 
