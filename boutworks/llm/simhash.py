@@ -1,13 +1,14 @@
 """SimHash near-duplicates with pigeonring filtering.
 
 Fingerprints are computed per document in vectorised chunks. Each distinct
-fingerprint is cut into 8 segments of 8 bits on a ring. Two fingerprints that
-differ in at most 4 bits have a start from which every chain of l consecutive
-segments differs in at most l * 4 / 8 bits. The first three steps of such a chain
-(budgets 0, 1, 1) need an equal first segment and an equal second or third one,
-which gives 16 join keys per fingerprint. Inside a key, candidates are pruned by
-the chain budgets before the full Hamming check, and only a spanning forest of
-the links is passed on, never all pairs. Keys with many fingerprints are dealt
+fingerprint is cut into 6 segments of 10 or 11 bits on a ring. Two fingerprints
+that differ in at most 4 bits have a start from which every chain of l consecutive
+segments differs in at most l * 4 / 6 bits. The first four steps of such a chain
+(budgets 0, 1, 2, 2) need an equal first segment and an equal one among the next
+three, which gives a join key of 20 to 22 bits for each of the 15 pairs of
+segments. Inside a key, candidates are pruned by the chain budgets before the full
+Hamming check, and only a spanning forest of the links is passed on, never all
+pairs. Keys with many fingerprints are dealt
 out as pairs of blocks. Links become components by star contraction.
 
 ``similar_groups`` is the same for a similarity of shingle sets (``SIMILARITY``
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,11 @@ from boutworks.operators.components import connected_components
 from boutworks.runtime import staged
 
 SHINGLE, SEED, BITS_APART = 4, 42, 4
-SEGMENTS, SEGMENT_BITS = 8, 8
+SEGMENTS = 6
+#: First bits of the segments, and the end.
+SEGMENT_ENDS = [0, 11, 22, 33, 44, 54, 64]
+#: (start, step): the pairs of segments that make a key; three steps apart, either can be the start.
+KEY_PAIRS = [(i, step) for step in (1, 2, 3) for i in range(SEGMENTS if step < 3 else SEGMENTS // 2)]
 #: Fingerprints of one key that are compared within one block.
 BLOCK = 4096
 
@@ -117,13 +122,13 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def chain_keys(nodes: DataFrame) -> DataFrame:
-    """(k, fp): the 16 keys of each fingerprint."""
-    part = lambda i: F.shiftrightunsigned("fp", SEGMENT_BITS * (i % SEGMENTS)).bitwiseAND(F.lit(255))
-    keys = [
-        F.lit((2 * i + step - 1) << 16) + part(i) * 256 + part(i + step)
-        for i in range(SEGMENTS)
-        for step in (1, 2)
-    ]
+    """(k, fp): the 15 keys of each fingerprint."""
+
+    def part(i: int) -> Column:
+        low, high = SEGMENT_ENDS[i % SEGMENTS], SEGMENT_ENDS[i % SEGMENTS + 1]
+        return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+
+    keys = [F.lit(n << 22) + part(i) * 2048 + part(i + step) for n, (i, step) in enumerate(KEY_PAIRS)]
     return nodes.select(F.explode(F.array(*keys)).alias("k"), "fp")
 
 
@@ -142,9 +147,8 @@ def deal_blocks(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select(F.xxhash64("k", F.least("b", "o"), F.greatest("b", "o")).alias("g"), "k", "fp")
 
 
-def _chains_hold(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether every chain from ``start`` stays within its budget."""
-    apart = np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint8).reshape(-1, 8)).astype(np.int64)
+def _chains_hold(apart: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether every chain from ``start`` over the segments' differences stays within its budget."""
     ring = np.take_along_axis(apart, (start[:, None] + np.arange(SEGMENTS)) % SEGMENTS, axis=1)
     budget = np.arange(1, SEGMENTS + 1) * BITS_APART // SEGMENTS
     return (np.cumsum(ring, axis=1) <= budget).all(axis=1)
@@ -168,7 +172,11 @@ def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _pigeonring(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which fingerprint pairs keep the chain budgets from their key's start and differ in few bits."""
-    near = _chains_hold(a, b, key >> 17)
+    start, step = np.array(KEY_PAIRS)[key >> 22].T
+    parts = [((a ^ b) >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1) for low, high in zip(SEGMENT_ENDS[:-1], SEGMENT_ENDS[1:], strict=True)]
+    apart = np.bitwise_count(np.stack(parts, axis=1)).astype(np.int64)
+    near = _chains_hold(apart, start)
+    near |= (step == 3) & _chains_hold(apart, start + 3)
     near[near] = np.bitwise_count(a[near] ^ b[near]) <= BITS_APART
     return near
 

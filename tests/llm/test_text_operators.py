@@ -283,6 +283,22 @@ def test_dense_balls_link_completely():
     assert all((int(a) ^ int(b)).bit_count() <= 64 for a, b in zip(u, v, strict=True))
 
 
+def test_chains_lose_no_link(spark):
+    """Every two fingerprints of at most 4 differing bits meet in a key whose chain budgets they keep."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, len(b), dtype=np.uint64)
+    nodes = spark.createDataFrame([(int(x),) for x in np.concatenate([a, b]).view(np.int64)], "fp long")
+    keys = defaultdict(set)
+    for r in simhash.chain_keys(nodes).collect():
+        keys[r.fp & (1 << 64) - 1].add(r.k)
+    pairs = [(x, y, k) for x, y in zip(a.tolist(), b.tolist(), strict=True) for k in keys[x] & keys[y]]
+    x, y, k = (np.array(c, dtype=t) for c, t in zip(zip(*pairs, strict=True), (np.uint64, np.uint64, np.int64), strict=True))
+    assert len(set(x[simhash._pigeonring(x, y, k)].tolist())) == len(set(a.tolist()))
+
+
 def brute_set(text, size=5):
     words = (text or "").encode().lower().split()
     return frozenset(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
