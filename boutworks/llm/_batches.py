@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a task; a longer document is a chunk alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Size of the Arrow batches that the session hands to Python.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
@@ -22,6 +23,14 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; a worker lives on through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The column as large_binary; null becomes the empty string."""
     if pa.types.is_null(column.type):
@@ -67,6 +76,7 @@ def append_columns(
                 made = compute(part)
                 arrays = [part.column(n) for n in names] + made
                 yield pa.RecordBatch.from_arrays(arrays, names + [f.name for f in fields])
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutworks.llm._batches import append_columns, binary_from, gather, joined, text_array, word_spans
+from boutworks.llm._batches import append_columns, binary_from, gather, give_back, joined, text_array, word_spans
 from boutworks.llm._xxh64 import xxh64
 from boutworks.operators.components import connected_components
 from boutworks.runtime import staged
@@ -227,6 +227,7 @@ def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
