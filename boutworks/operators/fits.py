@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from boutworks.operators.components import connected_components
 from boutworks.operators.records import pairs
-from boutworks.runtime import staged
+from boutworks.runtime import discard, staged, work_path
 
 DENSE = 2000
 MASSEY_DIGITS, COLLEY_DIGITS, KEENER_DIGITS = 13, 15, 10
 KEENER_EPS, KEENER_PRIOR, KEENER_FLOOR = 1e-4, 2.0, 1e-300
 BT_REG, BT_STEPS, BT_TOL = 0.1, 10_000, 1e-8
+SPREAD_STEPS = 10_000
 WHR_W2, WHR_INITIAL, WHR_STEPS, WHR_PRECISION = 300.0, 1500.0, 20, 0.1
 FITTED = "league string, component string, competitor string, rating double, scale double"
 
@@ -97,7 +98,7 @@ _DENSE_FITS = {
 }
 
 
-def fit(bouts: DataFrame, system: str, dense: int = DENSE, steps: int = 300) -> DataFrame:
+def fit(bouts: DataFrame, system: str, dense: int = DENSE, steps: int = SPREAD_STEPS) -> DataFrame:
     """(league, component, competitor, rating, scale) of every competitor that played."""
     table = grouped_pairs(bouts)
 
@@ -119,8 +120,13 @@ def fit(bouts: DataFrame, system: str, dense: int = DENSE, steps: int = 300) ->
     return small.unionByName(spread_fit(large, system, steps))
 
 
-def spread_fit(table: DataFrame, system: str, steps: int = 300, tol: float = 1e-10) -> DataFrame:
-    """The fit of large groups: every step joins the pairs with the current ratings and sums per competitor."""
+def spread_fit(table: DataFrame, system: str, steps: int = SPREAD_STEPS) -> DataFrame:
+    """The fit of large groups: every step joins the pairs with the current ratings and sums per competitor.
+
+    Colley and Massey are solved by conjugate gradients, Bradley-Terry by Newton
+    steps of two such solves, Keener by powers. A fit that has not settled after
+    ``steps`` steps raises RuntimeError; unfinished ratings are never returned.
+    """
     table = table.withColumn("id", F.struct("league", "u")).withColumn("other", F.struct("league", "v"))
     if system == "keener":
         back = table.select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("points").alias("conceded"))
@@ -130,45 +136,116 @@ def spread_fit(table: DataFrame, system: str, steps: int = 300, tol: float = 1e-
     nodes = staged(
         table.groupBy("id", "component", "members").agg(F.sum("games").alias("n"), F.sum("wins").alias("w"), F.sum("margin").alias("m")), "fit-nodes"
     )
-    start = {"colley": 0.5, "massey": 0.0}.get(system, 1.0)
-    now = nodes.select("*", F.lit(start).alias("x"))
-    for _ in range(steps):
-        seen = table.select("id", "other", "games", *(["liked"] if system == "keener" else [])).join(now.select(F.col("id").alias("other"), F.col("x").alias("y")), "other")
-        if system == "bradley_terry":
-            seen = seen.join(now.select("id", "x"), "id").groupBy("id").agg(F.sum(F.col("games") / (F.col("x") + F.col("y"))).alias("s"))
-        else:
-            seen = seen.groupBy("id").agg(F.sum(F.col("liked" if system == "keener" else "games") * F.col("y")).alias("s"))
-        x, n, w, m, s = (F.col(c) for c in ("x", "n", "w", "m", "s"))
-        step = now.join(seen, "id")
-        if system == "colley":
-            step = step.withColumn("z", (1 + (2 * w - n) / 2 + s) / (2 + n))
-        elif system == "massey":
-            step = step.withColumn("z", 0.5 * x + 0.5 * (m + s) / n)
-        elif system == "bradley_terry":
-            step = step.withColumn("z", (w + BT_REG) / (s + 2 * BT_REG / (x + 1)))
-        else:
-            step = step.withColumn("z", s / (n + KEENER_PRIOR))
-        total = step.groupBy("component").agg(F.avg("z").alias("mean"), F.avg(F.log("z")).alias("log_mean"), F.avg("x").alias("x_mean"))
-        step = step.join(total, "component")
-        z = F.col("z")
+    if system == "bradley_terry":
+        now = _newton(table, nodes, steps)
+    elif system == "keener":
+        now = _powers(table, nodes, steps)
+    else:
+        right = 1 + (2 * F.col("w") - F.col("n")) / 2 if system == "colley" else F.col("m").cast("double")
+        system_of = nodes.select("id", "component", (F.col("n") + (2.0 if system == "colley" else 0.0)).alias("d"), right.alias("b"))
+        now = _conjugate(table.select("id", "other", F.col("games").cast("double").alias("a")), system_of, ["b"], steps).withColumnRenamed("b", "x")
         if system == "massey":
-            z = z - F.col("mean")
-        elif system == "bradley_terry":
-            z = z / F.exp("log_mean")
-        elif system == "keener":  # the perturbation adds the same to all
-            eps = KEENER_EPS * F.col("x_mean") * F.col("members")
-            z = (z + eps) / (F.col("mean") + eps)
-        now = staged(step.select("id", "component", "members", "n", "w", "m", "x", z.alias("new")), "fit-step")
-        moved = now.agg(F.max(F.abs(F.col("new") - F.col("x")))).first()[0]
-        now = now.withColumn("x", F.col("new")).drop("new")
-        if moved is None or moved < tol:
-            break
-    rating = F.log("x") if system == "bradley_terry" else F.col("x")
-    out = now.select(F.col("id.league").alias("league"), "component", F.col("id.u").alias("competitor"), rating.alias("rating"))
+            now = now.join(now.groupBy("component").agg(F.avg("x").alias("mean")), "component").withColumn("x", F.col("x") - F.col("mean"))
+    out = now.select(F.col("id.league").alias("league"), "component", F.col("id.u").alias("competitor"), F.col("x").alias("rating"))
     spread = out.groupBy("component").agg(F.greatest(F.lit(math.sqrt(2)) * F.stddev_pop("rating"), F.lit(1e-9)).alias("scale"))
     return out.join(spread, "component").select("league", "component", "competitor", "rating", (F.col("scale") if system == "massey" else F.lit(1.0)).alias("scale"))
 
 
+class _Steps:
+    """The state of an iteration: written after each step, and the state before it deleted."""
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spark, before = df.sparkSession, self.path
+        self.path = work_path(spark, "fit-step")
+        df.write.parquet(self.path)
+        if before:
+            discard(spark, before)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
+def _conjugate(pairs_: DataFrame, nodes: DataFrame, rights: list[str], steps: int, tol: float = 1e-12) -> DataFrame:
+    """``nodes`` (id, component, d and the right sides) with each right side replaced by its solution.
+
+    The matrix has ``d`` on the diagonal and ``-a`` of ``pairs_`` (id, other, a)
+    beside it, and is symmetric and semidefinite. Each component has steps of its own.
+    """
+    made = _Steps()
+    state = nodes.select("id", "component", "d", *[c for k in rights for c in (F.lit(0.0).alias(f"x_{k}"), F.col(k).alias(f"r_{k}"), (F.col(k) / F.col("d")).alias(f"p_{k}"))])
+    for _ in range(steps + 1):
+        seen = pairs_.join(state.select(F.col("id").alias("other"), *[f"p_{k}" for k in rights]), "other")
+        seen = seen.groupBy("id").agg(*[F.sum(F.col("a") * F.col(f"p_{k}")).alias(f"s_{k}") for k in rights])
+        step = state.join(seen, "id").withColumns({f"q_{k}": F.col("d") * F.col(f"p_{k}") - F.col(f"s_{k}") for k in rights}).drop(*[f"s_{k}" for k in rights])
+        step = made.put(step)
+        left = step.agg(F.max(F.greatest(*[F.abs(F.col(f"r_{k}") / F.col("d")) for k in rights], F.lit(0.0)))).first()[0]
+        if left is None or left < tol:
+            return step.select("id", "component", "d", *[F.col(f"x_{k}").alias(k) for k in rights])
+        if not math.isfinite(left):
+            break
+        sums, moves = [], {}
+        for k in rights:
+            r, q, p, d = F.col(f"r_{k}"), F.col(f"q_{k}"), F.col(f"p_{k}"), F.col("d")
+            sums += [F.sum(r * r / d).alias(f"rr_{k}"), F.sum(r * q / d).alias(f"rq_{k}"), F.sum(q * q / d).alias(f"qq_{k}"), F.sum(p * q).alias(f"pq_{k}")]
+            rr, pq = F.col(f"rr_{k}"), F.col(f"pq_{k}")
+            far = F.when(pq > 0, rr / pq).otherwise(0.0)
+            after = F.greatest(rr - 2 * far * F.col(f"rq_{k}") + far * far * F.col(f"qq_{k}"), F.lit(0.0))
+            moves |= {f"x_{k}": F.col(f"x_{k}") + far * p, f"r_{k}": r - far * q, f"p_{k}": (r - far * q) / d + F.when(rr > 0, after / rr).otherwise(0.0) * p}
+        state = step.join(step.groupBy("component").agg(*sums), "component").select("id", "component", "d", *[c.alias(n) for n, c in moves.items()])
+    raise RuntimeError(f"the fit did not settle in {steps} steps")
+
+
+def _newton(table: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
+    """Bradley-Terry log strengths: ``(w + reg) = c e`` with the expected wins e, mean zero and one c for each component."""
+    made = _Steps()
+    chance = 1 / (1 + F.exp(F.col("y") - F.col("x")))
+    own = 1 / (1 + F.exp(-F.col("x")))
+    now = nodes.select("id", "component", "w", F.lit(0.0).alias("x"))
+    for _ in range(steps):
+        met = table.select("id", "other", "games").join(now.select("id", "x"), "id").join(now.select(F.col("id").alias("other"), F.col("x").alias("y")), "other")
+        met = staged(met.select("id", "other", (F.col("games") * chance).alias("e"), (F.col("games") * chance * (1 - chance)).alias("a")), "fit-met")
+        sums = met.groupBy("id").agg(F.sum("e").alias("e"), F.sum("a").alias("d"))
+        here = now.join(sums, "id").select("id", "component", "x", "w", (F.col("e") + 2 * BT_REG * own).alias("e"), (F.col("d") + 2 * BT_REG * own * (1 - own)).alias("d"))
+        total = here.groupBy("component").agg((F.sum(F.col("w") + BT_REG) / F.sum("e")).alias("c"))
+        here = staged(here.join(total, "component").withColumn("gap", (F.col("w") + BT_REG) / F.col("c") - F.col("e")), "fit-here")
+        solved = _conjugate(met, here.select("id", "component", "d", "gap", "e"), ["gap", "e"], steps)
+        shift = solved.groupBy("component").agg((F.sum("gap") / F.sum("e")).alias("shift"))
+        move = solved.join(shift, "component").select("id", (F.col("gap") - F.col("shift") * F.col("e")).alias("move"))
+        step = here.select("id", "component", "w", "x").join(move, "id")
+        longest = step.groupBy("component").agg(F.max(F.abs("move")).alias("longest"))  # a long step is cut to one unit
+        step = step.join(longest, "component").select("id", "component", "w", (F.col("x") + F.col("move") / F.greatest("longest", F.lit(1.0))).alias("x"), "move")
+        now = made.put(step)
+        moved = now.agg(F.max(F.abs("move"))).first()[0]
+        if moved is None or moved < BT_TOL:
+            means = now.groupBy("component").agg(F.avg("x").alias("mean"))
+            return now.join(means, "component").select("id", "component", (F.col("x") - F.col("mean")).alias("x"))
+    raise RuntimeError(f"the fit did not settle in {steps} steps")
+
+
+def _powers(table: DataFrame, nodes: DataFrame, steps: int, tol: float = 1e-10) -> DataFrame:
+    """Keener's vector. A step multiplies twice, the second time in half, so that ratings of two alternating sides settle too."""
+    made = _Steps()
+    pairs_ = table.select("id", "other", "liked")
+    now = nodes.select("id", "component", "members", "n", F.lit(1.0).alias("x"))
+
+    def times(now: DataFrame) -> DataFrame:
+        seen = pairs_.join(now.select(F.col("id").alias("other"), F.col("x").alias("y")), "other").groupBy("id").agg(F.sum(F.col("liked") * F.col("y")).alias("s"))
+        step = now.join(seen, "id").withColumn("z", F.col("s") / (F.col("n") + KEENER_PRIOR))
+        total = step.groupBy("component").agg(F.avg("z").alias("mean"), F.avg("x").alias("x_mean"))
+        eps = KEENER_EPS * F.col("x_mean") * F.col("members")  # the perturbation adds the same to all
+        return step.join(total, "component").select("id", "component", "members", "n", "x", ((F.col("z") + eps) / (F.col("mean") + eps)).alias("new"))
+
+    for _ in range(steps):
+        whole = made.put(times(now)).select("id", "component", "members", "n", F.col("new").alias("x"))
+        half = made.put(times(whole))
+        moved = half.agg(F.max(F.abs(F.col("new") - F.col("x")))).first()[0]
+        now = half.select("id", "component", "members", "n", ((F.col("x") + F.col("new")) / 2).alias("x"))
+        if moved is None or moved < tol:
+            return now.select("id", "component", "x")
+    raise RuntimeError(f"the fit did not settle in {steps} steps")
+
+
 CURVE = "league string, competitor string, day date, rating double"
 
 

@@ -124,6 +124,32 @@ def test_large_groups_get_the_same_fit(spark, system):
     assert spread == pytest.approx(dense, abs=1e-3)
 
 
+def chain_pairs(spark, n, games):
+    """A chain of n competitors as a pair table, and its grids."""
+    rng = np.random.default_rng(3)
+    grids = {c: np.zeros((n, n)) for c in ("games", "wins", "margin", "points")}
+    for i in range(n - 1):
+        won, lead = int(rng.binomial(games, 0.6)), int(rng.integers(-90, 90))
+        for x, y, w, m in ((i, i + 1, won, lead), (i + 1, i, games - won, -lead)):
+            grids["games"][x, y], grids["wins"][x, y], grids["margin"][x, y], grids["points"][x, y] = games, w, m, w
+    rows = [("x", "c", n, f"c{i:02d}", f"c{j:02d}", *(float(g[i, j]) for g in grids.values())) for i, j in zip(*np.nonzero(grids["games"]), strict=True)]
+    return spark.createDataFrame(rows, "league string, component string, members long, u string, v string, games double, wins double, margin double, points double"), grids
+
+
+@pytest.mark.parametrize("system", ["colley", "massey", "keener", "bradley_terry"])
+def test_large_sparse_groups_settle(spark, system):
+    table, grids = chain_pairs(spark, 12, 200)
+    got = {r.competitor: (r.rating, r.scale) for r in fits.spread_fit(table, system).collect()}
+    rating, scale = fits._DENSE_FITS[system](grids)
+    assert [got[f"c{i:02d}"] for i in range(12)] == [pytest.approx((x, scale), abs=1e-7) for x in rating]
+
+
+@pytest.mark.parametrize("system", ["colley", "massey", "keener", "bradley_terry"])
+def test_unsettled_fits_raise(spark, system):
+    with pytest.raises(RuntimeError, match="did not settle"):
+        fits.spread_fit(chain_pairs(spark, 12, 200)[0], system, steps=1)
+
+
 def test_whole_history_moves_with_results_and_looks_back(spark):
     rows = bouts_of(spark, [("a", "b", 1.0), ("a", "b", 1.0), ("b", "a", 0.0)])
     curve = fits.whole_history(rows, steps=100, precision=1e-10)
