@@ -17,9 +17,9 @@ keys of bits, so the ring has 64 segments of the shingle space and each segment'
 value is its smallest hash. Sets that differ in at most 15 segments have a start
 from which the first four segments of the chain agree (budget 0); at a similarity
 of 0.8, with 13 segments apart on average, the chance that no such start exists
-is below 1e-4. Candidates that share a chain are pruned by their fingerprints and
-become loose clusters; inside a cluster the sets themselves are compared, so a
-link always means the similarity.
+is below 1e-4. All sets that share a chain become loose clusters, whatever their
+fingerprints; inside a cluster the sets themselves are compared, so a link always
+means the similarity.
 
 Defined cases: text without words, null text included, has fingerprint zero and
 links like any other; exact copies share one fingerprint and one component; a
@@ -53,8 +53,8 @@ BLOCK = 4096
 
 #: Near duplicates by similarity: words of a shingle, least Jaccard similarity of the sets.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
-#: Segments of the shingle space, segments of a chain, bits by which candidates may differ.
-SET_SEGMENTS, SET_CHAIN, SET_BITS_APART = 64, 4, 18
+#: Segments of the shingle space, segments of a chain.
+SET_SEGMENTS, SET_CHAIN = 64, 4
 #: Sets and shingles of one block of a cluster.
 SET_BLOCK, SHINGLE_BLOCK = 2048, 1 << 21
 #: A cluster of more sets than this is spread over several tasks, in so many blocks unless it needs more.
@@ -181,11 +181,14 @@ def _pigeonring(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     return near
 
 
-def _few_bits(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= SET_BITS_APART
+def _neighbours(group: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all fingerprints of equal group and key; rows are sorted by both."""
+    linked = (group[1:] == group[:-1]) & (key[1:] == key[:-1]) & (fp[1:] != fp[:-1])
+    return spanning_forest(fp[:-1][linked], fp[1:][linked])
 
 
 _Near = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+_Linked = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _link_groups(group: np.ndarray, key: np.ndarray, fp: np.ndarray, is_near: _Near = _pigeonring) -> tuple[np.ndarray, np.ndarray]:
@@ -234,20 +237,20 @@ def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
-def _links(dealt: DataFrame, is_near: _Near) -> DataFrame:
+def _links(dealt: DataFrame, linked: _Linked) -> DataFrame:
     """(u, v): a forest of the links inside each key of (g, k, fp)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_groups(batches):
             g, k, f = (part.column(i).to_numpy() for i in range(3))
-            yield _edges(*_link_groups(g, k, f.view(np.uint64), is_near))
+            yield _edges(*linked(g, k, f.view(np.uint64)))
 
     return dealt.repartition("g").sortWithinPartitions("g", "k").select("g", F.col("k").cast("long"), "fp").mapInArrow(run, "u long, v long")
 
 
 def fingerprint_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect all fingerprints of at most 4 differing bits."""
-    return _links(deal_blocks(chain_keys(nodes), block), _pigeonring)
+    return _links(deal_blocks(chain_keys(nodes), block), _link_groups)
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -382,7 +385,7 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = staged(made.drop("_text"), "summaries")
     sets = rows.groupBy("own").agg(F.min("_key").alias("_key"), F.min("fp").alias("fp"), F.min("size").alias("size"))
     chains = rows.groupBy("own").agg(F.min("fp").alias("fp"), F.any_value("chains").alias("chains")).select(F.explode("chains").alias("k"), "fp")
-    links = fingerprint_links(rows.select("fp").distinct()).union(_links(deal_blocks(chains), _few_bits))
+    links = fingerprint_links(rows.select("fp").distinct()).union(_links(deal_blocks(chains), _neighbours))
     clusters = connected_components(links).withColumnRenamed("node", "fp")
     placed = staged(sets.join(clusters, "fp", "left").select("own", "_key", "size", F.coalesce("component", "fp").alias("root")), "placed-sets")
     shared = staged(placed.groupBy("root").count().where("count > 1").select("root"), "clusters")

@@ -342,6 +342,18 @@ def test_similar_groups(spark, small, block):
     assert len(set(got.values())) < len(set(t for _, t in rows)) - 40
 
 
+def test_similar_sets_of_distant_fingerprints(spark):
+    """Pairs of 14 and 13 shingles, 12 of them common: a similarity of exactly 0.8."""
+    texts = []
+    for i in range(2000):
+        words = [f"p{i}w{k}" for k in range(19)]
+        texts += [" ".join(words[:18]), " ".join([words[18], *words[:16]])]
+    fp = simhash.fingerprints_of(pa.array(texts, pa.large_string()), simhash.WIDE_SHINGLE)
+    assert (np.bitwise_count(fp[::2] ^ fp[1::2]) > 18).any()
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: i - i % 2 for i in range(4000)}
+
+
 def test_linked_sets_equal_all_pairs():
     rng = np.random.default_rng(2)
     sets = [np.unique(np.append(rng.choice(60, rng.integers(20, 40), replace=False), 1000 + rng.integers(0, 3, 2))).astype(np.uint64) for _ in range(60)]
