@@ -127,6 +127,100 @@ def test_pages_of_the_table(spark):
     assert {r.page_id: r.text for r in queries.op4_html_text(spark, SF).collect()} == want
 
 
+def hosted(spark, rows):
+    host = html_text.F.coalesce(html_text.F.lower(html_text.F.regexp_extract("url", html_text.HOST, 1)), html_text.F.lit(""))
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", host)
+
+
+def test_the_template_decides(spark):
+    """Without its template a page is one slot, so every text of the table changes."""
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = table.collect()
+    got = {r.page_id: r for r in queries.op4_html_text(spark, SF).collect()}
+    with_template = [r for r in rows if got[r.page_id].n_classes]
+    assert len(with_template) > len(rows) / 3
+    for r in with_template:
+        assert html_text.main_text(r.html, html_text.Template()) != got[r.page_id].text
+    made = html_text.templates(hosted(spark, [(r.page_id, r.url, r.html) for r in rows])).collect()
+    assert {r.host for r in made} == {re.match(html_text.HOST, r.url)[1] for r in with_template}
+    for r in made:
+        assert r.template["main"], r.host
+    by_host = {r.host: r.template for r in made}
+    for r in with_template:
+        tags, _, names = html_text.walk(r.html)
+        main = by_host[re.match(html_text.HOST, r.url)[1]]["main"][0]
+        assert names[main] == "article"
+
+
+def test_classes_equal_brute_force(spark):
+    """Occurrence vectors compared as a whole, page by page, in one process."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    rows += [(900 + i, "http://two.example/", f"<body><div class=a><h2>t{i}</h2></div>" + "<ul><li><i>x</i></li></ul>" * (i % 3) + f"<div class=b>text {i} and more</div><p>Same</p></body>") for i in range(9)]
+    rows += [(950 + i, "http://two.example/", "<body><div class=a><h2>t1</h2></div></body>") for i in range(5)]
+    table = hosted(spark, rows)
+    got = html_text.classes(html_text.occurrences(html_text.distinct_bodies(table)))
+    found = {(r.host, frozenset(r.tags), frozenset(r.texts), r.plain) for r in got.collect()}
+    pages_of = defaultdict(set)
+    for _, url, page in rows:
+        pages_of[re.match(html_text.HOST, url)[1]].add(page)
+    want = set()
+    for host, bodies in pages_of.items():
+        vectors, text = defaultdict(list), Counter()
+        walked = [html_text.walk(b) for b in sorted(bodies)]
+        for k, (tags, runs, _) in enumerate(walked):
+            for key, n in Counter([(t, False) for t, _ in tags] + [(r.token, True) for r in runs if r.token]).items():
+                vectors[key].append((k, n))
+        for (_, is_text), v in vectors.items():
+            if is_text:
+                n = sum(x for _, x in v)
+                text[True] += n if len(v) > 1 and 2 * len(v) >= len(bodies) else 0
+                text[False] += n
+        grouped = defaultdict(set)
+        for key, v in vectors.items():
+            if len(v) >= max(2, 0.05 * len(bodies)):
+                grouped[tuple(v)].add(key)
+        for v, keys in grouped.items():
+            tags = frozenset(t for t, is_text in keys if not is_text)
+            if len(tags) >= 3:
+                plain = len(v) >= html_text.TEXT_PAGES and not 2 * text[True] > text[False]
+                want.add((host, tags, frozenset(t for t, is_text in keys if is_text), plain))
+    assert found == want and any(t and plain for _, _, t, plain in want)
+
+
+def test_order_and_place_of_classes():
+    of = {1: 7, 2: 7, 3: 7, 4: 8, 5: 8, 6: 9}
+    assert html_text.arrangement([1, 2, 4, 5, 4, 5, 3], of) == {7: ((1, 2, 3), 0, -1), 8: ((4, 5), 7, 1)}
+    assert html_text.arrangement([1, 4, 2, 5, 3], of)[8] == ((), 0, -1)  # crosses
+    assert html_text.arrangement([1, 4, 5, 2, 4, 5, 3], of)[8] == ((), 0, -1)  # in two places
+    assert html_text.arrangement([1, 2, 3, 2, 1, 3], of)[7] == ((), 0, -1)  # in two orders
+    assert html_text.arrangement([1, 2, 6, 3, 99], of)[9] == ((6,), 7, 1)
+
+
+def test_layouts_and_notices_of_a_host(spark):
+    """Names that nothing lists: the template finds the article, its constant notice, and both layouts."""
+    news = "<html><body><div class='q1'>Site</div><div class='q2'>Today {0} offers</div><div class='q3'><h1>Title {0}</h1><div class='q4'>Join our club</div><p>Story {0} is a long one</p><p>with a second part {0}</p></div><div class='q5'>Imprint</div></body></html>"
+    shop = "<html><body><div class='q1'>Site</div><section class='z1'><h2>Thing {0}</h2><ul><li>part {0} of it is fine</li></ul></section><div class='z9'>stock {0}</div><div class='q5'>Imprint</div></body></html>"
+    rows = [(i, "http://mixed.example/", (shop if i % 3 == 0 else news).format(f"n{i}")) for i in range(30)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    for i in range(30):
+        assert got[i] == (f"Thing n{i}\npart n{i} of it is fine" if i % 3 == 0 else f"Title n{i}\nStory n{i} is a long one\nwith a second part n{i}")
+
+
+def test_near_copies_of_a_host_keep_their_text(spark):
+    page = "<body><div class='top'>Ours</div><div class='x'><h1>One title</h1><p class='lead'>The same start</p><p>Middle of it, {0}</p><p>and the end</p></div></body>"
+    rows = [(i, "http://near.example/", page.format(i % 20)) for i in range(60)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"One title\nThe same start\nMiddle of it, {i % 20}\nand the end" for i in range(60)}
+
+
+def test_names_inside_the_main_element(spark):
+    page = """<html><body><main><article><header><h1>T{0}</h1></header><section id="search"><h2 id="share">On search {0}</h2><p>x{0} <math><mi>y</mi></math></p></section>
+<div class="ad">buy {0}</div><section id="comments"><p>nice {0}</p></section><footer>by {0}</footer></article></main></body></html>"""
+    rows = [(i, "http://inner.example/", page.format(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"T{i}\nOn search {i}\nx{i} y" for i in range(8)}
+
+
 # ---- 5
 
 
