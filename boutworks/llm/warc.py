@@ -8,10 +8,15 @@ records with equal payloads, one is a response and the others revisit it.
 Writers put each archive under a name of its own and report it only when it is
 complete; a task that runs again leaves at most a file that no manifest names.
 
+Only the digests of payloads that occur twice are gathered, so payloads go straight
+from the scan to their archive and are never shuffled where those digests are few.
+
 Defined cases: null html is an empty payload; a null url leaves out the target;
 control characters in a url are percent-encoded; rows that share the largest
 page_id of a payload are all responses; a null page_id is written as such, and is
-a response only where no row of its payload has an id.
+a response only where no row of its payload has an id; repeated rows are records
+each; very long payloads are held one at a time; an empty table makes no archive;
+columns besides page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,17 +44,23 @@ ARCHIVE_BYTES = 64 << 20
 #: What the dictionary of an archive is trained on, and its size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 4 << 20, 64 << 10
 LEVEL = 6
+#: Tasks that read archives back, at most.
+READERS = 20_000
 _MAGIC = (0x184D2A5D).to_bytes(4, "little")
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def mark_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, payload_digest, record_type and refers_to (null for responses)."""
+    """page_id, url, html, payload_digest, record_type and refers_to (null for responses).
+
+    Digests are counted by partial sums; those that occur twice are stored, and are broadcast where they are few.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= least
     kept = rows.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null")
-    marked = rows.join(kept.select("payload_digest", "kept"), "payload_digest", "left")
+    repeated = staged(kept.select("payload_digest", "kept"), "repeated-payloads")
+    marked = rows.join(repeated, "payload_digest", "left")
     again = large & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     return marked.select(
         "page_id", "url", "html", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("kept")).alias("refers_to")
@@ -198,7 +209,10 @@ def _parsed(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the archives, each archive in one task; payloads are checked against their digests."""
+    """The records of the archives, each archive in one task; payloads are checked against their digests.
+
+    Paths are dealt to as many tasks as there are archives, up to ``READERS``.
+    """
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     names = [f.strip().split()[0] for f in READ.split(",")]
 
@@ -218,7 +232,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, READ)
+    # a number of partitions that is asked for isn't coalesced again, as small as the manifest is
+    tasks = min(max(1, manifest.count()), READERS)
+    return manifest.select("path").repartition(tasks).mapInArrow(run, READ)
 
 
 def report(pages: DataFrame) -> DataFrame:

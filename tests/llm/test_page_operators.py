@@ -314,6 +314,16 @@ def test_archives_read_as_plain_records(spark):
     assert {r.url for r in back} == {u for _, u, _ in rows}
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    rows = [(i, "u", f"page {i} " * 300) for i in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    manifest = warc.write_archives(warc.mark_revisits(table), work_path(spark, "warc-many"))
+    archives = manifest.count()
+    back = warc.read_archives(manifest).withColumn("task", html_text.F.spark_partition_id())
+    assert archives > 3 and back.select("task").distinct().count() > archives / 3
+    assert back.count() == 40
+
+
 def test_damage_is_noticed(tmp_path):
     record = warc.record(1, "u", b"payload", "0" * 40, "response", None)
     path = tmp_path / "x.warc.zst"
