@@ -6,12 +6,16 @@ in every shard, which gives all verbatim occurrences with their places. Matches
 that continue along one alignment are joined into the longest match. Documents
 never leave their task, so nothing is shuffled.
 
-The test set is broadcast in blocks of bounded size; each block is one more pass
-over the rows and adds to the hits so far.
+The test set is broadcast in blocks of bounded size, one at a time: a block is
+collected, its pass over the rows is written to the shared folder, and its
+broadcast is destroyed before the next block is collected. Each pass adds to the
+hits so far. A test set of one block needs no such table.
 
 Defined cases: null text has no words; an item without words never occurs; items
-without an id cause hits but aren't listed; a repeated item_id is listed once.
-Input columns named like an output are replaced.
+without an id cause hits but aren't listed; a repeated item_id is listed once;
+repeated rows have the same hits each; a text longer than a shard is a shard of its
+own; without items nothing is hit, and an empty table has an empty result. Input
+columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutworks.llm._batches import append_columns, binary_from, codes_of, gather, joined, spans_array, text_array, word_spans
+from boutworks.runtime import discard, work_path
 
 WINDOW = 10
 #: Text bytes of the test set in one broadcast.
@@ -162,12 +167,17 @@ def _match(texts: pa.Array, test: TestSet, window: int) -> _Found:
     keys = _pack(codes, test.bits, window)[suffix]
     order = np.lexsort(keys.T[::-1])
     suffix, keys = suffix[order], keys[order]
-    low, high = _search(keys, test.low, False), _search(keys, test.high, True)
+    # windows whose first word isn't in the shard have no suffix there
+    per = max(1, 62 // test.bits)
+    present = np.zeros(1 << test.bits, dtype=bool)
+    present[known] = True
+    tried = np.flatnonzero(present[test.low[:, 0] >> (test.bits * (per - 1))])
+    low, high = _search(keys, test.low[tried], False), _search(keys, test.high[tried], True)
     hit = np.flatnonzero(high > low)
     if not len(hit):
         return found
     times = (high - low)[hit]
-    which, at = np.repeat(hit, times), suffix[gather(low[hit], times)]
+    which, at = np.repeat(tried[hit], times), suffix[gather(low[hit], times)]
     cover = np.zeros(len(codes) + 1, dtype=np.int32)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + test.size[which], -1)
@@ -215,25 +225,37 @@ def _join_spans(a: list[dict], b: list[dict]) -> list[dict]:
     return out
 
 
-def test_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The test rows in blocks of about ``block_bytes``, each collected when its turn comes."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    blocks = -(-size // block_bytes)
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r))
+def _test_rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _blocks_of(benchmark: DataFrame, block_bytes: int) -> int:
+    """Into how many blocks of about ``block_bytes`` the test rows are dealt."""
+    return -(-(_test_rows(benchmark).agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) // block_bytes)
+
+
+def _test_block(benchmark: DataFrame, k: int, blocks: int) -> list[tuple[str | None, str]]:
+    """The test rows of one block; only these are on the driver."""
+    rows = _test_rows(benchmark)
+    part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
+    return sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r))
 
 
 def find_matches(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` with n_words, hit_spans (word positions), hit_items (sorted) and longest_match (words)."""
     spark = documents.sparkSession
-    out = documents
-    blocks = 0
-    for rows in [*test_blocks(benchmark, block_bytes)] or [[]]:
-        shared = spark.sparkContext.broadcast(build_test_set(rows, window))
-        out = _pass(out, shared, text_col, window, again=blocks > 0)
-        blocks += 1
+    out, path = documents, None
+    blocks = _blocks_of(benchmark, block_bytes)
+    for k in range(max(1, blocks)):
+        shared = spark.sparkContext.broadcast(build_test_set(_test_block(benchmark, k, blocks), window))
+        out = _pass(out, shared, text_col, window, again=k > 0)
+        if blocks > 1:
+            before, path = path, work_path(spark, "hits")
+            out.write.parquet(path)
+            shared.destroy()
+            out = spark.read.schema(out.schema).parquet(path)
+            if before:
+                discard(spark, before)
     return out
 
 

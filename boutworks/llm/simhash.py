@@ -23,7 +23,8 @@ means the similarity.
 
 Defined cases: text without words, null text included, has fingerprint zero and
 links like any other; exact copies share one fingerprint and one component; a
-null doc_id is a member but never the component's name while another id exists.
+null doc_id is a member but never the component's name while another id exists;
+very long texts are handled one by one; an empty table has an empty result.
 Columns other than the id and the text are ignored.
 """
 
@@ -259,8 +260,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = rows.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     parts = connected_components(fingerprint_links(nodes.select("fp"), block))
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    # stored, so that the joins shuffle both sides themselves and can split a large component or a frequent fingerprint
+    least = staged(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least-ids")
+    of = staged(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
     return rows.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -391,7 +393,7 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = staged(placed.groupBy("root").count().where("count > 1").select("root"), "clusters")
     parts = connected_components(_set_links(placed.join(shared, "root"), texts, shingle, block))
     named = placed.join(parts.withColumnRenamed("node", "own"), "own", "left").select("own", "_key", F.coalesce("component", "own").alias("group"))
-    least = named.groupBy("group").agg(F.min("_key").alias("component_id"))
+    least = staged(named.groupBy("group").agg(F.min("_key").alias("component_id")), "least-keys")
     of = staged(named.join(least, "group").select("own", "component_id"), "components")
     return rows.join(of, "own").select(F.col("_key").alias(id_col), "component_id")
 

@@ -5,7 +5,7 @@ Every ``width``-byte window of a text is represented by its minimiser: the
 minimiser form a run, so the suffixes to compare start at about 1.5 % of the
 bytes. A suffix whose leading ``ANCHOR`` bytes occur once can't repeat and is
 left out; runs that agree in all their bytes, as inside copies, are recognised by
-128-bit fingerprints and needn't be sorted. All other suffixes, with the bytes
+their 128-bit digest and needn't be sorted. All other suffixes, with the bytes
 before them, are range-partitioned by sampled splitters on their leading bytes.
 Each bucket sorts its suffixes by multikey quicksort and compares neighbours: two
 windows at distance o before their anchors are equal if the suffixes share
@@ -16,7 +16,8 @@ compared across the boundaries by digest.
 One run of each kind stands for all its copies in the sort, so a passage that a
 third of all documents share costs one suffix per anchor.
 
-Defined cases: null text is empty; texts under ``width`` bytes lose nothing;
+Defined cases: null text is empty; an empty table has an empty result; texts under
+``width`` bytes lose nothing; a text longer than a chunk is a chunk of its own;
 repeated rows, also with equal ids, count as separate places, so both lose what
 they share; columns other than the id and text pass through where documented.
 """
@@ -28,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,8 @@ from boutworks.runtime import staged
 WIDTH = 200
 ANCHOR = 64
 _CHUNK = 2 << 20
+#: Bits of a place in a chunk, always the same; the other bits are the anchor's hash. A text has under 2 GB.
+PLACE_BITS = 31
 #: Bytes of suffixes that one bucket sorts.
 BUCKET_BYTES = 12 << 20
 
@@ -53,36 +57,27 @@ def _blend(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def _hashes(flat: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ANCHOR-byte and the width-byte strings from every byte on."""
+def _hashes(flat: np.ndarray) -> np.ndarray:
+    """Hashes of the ANCHOR-byte strings from every byte on."""
     size, h = 1, _BYTE[flat]
-    level = {1: h}
     k = 0
-    while size * 2 <= width:
+    while size < ANCHOR:
         h = _blend(h[:-size], h[size:], k) if len(h) > size else h[:0]
         size, k = size * 2, k + 1
-        level[size] = h
-    whole, done = level[size], size
-    for part in sorted(level, reverse=True):
-        if done + part <= width:
-            n = max(0, len(flat) - done - part + 1)
-            whole = _blend(whole[:n], level[part][done : done + n], 8 + part.bit_length() % 4)
-            done += part
-    return level[ANCHOR], whole
+    return h
 
 
 def runs(flat: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> dict[str, np.ndarray]:
     """Runs of windows with one minimiser: row, first and last window start, anchor, and hashes.
 
-    Places are byte offsets within the row.
+    Places are byte offsets within the row. Of equal hashes the first is least, so equal windows have equal anchors wherever they stand.
     """
-    empty = {c: np.zeros(0, np.int64) for c in ("row", "s", "e", "a", "kh", "bh")}
+    empty = {c: np.zeros(0, np.int64) for c in ("row", "s", "e", "a", "kh", "bh", "ch")}
     span = width - ANCHOR + 1
     if len(flat) < width:
         return empty
-    short, whole = _hashes(flat, width)
-    bits = int(len(flat)).bit_length()
-    low = np.uint64((1 << bits) - 1)
+    short = _hashes(flat)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = ((short * _MUL[11]) & ~low) | np.arange(len(short), dtype=np.uint64)
     size = 1
     while size * 2 <= span:
@@ -101,10 +96,13 @@ def runs(flat: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> dict[str,
     heads = np.flatnonzero(first)
     tails = np.append(heads[1:], len(start)) - 1
     s, e, a, row = start[heads], start[tails], at[heads], row[heads]
-    # equal runs have equal windows at both ends, equal lengths and equal anchor places
-    both = _blend(_blend(whole[s], whole[e], 9), ((e - s) * width + (a - s)).astype(np.uint64), 10)
+    # a run's 128-bit digest is of all its bytes and of the anchor's place in them
+    whole = flat.tobytes()
+    ends, into = (e + width).tolist(), (a - s).tolist()
+    digests = b"".join([xxhash.xxh3_128_digest(whole[x:y], o) for x, y, o in zip(s.tolist(), ends, into, strict=True)])
+    digest = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
     base = offsets[:-1][row]
-    return {"row": row, "s": s - base, "e": e - base, "a": a - base, "kh": short[a].view(np.int64), "bh": both.view(np.int64)}
+    return {"row": row, "s": s - base, "e": e - base, "a": a - base, "kh": short[a].view(np.int64), "bh": digest[:, 0], "ch": digest[:, 1]}
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,9 +120,9 @@ def _all_runs(keyed: DataFrame, text_col: str, width: int) -> DataFrame:
                 r = runs(flat, offsets, width)
                 own = [part.column(c).to_numpy()[r["row"]] for c in ("_r1", "_r2")]
                 places = [r[c].astype(np.int32) for c in ("s", "e", "a")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r["kh"], r["bh"], *own, *places)], names=["kh", "bh", "_r1", "_r2", "s", "e", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r["kh"], r["bh"], r["ch"], *own, *places)], names=["kh", "bh", "ch", "_r1", "_r2", "s", "e", "a"])
 
-    return keyed.select("_r1", "_r2", text_col).mapInArrow(scan, "kh long, bh long, _r1 long, _r2 long, s int, e int, a int")
+    return keyed.select("_r1", "_r2", text_col).mapInArrow(scan, "kh long, bh long, ch long, _r1 long, _r2 long, s int, e int, a int")
 
 
 _CONTEXT = "suffix binary, before binary, weight int, r1 long, r2 long, a int"
@@ -292,15 +290,16 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(keyed: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
     """(_r1, _r2, spans): window starts [s, e] of each row that repeat somewhere."""
-    found = _all_runs(keyed, text_col, width)
-    shared = found.groupBy("kh").agg(F.count("*").alias("n"), (F.min("bh") != F.max("bh")).alias("mixed")).where("n > 1").select("kh", "mixed")
+    found = staged(_all_runs(keyed, text_col, width), "runs")
+    differ = (F.min("bh") != F.max("bh")) | (F.min("ch") != F.max("ch"))
+    shared = found.groupBy("kh").agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1").select("kh", "mixed")
     # stored first, so that the join shuffles both sides itself and splits a frequent anchor's partition
     shared = staged(shared, "shared-anchors")
     occurring = staged(found.join(shared, "kh"), "shared-runs")
     same = occurring.where("not mixed").select("_r1", "_r2", "s", "e")
     mixed = occurring.where("mixed")
-    kinds = staged(mixed.groupBy("kh", "bh").agg(F.count("*").alias("n"), F.min(F.struct("_r1", "_r2", "s", "e", "a")).alias("one")), "run-kinds")
-    copied = mixed.join(kinds.where("n > 1").select("kh", "bh"), ["kh", "bh"]).select("_r1", "_r2", "s", "e")
+    kinds = staged(mixed.groupBy("kh", "bh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("_r1", "_r2", "s", "e", "a")).alias("one")), "run-kinds")
+    copied = mixed.join(kinds.where("n > 1").select("kh", "bh", "ch"), ["kh", "bh", "ch"]).select("_r1", "_r2", "s", "e")
     # one run of each kind is sorted; a kind met twice stands for two
     one = kinds.select("one.*", F.least("n", F.lit(2)).cast("int").alias("w"))
     open_runs = one.groupBy("_r1", "_r2").agg(F.collect_list(F.struct("s", "e", "a", "w")).alias("open"))

@@ -420,6 +420,18 @@ def test_contamination(spark, small, block, monkeypatch):
     assert longest[LONG] == 30 and longest[None] == 0 and longest["one"] == 1
 
 
+def test_test_blocks_come_one_at_a_time(spark, monkeypatch):
+    """A block's hits are written before the next block is collected."""
+    events = []
+    block, path = decontamination._test_block, decontamination.work_path
+    monkeypatch.setattr(decontamination, "_test_block", lambda *a: events.append("collected") or block(*a))
+    monkeypatch.setattr(decontamination, "work_path", lambda *a: events.append("written") or path(*a))
+    table = spark.createDataFrame([(i, f"item number {i} of the test set") for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "an item number 3 of the test set here"), (2, "nothing")], "doc_id long, text string")
+    assert {r.doc_id: r.hit_items for r in decontamination.find_matches(docs, table, block_bytes=100).collect()} == {1: ["3"], 2: []}
+    assert len(events) > 6 and events == ["collected", "written"] * (len(events) // 2)
+
+
 def test_contamination_without_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = documents(spark)
@@ -431,6 +443,35 @@ def test_contamination_without_items(spark):
 # ---- 10
 
 
+def test_anchors_don_t_depend_on_the_chunk(monkeypatch):
+    """With a hash so narrow that ties are common, equal windows have equal anchors in chunks of any length."""
+    whole = substring_dedup._hashes
+    monkeypatch.setattr(substring_dedup, "_hashes", lambda flat: whole(flat) & np.uint64(0xF))
+    monkeypatch.setattr(substring_dedup, "_MUL", np.where(np.arange(12) == 11, np.uint64(1 << 36 | 1), substring_dedup._MUL))
+    rng = np.random.default_rng(3)
+    piece = rng.integers(97, 123, 400, dtype=np.uint8)
+
+    def anchors(before, after):
+        flat = np.concatenate([rng.integers(97, 123, before, dtype=np.uint8), piece, rng.integers(97, 123, after, dtype=np.uint8)])
+        r = substring_dedup.runs(flat, np.array([0, len(flat)]))
+        at = {int(s) + k: int(a) for s, e, a in zip(r["s"], r["e"], r["a"], strict=True) for k in range(int(e - s) + 1)}
+        return [at[before + k] - before for k in range(201)]
+
+    first = anchors(0, 0)
+    assert all(anchors(n, m) == first for n, m in [(0, 3000), (500, 70_000), (70_000, 9), (1_200_000, 1_200_000)])
+
+
+def test_digests_of_runs_cover_all_bytes():
+    rng = np.random.default_rng(4)
+    flat = rng.integers(97, 123, 1000, dtype=np.uint8)
+    r = substring_dedup.runs(flat, np.array([0, 1000]))
+    for k, (s, e) in enumerate(zip(r["s"].tolist(), r["e"].tolist(), strict=True)):
+        other = flat.copy()
+        other[(s + e + 200) // 2] ^= 1
+        r2 = substring_dedup.runs(other, np.array([0, 1000]))
+        assert (r["bh"][k], r["ch"][k]) not in set(zip(r2["bh"].tolist(), r2["ch"].tolist(), strict=True))
+
+
 def brute_repeats(rows, width=200):
     raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
