@@ -231,10 +231,12 @@ def classes(found: DataFrame) -> DataFrame:
 
     A host's average page has at most 1 / CLASS_SHARE times its tokens on that share of the pages, so a host's classes are bounded by its pages' size.
     """
-    share = F.col("pages") * 2 >= F.col("all")
-    all_pages = found.where("token = 0 and not is_text").select("host", F.col("pages").alias("all"))
-    seen = found.where("token <> 0").join(all_pages, "host")
-    texts = seen.where("is_text").groupBy("host").agg((F.sum(F.when(share & (F.col("pages") > 1), F.col("times")).otherwise(0)) * 2 > F.sum("times")).alias("copies"))
+    all_pages = staged(found.where("token = 0 and not is_text").select("host", F.col("pages").alias("all")), "pages-of-hosts")
+    # most text is on one page and needn't meet its host's row
+    seen = found.where("token <> 0 and pages > 1").join(all_pages, "host")
+    said = found.where("is_text").groupBy("host").agg(F.sum("times").alias("times"))
+    often = seen.where(F.col("is_text") & (F.col("pages") * 2 >= F.col("all"))).groupBy("host").agg(F.sum("times").alias("often"))
+    texts = said.join(often, "host").select("host", (F.col("often") * 2 > F.col("times")).alias("copies"))
     common = seen.where(F.col("pages") >= F.greatest(F.lit(CLASS_PAGES), F.col("all") * CLASS_SHARE))
     grouped = common.groupBy("host", "pages", "times", "vector").agg(
         F.sort_array(F.collect_set(F.when(~F.col("is_text"), F.col("token")))).alias("tags"), F.sort_array(F.collect_set(F.when(F.col("is_text"), F.col("token")))).alias("texts")

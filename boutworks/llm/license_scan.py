@@ -1,20 +1,28 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-All of it is DataFrame functions. Candidates are the lines of the whole text that
-carry a licence cue, the same lines joined, and, for licence files, the whole
-text. Their terms are exploded and counted, joined to the fixed template weights
-and summed per template; a candidate's best template at ``THRESHOLD`` or more is
-the file's own licence. A file without one takes that of the nearest ancestor
-directory that has a licence file: distinct directories are expanded to their
-ancestors and joined by path, so a directory with a third of all files is one row
-there.
-
-A licence file is one with a licence file's name, or one whose cue lines hold at
-least ``NOTICE_SHARE`` of its words.
+All of it is DataFrame functions. Candidates of a text with a licence cue, and of
+every licence file by name, are its lines with a cue, these lines joined, its
+blocks with a cue (lines between empty or comment-only ones, so that a notice may
+be wrapped anyhow), and the whole text. A candidate's terms are counted inside its
+row, joined to the fixed template weights, and summed for all templates at once:
+one scan, and one row per candidate is shuffled. A candidate's best template at
+``THRESHOLD`` or more is the file's own licence. A file without one takes that of
+the nearest ancestor directory that has a licence file: distinct directories are
+expanded to their ancestors and joined by path, so a directory with a third of all
+files is one row there.
+
+A licence file is one with a licence file's name, or one of which a candidate that
+reaches the threshold holds at least ``NOTICE_SHARE`` of the words.
+
+Templates are the usual notices, and the whole text of short licences. A long
+licence's file is known by the notice that its appendix gives; whole texts of more
+licences can be passed as ``templates``.
 
 Defined cases: null or empty text has no licence of its own; a null path is the
 root directory's unnamed file; equal scores go to the alphabetically first
-licence; repeated rows each get the same result; other columns are ignored.
+licence; repeated rows each get the same result; very long texts are compared
+whole; an empty table has an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,6 +41,8 @@ NOTICE_SHARE = 0.8
 CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribut|warrant|public domain|rights reserved|free software"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 TERM = "[a-z0-9]+"
+#: What separates blocks: lines that are empty or hold comment marks alone.
+GAP = r"\n[ \t\r#/*;!%-]*\n"
 
 # The usual notices of common licences, by SPDX identifier.
 TEMPLATES = [
@@ -63,23 +73,26 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software."),
 ]
 
+# The standard texts of short licences, put together from their usual paragraphs.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "MIT License. Copyright (c). Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_BSD = "Copyright (c). All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC = "ISC License. Copyright (c). Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_ZLIB = "Copyright (c). This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+TEMPLATES += [("MIT", _MIT + _AS_IS), ("BSD-2-Clause", _BSD + _BSD_AS_IS), ("BSD-3-Clause", _BSD + _BSD_NAME + _BSD_AS_IS), ("ISC", _ISC), ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE + _AS_IS)]
 
-def template_weights(templates: list[tuple[str, str]] | None = None) -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
-    """idf by term, idf of unknown terms, and (template, licence, term, unit-length weight) rows."""
+
+def template_weights(templates: list[tuple[str, str]] | None = None) -> tuple[dict[str, tuple[float, list[float]]], float]:
+    """By term its idf and its weight in each template, all templates of unit length; and the idf of unknown terms."""
     templates = TEMPLATES if templates is None else templates
     counts = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
     spread = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in sorted(spread.items())}
-    rows = []
-    for k, ((name, _), c) in enumerate(zip(templates, counts, strict=True)):
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
-        rows += [(k, name, t, n * idf[t] / norm) for t, n in sorted(c.items())]
-    return idf, math.log(1 + len(templates)) + 1, rows
-
-
-def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    said = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v) for v in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {said} AS t({names})")
+    norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for c in counts]
+    return {t: (v, [c[t] * v / norm if norm else 0.0 for c, norm in zip(counts, norms, strict=True)]) for t, v in idf.items()}, math.log(1 + len(templates)) + 1
 
 
 def _terms(text: Column) -> Column:
@@ -87,37 +100,40 @@ def _terms(text: Column) -> Column:
 
 
 def _candidates(files: DataFrame) -> DataFrame:
-    """(key, at, candidate, is_file): what is compared with the templates."""
-    found = files.where(F.col("text").rlike(CUE) | F.col("named")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)))
-    header = F.array_join("lines", " ")
-    share = F.size(_terms(header)) >= NOTICE_SHARE * F.size(_terms(F.col("text")))
-    listed = F.concat(F.col("lines"), F.when(F.size("lines") > 1, F.array(header)).otherwise(F.array()), F.when(F.col("named"), F.array("text")).otherwise(F.array()))
-    return found.select("key", F.posexplode(listed).alias("at", "candidate"), (F.col("named") | (share & (F.size("lines") > 0))).alias("is_file"))
-
-
-def own_licenses(files: DataFrame) -> DataFrame:
+    """(row, at, key, named, all_terms, term, count): the terms of what is compared with the templates."""
+    with_cue = lambda parts: F.filter(parts, lambda x: x.rlike(CUE))
+    found = files.where(F.col("text").rlike(CUE) | F.col("named")).withColumns({"lines": with_cue(F.split("text", "\n")), "blocks": with_cue(F.split("text", GAP))})
+    joined = F.when(F.size("lines") > 1, F.array(F.array_join("lines", " "))).otherwise(F.array())
+    listed = F.array_distinct(F.concat(F.col("lines"), joined, F.col("blocks"), F.array("text")))
+    # equal rows stay apart by their number
+    each = found.select(F.monotonically_increasing_id().alias("row"), "key", "named", F.size(_terms(F.col("text"))).alias("all_terms"), F.posexplode(listed).alias("at", "candidate"))
+    # exploded from an array of one, so that the terms are sorted once and not inside the function below
+    sorted_ = each.select("row", "at", "key", "named", "all_terms", F.explode(F.array(F.sort_array(_terms(F.col("candidate"))))).alias("terms"))
+    # where each term's run begins in the sorted terms
+    heads = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: (i == 1) | (F.get(F.col("terms"), i - 2) != F.get(F.col("terms"), i - 1)))
+    runs = sorted_.where(F.size("terms") > 0).withColumn("heads", heads)
+    counted = runs.select("row", "at", "key", "named", "all_terms", F.posexplode("heads").alias("k", "head"), "terms", "heads")
+    after = F.coalesce(F.get("heads", F.col("k") + 1), F.size("terms") + 1)
+    return counted.select("row", "at", "key", "named", "all_terms", F.get("terms", F.col("head") - 1).alias("term"), (after - F.col("head")).alias("count"))
+
+
+def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(key, license, score, is_file) of the files whose best candidate reaches the threshold."""
-    spark = files.sparkSession
-    idf, unknown, weights = template_weights()
-    # both tables are fixed and small: a few hundred rows
-    known = F.broadcast(_values(spark, list(idf.items()), "term, idf"))
-    postings = F.broadcast(_values(spark, weights, "template, license, term, weight"))
-    terms = _candidates(files).select("key", "at", "is_file", F.explode(_terms(F.col("candidate"))).alias("term")).groupBy("key", "at", "is_file", "term").count()
-    weighed = terms.join(known, "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(unknown)))
-    # the norm travels with a row of its own, template -1, so that one aggregation does both
-    parts = weighed.select("key", "at", "is_file", F.lit(-1).alias("template"), F.lit("").alias("license"), (F.col("w") * F.col("w")).alias("v")).unionByName(
-        weighed.join(postings, "term").select("key", "at", "is_file", "template", "license", (F.col("w") * F.col("weight")).alias("v"))
-    )
-    sums = parts.groupBy("key", "at", "is_file", "template", "license").agg(F.sum("v").alias("v"))
-    norms = F.sqrt(F.max(F.when(F.col("template") == -1, F.col("v"))))
-    dots = F.collect_list(F.when(F.col("template") >= 0, F.struct("v", "license")))  # one for each template at most
-    whole = sums.groupBy("key", "at", "is_file").agg(norms.alias("norm"), dots.alias("dots")).select("key", "is_file", "norm", F.explode("dots").alias("d"))
-    scored = whole.select("key", "is_file", F.round(F.col("d.v") / F.col("norm"), 6).alias("score"), F.col("d.license").alias("license"))
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max("is_file").alias("is_file"))
-    return best.where(-F.col("b.s") >= THRESHOLD).select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "is_file")
-
-
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+    names = [name for name, _ in (TEMPLATES if templates is None else templates)]
+    known, unknown = template_weights(templates)
+    # a fixed and small table: a row per term of the templates
+    table = files.sparkSession.createDataFrame([(t, v, w) for t, (v, w) in known.items()], "term string, idf double, weights array<double>")
+    weighed = _candidates(files).join(F.broadcast(table), "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(unknown)))
+    dots = [F.sum(F.col("w") * F.coalesce(F.get("weights", F.lit(i)), F.lit(0.0))).alias(f"d{i}") for i in range(len(names))]
+    # all terms of a candidate are in one task, so partial sums leave a row per candidate to shuffle
+    sums = weighed.groupBy("row", "at", "key", "named", "all_terms").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("count").alias("n"), *dots)
+    scores = F.array_min(F.array(*[F.struct((-F.round(F.col(f"d{i}") / F.col("norm"), 6)).alias("s"), F.lit(name).alias("license")) for i, name in enumerate(names)]))
+    scored = sums.select("key", scores.alias("b"), "named", (F.col("n") >= NOTICE_SHARE * F.col("all_terms")).alias("most")).where(F.col("b.s") <= -THRESHOLD)
+    best = scored.groupBy("key").agg(F.min("b").alias("b"), F.max(F.col("named") | F.col("most")).alias("is_file"))
+    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "is_file")
+
+
+def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """The id, path, license, score, origin (own, inherited or none) and from_dir of every file."""
     rows = files.select(F.col(id_col).alias("file_id"), F.coalesce(path_col, F.lit("")).alias("path"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.select(
@@ -127,7 +143,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
         F.struct("file_id", "path", F.xxhash64("text").alias("h")).alias("key"),
     )
     # texts stay behind; from here on rows are narrow
-    own = own_licenses(rows.select("key", "text", "named"))
+    own = staged(own_licenses(rows.select("key", "text", "named"), templates), "own-licences")
     holders = own.where("is_file").select(F.regexp_replace("key.path", "/?[^/]*$", "").alias("holder"), "license", "score")
     of_dir = holders.groupBy("holder").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("holder", F.col("b.license").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
     parts = F.split("dir", "/")
@@ -166,30 +182,32 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    idf, unknown, weights = template_weights()
-    value = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)
-    listed = lambda rows: ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows)
+    known, unknown = template_weights()
+    double = lambda v: f"CAST({v!r} AS DOUBLE)"
+    idf = ", ".join(f"('{t}', {double(v)})" for t, (v, _) in known.items())
+    weights = ", ".join(f"({k}, '{name}', '{t}', {double(w[k])})" for t, (_, w) in known.items() for k, (name, _) in enumerate(TEMPLATES) if w[k])
     return f"""
-WITH idf(term, idf) AS (VALUES {listed(idf.items())}),
-postings(template, license, term, weight) AS (VALUES {listed(weights)}),
+WITH idf(term, idf) AS (VALUES {idf}),
+postings(template, license, term, weight) AS (VALUES {weights}),
 files AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
          coalesce(replace(source, '/', '_'), 'unknown') || '/' || coalesce(replace(lang, '/', '_'), 'unknown') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'unknown') AS path
   FROM documents
 ), dirs AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
-cues AS (SELECT r, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')) AS lines FROM files WHERE regexp_matches(text, '{CUE}')),
+cues AS (SELECT r, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')) AS lines,
+                list_filter(regexp_split_to_array(text, '{GAP}'), lambda x: regexp_matches(x, '{CUE}')) AS blocks FROM files WHERE regexp_matches(text, '{CUE}')),
 cand AS (
-  SELECT r, unnest(range(1, len(c) + 1)) AS pos, unnest(c) AS candidate, is_file
-  FROM (SELECT r, CASE WHEN len(lines) > 1 THEN list_append(lines, array_to_string(lines, ' ')) ELSE lines END AS c,
-               len(regexp_extract_all(lower(array_to_string(lines, ' ')), '{TERM}')) >= {NOTICE_SHARE} * len(regexp_extract_all(lower(text), '{TERM}')) AND len(lines) > 0 AS is_file
+  SELECT r, unnest(range(1, len(c) + 1)) AS pos, unnest(c) AS candidate, all_terms
+  FROM (SELECT r, list_distinct(list_concat(CASE WHEN len(lines) > 1 THEN list_append(lines, array_to_string(lines, ' ')) ELSE lines END, blocks, [text])) AS c,
+               len(regexp_extract_all(lower(text), '{TERM}')) AS all_terms
         FROM cues)
 ), terms AS (
-  SELECT r, pos, is_file, term, count(*) AS n FROM (SELECT r, pos, is_file, unnest(regexp_extract_all(lower(candidate), '{TERM}')) AS term FROM cand) GROUP BY ALL
-), weighed AS (SELECT terms.*, n * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS w FROM terms LEFT JOIN idf USING (term)),
-norms AS (SELECT r, pos, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY r, pos),
-dots AS (SELECT r, pos, is_file, template, license, sum(w * weight) AS v FROM weighed JOIN postings USING (term) GROUP BY ALL),
-scored AS (SELECT r, is_file, license, round(v / norm, 6) AS score FROM dots JOIN norms USING (r, pos)),
-best AS (SELECT r, bool_or(is_file) AS is_file, first(license ORDER BY score DESC, license) AS license, max(score) AS score FROM scored GROUP BY r HAVING max(score) >= {THRESHOLD}),
+  SELECT r, pos, all_terms, term, count(*) AS n FROM (SELECT r, pos, all_terms, unnest(regexp_extract_all(lower(candidate), '{TERM}')) AS term FROM cand) GROUP BY ALL
+), weighed AS (SELECT terms.*, terms.n * coalesce(idf, {double(unknown)}) AS w FROM terms LEFT JOIN idf USING (term)),
+norms AS (SELECT r, pos, sqrt(sum(w * w)) AS norm, sum(n) >= {NOTICE_SHARE} * any_value(all_terms) AS most FROM weighed GROUP BY r, pos),
+dots AS (SELECT r, pos, template, license, sum(w * weight) AS v FROM weighed JOIN postings USING (term) GROUP BY ALL),
+scored AS (SELECT r, most, license, round(v / norm, 6) AS score FROM dots JOIN norms USING (r, pos) WHERE round(v / norm, 6) >= {THRESHOLD}),
+best AS (SELECT r, bool_or(most) AS is_file, first(license ORDER BY score DESC, license) AS license, max(score) AS score FROM scored GROUP BY r),
 holders AS (SELECT dir AS holder, first(license ORDER BY score DESC, license) AS dir_license, max(score) AS dir_score FROM best JOIN dirs USING (r) WHERE is_file GROUP BY dir),
 up AS (SELECT dir, string_split(dir, '/') AS p, unnest(range(0, len(string_split(dir, '/')) + 1)) AS n FROM (SELECT DISTINCT dir FROM dirs)),
 near AS (SELECT dir, holder, dir_license, dir_score FROM (

@@ -5,6 +5,7 @@ import html
 import json
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -30,22 +31,32 @@ FILES = [
 ]
 
 
+def wrapped(text, mark, width=72):
+    return "\n".join(f"{mark} {line}".rstrip() for line in textwrap.wrap(text, width))
+
+
 def brute_licenses(files):
-    idf, unknown, _ = license_scan.template_weights()
+    known, unknown = license_scan.template_weights()
     count = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
-    weigh = lambda c: {t: n * idf.get(t, unknown) for t, n in c.items()}
+    weigh = lambda c: {t: n * known[t][0] if t in known else n * unknown for t, n in c.items()}
     norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
     templates = [(name, weigh(count(t))) for name, t in license_scan.TEMPLATES]
     own, holders = {}, defaultdict(list)
     for k, (_, path, text) in enumerate(files):
         path, text = path or "", text or ""
-        lines = [x for x in text.split("\n") if re.search(license_scan.CUE, x)]
+        cue = lambda parts: [x for x in parts if re.search(license_scan.CUE, x)]
+        lines, blocks = cue(text.split("\n")), cue(re.split(license_scan.GAP, text))
         named = bool(re.search(license_scan.FILE_NAME, path.split("/")[-1]))
-        tries = lines + ([" ".join(lines)] if len(lines) > 1 else []) + ([text] if named else [])
-        scored = [(-round(sum(x * t.get(w, 0) for w, x in d.items()) / norm(d) / norm(t), 6), name) for d in map(weigh, map(count, tries)) if d for name, t in templates]
-        if scored and -min(scored)[0] >= license_scan.THRESHOLD:
+        tries = lines + ([" ".join(lines)] if len(lines) > 1 else []) + blocks + [text] if lines or named else []
+        scored = []
+        for t in tries:
+            d = weigh(count(t))
+            most = sum(count(t).values()) >= license_scan.NOTICE_SHARE * sum(count(text).values())
+            scored += [(-round(sum(x * w.get(v, 0) for v, x in d.items()) / norm(d) / norm(w), 6), name, most) for name, w in templates if d]
+        scored = [x for x in scored if -x[0] >= license_scan.THRESHOLD]
+        if scored:
             own[k] = (min(scored)[1], -min(scored)[0])
-            if named or (lines and sum(count(" ".join(lines)).values()) >= license_scan.NOTICE_SHARE * sum(count(text).values())):
+            if named or any(m for *_, m in scored):
                 holders["/".join(path.split("/")[:-1])].append(min(scored))
     out = []
     for k, (i, path, _) in enumerate(files):
@@ -71,6 +82,25 @@ def test_licenses(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def test_wrapped_notices_and_whole_licences(spark):
+    """Notices wrapped in comments before code, and whole licence files of any name and width."""
+    code = "\n\nint main() { return 0; }\n" + "x = x + 1;\n" * 400
+    long = {"MIT": 25, "BSD-2-Clause": 26, "BSD-3-Clause": 27, "ISC": 28, "Zlib": 29, "Unlicense": 30}
+    files = [(k, f"{name}/text", wrapped(license_scan.TEMPLATES[k][1], "", 60).replace(". ", ".\n\n")) for name, k in long.items()]
+    files += [(100 + k, f"{name}/deep/below.c", code) for name, k in long.items()]
+    files += [(200 + k, f"head{k}/a.c", f"{mark} Copyright 2020 Someone\n{mark}\n{wrapped(t, mark, 50)}{code}") for mark in ("#", " *") for k, (_, t) in enumerate(license_scan.TEMPLATES) if len(t) > 150 and k < 25]
+    files += [(300, "gpl/any", "Preamble\n\n" + "long words of a licence text\n" * 900 + "\n" + wrapped(license_scan.TEMPLATES[17][1], "", 70) + "\n\nmore of it")]
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    for name in long:
+        assert (got[f"{name}/text"].license, got[f"{name}/text"].origin) == (name, "own")
+        assert (got[f"{name}/deep/below.c"].license, got[f"{name}/deep/below.c"].origin) == (name, "inherited")
+    for k, (name, t) in enumerate(license_scan.TEMPLATES[:25]):
+        if len(t) > 150:
+            assert got[f"head{k}/a.c"].license == name, (k, name)
+    assert got["gpl/any"].license == "GPL-3.0"
+    assert bag((*r[:3], round(r[3], 5), *r[4:]) for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()) == bag((*r[:3], round(r[3], 5), *r[4:]) for r in brute_licenses(files))
+
+
 def test_licenses_run_without_python(spark):
     plan = queries.op1_license_scan(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[1])
