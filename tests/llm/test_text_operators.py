@@ -147,51 +147,51 @@ def test_without_labels_nothing_but_the_base_rejects(spark, small):
 # ---- 7
 
 
-def brute_kneser_ney(rows):
+def brute_kneser_ney(rows, order=kneser_ney.ORDER):
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
     tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t in rows]
-    pairs, single = Counter(), Counter()
-    for h, t in zip(held, tokens, strict=True):
-        if not h:
-            single.update(t)
-            pairs.update(zip([0, *t[:-1]], t, strict=True))
-    n, v = sum(single.values()), len(single)
-    before, total, starts = Counter(w for _, w in pairs), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in pairs.items():
-        total[a] += c
-        starts[a][min(c, 3) - 1] += 1
-
-    def discount(counts):
+    grams = lambda t: [tuple([0] * (order - 1) + t)[k : k + order] for k in range(len(t))]
+    single = Counter(w for h, t in zip(held, tokens, strict=True) if not h for w in t)
+    count = {order: Counter(g for h, t in zip(held, tokens, strict=True) if not h for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+    n, v, bigrams = sum(single.values()), len(single), len(count[2])
+
+    def discounts(counts):
         m = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
         if not all(m):
             return [0, 0.5, 1.0, 1.5]
         y = m[0] / (m[0] + 2 * m[1])
         return [0, *(min(max(x, 0), k) for k, x in enumerate((1 - 2 * y * m[1] / m[0], 2 - 3 * y * m[2] / m[1], 3 - 4 * y * m[3] / m[2]), 1))]
 
-    d, d1 = discount(pairs), discount(before)
-    free = sum(d1[min(c, 3)] for c in before.values()) / len(pairs) if pairs else 1.0
-
-    def p(a, w):
-        c = before.get(w, 0)
-        low = (max(c - d1[min(c, 3)], 0) / len(pairs) if pairs else 0) + free / (v + 1)
-        if not total.get(a):
-            return low
-        c = pairs.get((a, w), 0)
-        return (max(c - d[min(c, 3)], 0) + sum(d[k + 1] * starts[a][k] for k in range(3)) * low) / total[a]
+    d = {k: discounts(c) for k, c in count.items()}
+    total, free = Counter(), Counter()
+    for k in range(2, order + 1):
+        for g, c in count[k].items():
+            total[g[:-1]] += c
+            free[g[:-1]] += d[k][min(c, 3)]
+    rest = sum(d[1][min(c, 3)] for c in count[1].values()) / bigrams if bigrams else 1.0
+
+    def p(g):
+        c = count[len(g)].get(g, 0)
+        if len(g) == 1:
+            return (max(c - d[1][min(c, 3)], 0) / bigrams if bigrams else 0) + rest / (v + 1)
+        low = p(g[1:])
+        return (max(c - d[len(g)][min(c, 3)], 0) + free[g[:-1]] * low) / total[g[:-1]] if total[g[:-1]] else low
 
     out = []
     for (doc, _), h, t in zip(rows, held, tokens, strict=True):
         base = sum(math.log10((single.get(w, 0) + 1) / (n + v + 1)) for w in t)
-        out.append((doc, h, len(t), sum(w in single for w in t), n, base, sum(math.log10(p(a, w)) for a, w in zip([0, *t[:-1]], t, strict=True))))
+        out.append((doc, h, len(t), sum(w in single for w in t), n, base, sum(math.log10(p(g)) for g in grams(t))))
     return out
 
 
-@pytest.mark.parametrize("source", ["odd", "table", "one", "none"])
-def test_language_model(spark, small, source):
+@pytest.mark.parametrize(("source", "order"), [("odd", 3), ("table", 3), ("table", 2), ("odd", 4), ("one", 3), ("none", 3)])
+def test_language_model(spark, small, source, order):
     rows = {"odd": ODD, "table": rows_of(small), "one": [(3, "A b a b")], "none": []}[source]
     docs = documents(spark, rows) if rows else documents(spark).limit(0)
-    got = kneser_ney.report(docs).collect()
-    want = brute_kneser_ney(rows)
+    got = kneser_ney.report(docs, order).collect()
+    want = brute_kneser_ney(rows, order)
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
     got, want = sorted(([*r][:7] for r in got), key=key), sorted(map(list, want), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
@@ -208,6 +208,32 @@ def test_large_counts_are_exact(spark):
     assert got == pytest.approx({r[0]: r[6] for r in brute_kneser_ney(rows)}, rel=1e-9)
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    """Counts of a range that add up to more than 2 ** 32 reach the words unchanged."""
+    words = [np.array([5, 6, 6], np.uint64), np.array([7, 7, 9], np.uint64)]
+    block = kneser_ney._pack(words, [np.array([3_000_000_000, 5_000_000_000, 1], np.int64)])
+    rows = lambda blocks: [kneser_ney._block_batch([(0, b) for b in blocks])]
+    merged = [r for b in kneser_ney._merge(str(tmp_path), 2, True, 1)(rows([block, block])) for r in b.to_pylist()]
+    assert merged[0]["total"] == 16_000_000_002
+    passed = [r["block"] for r in merged[1:]]
+    last = [r for b in kneser_ney._merge(str(tmp_path), 1, False, 1)(rows(passed)) for r in b.to_pylist()]
+    assert last[0]["total"] == 16_000_000_002
+    key, stats = kneser_ney._load(f"{tmp_path}/1-0.key.npy"), kneser_ney._load(f"{tmp_path}/1-0.n.npy").reshape(-1, 6)
+    assert dict(zip(key.tolist(), stats[:, 5].tolist(), strict=True)) == {5: 0, 6: 0, 7: 16_000_000_000, 9: 2}
+
+
+def test_ranges_that_can_t_be_mapped_are_bounded(monkeypatch, tmp_path):
+    for k in range(9):
+        kneser_ney._save(f"{tmp_path}/{k}.key.npy", np.arange(1000, dtype=np.uint64))
+        kneser_ney._save(f"{tmp_path}/{k}.n.npy", np.arange(1000, dtype=np.uint8))
+    load = kneser_ney._load
+    monkeypatch.setattr(kneser_ney, "_load", lambda path: np.array(load(path)))
+    monkeypatch.setattr(kneser_ney, "HELD_BYTES", 30_000)
+    ranges = kneser_ney._Ranges()
+    for k in (0, 1, 2, 3, 4, 0, 5, 6, 7, 8):
+        assert len(ranges.get(f"{tmp_path}/{k}")[0]) == 1000 and ranges.held <= 30_000
+
+
 # ---- 8
 
 
