@@ -48,3 +48,36 @@ def scores_agree(a: Column, b: Column, outcome: Column) -> Column:
 def unit_score(score: Column, other: Column, outcome: Column) -> Column:
     """The score, or 1-0, 0.5-0.5, 0-1 where there is none."""
     return F.when(score.isNotNull() & other.isNotNull(), score).otherwise(outcome)
+
+
+def outcome_of(won: Column) -> Column:
+    """The outcome of a user's comparison: true is a win of a, false of b, null a draw."""
+    return F.when(won, 1.0).when(~won, 0.0).otherwise(0.5)
+
+
+def is_outcome(outcome: Column) -> Column:
+    """Whether it is a win, a loss, a draw, or not known."""
+    return outcome.isNull() | outcome.isin(1.0, 0.5, 0.0)
+
+
+def strict_outcome(outcome: Column) -> Column:
+    """The outcome; anything but 1, 0.5, 0 or null ends the query with an error."""
+    said = F.concat(F.lit("an outcome must be 1, 0.5 or 0, not "), outcome.cast("string"))
+    return F.when(is_outcome(outcome), outcome).otherwise(F.raise_error(said).cast("double"))
+
+
+def scores_of(attributes: Column, key_a: str, key_b: str) -> tuple[Column, Column]:
+    """The scores that a map or struct of numbers holds under two keys: both, or none where one is missing or not finite.
+
+    Values that aren't numbers, as text and booleans, count as missing.
+    """
+
+    def number(key: str) -> Column:
+        x = attributes.getItem(key)
+        number_type = F.typeof(x).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+        v = F.when(number_type, x.try_cast("double"))
+        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+    a, b = number(key_a), number(key_b)
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, a), F.when(both, b)

@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two shuffles over the edge table and is written to the shared
+First every partition reduces its edges to stars, so that a dense graph has at most
+a node's number of edges in each partition before anything is shuffled. Each round is two shuffles over the edge table and is written to the shared
 folder, so a lost executor costs one round. A hub is never collected: minima are
 pre-aggregated per partition and the join back is one row per node on one side,
 which adaptive execution splits where a node is hot.
@@ -8,11 +9,54 @@ which adaptive execution splits where a node is hot.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutworks.runtime import staged
 
+#: Edges that a partition gathers before it reduces them.
+_HELD = 1 << 20
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) pairs that connect what the links connect; the root is the smallest node."""
+    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = back[: len(u)], back[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars, for nodes of any type."""
+    held: list[pa.RecordBatch] = []
+
+    def reduced() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).drop_null()
+        u, v = (table.column(c).combine_chunks() for c in ("u", "v"))
+        coded = pa.concat_arrays([u, v]).dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        node, root = spanning_forest(codes[: len(u)], codes[len(u) :])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(node)), names.take(pa.array(root))], schema=held[0].schema)
+
+    for batch in batches:
+        held.append(batch)
+        if len(held) > 1 and sum(b.num_rows for b in held) > max(_HELD, 2 * held[0].num_rows):
+            held = [reduced()]
+    if held:
+        yield reduced()
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +84,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Loops, repeated and null edges are ignored. Nodes without an edge to another
     node aren't listed.
     """
-    now = staged(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    given = edges.select("u", "v").where("u <> v")
+    now = staged(given.mapInArrow(_local_stars, given.schema), "edges")
+    # the stars of one partition point to their smallest code, not to their smallest node: one round at least
     for _ in range(max_rounds):
         now = staged(_small_star(_large_star(now)), "stars")
         if _settled(now):

@@ -180,18 +180,52 @@ def optimize_thresholds(history: DataFrame, initial: tuple[float, float] = (0.5,
 
 
 def random_search(history: DataFrame, trials: int = 1000, seed: int = 0) -> DataFrame:
-    """The best of random threshold pairs between the smallest and largest prediction.
+    """The best of random threshold pairs between the smallest and largest prediction, drawn by a hash of trial and seed.
 
-    Predictions are grouped first, so each trial meets distinct predictions only.
+    The cuts are sorted among the distinct predictions, and prefix sums give what each has below it, so a trial costs two rows.
     """
-    import numpy as np
-
     pairs = judged(history)
-    ends = pairs.agg(F.min("predicted"), F.max("predicted")).first()
-    drawn = np.sort(np.random.default_rng(seed).uniform(ends[0] or 0.0, ends[1] or 0.0, (trials, 2)), axis=1)
-    cuts = pairs.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(drawn)], "trial int, lower double, upper double")
-    groups = pairs.groupBy("predicted", "label").count()
-    p, y = F.col("predicted"), F.col("label")
-    guess = F.when(p > F.col("upper"), "a").when(p < F.col("lower"), "b").otherwise("draw")
-    scored = groups.crossJoin(F.broadcast(cuts)).groupBy("trial", "lower", "upper").agg(F.sum(F.when(guess == y, F.col("count")).otherwise(0)).alias("correct"))
+    y = F.col("label")
+    groups = pairs.groupBy("predicted").agg(_count(y == "a").alias("a"), _count(y == "b").alias("b"), _count(y == "draw").alias("d"))
+    ends = pairs.agg(F.min("predicted").alias("low"), F.max("predicted").alias("high"), _count(y == "a").alias("all_a"))
+    share = lambda side: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("trial").cast("string"), F.lit(side), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    value = lambda side: F.col("low") + (F.col("high") - F.col("low")) * share(side)
+    # one row of bounds beside the trials
+    drawn = pairs.sparkSession.range(trials).select(F.col("id").alias("trial")).crossJoin(F.broadcast(ends)).select("trial", "all_a", value("x").alias("x"), value("y").alias("y"))
+    cuts = staged(drawn.select("trial", "all_a", F.least("x", "y").alias("lower"), F.greatest("x", "y").alias("upper")), "drawn-cuts")
+    none = [F.lit(0).cast("long").alias(c) for c in "abd"]
+    # a lower cut comes before an equal prediction, an upper one after it
+    mixed = groups.select("predicted", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("trial"), *"abd")
+    for kind, c in ((0, "lower"), (2, "upper")):
+        mixed = mixed.unionByName(cuts.select(F.col(c).alias("predicted"), F.lit(kind).alias("kind"), "trial", *none))
+    below = running_sums(mixed, ["predicted", "kind", "trial"], ["a", "b", "d"]).where("trial is not null")
+    at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    sums = below.groupBy("trial").agg(at(0, "b").alias("b_low"), at(0, "d").alias("d_low"), at(2, "a").alias("a_up"), at(2, "d").alias("d_up"))
+    scored = cuts.join(sums, "trial").select("trial", "lower", "upper", (F.col("b_low") + F.col("all_a") - F.col("a_up") + F.col("d_up") - F.col("d_low")).alias("correct"))
     return scored.orderBy(F.desc("correct"), "trial").limit(1)
+
+
+def evaluate(bouts: DataFrame, system, ratio: float = 0.3, timed: bool = True, top: int = 5, bin_size: int = 5) -> DataFrame:
+    """One row: the system trained on the earlier bouts and judged on the later ones whose competitors it knows.
+
+    The columns of ``metrics``, ``n`` judged bouts, ``accuracy_opt`` (also as ``optimized_accuracy``) at the best
+    thresholds, these ``lower`` and ``upper``, the ``top`` competitors, and the ``cohorts`` by earlier bouts.
+    """
+    from boutworks.functions.outcomes import label_of_number
+    from boutworks.operators.fold import known_fixtures, leaderboard, predict_states, ratings_of, replay
+    from boutworks.operators.splits import time_split
+
+    split = staged(time_split(bouts, ratio), "split")
+    train = split.where("split = 'train'")
+    rated = staged(ratings_of(replay(train, system, timed)), "ratings")
+    fixtures = known_fixtures(split.where("split = 'test'"), rated)
+    history = staged(predict_states(fixtures, rated, system).withColumn("label", label_of_number(F.col("outcome"))), "history")
+    best, (lower, upper) = optimize_thresholds(history)
+    names = leaderboard(rated.select("competitor", F.round("rating", 6).alias("rating")), top).agg(F.sort_array(F.collect_list(F.struct((-F.col("rating")).alias("r"), "competitor"))).alias("t"))
+    bins = cohorts(history, train, bin_size).agg(F.sort_array(F.collect_list(F.struct("bin", "correct", "total"))).alias("cohorts"))
+    one = metrics(history).crossJoin(judged(history).agg(F.count("*").alias("n"))).crossJoin(names).crossJoin(bins)  # one row each
+    return one.select(
+        F.lit(system.name).alias("system"), "n", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1",
+        F.lit(float(best)).alias("accuracy_opt"), F.lit(float(best)).alias("optimized_accuracy"), F.lit(float(lower)).alias("lower"), F.lit(float(upper)).alias("upper"),
+        F.col("t.competitor").alias("top"), "cohorts",
+    )

@@ -1,8 +1,10 @@
 """Global fits per connected group: Colley, Massey, Keener, Bradley-Terry and whole history.
 
-Bouts are reduced to pairs first. Groups of up to ``DENSE`` competitors are
-solved in one task each, from at most DENSE squared pairs; larger groups run the
-same fit as iterations of joins and sums over the pair table (``spread_fit``).
+Bouts are reduced to pairs first; the pair table is a durable state that later
+bouts are added to (``add_pairs``) and any fit starts from (``fit_pairs``). Groups
+of up to ``DENSE`` competitors are solved in one task each, from at most DENSE
+squared pairs; larger groups run the same fit as iterations of joins and sums over
+the pair table (``spread_fit``). Both ways go on until the fit has settled.
 """
 
 from __future__ import annotations
@@ -28,11 +30,21 @@ WHR_W2, WHR_INITIAL, WHR_STEPS, WHR_PRECISION = 300.0, 1500.0, 20, 0.1
 FITTED = "league string, component string, competitor string, rating double, scale double"
 
 
-def grouped_pairs(bouts: DataFrame) -> DataFrame:
+PAIR_SUMS = ["games", "wins", "margin", "points"]
+
+
+def add_pairs(table: DataFrame, bouts: DataFrame) -> DataFrame:
+    """A stored pair table (``records.pairs``) with more bouts added."""
+    keys = ["league", "u", "v"]
+    both = table.select(*keys, *PAIR_SUMS).unionByName(pairs(bouts).select(*keys, *PAIR_SUMS))
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+
+
+def grouped_pairs(table: DataFrame) -> DataFrame:
     """The pair table with each pair's connected group and the group's size."""
-    table = staged(pairs(bouts), "pairs")
+    table = staged(table, "pairs")
     name = lambda c: F.concat_ws("\u0001", "league", c)
-    parts = connected_components(table.select(name("u").alias("u"), name("v").alias("v")))
+    parts = connected_components(table.where("u < v").select(name("u").alias("u"), name("v").alias("v")))
     sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
     return staged(table.withColumn("node", name("u")).join(parts, "node").join(sizes, "component").drop("node"), "grouped-pairs")
 
@@ -70,14 +82,24 @@ def keener_matrix(points: np.ndarray, games: np.ndarray) -> np.ndarray:
 
 
 def _keener(points: np.ndarray, w: np.ndarray, games: np.ndarray) -> tuple[np.ndarray, float]:
-    values, vectors = np.linalg.eig(keener_matrix(points, games))
-    x = np.real(vectors[:, int(np.argmax(values.real))])
-    x = np.maximum(x if x.sum() >= 0 else -x, KEENER_FLOOR)
+    # the matrix is positive: powers of it lead to its first vector; half steps settle alternating sides too
+    matrix, x = keener_matrix(points, games), np.ones(len(games))
+    for _ in range(SPREAD_STEPS):
+        once = matrix @ x
+        once /= once.mean()
+        twice = matrix @ once
+        twice /= twice.mean()
+        moved, x = np.max(np.abs(twice - once)), (once + twice) / 2
+        if moved < 1e-14 * len(x):
+            break
+    x = np.maximum(x, KEENER_FLOOR)
     return np.round(x * (len(x) / x.sum()), KEENER_DIGITS), 1.0
 
 
 def bradley_terry_fit(w: np.ndarray, games: np.ndarray, reg: float = BT_REG, steps: int = BT_STEPS, tol: float = BT_TOL) -> np.ndarray:
     """Log-strengths with mean zero."""
+    if reg <= 0 or tol <= 0:
+        raise ValueError("reg and tol must be positive")
     wins, p = w.sum(axis=1), np.ones(len(w))
     for _ in range(steps):
         new = (wins + reg) / ((games / (p[:, None] + p[None, :])).sum(axis=1) + 2 * reg / (p + 1))
@@ -100,7 +122,16 @@ _DENSE_FITS = {
 
 def fit(bouts: DataFrame, system: str, dense: int = DENSE, steps: int = SPREAD_STEPS) -> DataFrame:
     """(league, component, competitor, rating, scale) of every competitor that played."""
-    table = grouped_pairs(bouts)
+    return fit_pairs(pairs(bouts), system, dense, steps)
+
+
+def fit_pairs(table: DataFrame, system: str, dense: int = DENSE, steps: int = SPREAD_STEPS) -> DataFrame:
+    """The fit of a pair table."""
+    if system not in _DENSE_FITS:
+        raise ValueError(f"unknown fit {system}; there are {', '.join(sorted(_DENSE_FITS))}")
+    if dense < 1 or steps < 1:
+        raise ValueError("dense and steps must be positive")
+    table = grouped_pairs(table)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(group["u"]))
@@ -262,38 +293,48 @@ def _tridiagonal(diag: np.ndarray, off: np.ndarray, right: np.ndarray) -> np.nda
     return y
 
 
-def whole_history_fit(games: list[tuple[str, str, date, float]], w2: float = WHR_W2, initial: float = WHR_INITIAL, steps: int = WHR_STEPS, precision: float = WHR_PRECISION) -> dict[str, tuple[list[date], np.ndarray]]:
-    """Rating per competitor and day: Newton sweeps over the competitors in name order."""
-    scale = 400 / math.log(10)
+WHR_SCALE = 400 / math.log(10)
+#: Step of all competitors at once: less than a whole one, so that two who chase each other settle.
+WHR_DAMP, WHR_ROUNDS = 0.7, 500
+
+
+def _curve_step(own: list[date], r: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, w2: float, initial: float) -> np.ndarray:
+    """Newton's step of one competitor's curve, from what the games give."""
+    gradient, diagonal = gradient.copy(), curvature + 1e-12
+    gradient[0] += (initial - r[0]) / w2
+    diagonal[0] += 1 / w2
+    weight = np.array([1 / (w2 * (y - x).days) for x, y in zip(own, own[1:], strict=False)])
+    pull = np.diff(r) * weight
+    gradient[:-1] += pull
+    gradient[1:] -= pull
+    diagonal[:-1] += weight
+    diagonal[1:] += weight
+    return np.clip(_tridiagonal(diagonal, -weight, gradient), -200, 200)
+
+
+def whole_history_fit(games: list[tuple[str, str, date, float, int]], w2: float = WHR_W2, initial: float = WHR_INITIAL, steps: int = WHR_STEPS, precision: float = WHR_PRECISION) -> dict[str, tuple[list[date], np.ndarray]]:
+    """Rating per competitor and day: Newton sweeps over the competitors in name order. The last number is how often a result occurred."""
     days: dict[str, list[date]] = {}
-    for a, b, day, _ in games:
+    for a, b, day, _, _ in games:
         for who in (a, b):
             days.setdefault(who, []).append(day)
     days = {who: sorted(set(d)) for who, d in sorted(days.items())}
     at = {who: {d: i for i, d in enumerate(own)} for who, own in days.items()}
     rating = {who: np.full(len(own), initial) for who, own in days.items()}
-    played: dict[str, list[tuple[int, str, int, float]]] = {who: [] for who in days}
-    for a, b, day, score in games:
-        played[a].append((at[a][day], b, at[b][day], score))
-        played[b].append((at[b][day], a, at[a][day], 1 - score))
+    played: dict[str, list[tuple[int, str, int, float, int]]] = {who: [] for who in days}
+    for a, b, day, score, n in games:
+        played[a].append((at[a][day], b, at[b][day], score, n))
+        played[b].append((at[b][day], a, at[a][day], 1 - score, n))
     for _ in range(steps):
         largest = 0.0
         for who, own in days.items():
             r = rating[who]
-            gradient, diagonal = np.zeros(len(r)), np.full(len(r), 1e-12)
-            gradient[0] += (initial - r[0]) / w2
-            diagonal[0] += 1 / w2
-            for i, other, j, score in played[who]:
-                p = 1 / (1 + math.exp(-max(-700.0, min(700.0, (r[i] - rating[other][j]) / scale))))
-                gradient[i] += (score - p) / scale
-                diagonal[i] += p * (1 - p) / scale**2
-            weight = np.array([1 / (w2 * (y - x).days) for x, y in zip(own, own[1:], strict=False)])
-            pull = np.diff(r) * weight
-            gradient[:-1] += pull
-            gradient[1:] -= pull
-            diagonal[:-1] += weight
-            diagonal[1:] += weight
-            step = np.clip(_tridiagonal(diagonal, -weight, gradient), -200, 200)
+            gradient, curvature = np.zeros(len(r)), np.zeros(len(r))
+            for i, other, j, score, n in played[who]:
+                p = 1 / (1 + math.exp(-max(-700.0, min(700.0, (r[i] - rating[other][j]) / WHR_SCALE))))
+                gradient[i] += n * (score - p) / WHR_SCALE
+                curvature[i] += n * p * (1 - p) / WHR_SCALE**2
+            step = _curve_step(own, r, gradient, curvature, w2, initial)
             rating[who] = r + step
             largest = max(largest, float(np.max(np.abs(step))))
         if largest < precision:
@@ -301,24 +342,59 @@ def whole_history_fit(games: list[tuple[str, str, date, float]], w2: float = WHR
     return {who: (own, rating[who]) for who, own in days.items()}
 
 
-def whole_history(bouts: DataFrame, steps: int = WHR_STEPS, precision: float = WHR_PRECISION, dense: int = DENSE) -> DataFrame:
-    """(league, competitor, day, rating) curves. A connected group of more than ``dense`` competitors is refused."""
+def whole_history(bouts: DataFrame, steps: int = WHR_STEPS, precision: float = WHR_PRECISION, dense: int = DENSE, rounds: int = WHR_ROUNDS, w2: float = WHR_W2, initial: float = WHR_INITIAL) -> DataFrame:
+    """(league, competitor, day, rating) curves.
+
+    A connected group of up to ``dense`` competitors is fitted by Newton sweeps in one task, from one row per pair, day
+    and result. A larger one by rounds over all competitors (``spread_history``), until no rating moves by
+    ``precision``; it raises when ``rounds`` don't suffice.
+    """
+    if w2 <= 0 or precision <= 0 or steps < 1:
+        raise ValueError("w2 and precision must be positive, and a step is needed")
     name = lambda c: F.concat_ws("\u0001", "league", c)
     rows = bouts.where("a <> b and outcome is not null and ts is not null")
-    parts = connected_components(rows.select(name("a").alias("u"), name("b").alias("v")))
-    if not parts.groupBy("component").count().where(F.col("count") > dense).isEmpty():
-        raise ValueError(f"whole-history ratings are fitted in groups of at most {dense} competitors")
-    # one row per pair, day and result keeps a group's size independent of how often the same result repeats
-    tagged = rows.withColumn("node", name("a")).join(parts, "node")
-    small = tagged.select("component", "league", "seq", "a", "b", F.to_date("ts").alias("day"), "outcome")
+    turned = F.col("a") > F.col("b")
+    sides = [F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turned, 1 - F.col("outcome")).otherwise(F.col("outcome")).alias("outcome")]
+    games = rows.select("league", F.to_date("ts").alias("day"), *sides).groupBy("league", "a", "b", "day", "outcome").agg(F.count("*").alias("n"))
+    games = staged(games, "games")
+    parts = connected_components(games.select(name("a").alias("u"), name("b").alias("v")))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
+    tagged = staged(games.withColumn("node", name("a")).join(parts, "node").join(sizes, "component").drop("node"), "grouped-games")
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        fitted = whole_history_fit(list(zip(group["a"], group["b"], group["day"], group["outcome"], strict=True)), steps=steps, precision=precision)
+        group = group.sort_values(["day", "a", "b", "outcome"])
+        fitted = whole_history_fit(list(zip(group["a"], group["b"], group["day"], group["outcome"], group["n"], strict=True)), w2, initial, steps, precision)
         rows_ = [(group["league"].iloc[0], who, day, float(r)) for who, (own, ratings) in fitted.items() for day, r in zip(own, ratings, strict=True)]
         return pd.DataFrame(rows_, columns=["league", "competitor", "day", "rating"])
 
-    return small.groupBy("component").applyInPandas(solve, CURVE)
+    small = tagged.where(F.col("members") <= dense).groupBy("component").applyInPandas(solve, CURVE)
+    large = tagged.where(F.col("members") > dense)
+    return small if large.isEmpty() else small.unionByName(spread_history(large, rounds, precision, w2, initial))
+
+
+def spread_history(games: DataFrame, rounds: int = WHR_ROUNDS, precision: float = WHR_PRECISION, w2: float = WHR_W2, initial: float = WHR_INITIAL) -> DataFrame:
+    """Curves from (league, a, b, day, outcome, n): in each round every competitor makes a step against the others' curves so far."""
+    ends = [F.struct(F.col(x).alias("competitor"), F.col(y).alias("other"), score.alias("score")) for x, y, score in (("a", "b", F.col("outcome")), ("b", "a", 1 - F.col("outcome")))]
+    met = staged(games.select("league", "day", "n", F.explode(F.array(*ends)).alias("s")).select("league", "day", "n", "s.*"), "met")
+    keys = ["league", "competitor", "day"]
+    made = _Steps()
+    now = made.put(met.select(*keys).distinct().withColumn("rating", F.lit(float(initial))))
+
+    def step(curve: pd.DataFrame) -> pd.DataFrame:
+        curve = curve.sort_values("day")
+        move = _curve_step(list(curve["day"]), *(curve[c].to_numpy(dtype=float) for c in ("rating", "gradient", "curvature")), w2, initial)
+        return curve[["league", "competitor", "day"]].assign(rating=curve["rating"] + WHR_DAMP * move, move=np.abs(move))
+
+    for _ in range(rounds):
+        other = now.select("league", F.col("competitor").alias("other"), "day", F.col("rating").alias("theirs"))
+        both = met.join(now, keys).join(other, ["league", "other", "day"])
+        p = 1 / (1 + F.exp(-(F.col("rating") - F.col("theirs")) / WHR_SCALE))
+        pulls = both.groupBy(*keys).agg(F.first("rating").alias("rating"), F.sum(F.col("n") * (F.col("score") - p) / WHR_SCALE).alias("gradient"), F.sum(F.col("n") * p * (1 - p) / WHR_SCALE**2).alias("curvature"))
+        moved = made.put(pulls.groupBy("league", "competitor").applyInPandas(step, CURVE + ", move double"))
+        now = moved.drop("move")
+        if (moved.agg(F.max("move")).first()[0] or 0.0) < precision:
+            return now.select("league", "competitor", "day", "rating")
+    raise RuntimeError(f"the curves did not settle in {rounds} rounds")
 
 
 def rating_at(curve: DataFrame, wanted: DataFrame, initial: float = WHR_INITIAL) -> DataFrame:

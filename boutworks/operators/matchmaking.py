@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutworks.operators.sequence import with_sequence
+from boutworks.runtime import staged
 
 
 def _banded(ratings: DataFrame, within: float) -> DataFrame:
-    """Candidate pairs from the same or the next band of the rating scale."""
+    """All pairs of a league that are at most ``within`` apart, met through the same or the next band of the rating scale."""
     band = F.floor(F.col("rating") / within)
-    left = ratings.select("competitor", "rating", "spread", band.alias("band"))
-    right = left.select(F.col("competitor").alias("opponent"), F.col("rating").alias("other"), F.col("spread").alias("other_spread"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    return left.join(right, "band").where(F.col("competitor") != F.col("opponent")).withColumn("diff", F.abs(F.col("rating") - F.col("other")))
+    left = ratings.select("league", "competitor", "rating", "spread", band.alias("band"))
+    right = left.select("league", F.col("competitor").alias("opponent"), F.col("rating").alias("other"), F.col("spread").alias("other_spread"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    near = left.join(right, ["league", "band"]).where(F.col("competitor") != F.col("opponent")).withColumn("diff", F.abs(F.col("rating") - F.col("other")))
+    return near.where(F.col("diff") <= within)
 
 
 def _ranked(ratings: DataFrame) -> DataFrame:
@@ -30,15 +32,51 @@ def nearest(ratings: DataFrame, within: float = 100.0) -> DataFrame:
     both = ranked.select("league", "seq", "competitor", "rating").join(beside, ["league", "seq"])
     diff = F.abs(F.col("rating") - F.col("o.other"))
     best = both.withColumn("diff", diff).where(F.col("diff") <= within).groupBy("league", "competitor").agg(F.min(F.struct("diff", F.col("o.opponent").alias("opponent"))).alias("b"))
-    return best.select("competitor", F.col("b.opponent").alias("opponent"), F.col("b.diff").alias("diff"))
+    return best.select("league", "competitor", F.col("b.opponent").alias("opponent"), F.col("b.diff").alias("diff"))
 
 
-def deviation_quality(ratings: DataFrame, within: float = 100.0) -> DataFrame:
-    """The opponent with the least difference after weighing by both rating deviations."""
-    root = F.sqrt(F.col("spread") * F.col("spread") + F.col("other_spread") * F.col("other_spread"))
-    scored = _banded(ratings, within).where(F.col("diff") <= within).withColumn("quality", F.col("diff") / (1 + root / 100))
-    best = scored.groupBy("competitor").agg(F.min(F.struct("quality", "opponent")).alias("b"))
-    return best.select("competitor", F.col("b.opponent").alias("opponent"), F.col("b.quality").alias("quality"))
+#: Neighbours in the order of ratings that one round of the search looks at, on either side.
+SEARCH_STEP = 8
+
+
+def deviation_quality(ratings: DataFrame, within: float = 100.0, step: int = SEARCH_STEP) -> DataFrame:
+    """The opponent of one's league with the least difference after weighing by both rating deviations, at most ``within`` away.
+
+    The search goes outwards in the order of ratings, ``step`` neighbours on either side a round. A competitor is done
+    when even the largest deviation of the league couldn't make a farther opponent better, so pairs are not all formed.
+    """
+    ranked = staged(_ranked(ratings).select("league", "seq", "competitor", "rating", "spread"), "ranked")
+    widest = staged(ranked.groupBy("league").agg(F.max("spread").alias("widest")), "widest")
+    # of equal ratings the first other name is best, however many there are
+    first = ranked.groupBy("league", "rating").agg(F.min("competitor").alias("_first"))
+    second = ranked.join(first, ["league", "rating"]).where("competitor <> _first").groupBy("league", "rating").agg(F.min("competitor").alias("_second"))
+    equal = F.when(F.col("competitor") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    todo = ranked.join(widest, "league").join(staged(first.join(second, ["league", "rating"]), "equals"), ["league", "rating"], "left").withColumn("opponent", equal)
+    todo = todo.withColumn("quality", F.when(F.col("opponent").isNotNull(), 0.0)).drop("_first", "_second")
+    done, reach = None, 0
+    weigh = lambda mine, theirs: 1 + F.sqrt(mine * mine + theirs * theirs) / 100
+    while True:
+        offsets = F.array(*[F.lit(k) for d in range(reach + 1, reach + step + 1) for k in (-d, d)])
+        other = ranked.select("league", F.col("seq").alias("_seq"), F.col("competitor").alias("_name"), F.col("rating").alias("_rating"), F.col("spread").alias("_spread"))
+        asked = todo.withColumn("_offset", F.explode(offsets)).withColumn("_seq", F.col("seq") + F.col("_offset"))
+        met = asked.join(other, ["league", "_seq"], "left")
+        diff = F.abs(F.col("rating") - F.col("_rating"))
+        score = F.when(diff <= within, F.struct((diff / weigh(F.col("spread"), F.col("_spread"))).alias("q"), F.col("_name").alias("o")))
+        # no opponent on a side beyond this round is nearer than the farthest one met there; where a side ends it has none
+        side = lambda sign: F.when(F.max(F.when((F.col("_offset") == sign * (reach + step)) & F.col("_rating").isNotNull(), 1)).isNotNull(), F.max(F.when(F.signum("_offset") == sign, diff)))
+        keys = ["league", "seq", "competitor", "rating", "spread", "widest", "quality", "opponent"]
+        seen = met.groupBy(*keys).agg(F.min(score).alias("b"), F.least(side(-1), side(1)).alias("beyond"))
+        better = F.col("b").isNotNull() & (F.col("quality").isNull() | (F.col("b.q") < F.col("quality")) | ((F.col("b.q") == F.col("quality")) & (F.col("b.o") < F.col("opponent"))))
+        seen = seen.withColumns({"quality": F.when(better, F.col("b.q")).otherwise(F.col("quality")), "opponent": F.when(better, F.col("b.o")).otherwise(F.col("opponent"))})
+        bound = F.col("beyond") / weigh(F.col("spread"), F.col("widest"))
+        over = F.col("beyond").isNull() | (F.col("beyond") > within) | F.coalesce((F.col("quality") == 0) | (bound > F.col("quality")), F.lit(False))
+        seen = staged(seen.withColumn("over", over), "search")
+        out = seen.where("over and opponent is not null").select("league", "competitor", "opponent", "quality")
+        done = out if done is None else done.unionByName(out)
+        todo = seen.where("not over").select(*keys)
+        if todo.isEmpty():
+            return done
+        reach += step
 
 
 def closest_pair(ratings: DataFrame) -> DataFrame:
@@ -54,6 +92,14 @@ def least_compared(ratings: DataFrame, games: str = "games") -> DataFrame:
     return ratings.orderBy(games, "competitor").limit(2)
 
 
+def match_teams(teams: DataFrame) -> DataFrame:
+    """Teams paired with the next one in the order of their ``mu``, best first, as (a, b, gap); an odd last one stays alone."""
+    ranked = with_sequence(teams, [F.desc("mu"), F.col("team")], "_at").select("team", "mu", F.expr("_at div 2").alias("_pair"), (F.col("_at") % 2).alias("_side"))
+    pick = lambda c, side: F.max(F.when(F.col("_side") == side, F.col(c)))
+    both = ranked.groupBy("_pair").agg(pick("team", 0).alias("a"), pick("team", 1).alias("b"), (pick("mu", 0) - pick("mu", 1)).alias("gap"))
+    return both.where("b is not null").select("a", "b", "gap")
+
+
 def team_strength(ratings: DataFrame, teams: DataFrame) -> DataFrame:
     """Sum of the means and root of the summed variances of (team, competitor) members."""
     rows = teams.join(ratings, "competitor")

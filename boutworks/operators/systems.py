@@ -19,6 +19,11 @@ class LateBout(ValueError):
     """A bout before the last one of a competitor."""
 
 
+def _demand(ok: bool, what: str) -> None:
+    if not ok:
+        raise ValueError(what)
+
+
 def _logistic10(x: float) -> float:
     return 1 / (1 + 10 ** min(300.0, -x))
 
@@ -32,8 +37,7 @@ class Elo:
     name = "elo"
 
     def __post_init__(self):
-        if self.k < 0 or self.base <= 0 or self.initial < self.floor:
-            raise ValueError("k must not be negative, base positive, and the initial rating at the floor at least")
+        _demand(self.k >= 0 and self.base > 0 and self.initial >= self.floor, "k must not be negative, base positive, and the initial rating at the floor at least")
 
     def new(self) -> list:
         return [self.initial]
@@ -63,8 +67,7 @@ class Glicko:
     name = "glicko"
 
     def __post_init__(self):
-        if self.rd <= 0 or self.period_days <= 0 or self.initial < self.floor:
-            raise ValueError("rd and the period must be positive, and the initial rating at the floor at least")
+        _demand(self.rd > 0 and self.c >= 0 and self.q > 0 and self.period_days > 0 and self.initial >= self.floor, "rd, q and the period must be positive, c not negative, and the initial rating at the floor at least")
 
     def new(self) -> list:
         return [self.initial, self.rd, None]
@@ -116,6 +119,10 @@ class Glicko2:
     floor: float = FLOOR
     name = "glicko2"
 
+    def __post_init__(self):
+        positive = min(self.rd, self.volatility, self.tau, self.epsilon, self.scale, self.period_days) > 0
+        _demand(positive and self.initial >= self.floor, "rd, volatility, tau, epsilon, scale and the period must be positive, and the initial rating at the floor at least")
+
     def new(self) -> list:
         return [(self.initial - 1500) / self.scale, self.rd / self.scale, self.volatility, None]
 
@@ -196,6 +203,9 @@ class TrueSkill:
     draw_probability: float = 0.10
     name = "trueskill"
 
+    def __post_init__(self):
+        _demand(min(self.sigma, self.beta) > 0 and self.tau >= 0 and 0 <= self.draw_probability < 1, "sigma and beta must be positive, tau not negative, and the chance of a draw in [0, 1)")
+
     def new(self) -> list:
         return [self.mu, self.sigma]
 
@@ -251,6 +261,9 @@ class Ecf:
     delta: float = 50.0
     name = "ecf"
 
+    def __post_init__(self):
+        _demand(self.periods >= 1 and self.delta > 0, "one period at least, and delta must be positive")
+
     def new(self) -> list:
         return [self.initial]
 
@@ -278,6 +291,9 @@ class Dwz:
     floor: float = FLOOR
     name = "dwz"
 
+    def __post_init__(self):
+        _demand(self.initial >= self.floor >= 0, "the initial rating must be at the floor at least, and the floor not negative")
+
     def new(self) -> list:
         return [self.initial, 0]
 
@@ -313,6 +329,9 @@ class Ensemble:
     members: tuple = (Elo(), Glicko())
     name = "ensemble"
 
+    def __post_init__(self):
+        _demand(len(self.members) > 0, "an ensemble needs a member")
+
     def new(self) -> list:
         return [m.new() for m in self.members]
 

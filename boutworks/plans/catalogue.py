@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
 from boutworks.operators import evaluation, fits, matchmaking, records, reports, splits, state, systems
-from boutworks.operators.fold import history_of, known_fixtures, leaderboard, predict, ratings_of, replay, split_groups
+from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import with_sequence
 from boutworks.plans import oracle
 from boutworks.runtime import read_table, staged
@@ -48,6 +48,50 @@ def elo_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("competitor", F.round("rating", 6).alias("rating"))
 
 
+def elo_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One league replayed in blocks of time, the groups of a block side by side."""
+    bouts = bouts_events(spark, sf_dir)
+    n = max(1, bouts.count())
+    rated = ratings_of(replay_blocks(bouts, systems.Elo(), -(-n // 4)))
+    return rated.select("competitor", F.round("rating", 6).alias("rating"))
+
+
+def pair_state_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored pair table with the later bouts added gives the fit of all bouts."""
+    bouts = staged(records.unit_scores(bouts_events(spark, sf_dir)), "bouts")
+    half = bouts.agg((F.max("seq") / 2).cast("long")).first()[0] or 0
+    stored = staged(records.pairs(bouts.where(F.col("seq") < half)), "pair-state")
+    fitted = fits.fit_pairs(fits.add_pairs(stored, bouts.where(F.col("seq") >= half)), "colley")
+    return fitted.select("competitor", F.round("rating", 9).alias("rating"))
+
+
+def scores_from_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores taken from a map of attributes: both, or none where one is missing or not finite."""
+    held = F.map_filter(
+        F.create_map(
+            F.lit("home"), F.when(F.col("seq") % 11 == 0, float("nan")).otherwise(F.when(F.col("seq") % 5 != 0, F.col("score_a"))),
+            F.lit("away"), F.when(F.col("seq") % 7 == 0, float("inf")).otherwise(F.col("score_b")),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    a, b = outcomes.scores_of(F.col("attributes"), "home", "away")
+    return bouts_events(spark, sf_dir).select("seq", held.alias("attributes")).select("seq", F.round(a, 6).alias("score_a"), F.round(b, 6).alias("score_b"))
+
+
+def outcome_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes besides 1, 0.5, 0 and null are parted off."""
+    k = F.col("seq") % 9
+    odd = F.when(k == 0, 0.7).when(k == 1, None).when(k == 2, -1.0).otherwise(F.col("outcome"))
+    kept, others = quarantine(bouts_events(spark, sf_dir).select("seq", odd.alias("outcome")))
+    return kept.select("seq", F.lit(True).alias("kept")).unionByName(others.select("seq", F.lit(False).alias("kept")))
+
+
+def outcome_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by a user's comparison: half as much again wins, less is a draw."""
+    won = F.when(F.col("score_a") > F.col("score_b") * 1.5, True).when(F.col("score_b") > F.col("score_a") * 1.5, False)
+    return bouts_events(spark, sf_dir).select("seq", "a", "b", outcomes.outcome_of(won).alias("outcome"))
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history whose predictions are the same doubles in every engine."""
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
@@ -145,11 +189,21 @@ def trueskill_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matchmaking_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matchmaking.nearest(_rated(spark, sf_dir)[1]), 6, "diff")
+    return _rounded(matchmaking.nearest(_rated(spark, sf_dir)[1]), 6, "diff").drop("league")
 
 
 def matchmaking_rd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matchmaking.deviation_quality(_rated(spark, sf_dir)[1]), 6, "quality")
+    return _rounded(matchmaking.deviation_quality(_rated(spark, sf_dir)[1]), 6, "quality").drop("league")
+
+
+def least_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matchmaking.least_compared(_rated(spark, sf_dir)[1]).select("competitor", "games")
+
+
+def team_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = _rated(spark, sf_dir)[1]
+    teams = rated.groupBy((F.col("competitor").cast("long") % 10).alias("team")).agg(F.round(F.sum("rating"), 4).alias("mu"))
+    return _rounded(matchmaking.match_teams(teams), 4, "gap")
 
 
 def closest_pair_next(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,24 +263,26 @@ def scores_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bouts_events(spark, sf_dir).select("seq", outcomes.scores_agree(F.col("score_a"), F.col("score_b"), F.col("outcome")).alias("ok"))
 
 
-def evaluate_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on the earlier bouts, judged on the later ones whose competitors are known."""
-    split = staged(splits.time_split(bouts_events(spark, sf_dir), 0.3), "split")
-    rated = staged(ratings_of(replay(split.where("split = 'train'"), systems.Elo())), "ratings")
-    fixtures = known_fixtures(split.where("split = 'test'"), rated)
-    history = predict(fixtures, rated, E.elo, 400.0).withColumn("label", outcomes.label_of_number(F.col("outcome")))
-    return evaluation.metrics(history)
+def _evaluated(columns: list[str], *chosen) -> Query:
+    """Systems trained on the earlier bouts and judged on the later ones, best first."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bouts = staged(bouts_events(spark, sf_dir), "bouts")
+        out = None
+        for system in chosen:
+            row = evaluation.evaluate(bouts, system)
+            out = row if out is None else out.unionByName(row)
+        digits = [c for c in ("accuracy", "precision", "recall", "f1", "accuracy_opt", "optimized_accuracy") if c in columns]
+        return _rounded(out, 9, *digits).orderBy(F.desc("accuracy"), "system").select(*columns)
+
+    return run
 
-def benchmark_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of every incremental system on its own pre-bout predictions, best first."""
-    bouts = staged(bouts_events(spark, sf_dir), "bouts")
-    out = None
-    for system in (systems.Elo(), systems.Glicko(), systems.Glicko2(), systems.TrueSkill(), systems.Ecf(), systems.Dwz(), systems.Ensemble()):
-        history = history_of(replay(bouts, system)).withColumn("label", outcomes.label_of_number(F.col("outcome")))
-        row = evaluation.metrics(history).withColumn("system", F.lit(system.name))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("accuracy"), "system")
+
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five and the cohorts of one evaluation, as text."""
+    one = evaluation.evaluate(bouts_events(spark, sf_dir), systems.Elo())
+    bins = F.transform("cohorts", lambda c: F.concat(c["bin"].cast("string"), F.lit(":"), c["correct"].cast("string"), F.lit("/"), c["total"].cast("string")))
+    return one.select("system", F.array_join("top", ",").alias("top"), F.array_join(bins, ";").alias("cohorts"), F.round("accuracy_opt", 9).alias("accuracy_opt"))
 
 
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,9 +307,10 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skipped_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bouts = staged(bouts_events(spark, sf_dir), "bouts")
-    rated = ratings_of(replay(bouts.where("seq < 50"), systems.Elo()))
-    return reports.skipped_fixtures(bouts.where("seq >= 50"), rated).select("seq")
+    """Of the later bouts those with a side that the earlier ones don't know."""
+    split = staged(splits.time_split(bouts_events(spark, sf_dir), 0.3), "split")
+    rated = ratings_of(replay(split.where("split = 'train'"), systems.Elo()))
+    return reports.skipped_fixtures(split.where("split = 'test'"), rated).select("seq")
 
 
 def weighted_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,38 +326,36 @@ def multi_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def explore_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = staged(_rated(spark, sf_dir)[1], "rated")
-    return reports.explore(rated, matchmaking.nearest(rated), 100.0, 0.2, 5)
-
-
-def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Systems with their accuracy at 0.5 and at their best thresholds."""
-    bouts = staged(bouts_events(spark, sf_dir), "bouts")
-    plain, best = None, None
-    for system in (systems.Elo(), systems.Dwz()):
-        history = staged(history_of(replay(bouts, system)).withColumn("label", outcomes.label_of_number(F.col("outcome"))), "history")
-        _, (lower, upper) = evaluation.optimize_thresholds(history)
-        rows = [m.withColumn("system", F.lit(system.name)) for m in (evaluation.metrics(history), evaluation.metrics_with_draws(history, lower, upper))]
-        plain = rows[0] if plain is None else plain.unionByName(rows[0])
-        best = rows[1] if best is None else best.unionByName(rows[1])
-    return reports.comparison_table(plain, best)
+    return reports.explore(rated, matchmaking.nearest(rated), 100.0, 0.2, 5).drop("league")
 
 
 def synthetic_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.bouts(spark, 2000, 50).groupBy("outcome").agg(F.count("*").alias("n"))
+    return synthetic.bouts(spark, 2000, 50).select("seq", "a", "b", "outcome", F.round("skill_diff", 6).alias("skill_diff"))
+
 
+_EVERY = (systems.Elo(), systems.Glicko(), systems.Glicko2(), systems.TrueSkill(), systems.Ecf(), systems.Dwz(), systems.Ensemble())
+_COUNTS, _SHARES = ["n", "tp", "fp", "tn", "fn"], ["accuracy", "precision", "recall", "f1"]
 
 _TABLE: dict[str, tuple[Query, str | None]] = {
     "elo_leaderboard": (_board(systems.Elo()), oracle.ELO),
     "elo_history": (elo_history, oracle.ELO_HISTORY),
     "elo_by_group": (elo_by_group, oracle.ELO),
-    "elo_by_league": (elo_by_league, None),
+    "elo_by_league": (elo_by_league, oracle.ELO_BY_LEAGUE),
+    "elo_in_blocks": (elo_in_blocks, oracle.ELO),
+    "pair_state_fit": (pair_state_fit, oracle.COLLEY),
+    "scores_from_attributes": (scores_from_attributes, oracle.SCORES_FROM),
+    "outcome_quarantine": (outcome_quarantine, oracle.QUARANTINE),
+    "outcome_comparison": (outcome_comparison, oracle.COMPARED),
+    "least_compared": (least_compared, oracle.LEAST_COMPARED),
+    "team_matches": (team_matches, oracle.TEAM_MATCHES),
+    "evaluation_report": (evaluation_report, oracle.EVALUATION_REPORT),
     "state_round_trip": (state_round_trip, oracle.ELO),
     "glicko_leaderboard": (_board(systems.Glicko(), timed=True), oracle.GLICKO),
-    "glicko2_leaderboard": (_board(systems.Glicko2(), timed=True), None),
-    "trueskill_leaderboard": (_board(systems.TrueSkill()), None),
+    "glicko2_leaderboard": (_board(systems.Glicko2(), timed=True), oracle.GLICKO2),
+    "trueskill_leaderboard": (_board(systems.TrueSkill()), oracle.TRUESKILL),
     "ecf_leaderboard": (_board(systems.Ecf()), oracle.ECF),
     "dwz_leaderboard": (_board(systems.Dwz()), oracle.DWZ),
-    "ensemble_leaderboard": (_board(systems.Ensemble()), None),
+    "ensemble_leaderboard": (_board(systems.Ensemble()), oracle.ENSEMBLE),
     "colley_ratings": (_fit("colley", 9), oracle.COLLEY),
     "massey_ratings": (_fit("massey", 9), oracle.MASSEY),
     "keener_ratings": (_fit("keener", 6), oracle.KEENER),
@@ -326,9 +381,9 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "prediction_summary": (_of_history(evaluation.summary), oracle.SUMMARY),
     "cohort_accuracy": (_of_history(evaluation.cohorts), oracle.COHORTS),
     "threshold_sweep": (_of_history(evaluation.best_cuts), oracle.SWEEP),
-    "random_search": (_of_history(evaluation.random_search), None),
-    "evaluate_elo": (evaluate_elo, None),
-    "benchmark_systems": (benchmark_systems, None),
+    "random_search": (_of_history(evaluation.random_search), oracle.RANDOM_SEARCH),
+    "evaluate_elo": (_evaluated(_COUNTS + _SHARES, systems.Elo()), oracle.EVALUATE),
+    "benchmark_systems": (_evaluated(["system", *_COUNTS, *_SHARES, "accuracy_opt"], *_EVERY), oracle.BENCHMARK),
     "time_split_counts": (time_split_counts, oracle.TIME_SPLIT),
     "random_split": (random_split, oracle.RANDOM_SPLIT),
     "competitor_split": (competitor_split, oracle.COMPETITOR_SPLIT),
@@ -342,7 +397,7 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "closest_pair_next": (closest_pair_next, oracle.CLOSEST),
     "team_strength": (team_strength, oracle.TEAMS),
     "rating_asof": (rating_asof, oracle.ASOF),
-    "synthetic_bouts": (synthetic_bouts, None),
+    "synthetic_bouts": (synthetic_bouts, oracle.SYNTHETIC),
     "strict_flags": (strict_flags, oracle.STRICT),
     "prior_bouts_line": (_of_history(lambda h: reports.prior_bouts_line(evaluation.cohorts(h))), oracle.PRIOR_LINE),
     "round_robin": (round_robin, oracle.ROUND_ROBIN),
@@ -350,7 +405,7 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "weighted_votes": (weighted_votes, oracle.VOTES),
     "multi_criteria": (multi_criteria, oracle.CRITERIA),
     "explore_matches": (explore_matches, oracle.EXPLORE),
-    "comparison_table": (comparison_table, None),
+    "comparison_table": (_evaluated(["system", *_SHARES, "accuracy_opt", "optimized_accuracy"], systems.Elo(), systems.Dwz()), oracle.COMPARISON),
 }
 
 

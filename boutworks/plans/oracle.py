@@ -87,31 +87,39 @@ POINTS = "SELECT who AS competitor, round(sum(pf), 4) AS pts_for, round(sum(pa),
 PYTHAGOREAN_CTE = "r AS (SELECT who AS competitor, 1 / (1 + pow((sum(pa) + 1) / (sum(pf) + 1), 2.37::DOUBLE)) AS rating FROM sides GROUP BY who)"
 
 
-def fold(state: str, start: str, step_i: str, step_j: str, rating: str, day: bool = False) -> str:
-    """Replay by list_reduce: ``step_i`` and ``step_j`` give the states of both sides from x (own), y (other), b (the bout)."""
+def fold_ctes(name: str, source: str, state: str, start: str, step: str, day: bool = False) -> str:
+    """``name`` (league, competitor, v): the states after a replay of ``source`` by list_reduce, league by league.
+
+    ``step`` gives the state of a side from q.x (own), q.y (other), q.s (score) and q.t (day).
+    """
     kind = f"STRUCT(i BIGINT, j BIGINT, s DOUBLE, t DOUBLE, x {state}[])"
     t = "epoch_us(ts) / 8.64e10::DOUBLE" if day else "NULL::DOUBLE"
-    return f"""WITH {BOUTS}, ids AS (SELECT c, row_number() OVER (ORDER BY c) AS i FROM (SELECT a AS c FROM bouts UNION SELECT b FROM bouts)),
-ms AS (SELECT list(CAST({{'i': p.i, 'j': q.i, 's': outcome, 't': {t}, 'x': NULL}} AS {kind}) ORDER BY seq) AS l FROM bouts JOIN ids p ON p.c = a JOIN ids q ON q.c = b),
-f AS (SELECT list_reduce(l, lambda acc, b: CAST({{'i': b.i, 'j': b.j, 's': b.s, 't': b.t,
-    'x': list_transform(acc.x, lambda v, k: CASE WHEN k = b.i THEN (list_transform([{{'x': acc.x[b.i], 'y': acc.x[b.j], 's': b.s, 't': b.t}}], lambda q: {step_i}))[1]
-                                                 WHEN k = b.j THEN (list_transform([{{'x': acc.x[b.j], 'y': acc.x[b.i], 's': 1 - b.s, 't': b.t}}], lambda q: {step_j}))[1] ELSE v END)}} AS {kind}),
-    CAST({{'i': 0, 'j': 0, 's': 0, 't': 0, 'x': [{start} for _ in range((SELECT count(*) FROM ids))]}} AS {kind})).x AS x FROM ms)
-SELECT c AS competitor, round({rating}, 6) AS rating FROM (SELECT c, x[i] AS v FROM ids, f)"""
+    return f"""{name}_ids AS (SELECT league, c, row_number() OVER (PARTITION BY league ORDER BY c) AS i FROM (SELECT league, a AS c FROM {source} UNION SELECT league, b FROM {source})),
+{name}_ms AS (SELECT league, any_value(sizes.n) AS n, list(CAST({{'i': p.i, 'j': q.i, 's': outcome, 't': {t}, 'x': NULL}} AS {kind}) ORDER BY seq) AS l
+  FROM {source} JOIN {name}_ids p USING (league) JOIN {name}_ids q USING (league) JOIN (SELECT league, count(*) AS n FROM {name}_ids GROUP BY league) sizes USING (league) WHERE p.c = a AND q.c = b GROUP BY league),
+{name}_f AS (SELECT league, list_reduce(l, lambda acc, b: CAST({{'i': b.i, 'j': b.j, 's': b.s, 't': b.t,
+    'x': (list_transform([list_transform([{{'x': acc.x[b.i], 'y': acc.x[b.j], 's': b.s, 't': b.t}}, {{'x': acc.x[b.j], 'y': acc.x[b.i], 's': 1 - b.s, 't': b.t}}], lambda q: {step})],
+           lambda new: list_transform(acc.x, lambda v, k: CASE WHEN k = b.i THEN new[1] WHEN k = b.j THEN new[2] ELSE v END)))[1]}} AS {kind}),
+    CAST({{'i': 0, 'j': 0, 's': 0, 't': 0, 'x': list_transform(range(n), lambda _: {start})}} AS {kind})).x AS x FROM {name}_ms),
+{name} AS (SELECT ids.league, c AS competitor, x[i] AS v FROM {name}_ids ids JOIN {name}_f f ON f.league = ids.league)"""
+
+
+def fold(state: str, start: str, step: str, rating: str, day: bool = False) -> str:
+    return f"WITH {BOUTS}, {fold_ctes('r', 'bouts', state, start, step, day)} SELECT competitor, round({rating}, 6) AS rating FROM r"
 
 
 _ELO = "greatest(100.0::DOUBLE, q.x + 32 * (q.s - 1 / (1 + pow(10.0::DOUBLE, (q.y - q.x) / 400))))"
-ELO = fold("DOUBLE", "400.0::DOUBLE", _ELO, _ELO, "v")
+ELO = fold("DOUBLE", "400.0::DOUBLE", _ELO, "v")
 
 _NEAR = "greatest(list_avg(q.x) - 50, least(list_avg(q.x) + 50, list_avg(q.y))) + 50 * (2 * q.s - 1)"
 _ECF = f"(list_append(q.x, {_NEAR}))[-30:]"
-ECF = fold("DOUBLE[]", "[100.0::DOUBLE]", _ECF, _ECF, "list_avg(v)")
+ECF = fold("DOUBLE[]", "[100.0::DOUBLE]", _ECF, "list_avg(v)")
 
 _DWZ_E = "1 / (1 + pow(10.0::DOUBLE, (q.y.r - q.x.r) / 400))"
 _BRAKE = f"CASE WHEN q.x.r < 1300 AND q.s <= {_DWZ_E} THEN exp((1300 - q.x.r) / 150) - 1 ELSE 0.0::DOUBLE END"
 _WEIGHT = f"greatest(5.0::DOUBLE, least(pow(q.x.r / 1000, 4) + 15 + ({_BRAKE}), CASE WHEN ({_BRAKE}) = 0 THEN least(30.0::DOUBLE, 5.0::DOUBLE * (q.x.n + 1)) ELSE 150.0::DOUBLE END))"
 _DWZ = f"{{'r': greatest(100.0::DOUBLE, q.x.r + 800 / ({_WEIGHT} + 1) * (q.s - {_DWZ_E})), 'n': q.x.n + 1}}"
-DWZ = fold("STRUCT(r DOUBLE, n BIGINT)", "{'r': 400.0::DOUBLE, 'n': 0}", _DWZ, _DWZ, "v.r")
+DWZ = fold("STRUCT(r DOUBLE, n BIGINT)", "{'r': 400.0::DOUBLE, 'n': 0}", _DWZ, "v.r")
 
 _Q2 = "0.0057565::DOUBLE * 0.0057565::DOUBLE"
 
@@ -124,7 +132,156 @@ _GLICKO = f"""(list_transform([{{'r': q.x.r, 'o': q.y.r, 'd': {_rd("x")}, 'g': 1
   lambda z: (list_transform([{{'z': z, 'e': 1 / (1 + pow(10.0::DOUBLE, -z.g * (z.r - z.o) / 400))}}],
   lambda k: {{'r': greatest(100.0::DOUBLE, k.z.r + 0.0057565::DOUBLE / (1 / (k.z.d * k.z.d) + {_Q2} * k.z.g * k.z.g * k.e * (1 - k.e)) * k.z.g * (k.z.s - k.e)),
              'd': sqrt(1 / (1 / (k.z.d * k.z.d) + {_Q2} * k.z.g * k.z.g * k.e * (1 - k.e))), 't': k.z.t}}))[1]))[1]"""
-GLICKO = fold("STRUCT(r DOUBLE, d DOUBLE, t DOUBLE)", "{'r': 1500.0::DOUBLE, 'd': 350.0::DOUBLE, 't': NULL}", _GLICKO, _GLICKO, "v.r", day=True)
+GLICKO = fold("STRUCT(r DOUBLE, d DOUBLE, t DOUBLE)", "{'r': 1500.0::DOUBLE, 'd': 350.0::DOUBLE, 't': NULL}", _GLICKO, "v.r", day=True)
+
+
+# The error function by its all-positive series, of x (a hundred terms hold to |x| = 4, far beyond what the tables give); and the normal distribution's two functions of a value.
+_ERF = "CASE WHEN abs(x) >= 6 THEN sign(x) ELSE 2 / sqrt(pi()) * exp(-x * x) * list_reduce([{'t': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'n': n::DOUBLE} for n in range(1, 101)], lambda e0, e1: {'t': e0.t * 2 * x * x / (2 * e1.n + 1), 's': e0.s + e0.t * 2 * x * x / (2 * e1.n + 1), 'n': e1.n}, {'t': x, 's': x, 'n': 0.0::DOUBLE}).s END"
+
+
+def _cdf(z: str) -> str:
+    return f"(list_transform([({z}) / sqrt(2)], lambda x: 0.5 * (1 + {_ERF})))[1]"
+
+
+def _pdf(z: str) -> str:
+    return f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()))"
+
+
+def _glicko_free(x: str, xd: str, y: str, yd: str) -> str:
+    """The state after a bout without waiting, from ratings and deviations."""
+    return f"""(list_transform([{{'r': {x}, 'o': {y}, 'd': {xd}, 'g': 1 / sqrt(1 + 3 * {_Q2} * pow({yd}, 2) / (pi() * pi()))}}],
+  lambda z: (list_transform([{{'z': z, 'e': 1 / (1 + pow(10.0::DOUBLE, -z.g * (z.r - z.o) / 400))}}],
+  lambda k: {{'r': greatest(100.0::DOUBLE, k.z.r + 0.0057565::DOUBLE / (1 / (k.z.d * k.z.d) + {_Q2} * k.z.g * k.z.g * k.e * (1 - k.e)) * k.z.g * (q.s - k.e)),
+             'd': sqrt(1 / (1 / (k.z.d * k.z.d) + {_Q2} * k.z.g * k.z.g * k.e * (1 - k.e)))}}))[1]))[1]"""
+
+
+_ENSEMBLE = f"(list_transform([{_glicko_free('q.x.r', 'q.x.d', 'q.y.r', 'q.y.d')}], lambda g: {{'e': {_ELO.replace('q.x', 'q.x.e').replace('q.y', 'q.y.e')}, 'r': g.r, 'd': g.d}}))[1]"
+
+_PHI = "CASE WHEN q.{0}.t IS NULL THEN q.{0}.p ELSE least(350.0::DOUBLE / 173.7178::DOUBLE, sqrt(q.{0}.p * q.{0}.p + (q.t - q.{0}.t) * q.{0}.v * q.{0}.v)) END"
+_F = "(exp({x}) * (h.d2 - h.p2 - h.v - exp({x})) / (2 * (h.p2 + h.v + exp({x})) * (h.p2 + h.v + exp({x}))) - ({x} - h.a) / 0.25::DOUBLE)"
+
+
+def _glicko2() -> str:
+    """Glickman's second system: the volatility is the root of f, found by bracketing and the Illinois method."""
+    f = lambda x: _F.format(x=x)
+    start = "{'m': q.x.m, 's': q.x.v, 'p': " + _PHI.format("x") + ", 'j': q.y.m, 'g': 1 / sqrt(1 + 3 * pow(" + _PHI.format("y") + ", 2) / (pi() * pi()))}"
+    chance = "{'k': k, 'e': 1 / (1 + exp(-k.g * (k.m - k.j)))}"
+    var = "{'k': e.k, 'e': e.e, 'v': 1 / (e.k.g * e.k.g * e.e * (1 - e.e)), 'n': e.k.g * (q.s - e.e)}"
+    known = "{'k': w.k, 'v': w.v, 'n': w.n, 'p2': w.k.p * w.k.p, 'd2': w.v * w.n * w.v * w.n, 'a': ln(w.k.s * w.k.s)}"
+    high = f"CASE WHEN h.d2 > h.p2 + h.v THEN ln(h.d2 - h.p2 - h.v) ELSE h.a - 0.5::DOUBLE * list_min(list_filter(range(1, 201), lambda n: n = 200 OR {f('(h.a - n * 0.5::DOUBLE)')} >= 0)) END"
+    ends = f"{{'h': h, 'b': {high}}}"
+    mid = "(z.lo + (z.lo - z.hi) * z.fl / (z.fh - z.fl))"
+    loop = f"""list_reduce([{{'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE, 'fl': 0.0::DOUBLE, 'fh': 0.0::DOUBLE}} for _ in range(20)],
+      lambda z, _: CASE WHEN abs(z.hi - z.lo) <= 1e-6::DOUBLE THEN z ELSE (list_transform([{{'m': {mid}, 'f': (list_transform([{mid}], lambda m: {f('m')}))[1]}}],
+        lambda c: {{'lo': CASE WHEN c.f * z.fh < 0 THEN z.hi ELSE z.lo END, 'hi': c.m, 'fl': CASE WHEN c.f * z.fh < 0 THEN z.fh ELSE z.fl / 2 END, 'fh': c.f}}))[1] END,
+      {{'lo': h.a, 'hi': y.b, 'fl': {f('h.a')}, 'fh': {f('y.b')}}})"""
+    sigma = f"(list_transform([y.h], lambda h: exp(({loop}).lo / 2)))[1]"
+    last = "{'m': u.h.k.m + u.h.n / (1 / (u.h.k.p * u.h.k.p + u.s * u.s) + 1 / u.h.v), 'p': 1 / sqrt(1 / (u.h.k.p * u.h.k.p + u.s * u.s) + 1 / u.h.v), 'v': u.s, 't': q.t}"
+    out = f"(list_transform([{start}], lambda k: {chance}))[1]"
+    for var_, expr in (("e", var), ("w", known), ("h", ends), ("y", f"{{'h': y.h, 's': {sigma}}}")):
+        out = f"(list_transform([{out}], lambda {var_}: {expr}))[1]"
+    # phi' = 1 / sqrt(1 / (phi^2 + sigma'^2) + 1 / v), mu' = mu + phi'^2 * gain
+    last = last.replace("1 / (u.h.k.p * u.h.k.p + u.s * u.s) + 1 / u.h.v", "1 / (u.h.k.p * u.h.k.p + u.s * u.s) + 1 / u.h.v")
+    return f"(list_transform([{out}], lambda u: {last}))[1]"
+
+
+_GLICKO2 = _glicko2()
+
+_MARGIN = "(sqrt(2) * 4.166::DOUBLE * 0.12566134685507402::DOUBLE)"
+
+
+def _trueskill() -> str:
+    """A side's new mean and deviation; the loser's shift is the winner's with the sign turned."""
+    start = "{'m': q.x.m, 'd': q.x.m - q.y.m, 'a': q.x.s * q.x.s + 0.083::DOUBLE * 0.083::DOUBLE, 'b': q.y.s * q.y.s + 0.083::DOUBLE * 0.083::DOUBLE}"
+    total = "{'k': k, 'c': sqrt(2 * 4.166::DOUBLE * 4.166::DOUBLE + k.a + k.b)}"
+    turn = "CASE WHEN q.s = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
+    t = f"{{'k': c.k, 'c': c.c, 'u': {turn}, 't': CASE WHEN q.s = 0.5 THEN c.k.d / c.c ELSE ({turn} * c.k.d - {_MARGIN}) / c.c END, 'e': {_MARGIN} / c.c}}"
+    below = f"{{'z': z, 'w': CASE WHEN q.s = 0.5 THEN {_cdf('z.t + z.e')} - {_cdf('z.t - z.e')} ELSE {_cdf('z.t')} END, 'lo': {_pdf('z.t - z.e')}, 'hi': {_pdf('z.t + z.e')}, 'p': {_pdf('z.t')}}}"
+    shift = "{'z': w.z, 'w': w.w, 'lo': w.lo, 'hi': w.hi, 'v': CASE WHEN w.w <= 0 THEN 0.0::DOUBLE WHEN q.s = 0.5 THEN (w.lo - w.hi) / w.w ELSE w.p / w.w END}"
+    shrink = "{'z': v.z, 'v': v.v, 'h': CASE WHEN q.s <> 0.5 THEN v.v * (v.v + v.z.t) WHEN v.w <= 0 THEN 0.0::DOUBLE ELSE v.v * v.v + ((v.z.e - v.z.t) * v.lo + (v.z.e + v.z.t) * v.hi) / v.w END}"
+    last = "{'m': h.z.k.m + h.z.k.a / h.z.c * CASE WHEN q.s = 0.5 THEN -h.v ELSE h.z.u * h.v END, 's': sqrt(h.z.k.a * (1 - h.z.k.a / (h.z.c * h.z.c) * h.h))}"
+    out = f"(list_transform([{start}], lambda k: {total}))[1]"
+    for name, expr in (("c", t), ("z", below), ("w", shift), ("v", shrink), ("h", last)):
+        out = f"(list_transform([{out}], lambda {name}: {expr}))[1]"
+    return out
+
+
+_TRUESKILL = _trueskill()
+
+#: By system: state, a newcomer's state, step, whether times count, rating of v, and the chance of v against w.
+FOLDS = {
+    "elo": ("DOUBLE", "400.0::DOUBLE", _ELO, False, "v", "1 / (1 + pow(10.0::DOUBLE, (w - v) / 400))"),
+    "glicko": ("STRUCT(r DOUBLE, d DOUBLE, t DOUBLE)", "{'r': 1500.0::DOUBLE, 'd': 350.0::DOUBLE, 't': NULL}", _GLICKO, True, "v.r", f"1 / (1 + pow(10.0::DOUBLE, -(v.r - w.r) / 400 / sqrt(1 + 3 * {_Q2} * w.d * w.d / (pi() * pi()))))"),
+    "glicko2": ("STRUCT(m DOUBLE, p DOUBLE, v DOUBLE, t DOUBLE)", "{'m': 0.0::DOUBLE, 'p': 350.0::DOUBLE / 173.7178::DOUBLE, 'v': 0.06::DOUBLE, 't': NULL}", _GLICKO2, True, "greatest(100.0::DOUBLE, v.m * 173.7178::DOUBLE + 1500)", "1 / (1 + exp(-(v.m - w.m) / sqrt(1 + 3 * w.p * w.p / (pi() * pi()))))"),
+    "trueskill": ("STRUCT(m DOUBLE, s DOUBLE)", "{'m': 25.0::DOUBLE, 's': 8.333::DOUBLE}", _TRUESKILL, False, "v.m - 3 * v.s",
+                  f"({_cdf(f'(v.m - w.m - {_MARGIN}) / sqrt(2 * 4.166::DOUBLE * 4.166::DOUBLE + v.s * v.s + w.s * w.s)')} + {_cdf(f'(v.m - w.m + {_MARGIN}) / sqrt(2 * 4.166::DOUBLE * 4.166::DOUBLE + v.s * v.s + w.s * w.s)')}) / 2"),
+    "ecf": ("DOUBLE[]", "[100.0::DOUBLE]", _ECF, False, "list_avg(v)", "1 / (1 + pow(10.0::DOUBLE, (list_avg(w) - list_avg(v)) * 7.5 / 400))"),
+    "dwz": ("STRUCT(r DOUBLE, n BIGINT)", "{'r': 400.0::DOUBLE, 'n': 0}", _DWZ, False, "v.r", "1 / (1 + pow(10.0::DOUBLE, (w.r - v.r) / 400))"),
+    "ensemble": ("STRUCT(e DOUBLE, r DOUBLE, d DOUBLE)", "{'e': 400.0::DOUBLE, 'r': 1500.0::DOUBLE, 'd': 350.0::DOUBLE}", _ENSEMBLE, False, "v.e + v.r",
+                 f"(1 / (1 + pow(10.0::DOUBLE, (w.e - v.e) / 400)) + 1 / (1 + pow(10.0::DOUBLE, -(v.r - w.r) / 400 / sqrt(1 + 3 * {_Q2} * w.d * w.d / (pi() * pi()))))) / 2"),
+}
+GLICKO2, TRUESKILL, ENSEMBLE = (fold(*FOLDS[k][:3], FOLDS[k][4], FOLDS[k][3]) for k in ("glicko2", "trueskill", "ensemble"))
+
+_SPLIT = """ranked AS (SELECT *, row_number() OVER (ORDER BY ts, seq) - 1 AS k, count(*) OVER () AS n FROM bouts),
+train AS (SELECT * FROM ranked WHERE k < floor(n * (1 - 0.3::DOUBLE))), held AS (SELECT * FROM ranked WHERE k >= floor(n * (1 - 0.3::DOUBLE)))"""
+
+
+def _judged(name: str) -> str:
+    """``h_name``: the held-out bouts of known competitors with predictions, and ``o_name``: counts and the best cuts."""
+    state, start, step, day, _, chance = FOLDS[name]
+    return f"""{fold_ctes('r_' + name, 'train', state, start, step, day)},
+h_{name} AS (SELECT seq, a, b, CASE outcome WHEN 1 THEN 'a' WHEN 0 THEN 'b' ELSE 'draw' END AS label, {chance} AS predicted
+  FROM (SELECT held.*, x.v AS v, y.v AS w FROM held JOIN r_{name} x ON x.competitor = a JOIN r_{name} y ON y.competitor = b)),
+c_{name} AS (SELECT 0 AS k, 0 AS a, 0 AS b, 0 AS d UNION ALL SELECT row_number() OVER u, sum(a) OVER u, sum(b) OVER u, sum(d) OVER u
+  FROM (SELECT predicted, count(*) FILTER (WHERE label = 'a') AS a, count(*) FILTER (WHERE label = 'b') AS b, count(*) FILTER (WHERE label = 'draw') AS d FROM h_{name} GROUP BY 1) WINDOW u AS (ORDER BY predicted)),
+o_{name} AS (SELECT max(i.b - i.d + j.d - j.a + (SELECT max(a) FROM c_{name})) / (SELECT count(*) FROM h_{name})::DOUBLE AS accuracy_opt FROM c_{name} i JOIN c_{name} j ON j.k >= i.k),
+m_{name} AS (SELECT '{name}' AS system, {_CELLS}, count(*) AS n FROM (SELECT *, CASE WHEN predicted > 0.5::DOUBLE THEN 'a' WHEN predicted < 0.5::DOUBLE THEN 'b' ELSE 'draw' END AS g FROM h_{name}))"""
+
+
+def evaluated(names: list[str], columns: str) -> str:
+    whole = " UNION ALL ".join(f"SELECT * FROM m_{n}, o_{n}" for n in names)
+    return f"""WITH {BOUTS}, {_SPLIT}, {", ".join(map(_judged, names))}, every AS ({whole}),
+p AS (SELECT *, (tp + tn) / n::DOUBLE AS accuracy_, CASE WHEN tp + fp = 0 THEN 'nan'::DOUBLE ELSE tp / (tp + fp)::DOUBLE END AS p_, CASE WHEN tp + fn = 0 THEN 'nan'::DOUBLE ELSE tp / (tp + fn)::DOUBLE END AS r_ FROM every),
+judged AS (SELECT system, n, tp, fp, tn, fn, round(accuracy_, 9) AS accuracy, round(p_, 9) AS precision, round(r_, 9) AS recall, round(2 * p_ * r_ / (p_ + r_), 9) AS f1,
+                  round(accuracy_opt, 9) AS accuracy_opt, round(accuracy_opt, 9) AS optimized_accuracy FROM p)
+SELECT {columns} FROM judged"""
+
+
+EVALUATE = evaluated(["elo"], "n, tp, fp, tn, fn, accuracy, precision, recall, f1")
+BENCHMARK = evaluated(list(FOLDS), "system, n, tp, fp, tn, fn, accuracy, precision, recall, f1, accuracy_opt")
+COMPARISON = evaluated(["elo", "dwz"], "system, accuracy, precision, recall, f1, accuracy_opt, optimized_accuracy")
+EVALUATION_REPORT = f"""WITH {BOUTS}, {_SPLIT}, {_judged("elo")},
+top AS (SELECT string_agg(competitor, ',' ORDER BY rating DESC, competitor) AS top FROM (SELECT competitor, round(v, 6) AS rating FROM r_elo ORDER BY 2 DESC, 1 LIMIT 5)),
+past AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM train UNION ALL SELECT b FROM train) GROUP BY c),
+who AS (SELECT seq, a AS c FROM h_elo UNION ALL SELECT seq, b FROM h_elo),
+k AS (SELECT seq, min(before + coalesce(n, 0)) AS k FROM (SELECT seq, c, count(*) OVER (PARTITION BY c ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM who) LEFT JOIN past USING (c) GROUP BY seq),
+bins AS (SELECT k // 5 AS bin, count(*) FILTER (WHERE (CASE WHEN predicted > 0.5::DOUBLE THEN 'a' WHEN predicted < 0.5::DOUBLE THEN 'b' ELSE 'draw' END) = label) AS correct, count(*) AS total FROM h_elo JOIN k USING (seq) GROUP BY 1)
+SELECT 'elo' AS system, (SELECT top FROM top) AS top, string_agg(bin || ':' || correct || '/' || total, ';' ORDER BY bin) AS cohorts, (SELECT round(accuracy_opt, 9) FROM o_elo) AS accuracy_opt FROM bins"""
+
+ELO_BY_LEAGUE = f"""WITH {SUPPLIER.replace("bouts AS", "unnumbered AS")}, bouts AS (SELECT *, row_number() OVER (ORDER BY ts, order_key, a, b) - 1 AS seq FROM unnumbered), {SIDES},
+{fold_ctes("r", "bouts", *FOLDS["elo"][:3])}, g AS (SELECT league, who AS competitor, count(*) AS games FROM sides GROUP BY ALL)
+SELECT r.league, r.competitor, round(v, 6) AS rating, games FROM r JOIN g ON g.league = r.league AND g.competitor = r.competitor"""
+
+RANDOM_SEARCH = f"""WITH {HISTORY}, ends AS (SELECT min(predicted) AS low, max(predicted) AS high FROM h),
+drawn AS (SELECT trial, low + (high - low) * (('0x' || md5(trial || ':x:0')[1:8])::BIGINT / 4294967296.0::DOUBLE) AS x, low + (high - low) * (('0x' || md5(trial || ':y:0')[1:8])::BIGINT / 4294967296.0::DOUBLE) AS y FROM range(1000) t(trial), ends),
+scored AS (SELECT trial, least(x, y) AS lower, greatest(x, y) AS upper,
+             (SELECT count(*) FROM h WHERE CASE WHEN predicted > greatest(x, y) THEN 'a' WHEN predicted < least(x, y) THEN 'b' ELSE 'draw' END = label) AS correct FROM drawn)
+SELECT trial, round(lower, 9) AS lower, round(upper, 9) AS upper, correct FROM scored ORDER BY correct DESC, trial LIMIT 1"""
+
+
+def _uniform(seed: int, key: str) -> str:
+    return f"((('0x' || md5('{seed}:' || {key})[1:12])::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+
+
+def _normal(seed: int, key: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(seed, key)})) * cos(2 * pi() * {_uniform(seed + 1, key)}))"
+
+
+SYNTHETIC = f"""WITH who AS (SELECT id, 'competitor_' || id AS competitor, 1500.0::DOUBLE + 300.0::DOUBLE * {_normal(42, "id")} AS skill FROM range(50) t(id)),
+picks AS (SELECT seq, CAST(floor({_uniform(52, "seq")} * 50) AS BIGINT) AS i FROM range(2000) t(seq)),
+rows_ AS (SELECT seq, i, (i + 1 + CAST(floor({_uniform(53, "seq")} * 49) AS BIGINT)) % 50 AS j FROM picks),
+met AS (SELECT seq, x.competitor AS a, y.competitor AS b, x.skill - y.skill AS diff, x.skill - y.skill + 100.0::DOUBLE * {_normal(54, "seq")} AS apart FROM rows_ JOIN who x ON x.id = i JOIN who y ON y.id = j)
+SELECT seq, a, b, CASE WHEN abs(apart) < 100 AND {_uniform(56, "seq")} < 0.1::DOUBLE THEN 0.5::DOUBLE WHEN apart > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS outcome, round(diff, 6) AS skill_diff FROM met"""
 
 ELO_HISTORY = f"""WITH RECURSIVE {BOUTS}, ids AS (SELECT c, row_number() OVER (ORDER BY c) AS i FROM (SELECT a AS c FROM bouts UNION SELECT b FROM bouts)),
 ms AS (SELECT list(CAST({{'i': p.i, 'j': q.i, 's': outcome, 'x': NULL, 'p': NULL}} AS STRUCT(i BIGINT, j BIGINT, s DOUBLE, x DOUBLE[], p DOUBLE[])) ORDER BY seq) AS l, list(seq ORDER BY seq) AS seqs FROM bouts JOIN ids p ON p.c = a JOIN ids q ON q.c = b),
@@ -164,7 +321,6 @@ r AS (
 )
 SELECT u AS competitor, round(x, 6) AS rating FROM r WHERE k = 100"""
 
-_ERF = "CASE WHEN abs(x) >= 6 THEN sign(x) ELSE 2 / sqrt(pi()) * exp(-x * x) * list_reduce([{'t': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'n': n::DOUBLE} for n in range(1, 201)], lambda a, b: {'t': a.t * 2 * x * x / (2 * b.n + 1), 's': a.s + a.t * 2 * x * x / (2 * b.n + 1), 'n': b.n}, {'t': x, 's': x, 'n': 0.0::DOUBLE}).s END"
 
 
 def trueskill(margin: float) -> str:
@@ -218,8 +374,16 @@ SELECT seq, predicted > 0.5::DOUBLE AND outcome = 1 AS true_positive, predicted
        predicted <= 0.5::DOUBLE AND outcome = 0 AS true_negative, predicted <= 0.5::DOUBLE AND outcome <> 0 AS false_negative FROM o"""
 PRIOR_LINE = f"WITH c AS ({COHORTS}) SELECT (min_bouts + max_bouts) // 2 AS x, accuracy AS y, total AS n FROM c"
 ROUND_ROBIN = f"WITH {BOUTS}, w AS (SELECT a AS c FROM bouts UNION SELECT b FROM bouts) SELECT x.c AS a, y.c AS b FROM w x JOIN w y ON x.c < y.c"
-SKIPPED = f"""WITH {BOUTS}, w AS (SELECT who FROM (SELECT seq, a AS who FROM bouts UNION ALL SELECT seq, b FROM bouts) WHERE seq < 50)
-SELECT seq FROM bouts WHERE seq >= 50 AND (a NOT IN (SELECT who FROM w) OR b NOT IN (SELECT who FROM w))"""
+SKIPPED = f"""WITH {BOUTS}, {_SPLIT}, w AS (SELECT a AS who FROM train UNION SELECT b FROM train)
+SELECT seq FROM held WHERE a NOT IN (SELECT who FROM w) OR b NOT IN (SELECT who FROM w)"""
+SCORES_FROM = f"""WITH {BOUTS}, s AS (SELECT seq, CASE WHEN seq % 5 <> 0 AND seq % 11 <> 0 THEN score_a END AS x, CASE WHEN seq % 7 = 0 THEN NULL ELSE score_b END AS y FROM bouts)
+SELECT seq, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN round(x, 6) END AS score_a, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN round(y, 6) END AS score_b FROM s"""
+QUARANTINE = f"""WITH {BOUTS}, o AS (SELECT seq, CASE seq % 9 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN -1.0::DOUBLE ELSE outcome END AS outcome FROM bouts)
+SELECT seq, coalesce(outcome IN (0.0, 0.5, 1.0), true) AS kept FROM o"""
+COMPARED = f"""WITH {BOUTS} SELECT seq, a, b, CASE WHEN score_a > score_b * 1.5::DOUBLE THEN 1.0::DOUBLE WHEN score_b > score_a * 1.5::DOUBLE THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS outcome FROM bouts"""
+LEAST_COMPARED = f"WITH {RATED} SELECT competitor, games FROM rated ORDER BY games, competitor LIMIT 2"
+TEAM_MATCHES = f"""WITH {RATED}, t AS (SELECT CAST(competitor AS BIGINT) % 10 AS team, round(sum(rating), 4) AS mu FROM rated GROUP BY 1), k AS (SELECT team, mu, row_number() OVER (ORDER BY mu DESC, team) - 1 AS k FROM t)
+SELECT x.team AS a, y.team AS b, round(x.mu - y.mu, 4) AS gap FROM k x JOIN k y ON x.k % 2 = 0 AND y.k = x.k + 1"""
 VOTES = f"""WITH {BOUTS}, v AS (SELECT seq, a, [2.0, 1.5, 1.0, 1.0, 0.8][seq % 5 + 1]::DOUBLE AS weight, (('0x' || md5(seq || ':3')[1:8])::BIGINT % 1000) / 1000.0::DOUBLE AS chance FROM bouts)
 SELECT seq, a, CAST(unnest(range(1, CAST(floor(weight) + CASE WHEN chance < weight - floor(weight) THEN 1 ELSE 0 END AS BIGINT) + 1)) AS INTEGER) AS copy FROM v"""
 CRITERIA = f"""WITH {BOUTS}, {SIDES}, c AS (SELECT 'points' AS criterion, who AS competitor, round(avg(pf), 6) AS rating FROM sides GROUP BY who UNION ALL SELECT 'wins', who, round(avg(score), 6) FROM sides GROUP BY who UNION ALL SELECT 'other', who, 1.0 FROM sides GROUP BY who)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _uniform(seed: int, *keys: Column | str) -> Column:
-    """A number in (0, 1) from a hash of the keys, whatever the partitioning."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1) from a hash of seed and keys, whatever the partitioning and the engine."""
+    said = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]).cast("binary"))
+    return (F.conv(F.substring(said, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def _normal(seed: int, *keys: Column | str) -> Column:

@@ -3,7 +3,10 @@
 Bouts are keyed by league. Each league keeps one state entry per competitor in a
 map in the state store, so a micro-batch reads and writes only the competitors
 that play in it. Bouts of a batch are replayed by (ts, seq). A bout before its
-league's latest one goes out as a row of kind ``late`` instead of being played.
+league's latest one, or without a time, goes out as a row of kind ``late`` instead
+of being played. A league's rows of one batch are sorted in one task: bound the
+trigger (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) where a league has very
+many.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ class _Replay(StatefulProcessor):
             return known[who]
 
         for r in data.itertuples(index=False):
-            if r.day < last:
+            if not r.day >= last:  # earlier, or null
                 out.append((key[0], "late", r.seq, r.a, r.b, None, None, None))
                 continue
             last = r.day
