@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from boutworks.llm._batches import append_columns, binary_from, gather, give_back, joined, text_array, word_spans
 from boutworks.llm._xxh64 import xxh64
-from boutworks.operators.components import connected_components
+from boutworks.operators.components import connected_components, spanning_forest
 from boutworks.runtime import staged
 
 SHINGLE, SEED, BITS_APART = 4, 42, 4
@@ -155,22 +155,6 @@ def _chains_hold(apart: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (np.cumsum(ring, axis=1) <= budget).all(axis=1)
 
 
-def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) pairs that connect what the links connect."""
-    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = back[: len(u)], back[len(u) :]
-    root = np.arange(len(nodes))
-    while True:
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        if (low == high).all():
-            break
-        np.minimum.at(root, high, low)
-        while (root != root[root]).any():
-            root = root[root]
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def _pigeonring(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which fingerprint pairs keep the chain budgets from their key's start and differ in few bits."""
     start, step = np.array(KEY_PAIRS)[key >> 22].T
