@@ -70,20 +70,28 @@ BOILERPLATE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
 _MAIN = {"article": 2, "main": 1}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d{3,}")
 
 
 class Run:
-    """A text run: its block, text and token, the tokens of its open elements, and what their names say."""
+    """A text run: its block, its text (plain: with single spaces) and where it stands."""
 
-    __slots__ = ("block", "text", "token", "chain", "bad", "main", "link", "heading")
+    __slots__ = ("block", "text", "plain", "at", "_token")
 
-    def __init__(self, block: int, text: str, token: int, at: Open):
-        self.block, self.text, self.token = block, text, token
-        self.chain, self.bad, self.main, self.link, self.heading = at.chain, at.bad, at.main, at.link, at.heading
+    def __init__(self, block: int, text: str, at: Open):
+        self.block, self.text, self.at = block, text, at
+        self.plain = " ".join(text.split())
+        self._token: int | None = None
+
+    @property
+    def token(self) -> int:
+        """Of its place and what it says; 0 for white space."""
+        if self._token is None:
+            self._token = _token(f"{self.at.path}\0{self.plain}") if self.plain else 0
+        return self._token
 
 
 @dataclass(slots=True)
@@ -116,67 +124,86 @@ def _named_bad(name: str, named: list[tuple], in_article: bool) -> bool:
     return False
 
 
+#: What an opening tag at a path means; emptied when it is full.
+_known_tags: dict[tuple[str, str, str, bool], tuple] = {}
+
+
+def _opening(path: str, name: str, attributes: str, in_article: bool) -> tuple[int, str, bool, int, bool]:
+    """Token, path inside, whether boilerplate by name, rank as main element, and whether it holds anything."""
+    key = (path, name, attributes, in_article)
+    found = _known_tags.get(key)
+    if found is None:
+        named = _NAMED.findall(attributes) if attributes else []
+        said = _DIGITS.sub("0", " ".join(a or b or c for _, a, b, c in named).lower()) if named else ""
+        inside = f"{path}/{name}.{said}" if name in BLOCK else path
+        holds = name not in VOID and not attributes.rstrip().endswith("/")
+        found = _token(f"{path}<{name} {said}"), inside, _named_bad(name, named, in_article), _MAIN.get(name, 1 if "main" in said.split() else 0), holds
+        if len(_known_tags) > 20_000:
+            _known_tags.clear()
+        _known_tags[key] = found
+    return found
+
+
 def walk(page: str) -> tuple[list[tuple[int, int]], list[Run], dict[int, str]]:
     """The tags of a page in order, as (token, runs before it), its text runs, and the names of its containers."""
     tags: list[tuple[int, int]] = []
     runs: list[Run] = []
     names: dict[int, str] = {}
-    stack = [Open("", "", 0, (), -1, 0, False, 0)]
-    block, at, size = 0, 0, len(page)
-
-    def text(raw: str) -> None:
-        if raw:
-            said = html_lib.unescape(raw)
-            plain = " ".join(said.split())
-            runs.append(Run(block, said, _token(f"{stack[-1].path}\0{plain}") if plain else 0, stack[-1]))
+    top = Open("", "", 0, (), -1, 0, False, 0)
+    stack = [top]
+    block, at, size, paragraphs = 0, 0, len(page), 0
+    search = _TAG.search
 
-    def close(name: str) -> None:
+    def close(name: str) -> int:
+        """Close the innermost such element and all in it; how many paragraphs that were."""
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name == name:
+                gone = sum([s.name == "p" for s in stack[i:]]) if paragraphs else 0
                 del stack[i:]
-                return
+                return gone
+        return 0
 
     while at < size:
-        found = _TAG.search(page, at)
+        found = search(page, at)
+        start = found.start() if found else size
+        if start > at:
+            raw = page[at:start]
+            runs.append(Run(block, html_lib.unescape(raw) if "&" in raw else raw, top))
         if not found:
-            text(page[at:])
             break
-        text(page[at : found.start()])
         at = found.end()
-        name = (found[2] or "").lower()
+        ending, name, attributes = found.groups()
         if not name:
             continue
-        if found[1]:
-            if name in BLOCK:
-                block += 1
-            close(name)
-            tags.append((_token(f"{stack[-1].path}</{name}"), len(runs)))
+        name = name.lower()
+        blocky = name in BLOCK
+        block += blocky
+        if ending:
+            paragraphs -= close(name)
+            top = stack[-1]
+            tags.append((_opening(top.path, "/" + name, "", False)[0], len(runs)))
             continue
-        if name in BLOCK:
-            block += 1
-            if any(s.name == "p" for s in stack):
-                close("p")
+        if blocky:
+            if paragraphs:
+                paragraphs -= close("p")
             if name == "li" and stack[-1].name == "li":
                 close("li")
-        named = _NAMED.findall(found[3]) if found[3] else []
-        said = _DIGITS.sub("0", " ".join(a or b or c for _, a, b, c in named).lower())
-        top = stack[-1]
-        token = _token(f"{top.path}<{name} {said}")
+            top = stack[-1]
+        token, path, bad, main, holds = _opening(top.path, name, attributes, top.main == 2)
         tags.append((token, len(runs)))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if name == "br":
-            runs.append(Run(block, " ", 0, top))
-        if name in VOID or found[3].rstrip().endswith("/"):
+            runs.append(Run(block, " ", top))
+        if not holds:
             continue
-        main = max(top.main, _MAIN.get(name, 1 if "main" in said.split() else 0))
-        bad = len(top.chain) if _named_bad(name, named, top.main == 2) else top.bad
-        path = f"{top.path}/{name}.{said}" if name in BLOCK else top.path
         if name in CONTAINERS:
             names[token] = name
-        stack.append(Open(name, path, token, (*top.chain, token), bad, main, top.link or name == "a", top.heading or HEADINGS.get(name, 0)))
+        paragraphs += name == "p"
+        top = Open(name, path, token, (*top.chain, token), len(top.chain) if bad else top.bad, max(top.main, main), top.link or name == "a", top.heading or HEADINGS.get(name, 0))
+        stack.append(top)
     return tags, runs, names
 
 
@@ -210,7 +237,7 @@ def occurrences(bodies: DataFrame) -> DataFrame:
                 for host, body, page in zip(*(part.column(c).to_pylist() for c in ("host", "body", "html")), strict=True):
                     tags, runs, _ = walk(page)
                     times = Counter((t, False) for t, _ in tags)
-                    times.update((r.token, True) for r in runs if r.token)
+                    times.update((r.token, True) for r in runs if r.plain)
                     times[0, False] = 1
                     for (token, is_text), n in times.items():
                         seen = found.setdefault((host, token, is_text), [0, 0, 0])
@@ -288,29 +315,29 @@ def vote(tags: list[tuple[int, int]], runs: list[Run], names: dict[int, str], of
 
     ``texts`` of a class count only where the page has no other words.
     """
-    if any(r.token and r.bad < 0 and not r.link and r.token not in texts for r in runs):
-        skip = texts
-    else:
-        skip = frozenset()
+    plain = [r.plain and r.at.bad < 0 and not r.at.link for r in runs]
+    if texts and any(r.token not in texts for r, p in zip(runs, plain, strict=True) if p):
+        plain = [p and r.token not in texts for r, p in zip(runs, plain, strict=True)]
     words: Counter[int] = Counter()
-    holder: dict[int, Run] = {}
-    cuts = iter([(n, t) for t, n in tags if t in of])
+    holder: dict[int, tuple[int, Run]] = {}
+    cuts = iter([n for t, n in tags if t in of])
     slot, upcoming = -1, next(cuts, None)
     for i, r in enumerate(runs):
-        while upcoming and upcoming[0] <= i:
+        while upcoming is not None and upcoming <= i:
             slot, upcoming = slot + 1, next(cuts, None)
-        if r.token and r.bad < 0 and not r.link and r.token not in skip:
-            n = len(r.text.split())
+        if plain[i]:
+            n = r.plain.count(" ") + 1
             words[slot] += n
-            if slot not in holder or n > len(holder[slot].text.split()):
-                holder[slot] = r
+            if slot not in holder or n > holder[slot][0]:
+                holder[slot] = n, r
     if not words:
         return 0, 0
     slot, most = max(words.items(), key=lambda s: (s[1], -s[0]))
-    inside = [t for t in reversed(holder[slot].chain) if t in of and t in names]
+    inside = [t for t in reversed(holder[slot][1].at.chain) if t in of and t in names]
     parts = [t for t in inside if names[t] != "body"]  # the body holds every heading
-    for level in HEADINGS.values():
-        titled = {t for r in runs if r.heading == level and r.token and r.bad < 0 for t in r.chain}
+    headings = [r for r in runs if r.at.heading and r.plain and r.at.bad < 0]
+    for level in sorted({r.at.heading for r in headings}):
+        titled = {t for r in headings if r.at.heading == level for t in r.at.chain}
         if found := next((t for t in parts if t in titled), None):
             return found, most
     article = next((t for t in parts if names[t] in _MAIN), None)
@@ -378,9 +405,9 @@ class Template:
 
 def _by_names(runs: list[Run], beyond: int | None = None) -> list[Run]:
     """Runs outside boilerplate; of an article or main element where there is one. Names count from inside the element ``beyond``."""
-    kept = [r for r in runs if r.bad < (r.chain.index(beyond) + 1 if beyond else 0)]
-    rank = max((r.main for r in kept if r.token), default=0)
-    return [r for r in kept if r.main == rank]
+    kept = [r for r in runs if r.at.bad < (r.at.chain.index(beyond) + 1 if beyond else 0)]
+    rank = max((r.at.main for r in kept if r.plain), default=0)
+    return [r for r in kept if r.at.main == rank]
 
 
 def main_text(page: str, template: Template | None) -> str:
@@ -395,10 +422,10 @@ def main_text(page: str, template: Template | None) -> str:
         if main is None:
             kept = _by_names(runs)
         else:
-            kept = _by_names([r for r in runs if main in r.chain], main)
+            kept = _by_names([r for r in runs if main in r.at.chain], main)
             drop = template.texts
     blocks = (list(block) for _, block in groupby(kept, key=lambda r: r.block))
-    own = (b for b in blocks if not drop or any(r.heading or r.token and r.token not in drop for r in b))
+    own = (b for b in blocks if not drop or any(r.plain and (r.at.heading or r.token not in drop) for r in b))
     said = (" ".join("".join(r.text for r in b).split()) for b in own)
     return "\n".join(s for s in said if s)
 

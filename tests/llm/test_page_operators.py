@@ -198,7 +198,7 @@ def test_classes_equal_brute_force(spark):
         vectors, text = defaultdict(list), Counter()
         walked = [html_text.walk(b) for b in sorted(bodies)]
         for k, (tags, runs, _) in enumerate(walked):
-            for key, n in Counter([(t, False) for t, _ in tags] + [(r.token, True) for r in runs if r.token]).items():
+            for key, n in Counter([(t, False) for t, _ in tags] + [(r.token, True) for r in runs if r.plain]).items():
                 vectors[key].append((k, n))
         for (_, is_text), v in vectors.items():
             if is_text:
