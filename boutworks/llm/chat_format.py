@@ -9,15 +9,20 @@ assistants' texts and follows from prefix sums over segment lengths.
     <|im_start|>{role}\\n{text}<|im_end|>\\n
 
 Escaping: inside a text, ``<|`` becomes ``<\\|`` and every backslash run after a
-``<`` that stands before ``|`` gains one backslash; undoing drops one. Formatted
-turns are written as packed ids and mask bits, one row per turn with its place in
-the conversation; a conversation is read back turn by turn, so that one of any
-length needs no more memory than its longest turn.
+``<`` that stands before ``|`` gains one backslash; undoing drops one.
+
+Every turn is encoded, and read back, where its row lies: formatted turns are one
+row each, with packed ids and a mask byte per id. Only the digests of a conversation
+need its turns in order; for these the turns are shuffled by conversation, sorted,
+and hashed as a stream, so that a conversation of any length costs one task no more
+than that and no more memory than its longest turn.
 
 Defined cases: null text is empty; a null role is the empty role; turns go by
-(turn, role, text), nulls first, so repeated turn numbers have a fixed order;
-rows with a null conv_id form one conversation; a role may hold anything, it is
-escaped like text, with line feeds as ``<\\n``.
+(turn, role, text), nulls first, so repeated turn numbers have a fixed order and
+repeated rows count each; rows with a null conv_id form one conversation; a role
+may hold anything, it is escaped like text, with line feeds as ``<\\n``; very long
+texts are encoded whole; an empty table has an empty result (``report`` adds its
+one conversation); other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from boutworks.llm._batches import bound_batches, chunks
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -94,7 +100,8 @@ class ChatTokenizer:
         return self.encoding.decode(ids)
 
 
-FORMATTED = "conv_id long, place long, ids binary, mask binary"
+FORMATTED = "conv_id long, turn long, ids binary, mask binary"
+TURNS = "conv_id long, turn long, role string, text string, loss string, formatted_chars long"
 
 
 def _assemble(tok: ChatTokenizer, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -111,98 +118,89 @@ def _assemble(tok: ChatTokenizer, role: str, text: str) -> tuple[np.ndarray, np.
     return ids, np.cumsum(edge[:-1], dtype=np.int8)
 
 
-def ordered_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text), hashed by conversation and sorted by turn."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+def _batch(rows: list[tuple], schema: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
 
 def format_turns(conversations: DataFrame, tokenizer: ChatTokenizer) -> DataFrame:
-    """(conv_id, place, ids, mask): the formatted turns, in order inside each conversation.
+    """(conv_id, turn, ids, mask): the formatted turns, a row each, in no order.
 
     ``ids`` are packed little-endian unsigned 32-bit, ``mask`` a byte per id.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place = object(), 0
         for batch in batches:
-            out: list[tuple] = []
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                now, place = conv, (place + 1 if conv == now else 0)
-                ids, mask = _assemble(tokenizer, role, text)
-                out.append((conv, place, ids.tobytes(), mask.tobytes()))
-            if out:
-                made = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(m, k) for m, k in zip(made, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["conv_id", "place", "ids", "mask"])
-
-    return ordered_turns(conversations).select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
-
-
-class ReadBack:
-    """Parses a formatted conversation from its ids, turn by turn."""
-
-    def __init__(self, tok: ChatTokenizer):
-        self.tok = tok
-        self.turns, self.loss_chars, self.formatted = 0, 0, 0
-        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
-
-    def add(self, ids: list[int], mask: np.ndarray) -> None:
-        tok = self.tok
-        if ids[0] != tok.start_id or ids.count(tok.start_id) != 1 or ids.count(tok.end_id) != 1:
-            raise ValueError("a formatted turn has other marks than its own")
-        end = ids.index(tok.end_id)
-        role, _, text = tok.decode(ids[1:end]).partition("\n")
-        role, text = unescape_role(role), unescape(text)
-        if tok.decode(ids[end + 1 :]) != "\n":
-            raise ValueError("a formatted turn doesn't end in a line feed")
-        self.turns += 1
-        self.formatted += len(tok.decode(ids))
-        self.said.update(f"{role}\n{text}\n".encode())
-        trained = np.flatnonzero(mask)
-        masked = unescape(tok.decode([ids[i] for i in trained.tolist()]))
-        self.loss_chars += len(masked)
-        self.loss.update(masked.encode())
-
-    def row(self, conv) -> tuple:
-        return conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
+            for part in chunks(batch, "text"):
+                out = []
+                for conv, turn, role, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    ids, mask = _assemble(tokenizer, role, text)
+                    out.append((conv, turn, ids.tobytes(), mask.tobytes()))
+                yield _batch(out, FORMATTED, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    bound_batches(conversations.sparkSession)
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, FORMATTED)
+
+
+def read_turn(tok: ChatTokenizer, ids: list[int], mask: np.ndarray) -> tuple[str, str, str, int]:
+    """Role, text, text under the loss mask and length of a formatted turn, from its ids and mask alone."""
+    if ids[0] != tok.start_id or ids.count(tok.start_id) != 1 or ids.count(tok.end_id) != 1:
+        raise ValueError("a formatted turn has other marks than its own")
+    end = ids.index(tok.end_id)
+    role, _, text = tok.decode(ids[1:end]).partition("\n")
+    if tok.decode(ids[end + 1 :]) != "\n":
+        raise ValueError("a formatted turn doesn't end in a line feed")
+    masked = tok.decode([ids[i] for i in np.flatnonzero(mask).tolist()])
+    return unescape_role(role), unescape(text), unescape(masked), len(tok.decode(ids))
+
+
+def read_turns(formatted: DataFrame, tokenizer: ChatTokenizer) -> DataFrame:
+    """(conv_id, turn, role, text, loss, formatted_chars); ``loss`` is null where it equals the text."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "ids"):
+                out = []
+                for conv, turn, ids, mask in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    role, text, loss, size = read_turn(tokenizer, np.frombuffer(ids, dtype="<u4").tolist(), np.frombuffer(mask, dtype=np.int8))
+                    out.append((conv, turn, role, text, None if loss == text else loss, size))
+                yield _batch(out, TURNS, kinds)
+
+    return formatted.select("conv_id", "turn", "ids", "mask").mapInArrow(run, TURNS)
 
 
 REPORT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(formatted: DataFrame, tokenizer: ChatTokenizer) -> DataFrame:
-    """Digests per conversation, from the ids and masks of ``format_turns`` alone.
-
-    Rows must come in the order that ``format_turns`` gives them; a table read back needs ``in_order`` first.
-    """
+    """Digests per conversation, from what ``format_turns`` gave alone."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = [f.strip().split()[0] for f in REPORT.split(",")]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        made = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(m, k) for m, k in zip(made, kinds, strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reader = None, None
+        now, held = None, None
+        row = lambda: (now, held[0], held[1].hexdigest(), held[2], held[3].hexdigest(), held[4])
         for batch in batches:
             done: list[tuple] = []
-            for conv, place, ids, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if place == 0:
-                    if reader:
-                        done.append(reader.row(now))
-                    now, reader = conv, ReadBack(tokenizer)
-                reader.add(np.frombuffer(ids, dtype="<u4").tolist(), np.frombuffer(mask, dtype=np.int8))
+            for conv, _, role, text, loss, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or conv != now:
+                    if held:
+                        done.append(row())
+                    now, held = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                loss = text if loss is None else loss
+                held[0] += 1
+                held[1].update(f"{role}\n{text}\n".encode())
+                held[2] += len(loss)
+                held[3].update(loss.encode())
+                held[4] += size
             if done:
-                yield batch_of(done)
-        if reader:
-            yield batch_of([reader.row(now)])
-
-    return formatted.select("conv_id", "place", "ids", "mask").mapInArrow(run, REPORT)
-
+                yield _batch(done, REPORT, kinds)
+        if held:
+            yield _batch([row()], REPORT, kinds)
 
-def in_order(formatted: DataFrame) -> DataFrame:
-    """A stored table of formatted turns, again by conversation and place."""
-    return formatted.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "place")
+    turns = read_turns(formatted, tokenizer).repartition("conv_id")
+    return turns.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text").mapInArrow(run, REPORT)
 
 
 def report(conversations: DataFrame, tokenizer: ChatTokenizer) -> DataFrame:

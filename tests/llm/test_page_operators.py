@@ -297,7 +297,7 @@ def test_masks_and_marks(spark):
         ids, mask = np.frombuffer(r.ids, "<u4").tolist(), np.frombuffer(r.mask, np.int8)
         assert ids[0] == tok.start_id and ids.count(tok.start_id) == ids.count(tok.end_id) == 1 and len(ids) == len(mask)
         assert not mask[0] and not mask[ids.index(tok.end_id) :].any()
-    stored = chat_format.in_order(chat_format.format_turns(table, tok).repartition(3))
+    stored = chat_format.format_turns(table, tok).repartition(3)
     assert bag(chat_format.read_back(stored, tok).collect()) == bag(r for r in brute_conversations(TURNS) if r[0] != -1)
 
 
