@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,11 @@ def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).drop_null()
         u, v = (table.column(c).combine_chunks() for c in ("u", "v"))
         coded = pa.concat_arrays([u, v]).dictionary_encode()
-        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        order = pc.sort_indices(coded.dictionary)
+        names, place = coded.dictionary.take(order), np.empty(len(order), dtype=np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        codes = place[coded.indices.to_numpy()]
+        # stars around the smallest node, so that those of different partitions often are the same
         node, root = spanning_forest(codes[: len(u)], codes[len(u) :])
         return pa.RecordBatch.from_arrays([names.take(pa.array(node)), names.take(pa.array(root))], schema=held[0].schema)
 
@@ -85,12 +90,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node aren't listed.
     """
     given = edges.select("u", "v").where("u <> v")
-    now = staged(given.mapInArrow(_local_stars, given.schema), "edges")
-    # the stars of one partition point to their smallest code, not to their smallest node: one round at least
+    now = staged(given.mapInArrow(_local_stars, given.schema).distinct(), "edges")
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)), "stars")
         if _settled(now):
             break
+        now = staged(_small_star(_large_star(now)), "stars")
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
