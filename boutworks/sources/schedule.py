@@ -13,6 +13,30 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+def read_seasons(spark: SparkSession, paths: dict[int, str], reader=read_schedule) -> tuple[DataFrame, list[int]]:
+    """The finished games of all seasons, with ``season``, and the seasons without any.
+
+    Every season is read and checked before anything is returned: one that can't be read, or lacks a column, is an error
+    that names all such seasons, so a short result is never stored as a whole one. No games at all are an error too.
+    """
+    failed, empty, out = {}, [], None
+    for season, path in sorted(paths.items()):
+        try:
+            games = normalise(reader(spark, path)).withColumn("season", F.lit(season))
+            if games.isEmpty():
+                empty.append(season)
+                continue
+        except Exception as e:  # reported below
+            failed[season] = str(e).splitlines()[0][:200]
+            continue
+        out = games if out is None else out.unionByName(games, allowMissingColumns=True)
+    if failed:
+        raise RuntimeError("seasons that can't be read: " + "; ".join(f"{k} ({v})" for k, v in failed.items()))
+    if out is None:
+        raise ValueError("there are no games")
+    return out, empty
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """The known columns under one name; display names win over names, unfinished games go.
 

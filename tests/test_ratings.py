@@ -264,6 +264,26 @@ def test_state_documents(spark):
         state.import_state(state.export_state(rated, Ensemble()), Elo()).collect()
     with pytest.raises(ValueError):
         state.system_named("nothing")
+    said = json.loads(state.export_state(rated, Ensemble()).first().document)
+    assert {"id", "created_at", "type", "version", "parameters", "games", "rating", "state"} == set(said)
+
+
+def test_states_are_checked_and_older_ones_read(spark):
+    def read(system, *documents):
+        rows = [("x", f"c{i}", d if d is None else json.dumps(d)) for i, d in enumerate(documents)]
+        return [json.loads(r.state) for r in state.import_state(spark.createDataFrame(rows, "league string, competitor string, document string"), system).orderBy("competitor").collect()]
+
+    assert read(Elo(), {"initial_rating": 500, "current_rating": 512.5}, {"initial_rating": 450}) == [[512.5], [450.0]]
+    assert read(Glicko(), {"current_rating": 1600, "current_rd": 80}) == [[1600.0, 80.0, None]]
+    assert read(Glicko2(), {"current_mu": 0.5, "current_phi": 1.0, "current_volatility": 0.05})[0] == [0.5, 1.0, 0.05, None]
+    assert read(TrueSkill(), {"current_mu": 27.0, "current_sigma": 6.0}) == [[27.0, 6.0]]
+    assert read(Dwz(), {"current_rating": 900, "count": 4}) == [[900.0, 4]]
+    assert read(Ecf(), {"scores": [100.0, 150.0]}, {"initial_rating": 90}) == [[100.0, 150.0], [90.0]]
+    typed = lambda name, s: {"type": name, "version": 1, "state": s}
+    for system, wrong in ((Elo(), typed("elo", [])), (Elo(), typed("elo", [None])), (Elo(), typed("elo", [1.0, 2.0])), (Glicko(), typed("glicko", [1500.0, None, None])), (Ecf(periods=2), typed("ecf", [1.0, 2.0, 3.0])), (Ensemble(), typed("ensemble", [[400.0]])), (Elo(), None)):
+        with pytest.raises(Exception, match="state of version"):
+            read(system, wrong)
+    assert read(Ensemble(), typed("ensemble", [[400.0], [1500.0, 350.0, None]])) == [[[400.0], [1500.0, 350.0, None]]]
 
 
 def test_expected_columns_match_the_systems(spark):

@@ -59,6 +59,20 @@ def test_schedule(spark, tmp_path):
         schedule.normalise(spark.range(1).withColumnRenamed("id", "date"))
 
 
+def test_seasons_fail_as_a_whole(spark, tmp_path):
+    head = "start_date,home_team,away_team,home_points,away_points\n"
+    files = {2001: head + "2001-09-01,P,Q,3,1\n", 2002: head, 2003: head + "2003-09-01,Q,P,0,0\n", 2004: "start_date,home_team\n2004-09-01,P\n"}
+    for year, text in files.items():
+        (tmp_path / f"{year}.csv").write_text(text)
+    paths = {y: str(tmp_path / f"{y}.csv") for y in files}
+    with pytest.raises(RuntimeError, match="2004 .*2005"):
+        schedule.read_seasons(spark, {**paths, 2005: str(tmp_path / "none.csv")})
+    games, empty = schedule.read_seasons(spark, {y: p for y, p in paths.items() if y < 2004})
+    assert empty == [2002] and {(r.season, r.home_team) for r in games.collect()} == {(2001, "P"), (2003, "Q")}
+    with pytest.raises(ValueError, match="no games"):
+        schedule.read_seasons(spark, {2002: paths[2002]})
+
+
 def test_synthetic_repeats_and_is_sound(spark):
     one = synthetic.bouts(spark, 500, 10, draw_probability=0.5).orderBy("seq").collect()
     two = synthetic.bouts(spark, 500, 10, draw_probability=0.5).repartition(7).orderBy("seq").collect()
