@@ -9,7 +9,10 @@ one segment are merged at once only where no new pair could rank before it.
 
 Defined cases: a null or empty text encodes to the begin and end ids alone and
 decodes to the empty string; a literal U+2581 decodes to a space, as in the
-sentencepiece library; bytes that aren't UTF-8 become U+FFFD before encoding.
+sentencepiece library; bytes that aren't UTF-8 become U+FFFD before encoding;
+repeated rows are encoded each; a very long text is a chunk of its own and encoded
+whole; of equal merges in a segment the leftmost is first; an empty table has an
+empty result. Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
