@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +106,29 @@ def team_strength(ratings: DataFrame, teams: DataFrame) -> DataFrame:
     """Sum of the means and root of the summed variances of (team, competitor) members."""
     rows = teams.join(ratings, "competitor")
     return rows.groupBy("team").agg(F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))).alias("sigma"), F.avg("mu").alias("mean"))
+
+
+def team_bouts(members: DataFrame, bouts: DataFrame, beta: float = 4.166, tau: float = 0.083) -> DataFrame:
+    """(team, competitor, mu, sigma) after each team played at most one decided bout of (winner, loser).
+
+    Skills and uncertainties of a team's members add up; each member moves by its own share of the uncertainty. A team
+    in several bouts is an error; teams without a bout keep their values.
+    """
+    from boutworks.functions.special import normal_cdf
+
+    grown = members.withColumn("v", F.col("sigma") * F.col("sigma") + tau**2)
+    sums = grown.groupBy("team").agg(F.sum("mu").alias("m"), F.sum("v").alias("s"), F.count("*").alias("n"))
+    side = lambda c, p: sums.select(F.col("team").alias(c), F.col("m").alias(f"m{p}"), F.col("s").alias(f"s{p}"), F.col("n").alias(f"n{p}"))
+    met = bouts.select("winner", "loser").join(side("winner", 1), "winner").join(side("loser", 2), "loser")
+    c = F.sqrt(beta**2 * (F.col("n1") + F.col("n2")) + F.col("s1") + F.col("s2"))
+    met = met.withColumn("c", c).withColumn("t", (F.col("m1") - F.col("m2")) / F.col("c"))
+    density = F.exp(-F.col("t") * F.col("t") / 2) / math.sqrt(2 * math.pi)
+    met = met.withColumn("shift", density / F.greatest(normal_cdf(F.col("t")), F.lit(1e-300))).withColumn("shrink", F.col("shift") * (F.col("shift") + F.col("t")))
+    moves = met.select(F.explode(F.array(F.struct(F.col("winner").alias("team"), F.lit(1.0).alias("sign")), F.struct(F.col("loser").alias("team"), F.lit(-1.0).alias("sign")))).alias("x"), "c", "shift", "shrink").select("x.*", "c", "shift", "shrink")
+    once = moves.groupBy("team").agg(F.count("*").alias("k"), *[F.first(x).alias(x) for x in ("sign", "c", "shift", "shrink")])
+    twice = F.raise_error(F.concat(F.lit("a team is in several bouts: "), F.col("team").cast("string"))).cast("double")
+    out = grown.join(once, "team", "left").withColumn("_ok", F.when(F.col("k") > 1, twice).otherwise(0.0))
+    moved = F.col("mu") + F.col("sign") * F.col("v") / F.col("c") * F.col("shift") + F.col("_ok")
+    left = F.sqrt(F.col("v") * F.greatest(1 - F.col("v") / (F.col("c") * F.col("c")) * F.col("shrink"), F.lit(0.0)))
+    played = F.col("k").isNotNull()
+    return out.select("team", "competitor", F.when(played, moved).otherwise(F.col("mu")).alias("mu"), F.when(played, left).otherwise(F.col("sigma")).alias("sigma"))

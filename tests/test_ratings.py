@@ -470,3 +470,27 @@ def test_evaluation_equals_a_loop(spark):
         assert (got.n, round(got.accuracy * got.n)) == (total, right)
         assert got.accuracy <= got.accuracy_opt == got.optimized_accuracy and sum(c.total for c in got.cohorts) == total
         assert got.top == [w for w, _ in sorted(((w, round(system.rating(s), 6)) for w, s in known.items()), key=lambda x: (-x[1], x[0]))[:5]]
+
+
+def test_team_bouts(spark):
+    """A team of one moves as its only member; in a team, the less certain member moves more."""
+    rows = [(1, "a", 25.0, 8.333), (2, "b", 25.0, 8.333), (3, "c", 30.0, 2.0), (3, "d", 20.0, 6.0), (4, "e", 22.0, 4.0), (4, "f", 28.0, 4.0), (5, "g", 9.0, 1.0)]
+    members = spark.createDataFrame(rows, "team int, competitor string, mu double, sigma double")
+    bouts = spark.createDataFrame([(1, 2), (4, 3)], "winner int, loser int")
+    got = {r.competitor: (r.mu, r.sigma) for r in matchmaking.team_bouts(members, bouts).collect()}
+    t = TrueSkill(draw_probability=0.0)
+    a, b = t.new(), t.new()
+    t.play(a, b, 1.0, None)
+    assert got["a"] == pytest.approx(tuple(a)) and got["b"] == pytest.approx(tuple(b)) and got["g"] == (9.0, 1.0)
+    assert 30.0 - got["c"][0] < 20.0 - got["d"][0] and got["e"][0] > 22.0 and got["d"][1] < 6.0
+    with pytest.raises(Exception, match="several bouts"):
+        matchmaking.team_bouts(members, spark.createDataFrame([(1, 2), (1, 3)], "winner int, loser int")).collect()
+
+
+def test_batches(spark):
+    from boutworks.sources.batches import batches
+
+    assert [len(b) for b in batches(spark.range(25), 10)] == [10, 10, 5] and list(batches(spark.range(0), 3)) == []
+    for wrong in (0, -1, True, 2.5):
+        with pytest.raises(ValueError):
+            batches(spark.range(3), wrong)
