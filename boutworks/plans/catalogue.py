@@ -206,6 +206,15 @@ def team_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matchmaking.match_teams(teams), 4, "gap")
 
 
+def team_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams of even number beat the next ones."""
+    who = bouts_events(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("competitor")).distinct()
+    k = F.col("competitor").cast("long")
+    members = who.select("competitor", (k % 10).alias("team"), (20 + k % 11).cast("double").alias("mu"), (4 + k % 5).cast("double").alias("sigma"))
+    bouts = spark.range(0, 10, 2).select(F.col("id").alias("winner"), (F.col("id") + 1).alias("loser"))
+    return _rounded(matchmaking.team_bouts(members, bouts), 6, "mu", "sigma")
+
+
 def closest_pair_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matchmaking.closest_pair(_rated(spark, sf_dir)[1]), 6, "gap").drop("league")
 
@@ -348,6 +357,7 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "outcome_comparison": (outcome_comparison, oracle.COMPARED),
     "least_compared": (least_compared, oracle.LEAST_COMPARED),
     "team_matches": (team_matches, oracle.TEAM_MATCHES),
+    "team_bouts": (team_bouts, oracle.TEAM_BOUTS),
     "evaluation_report": (evaluation_report, oracle.EVALUATION_REPORT),
     "state_round_trip": (state_round_trip, oracle.ELO),
     "glicko_leaderboard": (_board(systems.Glicko(), timed=True), oracle.GLICKO),

@@ -381,6 +381,13 @@ SELECT seq, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN round(x, 6) END AS sc
 QUARANTINE = f"""WITH {BOUTS}, o AS (SELECT seq, CASE seq % 9 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN -1.0::DOUBLE ELSE outcome END AS outcome FROM bouts)
 SELECT seq, coalesce(outcome IN (0.0, 0.5, 1.0), true) AS kept FROM o"""
 COMPARED = f"""WITH {BOUTS} SELECT seq, a, b, CASE WHEN score_a > score_b * 1.5::DOUBLE THEN 1.0::DOUBLE WHEN score_b > score_a * 1.5::DOUBLE THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS outcome FROM bouts"""
+TEAM_BOUTS = f"""WITH {BOUTS}, g AS (SELECT c AS competitor, CAST(c AS BIGINT) % 10 AS team, (20 + CAST(c AS BIGINT) % 11)::DOUBLE AS mu, (4 + CAST(c AS BIGINT) % 5)::DOUBLE AS sigma,
+    (4 + CAST(c AS BIGINT) % 5) * (4 + CAST(c AS BIGINT) % 5) + 0.083::DOUBLE * 0.083::DOUBLE AS v FROM (SELECT a AS c FROM bouts UNION SELECT b FROM bouts)),
+s AS (SELECT team, sum(mu) AS m, sum(v) AS s, count(*) AS n FROM g GROUP BY team),
+t AS (SELECT w.team AS winner, l.team AS loser, w.m - l.m AS d, sqrt(4.166::DOUBLE * 4.166::DOUBLE * (w.n + l.n) + w.s + l.s) AS c FROM s w JOIN s l ON w.team % 2 = 0 AND l.team = w.team + 1),
+k AS (SELECT winner, loser, c, d / c AS t, {_pdf("d / c")} / {_cdf("d / c")} AS shift FROM t),
+moves AS (SELECT winner AS team, 1.0::DOUBLE AS sign, c, shift, shift * (shift + t) AS shrink FROM k UNION ALL SELECT loser, -1.0::DOUBLE, c, shift, shift * (shift + t) FROM k)
+SELECT g.team, competitor, round(CASE WHEN c IS NULL THEN mu ELSE mu + sign * v / c * shift END, 6) AS mu, round(CASE WHEN c IS NULL THEN sigma ELSE sqrt(v * greatest(1 - v / (c * c) * shrink, 0)) END, 6) AS sigma FROM g LEFT JOIN moves ON moves.team = g.team"""
 LEAST_COMPARED = f"WITH {RATED} SELECT competitor, games FROM rated ORDER BY games, competitor LIMIT 2"
 TEAM_MATCHES = f"""WITH {RATED}, t AS (SELECT CAST(competitor AS BIGINT) % 10 AS team, round(sum(rating), 4) AS mu FROM rated GROUP BY 1), k AS (SELECT team, mu, row_number() OVER (ORDER BY mu DESC, team) - 1 AS k FROM t)
 SELECT x.team AS a, y.team AS b, round(x.mu - y.mu, 4) AS gap FROM k x JOIN k y ON x.k % 2 = 0 AND y.k = x.k + 1"""
