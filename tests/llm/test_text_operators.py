@@ -1,5 +1,6 @@
 """Text operators against brute force, on awkward rows and on the smallest tables."""
 
+import functools
 import hashlib
 import math
 import random
@@ -172,6 +173,7 @@ def brute_kneser_ney(rows, order=kneser_ney.ORDER):
             free[g[:-1]] += d[k][min(c, 3)]
     rest = sum(d[1][min(c, 3)] for c in count[1].values()) / bigrams if bigrams else 1.0
 
+    @functools.cache
     def p(g):
         c = count[len(g)].get(g, 0)
         if len(g) == 1:
