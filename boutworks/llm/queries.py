@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import chat_format, decontamination, html_text, kneser_ney, license_scan, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
+from boutworks.llm import chat_format, decontamination, html_text, kneser_ney, license_scan, packing, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
 from boutworks.runtime import read_table
 
 CHAT_TOKENIZER = chat_format.ChatTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -54,6 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"), packing.tokenizer_of(PACKING_TOKENIZER))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes this module's parameters
 
@@ -61,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (pipeline, op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup, op12_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
