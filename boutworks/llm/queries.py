@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boutworks.llm import chat_format, decontamination, html_text, kneser_ney, license_scan, packing, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
+from boutworks.llm import chat_format, decontamination, html_text, kneser_ney, license_scan, packing, phrases, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
 from boutworks.runtime import read_table
 
 CHAT_TOKENIZER = chat_format.ChatTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -59,6 +59,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"), packing.tokenizer_of(PACKING_TOKENIZER))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes this module's parameters
 
@@ -66,8 +70,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup, op12_packing)}
+    return {f.__name__: f for f in (pipeline, op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup, op12_packing, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.SQL, "op5_chat_format": chat_format.SQL, "op6_warc": warc.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op5_chat_format": chat_format.SQL, "op6_warc": warc.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL, "op13_phrases": phrases.SQL}
