@@ -45,7 +45,7 @@ from boutworks.llm._batches import append_columns, binary_from, gather, give_bac
 from boutworks.runtime import staged
 
 SEQUENCE = 2048
-#: Documents whose tails are packed together; their tails are at most 16 MB at two bytes an id.
+#: Documents whose tails are packed together; their tails are 16 MB at most at two bytes an id.
 GROUP_DOCS = 4096
 #: Smaller gaps are padded, larger ones are filled by cutting a tail.
 MIN_CUT = 32
@@ -62,21 +62,27 @@ _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _ASCII_DIGIT = np.zeros(256, dtype=bool)
 _ASCII_DIGIT[0x30:0x3A] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[*b".,;:!?"]] = True
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[0x21:0x7F] = True
 
 
 def unit_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the units of the texts begin: at each text, and before white space that follows a character that surely isn't.
+    """Where the units of the texts begin: at each text, before white space that follows a character that surely isn't,
+    and between a letter and one of ``.,;:!?``.
 
-    Such characters are printable ASCII and the letters led by the byte C3.
+    Such characters are printable ASCII and those led by the byte C3, and such letters those of ASCII and of C3.
     """
     if not len(flat):
         return np.zeros(0, dtype=np.int64)
     solid = _GRAPHIC[flat]
-    solid[1:] |= flat[:-1] == 0xC3
+    latin = flat[:-1] == 0xC3
+    solid[1:] |= latin
+    letter = _ASCII_LETTER[flat]
+    letter[1:] |= latin & (flat[1:] != 0x97) & (flat[1:] != 0xB7)  # the signs of multiplication and division
     cut = np.zeros(len(flat), dtype=bool)
-    cut[1:] = _WHITE[flat[1:]] & solid[:-1]
+    cut[1:] = (_WHITE[flat[1:]] & solid[:-1]) | (_STOP[flat[1:]] & letter[:-1])
     cut[offsets[:-1][offsets[:-1] < len(flat)]] = True
     starts = np.flatnonzero(cut)
     sizes = np.diff(np.append(starts, len(flat)))
@@ -157,9 +163,16 @@ def tokenizer_of(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def _tail_kind(tokenizer: Tokenizer, end_id: int) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if max(tokenizer.library.get_vocab_size(), end_id) <= 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, tokenizer: Tokenizer, end_id: int, sequence: int = SEQUENCE) -> DataFrame:
     """(doc_id, doc_tokens, crcs of the full sequences, tail ids, row) of each document."""
 
+    kind = _tail_kind(tokenizer, end_id)
+
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         ids, offsets = tokenizer.encode(text_array(batch.column("text")))
         n, crcs, tails = [], [], []
@@ -168,7 +181,7 @@ def encoded(docs: DataFrame, tokenizer: Tokenizer, end_id: int, sequence: int =
             full = len(own) // sequence
             n.append(len(own))
             crcs.append([zlib.crc32(own[k * sequence : (k + 1) * sequence]) for k in range(full)])
-            tails.append(own[full * sequence :].tobytes())
+            tails.append(own[full * sequence :].astype(kind).tobytes())
         return [pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())]
 
     fields = [T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType())]
@@ -228,6 +241,8 @@ def pack(sizes: list[int], room: int, min_cut: int = MIN_CUT) -> list[list[tuple
             gap -= part
             if not fill[e]:
                 low -= 1
+        if gap >= min_cut:  # it is the last one
+            break
         done.append(held[b])
         top += 1
     if top == low:
@@ -258,12 +273,13 @@ def packed(docs: DataFrame, tokenizer: Tokenizer, end_id: int = 1, sequence: int
     """One row per piece: its document, place and checksum there, and its sequence and place there."""
     if sequence < 1 or group_docs < 1 or min_cut < 1:
         raise ValueError("sequence, group_docs and min_cut must be positive")
+    kind = _tail_kind(tokenizer, end_id)
     rows = staged(encoded(docs, tokenizer, end_id, sequence), "packing")
     groups = max(1, -(-rows.count() // group_docs))
 
     def pieces_of(group: int, own: list[tuple]) -> Iterator[pa.RecordBatch]:
         own.sort(key=lambda r: r[4])
-        tails = [np.frombuffer(r[3], dtype="<u4") for r in own]
+        tails = [np.frombuffer(r[3], dtype=kind).astype("<u4") for r in own]
         out = []
         number = group << 32
         for doc_id, tokens, crcs, _, _ in own:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boutworks.llm import chat_format, decontamination, html_text, kneser_ney, license_scan, packing, phrases, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
+from boutworks.llm import chat_format, decontamination, hard_negatives, html_text, kneser_ney, license_scan, packing, phrases, quality_rules, sentencepiece_bpe, simhash, substring_dedup, warc
 from boutworks.runtime import read_table
 
 CHAT_TOKENIZER = chat_format.ChatTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -55,6 +56,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"), packing.tokenizer_of(PACKING_TOKENIZER))
 
@@ -70,8 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup, op12_packing, op13_phrases)}
+    return {f.__name__: f for f in (pipeline, op1_license_scan, op2_sentencepiece, op3_quality_rules, op4_html_text, op5_chat_format, op6_warc, op7_kneser_ney, op8_simhash, op9_decontamination, op10_substring_dedup, op11_hard_negatives, op12_packing, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.SQL, "op5_chat_format": chat_format.SQL, "op6_warc": warc.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL, "op13_phrases": phrases.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op5_chat_format": chat_format.SQL, "op6_warc": warc.SQL, "op9_decontamination": decontamination.SQL, "op10_substring_dedup": substring_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_phrases": phrases.SQL}
