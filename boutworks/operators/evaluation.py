@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutworks.functions.outcomes import actual_winner, predicted_label, predicted_loser, predicted_winner
-from boutworks.operators.sequence import running_sums, with_sequence
+from boutworks.operators.sequence import running_sums, segmented_sums, with_sequence
 from boutworks.runtime import staged
 
 
@@ -118,9 +118,8 @@ def cohorts(history: DataFrame, earlier: DataFrame | None = None, bin_size: int
     """
     if isinstance(bin_size, bool) or bin_size <= 0:
         raise ValueError("bin_size must be a positive integer")
-    both = history.select("seq", F.explode(F.array("a", "b")).alias("who"))
-    before = F.count("*").over(Window.partitionBy("who").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    seen = both.withColumn("k", before)
+    both = history.select("seq", F.explode(F.array("a", "b")).alias("who"), F.lit(1).cast("long").alias("k"))
+    seen = segmented_sums(both, ["who"], ["seq"], ["k"], current=False)
     if earlier is not None:
         seeds = earlier.select(F.explode(F.array("a", "b")).alias("who")).groupBy("who").agg(F.count("*").alias("seed"))
         seen = seen.join(seeds, "who", "left").withColumn("k", F.col("k") + F.coalesce("seed", F.lit(0)))

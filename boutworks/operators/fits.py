@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from boutworks.operators.components import connected_components
 from boutworks.operators.records import pairs
+from boutworks.operators.sequence import carried_forward
 from boutworks.runtime import discard, staged, work_path
 
 DENSE = 2000
@@ -398,8 +399,11 @@ def spread_history(games: DataFrame, rounds: int = WHR_ROUNDS, precision: float
 
 
 def rating_at(curve: DataFrame, wanted: DataFrame, initial: float = WHR_INITIAL) -> DataFrame:
-    """``wanted`` (league, competitor, day) with the last rating on or before the day."""
-    c = curve.select("league", "competitor", F.col("day").alias("_day"), F.col("rating").alias("_rating"))
-    joined = wanted.join(c, ["league", "competitor"], "left")
-    best = F.max_by(F.when(F.col("_day") <= F.col("day"), F.col("_rating")), F.when(F.col("_day") <= F.col("day"), F.col("_day")))
-    return joined.groupBy("league", "competitor", "day").agg(F.coalesce(best, F.lit(initial)).alias("rating"))
+    """``wanted`` (league, competitor, day) with the last rating on or before the day.
+
+    Both tables are one sorted stream, in which a rating is carried forward to the rows behind it.
+    """
+    known = curve.select("league", "competitor", "day", F.lit(0).alias("_asked"), F.col("rating").cast("double").alias("rating"))
+    asked = wanted.select("league", "competitor", "day").distinct().select("*", F.lit(1).alias("_asked"), F.lit(None).cast("double").alias("rating"))
+    merged = carried_forward(known.unionByName(asked), ["league", "competitor"], ["day", "_asked"], "rating").where("_asked = 1")
+    return merged.select("league", "competitor", "day", F.coalesce("rating", F.lit(initial)).alias("rating"))

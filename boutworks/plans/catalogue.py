@@ -11,7 +11,7 @@ from boutworks.functions import expected as E
 from boutworks.functions import outcomes
 from boutworks.operators import evaluation, fits, matchmaking, records, reports, splits, state, systems
 from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
-from boutworks.operators.sequence import with_sequence
+from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
 from boutworks.runtime import read_table, staged
 from boutworks.sources import synthetic
@@ -244,11 +244,8 @@ def rating_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bout_counts_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    both = bouts_events(spark, sf_dir).select("seq", F.explode(F.array("a", "b")).alias("who"))
-    earlier = Window.partitionBy("who").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("seq", "who", F.count("*").over(earlier).alias("earlier"))
+    both = bouts_events(spark, sf_dir).select("seq", F.explode(F.array("a", "b")).alias("who"), F.lit(1).cast("long").alias("earlier"))
+    return segmented_sums(both, ["who"], ["seq"], ["earlier"], current=False)
 
 
 def time_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
