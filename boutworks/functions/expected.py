@@ -33,12 +33,12 @@ def ecf(a: Column, b: Column) -> Column:
     return elo(a * 7.5 + 700, b * 7.5 + 700)
 
 
-def glicko_g(rd: Column) -> Column:
-    return 1 / F.sqrt(1 + 3 * GLICKO_Q**2 * rd * rd / math.pi**2)
+def glicko_g(rd: Column, q: float = GLICKO_Q) -> Column:
+    return 1 / F.sqrt(1 + 3 * q**2 * rd * rd / math.pi**2)
 
 
-def glicko(a: Column, b: Column, rd_b: Column) -> Column:
-    return 1 / (1 + F.pow(F.lit(10.0), -glicko_g(rd_b) * (a - b) / 400))
+def glicko(a: Column, b: Column, rd_b: Column, q: float = GLICKO_Q) -> Column:
+    return 1 / (1 + F.pow(F.lit(10.0), -glicko_g(rd_b, q) * (a - b) / 400))
 
 
 def glicko2(mu_a: Column, mu_b: Column, phi_b: Column) -> Column:

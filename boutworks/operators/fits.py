@@ -4,7 +4,9 @@ Bouts are reduced to pairs first; the pair table is a durable state that later
 bouts are added to (``add_pairs``) and any fit starts from (``fit_pairs``). Groups
 of up to ``DENSE`` competitors are solved in one task each, from at most DENSE
 squared pairs; larger groups run the same fit as iterations of joins and sums over
-the pair table (``spread_fit``). Both ways go on until the fit has settled.
+the pair table (``spread_fit``). All go on until no rating moves by ``TOLERANCE``
+(curves: by ``WHR_PRECISION``) and raise ``NotSettled`` otherwise; unfinished ratings
+are never returned, at any size.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutworks.operators.components import connected_components
@@ -25,12 +27,22 @@ from boutworks.runtime import discard, staged, work_path
 DENSE = 2000
 MASSEY_DIGITS, COLLEY_DIGITS, KEENER_DIGITS = 13, 15, 10
 KEENER_EPS, KEENER_PRIOR, KEENER_FLOOR = 1e-4, 2.0, 1e-300
-BT_REG, BT_STEPS, BT_TOL = 0.1, 10_000, 1e-8
-SPREAD_STEPS = 10_000
-WHR_W2, WHR_INITIAL, WHR_STEPS, WHR_PRECISION = 300.0, 1500.0, 20, 0.1
+BT_REG = 0.1
+#: Steps of any fit, and the largest move of a rating at which it has settled (relative to the mean for Keener's).
+STEPS, TOLERANCE = 10_000, 1e-10
+WHR_W2, WHR_INITIAL, WHR_STEPS, WHR_PRECISION = 300.0, 1500.0, 200, 1e-4
+#: Pairs, days and results of a group whose curves one task fits.
+WHR_ROWS = 1_000_000
 FITTED = "league string, component string, competitor string, rating double, scale double"
 
 
+class NotSettled(RuntimeError):
+    """A fit still moved when its steps were used up."""
+
+    def __init__(self, steps: int) -> None:
+        super().__init__(f"the fit did not settle in {steps} steps")
+
+
 PAIR_SUMS = ["games", "wins", "margin", "points"]
 
 
@@ -82,54 +94,73 @@ def keener_matrix(points: np.ndarray, games: np.ndarray) -> np.ndarray:
     return liked / (games.sum(axis=1) + KEENER_PRIOR)[:, None] + KEENER_EPS
 
 
-def _keener(points: np.ndarray, w: np.ndarray, games: np.ndarray) -> tuple[np.ndarray, float]:
-    # the matrix is positive: powers of it lead to its first vector; half steps settle alternating sides too
-    matrix, x = keener_matrix(points, games), np.ones(len(games))
-    for _ in range(SPREAD_STEPS):
+def _keener(points: np.ndarray, w: np.ndarray, games: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    x = keener_vector(keener_matrix(points, games), np.ones(len(games)), steps)
+    return np.round(x * (len(x) / x.sum()), KEENER_DIGITS), 1.0
+
+
+def keener_vector(matrix: np.ndarray, x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """The first vector of a positive matrix, to which its powers lead; half steps settle alternating sides too."""
+    for _ in range(steps):
         once = matrix @ x
         once /= once.mean()
         twice = matrix @ once
         twice /= twice.mean()
         moved, x = np.max(np.abs(twice - once)), (once + twice) / 2
-        if moved < 1e-14 * len(x):
-            break
-    x = np.maximum(x, KEENER_FLOOR)
-    return np.round(x * (len(x) / x.sum()), KEENER_DIGITS), 1.0
+        if moved < TOLERANCE * 1e-3:
+            return np.maximum(x, KEENER_FLOOR)
+    raise NotSettled(steps)
 
 
-def bradley_terry_fit(w: np.ndarray, games: np.ndarray, reg: float = BT_REG, steps: int = BT_STEPS, tol: float = BT_TOL) -> np.ndarray:
-    """Log-strengths with mean zero."""
+def bradley_terry_fit(w: np.ndarray, games: np.ndarray, reg: float = BT_REG, steps: int = STEPS, tol: float = TOLERANCE, start: np.ndarray | None = None) -> np.ndarray:
+    """Log-strengths with mean zero: ``w + reg = c e`` with the expected wins e and one c for all.
+
+    Newton steps from ``start``; the system has its constant direction taken out, and a step is cut to two units.
+    """
     if reg <= 0 or tol <= 0:
         raise ValueError("reg and tol must be positive")
-    wins, p = w.sum(axis=1), np.ones(len(w))
+    n = len(games)
+    wins, x = w.sum(axis=1) + reg, np.zeros(n) if start is None else start - start.mean()
     for _ in range(steps):
-        new = (wins + reg) / ((games / (p[:, None] + p[None, :])).sum(axis=1) + 2 * reg / (p + 1))
-        new = new / math.exp(np.log(new).mean())
-        moved = float(np.max(np.abs(np.log(new) - np.log(p))))
-        p = new
-        if moved < tol:
-            break
-    beta = np.log(p)
-    return beta - beta.mean()
+        p = 1 / (1 + np.exp(np.clip(x[None, :] - x[:, None], -700, 700)))
+        own = 1 / (1 + np.exp(-x))
+        e = (games * p).sum(axis=1) + 2 * reg * own
+        a = games * p * (1 - p)
+        slope = np.diag(a.sum(axis=1) + 2 * reg * own * (1 - own)) - a
+        c = wins.sum() / e.sum()
+        solved = np.linalg.solve(slope, np.stack([wins / c - e, e], axis=1))
+        move = solved[:, 0] - solved[:, 0].sum() / solved[:, 1].sum() * solved[:, 1]
+        longest = float(np.max(np.abs(move))) if n else 0.0
+        x = x + move * min(1.0, 2.0 / longest if longest else 1.0)
+        x -= x.mean() if n else 0.0
+        if longest < tol:
+            return x
+    raise NotSettled(steps)
 
 
 _DENSE_FITS = {
-    "colley": lambda t: _colley(t["games"], t["wins"], t["games"]),
-    "massey": lambda t: _massey(t["margin"], t["wins"], t["games"]),
-    "keener": lambda t: _keener(t["points"], t["wins"], t["games"]),
-    "bradley_terry": lambda t: (bradley_terry_fit(t["wins"], t["games"], tol=1e-13), 1.0),
+    "colley": lambda t, steps: _colley(t["games"], t["wins"], t["games"]),
+    "massey": lambda t, steps: _massey(t["margin"], t["wins"], t["games"]),
+    "keener": lambda t, steps: _keener(t["points"], t["wins"], t["games"], steps),
+    "bradley_terry": lambda t, steps: (bradley_terry_fit(t["wins"], t["games"], steps=steps), 1.0),
 }
 
 
-def fit(bouts: DataFrame, system: str, dense: int = DENSE, steps: int = SPREAD_STEPS) -> DataFrame:
+def fit(bouts: DataFrame, system: str, dense: int = DENSE, steps: int = STEPS) -> DataFrame:
     """(league, component, competitor, rating, scale) of every competitor that played."""
     return fit_pairs(pairs(bouts), system, dense, steps)
 
 
-def fit_pairs(table: DataFrame, system: str, dense: int = DENSE, steps: int = SPREAD_STEPS) -> DataFrame:
+def fit_pairs(table: DataFrame, system: str, dense: int = DENSE, steps: int = STEPS) -> DataFrame:
     """The fit of a pair table."""
-    if system not in _DENSE_FITS:
-        raise ValueError(f"unknown fit {system}; there are {', '.join(sorted(_DENSE_FITS))}")
+    return fit_systems(table, [system], dense, steps).drop("system")
+
+
+def fit_systems(table: DataFrame, systems: list[str], dense: int = DENSE, steps: int = STEPS) -> DataFrame:
+    """(system, league, component, competitor, rating, scale): fits of one pair table, each group's in one pass."""
+    for system in systems:
+        if system not in _DENSE_FITS:
+            raise ValueError(f"unknown fit {system}; there are {', '.join(sorted(_DENSE_FITS))}")
     if dense < 1 or steps < 1:
         raise ValueError("dense and steps must be positive")
     table = grouped_pairs(table)
@@ -142,22 +173,26 @@ def fit_pairs(table: DataFrame, system: str, dense: int = DENSE, steps: int = SP
         for c in ("games", "wins", "margin", "points"):
             grids[c] = np.zeros((len(names), len(names)))
             grids[c][i, j] = group[c].to_numpy(dtype=float)
-        rating, scale = _DENSE_FITS[system](grids)
-        return pd.DataFrame({"league": group["league"].iloc[0], "component": group["component"].iloc[0], "competitor": names, "rating": rating, "scale": scale})
+        out = []
+        for system in systems:
+            rating, scale = _DENSE_FITS[system](grids, steps)
+            out.append(pd.DataFrame({"system": system, "league": group["league"].iloc[0], "component": group["component"].iloc[0], "competitor": names, "rating": rating, "scale": scale}))
+        return pd.concat(out)
 
-    small = table.where(F.col("members") <= dense).groupBy("component").applyInPandas(solve, FITTED)
+    made = table.where(F.col("members") <= dense).groupBy("component").applyInPandas(solve, "system string, " + FITTED)
     large = table.where(F.col("members") > dense)
     if large.isEmpty():
-        return small
-    return small.unionByName(spread_fit(large, system, steps))
+        return made
+    for system in systems:
+        made = made.unionByName(spread_fit(large, system, steps).withColumn("system", F.lit(system)))
+    return made
 
 
-def spread_fit(table: DataFrame, system: str, steps: int = SPREAD_STEPS) -> DataFrame:
+def spread_fit(table: DataFrame, system: str, steps: int = STEPS) -> DataFrame:
     """The fit of large groups: every step joins the pairs with the current ratings and sums per competitor.
 
     Colley and Massey are solved by conjugate gradients, Bradley-Terry by Newton
-    steps of two such solves, Keener by powers. A fit that has not settled after
-    ``steps`` steps raises RuntimeError; unfinished ratings are never returned.
+    steps of two such solves, Keener by powers.
     """
     table = table.withColumn("id", F.struct("league", "u")).withColumn("other", F.struct("league", "v"))
     if system == "keener":
@@ -225,7 +260,7 @@ def _conjugate(pairs_: DataFrame, nodes: DataFrame, rights: list[str], steps: in
             after = F.greatest(rr - 2 * far * F.col(f"rq_{k}") + far * far * F.col(f"qq_{k}"), F.lit(0.0))
             moves |= {f"x_{k}": F.col(f"x_{k}") + far * p, f"r_{k}": r - far * q, f"p_{k}": (r - far * q) / d + F.when(rr > 0, after / rr).otherwise(0.0) * p}
         state = step.join(step.groupBy("component").agg(*sums), "component").select("id", "component", "d", *[c.alias(n) for n, c in moves.items()])
-    raise RuntimeError(f"the fit did not settle in {steps} steps")
+    raise NotSettled(steps)
 
 
 def _newton(table: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
@@ -249,13 +284,13 @@ def _newton(table: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
         step = step.join(longest, "component").select("id", "component", "w", (F.col("x") + F.col("move") / F.greatest("longest", F.lit(1.0))).alias("x"), "move")
         now = made.put(step)
         moved = now.agg(F.max(F.abs("move"))).first()[0]
-        if moved is None or moved < BT_TOL:
+        if moved is None or moved < TOLERANCE:
             means = now.groupBy("component").agg(F.avg("x").alias("mean"))
             return now.join(means, "component").select("id", "component", (F.col("x") - F.col("mean")).alias("x"))
-    raise RuntimeError(f"the fit did not settle in {steps} steps")
+    raise NotSettled(steps)
 
 
-def _powers(table: DataFrame, nodes: DataFrame, steps: int, tol: float = 1e-10) -> DataFrame:
+def _powers(table: DataFrame, nodes: DataFrame, steps: int, tol: float = TOLERANCE) -> DataFrame:
     """Keener's vector. A step multiplies twice, the second time in half, so that ratings of two alternating sides settle too."""
     made = _Steps()
     pairs_ = table.select("id", "other", "liked")
@@ -275,7 +310,7 @@ def _powers(table: DataFrame, nodes: DataFrame, steps: int, tol: float = 1e-10)
         now = half.select("id", "component", "members", "n", ((F.col("x") + F.col("new")) / 2).alias("x"))
         if moved is None or moved < tol:
             return now.select("id", "component", "x")
-    raise RuntimeError(f"the fit did not settle in {steps} steps")
+    raise NotSettled(steps)
 
 
 CURVE = "league string, competitor string, day date, rating double"
@@ -296,7 +331,7 @@ def _tridiagonal(diag: np.ndarray, off: np.ndarray, right: np.ndarray) -> np.nda
 
 WHR_SCALE = 400 / math.log(10)
 #: Step of all competitors at once: less than a whole one, so that two who chase each other settle.
-WHR_DAMP, WHR_ROUNDS = 0.7, 500
+WHR_DAMP, WHR_ROUNDS = 0.7, 2000
 
 
 def _curve_step(own: list[date], r: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, w2: float, initial: float) -> np.ndarray:
@@ -313,54 +348,113 @@ def _curve_step(own: list[date], r: np.ndarray, gradient: np.ndarray, curvature:
     return np.clip(_tridiagonal(diagonal, -weight, gradient), -200, 200)
 
 
+class _Curves:
+    """The posterior of a group's curves: a rating for each competitor and day, tied to the days beside it and to who was met."""
+
+    def __init__(self, who: np.ndarray, day: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray, n: np.ndarray, w2: float, initial: float) -> None:
+        self.i, self.j, self.score, self.n, self.size = i, j, score, n, len(who)
+        self.first = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
+        self.weight = np.where(~self.first[1:], 1 / (w2 * np.maximum(np.diff(day), 1)), 0.0)
+        self.anchor, self.initial = self.first / w2, initial
+
+    def _sum(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(at, values, self.size)
+
+    def chance(self, r: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(np.clip((r[self.j] - r[self.i]) / WHR_SCALE, -700, 700)))
+
+    def gradient(self, r: np.ndarray) -> np.ndarray:
+        pull = self.n * (self.score - self.chance(r)) / WHR_SCALE
+        out = self._sum(self.i, pull) - self._sum(self.j, pull) + self.anchor * (self.initial - r)
+        tie = np.diff(r) * self.weight
+        out[:-1] += tie
+        out[1:] -= tie
+        return out
+
+    def value(self, r: np.ndarray) -> float:
+        apart = (r[self.i] - r[self.j]) / WHR_SCALE
+        said = self.n * (self.score * apart - np.logaddexp(0, apart))
+        return float(said.sum() - 0.5 * (self.anchor * (r - self.initial) ** 2).sum() - 0.5 * (self.weight * np.diff(r) ** 2).sum())
+
+    def newton(self, r: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """Newton's step by conjugate gradients with the diagonal as preconditioner."""
+        p = self.chance(r)
+        met = self.n * p * (1 - p) / WHR_SCALE**2
+        diagonal = self._sum(self.i, met) + self._sum(self.j, met) + self.anchor
+        diagonal[:-1] += self.weight
+        diagonal[1:] += self.weight
+
+        def times(x: np.ndarray) -> np.ndarray:
+            out = diagonal * x - self._sum(self.i, met * x[self.j]) - self._sum(self.j, met * x[self.i])
+            out[:-1] -= self.weight * x[1:]
+            out[1:] -= self.weight * x[:-1]
+            return out
+
+        x, left = np.zeros(self.size), gradient.copy()
+        way = left / diagonal
+        size = float(left @ way)
+        least = size * 1e-20
+        for _ in range(20 * self.size + 100):
+            if size <= least:
+                break
+            turned = times(way)
+            far = size / float(way @ turned)
+            x += far * way
+            left -= far * turned
+            scaled = left / diagonal
+            size, before = float(left @ scaled), size
+            way = scaled + size / before * way
+        return x
+
+
 def whole_history_fit(games: list[tuple[str, str, date, float, int]], w2: float = WHR_W2, initial: float = WHR_INITIAL, steps: int = WHR_STEPS, precision: float = WHR_PRECISION) -> dict[str, tuple[list[date], np.ndarray]]:
-    """Rating per competitor and day: Newton sweeps over the competitors in name order. The last number is how often a result occurred."""
-    days: dict[str, list[date]] = {}
-    for a, b, day, _, _ in games:
-        for who in (a, b):
-            days.setdefault(who, []).append(day)
-    days = {who: sorted(set(d)) for who, d in sorted(days.items())}
-    at = {who: {d: i for i, d in enumerate(own)} for who, own in days.items()}
-    rating = {who: np.full(len(own), initial) for who, own in days.items()}
-    played: dict[str, list[tuple[int, str, int, float, int]]] = {who: [] for who in days}
-    for a, b, day, score, n in games:
-        played[a].append((at[a][day], b, at[b][day], score, n))
-        played[b].append((at[b][day], a, at[a][day], 1 - score, n))
+    """Rating per competitor and day, the maximum of the posterior. The last number is how often a result occurred.
+
+    Newton steps on all curves at once, halved while the posterior falls; settled when a whole step moves no rating by ``precision``.
+    """
+    spots = sorted({(who, day) for a, b, day, _, _ in games for who in (a, b)})
+    at = {spot: k for k, spot in enumerate(spots)}
+    names = {who: k for k, who in enumerate(dict.fromkeys(who for who, _ in spots))}
+    column = lambda f, kind: np.array([f(g) for g in games], dtype=kind)
+    curves = _Curves(
+        np.array([names[who] for who, _ in spots], dtype=np.int64), np.array([day.toordinal() for _, day in spots], dtype=np.int64),
+        column(lambda g: at[g[0], g[2]], np.int64), column(lambda g: at[g[1], g[2]], np.int64), column(lambda g: g[3], float), column(lambda g: g[4], float), w2, initial,
+    )
+    r = np.full(len(spots), initial)
+    value = curves.value(r)
     for _ in range(steps):
-        largest = 0.0
-        for who, own in days.items():
-            r = rating[who]
-            gradient, curvature = np.zeros(len(r)), np.zeros(len(r))
-            for i, other, j, score, n in played[who]:
-                p = 1 / (1 + math.exp(-max(-700.0, min(700.0, (r[i] - rating[other][j]) / WHR_SCALE))))
-                gradient[i] += n * (score - p) / WHR_SCALE
-                curvature[i] += n * p * (1 - p) / WHR_SCALE**2
-            step = _curve_step(own, r, gradient, curvature, w2, initial)
-            rating[who] = r + step
-            largest = max(largest, float(np.max(np.abs(step))))
-        if largest < precision:
+        move = curves.newton(r, curves.gradient(r))
+        longest, part = float(np.max(np.abs(move), initial=0.0)), 1.0
+        while (then := curves.value(r + part * move)) < value - 1e-9 * abs(value) and part > 1e-6:
+            part /= 2
+        r, value = r + part * move, then
+        if longest < precision:
             break
-    return {who: (own, rating[who]) for who, own in days.items()}
+    else:
+        raise NotSettled(steps)
+    out: dict[str, tuple[list[date], list[float]]] = {who: ([], []) for who in names}
+    for (who, day), x in zip(spots, r.tolist(), strict=True):
+        out[who][0].append(day)
+        out[who][1].append(x)
+    return {who: (own, np.array(x)) for who, (own, x) in out.items()}
 
 
-def whole_history(bouts: DataFrame, steps: int = WHR_STEPS, precision: float = WHR_PRECISION, dense: int = DENSE, rounds: int = WHR_ROUNDS, w2: float = WHR_W2, initial: float = WHR_INITIAL) -> DataFrame:
+def whole_history(bouts: DataFrame, steps: int = WHR_STEPS, precision: float = WHR_PRECISION, dense: int = WHR_ROWS, rounds: int = WHR_ROUNDS, w2: float = WHR_W2, initial: float = WHR_INITIAL) -> DataFrame:
     """(league, competitor, day, rating) curves.
 
-    A connected group of up to ``dense`` competitors is fitted by Newton sweeps in one task, from one row per pair, day
-    and result. A larger one by rounds over all competitors (``spread_history``), until no rating moves by
-    ``precision``; it raises when ``rounds`` don't suffice.
+    A connected group of up to ``dense`` rows (pair, day and result) is fitted by Newton steps in one task. A larger one
+    by rounds over all competitors (``spread_history``). Both end when no rating moves by ``precision``, and raise
+    when ``steps`` or ``rounds`` don't suffice.
     """
     if w2 <= 0 or precision <= 0 or steps < 1:
         raise ValueError("w2 and precision must be positive, and a step is needed")
+    games = played_days(bouts)
     name = lambda c: F.concat_ws("\u0001", "league", c)
-    rows = bouts.where("a <> b and outcome is not null and ts is not null")
-    turned = F.col("a") > F.col("b")
-    sides = [F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turned, 1 - F.col("outcome")).otherwise(F.col("outcome")).alias("outcome")]
-    games = rows.select("league", F.to_date("ts").alias("day"), *sides).groupBy("league", "a", "b", "day", "outcome").agg(F.count("*").alias("n"))
-    games = staged(games, "games")
     parts = connected_components(games.select(name("a").alias("u"), name("b").alias("v")))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
-    tagged = staged(games.withColumn("node", name("a")).join(parts, "node").join(sizes, "component").drop("node"), "grouped-games")
+    tagged = games.withColumn("node", name("a")).join(parts, "node").drop("node")
+    tagged = staged(tagged, "grouped-games")
+    sizes = tagged.groupBy("component").agg(F.count("*").alias("members"))
+    tagged = tagged.join(sizes, "component")
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["day", "a", "b", "outcome"])
@@ -373,6 +467,29 @@ def whole_history(bouts: DataFrame, steps: int = WHR_STEPS, precision: float = W
     return small if large.isEmpty() else small.unionByName(spread_history(large, rounds, precision, w2, initial))
 
 
+def played_days(bouts: DataFrame) -> DataFrame:
+    """(league, a, b, day, outcome, n), stored: one row per pair, day and result, the smaller name first."""
+    rows = bouts.where("a <> b and outcome is not null and ts is not null")
+    turned = F.col("a") > F.col("b")
+    sides = [F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turned, 1 - F.col("outcome")).otherwise(F.col("outcome")).alias("outcome")]
+    games = rows.select("league", F.to_date("ts").alias("day"), *sides).groupBy("league", "a", "b", "day", "outcome").agg(F.count("*").alias("n"))
+    return staged(games, "games")
+
+
+def curve_pull(curve: DataFrame, bouts: DataFrame, w2: float = WHR_W2, initial: float = WHR_INITIAL) -> DataFrame:
+    """(league, competitor, day, rating, pull): the derivative of the posterior at a curve, zero where the curve is its maximum."""
+    ends = [F.struct(F.col(x).alias("competitor"), F.col(y).alias("other"), score.alias("score")) for x, y, score in (("a", "b", F.col("outcome")), ("b", "a", 1 - F.col("outcome")))]
+    met = played_days(bouts).select("league", "day", "n", F.explode(F.array(*ends)).alias("s")).select("league", "day", "n", "s.*")
+    other = curve.select("league", F.col("competitor").alias("other"), "day", F.col("rating").alias("theirs"))
+    both = met.join(curve, ["league", "competitor", "day"]).join(other, ["league", "other", "day"])
+    p = 1 / (1 + F.exp(-(F.col("rating") - F.col("theirs")) / WHR_SCALE))
+    games = both.groupBy("league", "competitor", "day").agg(F.sum(F.col("n") * (F.col("score") - p) / WHR_SCALE).alias("won"))
+    line = Window.partitionBy("league", "competitor").orderBy("day")  # days of one competitor
+    beside = lambda f: (f("rating").over(line) - F.col("rating")) / (w2 * F.abs(F.datediff(f("day").over(line), "day")))
+    tied = curve.select("*", F.coalesce(beside(F.lead), F.lit(0.0)).alias("up"), F.coalesce(beside(F.lag), (F.lit(initial) - F.col("rating")) / w2).alias("down"))
+    return tied.join(games, ["league", "competitor", "day"]).select("league", "competitor", "day", "rating", (F.col("won") + F.col("up") + F.col("down")).alias("pull"))
+
+
 def spread_history(games: DataFrame, rounds: int = WHR_ROUNDS, precision: float = WHR_PRECISION, w2: float = WHR_W2, initial: float = WHR_INITIAL) -> DataFrame:
     """Curves from (league, a, b, day, outcome, n): in each round every competitor makes a step against the others' curves so far."""
     ends = [F.struct(F.col(x).alias("competitor"), F.col(y).alias("other"), score.alias("score")) for x, y, score in (("a", "b", F.col("outcome")), ("b", "a", 1 - F.col("outcome")))]
@@ -395,7 +512,7 @@ def spread_history(games: DataFrame, rounds: int = WHR_ROUNDS, precision: float
         now = moved.drop("move")
         if (moved.agg(F.max("move")).first()[0] or 0.0) < precision:
             return now.select("league", "competitor", "day", "rating")
-    raise RuntimeError(f"the curves did not settle in {rounds} rounds")
+    raise NotSettled(rounds)
 
 
 def rating_at(curve: DataFrame, wanted: DataFrame, initial: float = WHR_INITIAL) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boutworks.functions.outcomes import is_outcome, strict_outcome
 from boutworks.operators.components import connected_components
@@ -42,30 +43,43 @@ def replay(bouts: DataFrame, system, timed: bool = True, seeds: DataFrame | None
     ``seeds`` (league, competitor, state as JSON) are known before the first bout. An outcome besides 1, 0.5, 0 and null ends
     the query with an error; ``quarantine`` parts such rows off beforehand.
     """
+    return replay_many(bouts, [system], timed, seeds).drop("system")
+
+
+def replay_many(bouts: DataFrame, systems: list, timed: bool = True, seeds: DataFrame | None = None) -> DataFrame:
+    """What ``replay`` gives, for several systems in one pass: a league is a task for each of them; ``system`` is the name."""
+    if len({s.name for s in systems}) != len(systems) or not systems:
+        raise ValueError("systems must have different names, and there must be one")
     day = F.unix_micros(F.col("ts").cast("timestamp")) / 8.64e10 if timed and "ts" in bouts.columns else F.lit(None).cast("double")
     age = F.col("age_a") if "age_a" in bouts.columns else F.lit(None).cast("int")
     rows = bouts.where("a <> b").select("league", F.col("seq").cast("long").alias("seq"), "a", "b", strict_outcome(F.col("outcome").cast("double")).alias("outcome"), day.alias("day"), age.cast("int").alias("age"), F.lit(None).cast("string").alias("state"))
     if seeds is not None:
         null = lambda kind: F.lit(None).cast(kind)
         rows = rows.unionByName(seeds.select("league", F.lit(-1).cast("long").alias("seq"), F.col("competitor").alias("a"), null("string").alias("b"), null("double").alias("outcome"), null("double").alias("day"), null("int").alias("age"), "state"))
+    rows = rows.withColumn("which", F.explode(F.array(*[F.lit(k) for k in range(len(systems))])))
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
+    def batch_of(name: str, out: list[tuple]) -> pa.RecordBatch:
+        arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([name] * len(out), pa.string())], names=[*_NAMES, "system"])
 
-    def final(league: str, known: dict) -> Iterator[pa.RecordBatch]:
+    def final(league: str, which: int, known: dict) -> Iterator[pa.RecordBatch]:
+        system = systems[which]
         out = [(league, "state", None, None, None, None, None, who, system.rating(s), system.spread(s), n, json.dumps(s)) for who, (s, n) in known.items()]
         for i in range(0, len(out), 10_000):
-            yield batch_of(out[i : i + 10_000])
+            yield batch_of(system.name, out[i : i + 10_000])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, {}
+        now, known, system = (None, None), {}, None
         for batch in batches:
             out = []
-            for league, seq, a, b, outcome, at, years, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if league != now:
+            for league, seq, a, b, outcome, at, years, state, which in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (league, which) != now:
+                    if out:
+                        yield batch_of(system.name, out)
+                        out = []
                     if known:
-                        yield from final(now, known)
-                    now, known = league, {}
+                        yield from final(*now, known)
+                    now, known, system = (league, which), {}, systems[which]
                 if b is None:
                     known[a] = [json.loads(state), 0]
                     continue
@@ -77,11 +91,11 @@ def replay(bouts: DataFrame, system, timed: bool = True, seeds: DataFrame | None
                 x[1] += 1
                 y[1] += 1
             if out:
-                yield batch_of(out)
+                yield batch_of(system.name, out)
         if known:
-            yield from final(now, known)
+            yield from final(*now, known)
 
-    return rows.repartition("league").sortWithinPartitions("league", "seq").mapInArrow(run, REPLAY)
+    return rows.repartition("league", "which").sortWithinPartitions("league", "which", "seq").mapInArrow(run, REPLAY + ", system string")
 
 
 def quarantine(bouts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,8 +139,8 @@ def replay_blocks(bouts: DataFrame, system, block: int, timed: bool = True) -> D
     return played.unionByName(last)
 
 
-def ratings_of(replayed: DataFrame) -> DataFrame:
-    return replayed.where("kind = 'state'").select("league", "competitor", "rating", "spread", "games", "state")
+def ratings_of(replayed: DataFrame, *more: str) -> DataFrame:
+    return replayed.where("kind = 'state'").select(*more, "league", "competitor", "rating", "spread", "games", "state")
 
 
 def history_of(replayed: DataFrame) -> DataFrame:
@@ -162,16 +176,26 @@ def known_fixtures(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def predict_states(fixtures: DataFrame, ratings: DataFrame, system) -> DataFrame:
-    """``fixtures`` (league, a, b, ...) with ``predicted`` by the system itself, from both sides' states; unknown competitors are new."""
+    """``fixtures`` (league, a, b, ...) with ``predicted`` from both sides' states; unknown competitors are new.
+
+    The chance is a column expression where the system has one (``expected_column``), else the system's own ``expected``.
+    """
     side = lambda c: ratings.select("league", F.col("competitor").alias(c), F.col("state").alias(f"_s{c}"))
     out = fixtures.join(side("a"), ["league", "a"], "left").join(side("b"), ["league", "b"], "left")
-    keep = [f for f in out.schema.fields if f.name not in ("_sa", "_sb", "predicted")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", predicted double"
+    new = F.lit(json.dumps(system.new()))
+    return said_by(out.withColumns({"_sa": F.coalesce("_sa", new), "_sb": F.coalesce("_sb", new)}), system).drop("_sa", "_sb")
+
+
+def said_by(rows: DataFrame, system) -> DataFrame:
+    """``rows`` with ``predicted`` from the states ``_sa`` and ``_sb``."""
+    if hasattr(system, "expected_column"):
+        return rows.withColumn("predicted", system.expected_column(F.col("_sa"), F.col("_sb")))
+    keep = [f for f in rows.schema.fields if f.name != "predicted"]
+    schema = T.StructType([*keep, T.StructField("predicted", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = lambda s: system.new() if s is None else json.loads(s)
         for batch in batches:
-            said = [system.expected(state(a), state(b)) for a, b in zip(batch.column("_sa").to_pylist(), batch.column("_sb").to_pylist(), strict=True)]
+            said = [system.expected(json.loads(a), json.loads(b)) for a, b in zip(batch.column("_sa").to_pylist(), batch.column("_sb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(said, pa.float64())], names=[*(f.name for f in keep), "predicted"])
 
-    return out.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -1,7 +1,8 @@
 """Incremental rating systems: one bout at a time.
 
 A system makes the state of a newcomer, predicts, and plays a bout: both sides
-are updated from the same state before the bout. States are plain lists.
+are updated from the same state before the bout. States are plain lists, stored as
+JSON; ``expected_column`` gives the prediction from two such columns.
 """
 
 from __future__ import annotations
@@ -10,6 +11,11 @@ import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from boutworks.functions import expected as E
+
 FLOOR = 100.0
 #: Largest number of bracket and root-finding steps of a volatility update.
 MAX_STEPS = 200
@@ -24,6 +30,10 @@ def _demand(ok: bool, what: str) -> None:
         raise ValueError(what)
 
 
+def _numbers(state: Column) -> Column:
+    return F.from_json(state, "array<double>")
+
+
 def _logistic10(x: float) -> float:
     return 1 / (1 + 10 ** min(300.0, -x))
 
@@ -51,6 +61,9 @@ class Elo:
     def expected(self, a: list, b: list) -> float:
         return _logistic10((a[0] - b[0]) / self.base)
 
+    def expected_column(self, a: Column, b: Column) -> Column:
+        return E.elo(_numbers(a)[0], _numbers(b)[0], self.base)
+
     def play(self, a: list, b: list, score: float, day: float | None, age: int | None = None) -> None:
         e = self.expected(a, b)
         a[0], b[0] = max(self.floor, a[0] + self.k * (score - e)), max(self.floor, b[0] + self.k * (e - score))
@@ -84,6 +97,9 @@ class Glicko:
     def expected(self, a: list, b: list) -> float:
         return _logistic10(self._g(b[1]) * (a[0] - b[0]) / 400)
 
+    def expected_column(self, a: Column, b: Column) -> Column:
+        return E.glicko(_numbers(a)[0], _numbers(b)[0], _numbers(b)[1], self.q)
+
     def _wait(self, s: list, day: float | None) -> None:
         if day is None:
             return
@@ -139,6 +155,9 @@ class Glicko2:
     def expected(self, a: list, b: list) -> float:
         return 1 / (1 + math.exp(-self._g(b[1]) * (a[0] - b[0])))
 
+    def expected_column(self, a: Column, b: Column) -> Column:
+        return E.glicko2(_numbers(a)[0], _numbers(b)[0], _numbers(b)[1])
+
     def _wait(self, s: list, day: float | None) -> None:
         if day is None:
             return
@@ -232,6 +251,9 @@ class TrueSkill:
         win, not_loss = self._cdf((a[0] - b[0] - self.margin) / spread), self._cdf((a[0] - b[0] + self.margin) / spread)
         return win + (not_loss - win) / 2
 
+    def expected_column(self, a: Column, b: Column) -> Column:
+        return E.trueskill(_numbers(a)[0], _numbers(a)[1], _numbers(b)[0], _numbers(b)[1], self.beta, self.draw_probability)
+
     def play(self, a: list, b: list, score: float, day: float | None, age: int | None = None) -> None:
         if score == 0.0:
             return self.play(b, a, 1.0, day)
@@ -276,6 +298,10 @@ class Ecf:
     def expected(self, a: list, b: list) -> float:
         return _logistic10((self.rating(a) - self.rating(b)) * 7.5 / 400)
 
+    def expected_column(self, a: Column, b: Column) -> Column:
+        mean = lambda s: F.aggregate(_numbers(s), F.lit(0.0), lambda x, y: x + y) / F.size(_numbers(s))
+        return E.ecf(mean(a), mean(b))
+
     def play(self, a: list, b: list, score: float, day: float | None, age: int | None = None) -> None:
         ra, rb = self.rating(a), self.rating(b)
         near = lambda own, other: max(own - self.delta, min(own + self.delta, other))
@@ -306,6 +332,9 @@ class Dwz:
     def expected(self, a: list, b: list) -> float:
         return _logistic10((a[0] - b[0]) / 400)
 
+    def expected_column(self, a: Column, b: Column) -> Column:
+        return E.dwz(_numbers(a)[0], _numbers(b)[0])
+
     def _after(self, s: list, expected: float, score: float, age: int | None) -> float:
         years = 26 if age is None else age
         own = s[0]
@@ -344,6 +373,13 @@ class Ensemble:
     def expected(self, a: list, b: list) -> float:
         return sum(m.expected(x, y) for m, x, y in zip(self.members, a, b, strict=True)) / len(self.members)
 
+    def expected_column(self, a: Column, b: Column) -> Column:
+        part = lambda s, k: F.to_json(F.get(F.from_json(s, "array<array<double>>"), F.lit(k)))
+        total = F.lit(0.0)
+        for k, m in enumerate(self.members):
+            total = total + m.expected_column(part(a, k), part(b, k))
+        return total / len(self.members)
+
     def play(self, a: list, b: list, score: float, day: float | None, age: int | None = None) -> None:
         for m, x, y in zip(self.members, a, b, strict=True):
             m.play(x, y, score, None)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, records, reports, splits, state, systems
+from boutworks.operators import evaluation, fits, matchmaking, models, records, reports, splits, state, systems
 from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
@@ -149,6 +149,24 @@ def whr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fits.whole_history(bouts_events(spark, sf_dir)), 6, "rating")
 
 
+def whr_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each competitor's curve, and whether the posterior has its maximum there."""
+    bouts = bouts_events(spark, sf_dir)
+    pulls = fits.curve_pull(staged(fits.whole_history(bouts), "curve"), bouts)
+    return pulls.groupBy("competitor").agg(F.count("*").alias("days"), (F.max(F.abs("pull")) < 1e-7).alias("settled"))
+
+
+def whr_rating_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted curves read off at the day before and the day of each bout of the first side."""
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    wanted = bouts.select("league", F.col("a").alias("competitor"), F.explode(F.array(F.date_sub(F.to_date("ts"), 1), F.to_date("ts"))).alias("day"))
+    return _rounded(fits.rating_at(fits.whole_history(bouts), wanted), 6, "rating").drop("league")
+
+
+def benchmark_whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(["system", *_COUNTS, *_SHARES, "accuracy_opt"], models.WholeHistory())(spark, sf_dir)
+
+
 def _rated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Bouts, and ratings that are the same doubles in every engine."""
     bouts = staged(bouts_events(spark, sf_dir), "bouts")
@@ -273,11 +291,7 @@ def _evaluated(columns: list[str], *chosen) -> Query:
     """Systems trained on the earlier bouts and judged on the later ones, best first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bouts = staged(bouts_events(spark, sf_dir), "bouts")
-        out = None
-        for system in chosen:
-            row = evaluation.evaluate(bouts, system)
-            out = row if out is None else out.unionByName(row)
+        out = evaluation.evaluate(bouts_events(spark, sf_dir), chosen).metrics
         digits = [c for c in ("accuracy", "precision", "recall", "f1", "accuracy_opt", "optimized_accuracy") if c in columns]
         return _rounded(out, 9, *digits).orderBy(F.desc("accuracy"), "system").select(*columns)
 
@@ -285,10 +299,11 @@ def _evaluated(columns: list[str], *chosen) -> Query:
 
 
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best five and the cohorts of one evaluation, as text."""
+    """The best five and the cohorts of one evaluation."""
     one = evaluation.evaluate(bouts_events(spark, sf_dir), systems.Elo())
-    bins = F.transform("cohorts", lambda c: F.concat(c["bin"].cast("string"), F.lit(":"), c["correct"].cast("string"), F.lit("/"), c["total"].cast("string")))
-    return one.select("system", F.array_join("top", ",").alias("top"), F.array_join(bins, ";").alias("cohorts"), F.round("accuracy_opt", 9).alias("accuracy_opt"))
+    none = F.lit(None).cast("long")
+    best = one.top.select(F.lit("top").alias("kind"), F.col("place").cast("long").alias("at"), "competitor", none.alias("correct"), none.alias("total"))
+    return best.unionByName(one.cohorts.select(F.lit("cohort").alias("kind"), F.col("bin").alias("at"), F.lit(None).cast("string").alias("competitor"), "correct", "total"))
 
 
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +355,7 @@ def synthetic_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVERY = (systems.Elo(), systems.Glicko(), systems.Glicko2(), systems.TrueSkill(), systems.Ecf(), systems.Dwz(), systems.Ensemble())
+_FITTED = (models.Pythagorean(), models.Colley(), models.Massey(), models.Keener(), models.BradleyTerry())
 _COUNTS, _SHARES = ["n", "tp", "fp", "tn", "fn"], ["accuracy", "precision", "recall", "f1"]
 
 _TABLE: dict[str, tuple[Query, str | None]] = {
@@ -368,6 +384,9 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "keener_ratings": (_fit("keener", 6), oracle.KEENER),
     "bradley_terry_ratings": (_fit("bradley_terry", 7), oracle.BRADLEY_TERRY),
     "whr_curve": (whr_curve, None),
+    "whr_optimum": (whr_optimum, oracle.WHR_OPTIMUM),
+    "whr_rating_at": (whr_rating_at, None),
+    "benchmark_whole_history": (benchmark_whole_history, None),
     "records_wlt": (records_wlt, f"WITH {oracle.BOUTS}, {oracle.SIDES} {oracle.RECORDS}"),
     "supplier_records": (supplier_records, f"WITH {oracle.SUPPLIER}, {oracle.SIDES} {oracle.RECORDS}"),
     "head_to_head": (head_to_head, f"WITH {oracle.BOUTS}, {oracle.SIDES} {oracle.HEAD_TO_HEAD}"),
@@ -387,10 +406,10 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "log_loss_brier": (_of_history(evaluation.losses), oracle.LOSSES),
     "prediction_summary": (_of_history(evaluation.summary), oracle.SUMMARY),
     "cohort_accuracy": (_of_history(evaluation.cohorts), oracle.COHORTS),
-    "threshold_sweep": (_of_history(evaluation.best_cuts), oracle.SWEEP),
+    "threshold_sweep": (_of_history(lambda h: evaluation.best_cuts(h).drop("near")), oracle.SWEEP),
     "random_search": (_of_history(evaluation.random_search), oracle.RANDOM_SEARCH),
     "evaluate_elo": (_evaluated(_COUNTS + _SHARES, systems.Elo()), oracle.EVALUATE),
-    "benchmark_systems": (_evaluated(["system", *_COUNTS, *_SHARES, "accuracy_opt"], *_EVERY), oracle.BENCHMARK),
+    "benchmark_systems": (_evaluated(["system", *_COUNTS, *_SHARES, "accuracy_opt"], *_EVERY, *_FITTED), oracle.BENCHMARK),
     "time_split_counts": (time_split_counts, oracle.TIME_SPLIT),
     "random_split": (random_split, oracle.RANDOM_SPLIT),
     "competitor_split": (competitor_split, oracle.COMPETITOR_SPLIT),

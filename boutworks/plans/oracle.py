@@ -226,10 +226,48 @@ _SPLIT = """ranked AS (SELECT *, row_number() OVER (ORDER BY ts, seq) - 1 AS k,
 train AS (SELECT * FROM ranked WHERE k < floor(n * (1 - 0.3::DOUBLE))), held AS (SELECT * FROM ranked WHERE k >= floor(n * (1 - 0.3::DOUBLE)))"""
 
 
+#: Two rows per training bout, by scores; pairs and nodes of them.
+_TRAIN = """t_sides AS (SELECT a AS who, b AS other, outcome AS s, score_a AS pf, score_b AS pa FROM train UNION ALL SELECT b, a, 1 - outcome, score_b, score_a FROM train),
+t_p AS (SELECT who AS u, other AS v, count(*)::DOUBLE AS g, sum(s) AS w, sum(pf - pa) AS m, sum(pf) AS pts FROM t_sides GROUP BY ALL),
+t_nodes AS (SELECT u, sum(g) AS n, sum(w) AS w, sum(m) AS m FROM t_p GROUP BY u)"""
+
+
+def _steps(name: str, start: str, step: str, norm: str, steps: int, term: str, pairs: str = "t_p") -> str:
+    """``i_name`` (k, u, x): fixed-point iteration over the training pairs."""
+    return f"""i_{name} AS (
+  SELECT 0 AS k, u, {start}::DOUBLE AS x FROM t_nodes
+  UNION ALL
+  SELECT k, u, {norm} FROM (
+    SELECT any_value(r.k) + 1 AS k, n.u, {step.replace("TERM", f"sum({term})")} AS z
+    FROM i_{name} r JOIN {pairs} p ON p.v = r.u JOIN t_nodes n ON n.u = p.u JOIN i_{name} mine ON mine.u = p.u WHERE r.k < {steps} GROUP BY n.u)
+)"""
+
+
+#: By fit: the iteration, the table of (competitor, v), and the chance of v against w.
+FIT_SQL = {
+    "pythagorean": ("", "SELECT who AS competitor, 1 / (1 + pow((sum(pa) + 1) / (sum(pf) + 1), 2.37::DOUBLE)) AS v FROM t_sides GROUP BY who",
+                    "CASE WHEN v >= w THEN v * (1 - w) / (v * (1 - w) + w * (1 - v)) ELSE 1 - w * (1 - v) / (w * (1 - v) + v * (1 - w)) END"),
+    "colley": (_steps("colley", "0.5", "(1 + (2 * any_value(n.w) - any_value(n.n)) / 2 + TERM) / (2 + any_value(n.n))", "z", 1000, "p.g * r.x"),
+               "SELECT u AS competitor, x AS v FROM i_colley WHERE k = 1000", "1 / (1 + exp(-4 * (v - w)))"),
+    "massey": (_steps("massey", "0.0", "0.5 * any_value(mine.x) + 0.5 * (any_value(n.m) + TERM) / any_value(n.n)", "z - avg(z) OVER ()", 400, "p.g * r.x"),
+               "SELECT u AS competitor, x AS v FROM i_massey WHERE k = 400", "0.5 * (1 + tanh((v - w) / (SELECT greatest(sqrt(2) * stddev_pop(v), 1e-9::DOUBLE) FROM r_massey)))"),
+    "keener": ("t_liked AS (SELECT x.u, x.v, 0.5 + 0.5 * sign(c) * sqrt(abs(c)) AS g FROM (SELECT x.u, x.v, 2 * (x.pts + 1) / (x.pts + y.pts + 2) - 1 AS c FROM t_p x JOIN t_p y ON y.u = x.v AND y.v = x.u) x),\n"
+               + _steps("keener", "1.0", "TERM / (any_value(n.n) + 2) + 0.0001::DOUBLE * (SELECT count(*) FROM t_nodes)", "z / avg(z) OVER ()", 100, "p.g * r.x", "t_liked"),
+               "SELECT u AS competitor, x AS v FROM i_keener WHERE k = 100", "v / (v + w)"),
+    "bradley_terry": (_steps("bradley_terry", "1.0", "(any_value(n.w) + 0.1::DOUBLE) / (TERM + 0.2::DOUBLE / (any_value(mine.x) + 1))", "z / exp(avg(ln(z)) OVER ())", 300, "p.g / (mine.x + r.x)"),
+                      "SELECT u AS competitor, ln(x) AS v FROM i_bradley_terry WHERE k = 300", "1 / (1 + exp(-(v - w)))"),
+}
+
+
 def _judged(name: str) -> str:
     """``h_name``: the held-out bouts of known competitors with predictions, and ``o_name``: counts and the best cuts."""
-    state, start, step, day, _, chance = FOLDS[name]
-    return f"""{fold_ctes('r_' + name, 'train', state, start, step, day)},
+    if name in FIT_SQL:
+        steps, rated, chance = FIT_SQL[name]
+        ctes = (steps + ",\n" if steps else "") + f"r_{name} AS ({rated})"
+    else:
+        state, start, step, day, _, chance = FOLDS[name]
+        ctes = fold_ctes("r_" + name, "train", state, start, step, day)
+    return f"""{ctes},
 h_{name} AS (SELECT seq, a, b, CASE outcome WHEN 1 THEN 'a' WHEN 0 THEN 'b' ELSE 'draw' END AS label, {chance} AS predicted
   FROM (SELECT held.*, x.v AS v, y.v AS w FROM held JOIN r_{name} x ON x.competitor = a JOIN r_{name} y ON y.competitor = b)),
 c_{name} AS (SELECT 0 AS k, 0 AS a, 0 AS b, 0 AS d UNION ALL SELECT row_number() OVER u, sum(a) OVER u, sum(b) OVER u, sum(d) OVER u
@@ -240,7 +278,7 @@ m_{name} AS (SELECT '{name}' AS system, {_CELLS}, count(*) AS n FROM (SELECT *,
 
 def evaluated(names: list[str], columns: str) -> str:
     whole = " UNION ALL ".join(f"SELECT * FROM m_{n}, o_{n}" for n in names)
-    return f"""WITH {BOUTS}, {_SPLIT}, {", ".join(map(_judged, names))}, every AS ({whole}),
+    return f"""WITH RECURSIVE {BOUTS}, {_SPLIT}, {_TRAIN}, {", ".join(map(_judged, names))}, every AS ({whole}),
 p AS (SELECT *, (tp + tn) / n::DOUBLE AS accuracy_, CASE WHEN tp + fp = 0 THEN 'nan'::DOUBLE ELSE tp / (tp + fp)::DOUBLE END AS p_, CASE WHEN tp + fn = 0 THEN 'nan'::DOUBLE ELSE tp / (tp + fn)::DOUBLE END AS r_ FROM every),
 judged AS (SELECT system, n, tp, fp, tn, fn, round(accuracy_, 9) AS accuracy, round(p_, 9) AS precision, round(r_, 9) AS recall, round(2 * p_ * r_ / (p_ + r_), 9) AS f1,
                   round(accuracy_opt, 9) AS accuracy_opt, round(accuracy_opt, 9) AS optimized_accuracy FROM p)
@@ -248,15 +286,15 @@ SELECT {columns} FROM judged"""
 
 
 EVALUATE = evaluated(["elo"], "n, tp, fp, tn, fn, accuracy, precision, recall, f1")
-BENCHMARK = evaluated(list(FOLDS), "system, n, tp, fp, tn, fn, accuracy, precision, recall, f1, accuracy_opt")
+BENCHMARK = evaluated([*FOLDS, *FIT_SQL], "system, n, tp, fp, tn, fn, accuracy, precision, recall, f1, accuracy_opt")
 COMPARISON = evaluated(["elo", "dwz"], "system, accuracy, precision, recall, f1, accuracy_opt, optimized_accuracy")
 EVALUATION_REPORT = f"""WITH {BOUTS}, {_SPLIT}, {_judged("elo")},
-top AS (SELECT string_agg(competitor, ',' ORDER BY rating DESC, competitor) AS top FROM (SELECT competitor, round(v, 6) AS rating FROM r_elo ORDER BY 2 DESC, 1 LIMIT 5)),
+top AS (SELECT competitor, row_number() OVER (ORDER BY rating DESC, competitor) AS place FROM (SELECT competitor, round(v, 6) AS rating FROM r_elo) QUALIFY place <= 5),
 past AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM train UNION ALL SELECT b FROM train) GROUP BY c),
 who AS (SELECT seq, a AS c FROM h_elo UNION ALL SELECT seq, b FROM h_elo),
 k AS (SELECT seq, min(before + coalesce(n, 0)) AS k FROM (SELECT seq, c, count(*) OVER (PARTITION BY c ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM who) LEFT JOIN past USING (c) GROUP BY seq),
 bins AS (SELECT k // 5 AS bin, count(*) FILTER (WHERE (CASE WHEN predicted > 0.5::DOUBLE THEN 'a' WHEN predicted < 0.5::DOUBLE THEN 'b' ELSE 'draw' END) = label) AS correct, count(*) AS total FROM h_elo JOIN k USING (seq) GROUP BY 1)
-SELECT 'elo' AS system, (SELECT top FROM top) AS top, string_agg(bin || ':' || correct || '/' || total, ';' ORDER BY bin) AS cohorts, (SELECT round(accuracy_opt, 9) FROM o_elo) AS accuracy_opt FROM bins"""
+SELECT 'top' AS kind, place AS at, competitor, NULL::BIGINT AS correct, NULL::BIGINT AS total FROM top UNION ALL SELECT 'cohort', bin, NULL, correct, total FROM bins"""
 
 ELO_BY_LEAGUE = f"""WITH {SUPPLIER.replace("bouts AS", "unnumbered AS")}, bouts AS (SELECT *, row_number() OVER (ORDER BY ts, order_key, a, b) - 1 AS seq FROM unnumbered), {SIDES},
 {fold_ctes("r", "bouts", *FOLDS["elo"][:3])}, g AS (SELECT league, who AS competitor, count(*) AS games FROM sides GROUP BY ALL)
@@ -398,3 +436,4 @@ SELECT competitor, round(sum(rating * w) / sum(w), 4) AS rating, count(*) AS cri
 EXPLORE = f"""WITH {RATED}, near AS ({NEAREST.replace("WITH " + RATED, "")}), reach AS (
   SELECT x.competitor, y.competitor AS opponent, row_number() OVER (PARTITION BY x.competitor ORDER BY md5(x.competitor || ':' || y.competitor || ':5')) AS k FROM rated x JOIN rated y ON x.competitor <> y.competitor AND abs(x.rating - y.rating) <= 100)
 SELECT near.competitor, CASE WHEN (('0x' || md5(near.competitor || ':5')[1:8])::BIGINT % 1000) / 1000.0::DOUBLE < 0.2::DOUBLE THEN reach.opponent ELSE near.opponent END AS opponent FROM near JOIN reach ON reach.competitor = near.competitor AND reach.k = 1"""
+WHR_OPTIMUM = f"WITH {BOUTS} SELECT who AS competitor, count(DISTINCT ts::DATE) AS days, true AS settled FROM (SELECT a AS who, ts FROM bouts UNION ALL SELECT b, ts FROM bouts) GROUP BY who"
