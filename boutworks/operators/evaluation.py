@@ -142,15 +142,16 @@ def best_cuts(history: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     groups = judged(history).groupBy(*by, "predicted").agg(_count(y == "a").alias("a"), _count(y == "b").alias("b"), _count(y == "draw").alias("d"))
     keys = list(by) or ["_all"]
     counted = groups.withColumns({"k": F.lit(1).cast("long"), **({} if by else {"_all": F.lit(0)})})
-    sums = segmented_sums(counted, keys, ["predicted"], ["a", "b", "d", "k"])
-    none = sums.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("predicted"), *[F.lit(0).cast("long").alias(c) for c in ("a", "b", "d", "k")])
-    cuts = staged(sums.unionByName(none).repartitionByRange(*keys, "k").withColumn("_part", F.spark_partition_id()), "cuts")
+    sums = staged(segmented_sums(counted, keys, ["predicted"], ["a", "b", "d", "k"], part=True), "sums")
+    none = sums.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("predicted"), *[F.lit(0).cast("long").alias(c) for c in ("a", "b", "d", "k")], F.lit(-1).alias("_part"))
+    cuts = sums.unionByName(none)
     # the best upper cut at or after each lower one: inside the range, or in a later range
     own = F.struct((F.col("d") - F.col("a")).alias("score"), (-F.col("k")).alias("neg"))
     tops = cuts.groupBy(*keys, "_part").agg(F.max(own).alias("top"))
-    later = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     after = tops.select(*keys, "_part", F.max("top").over(later).alias("after"))
-    down = Window.partitionBy(*keys, "_part").orderBy("k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from above: a frame that only grows costs a step per row
+    down = Window.partitionBy(*keys, "_part").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scored = cuts.select(*keys, "_part", "a", "k", "b", "d", F.max(own).over(down).alias("here")).join(after, [*keys, "_part"]).withColumn("up", F.greatest("here", "after"))
     best = F.max(F.struct((F.col("b") - F.col("d") + F.col("up.score")).alias("correct"), (-F.col("k")).alias("neg_i"), (-F.col("up.neg")).alias("j")))
     top = scored.groupBy(*keys).agg(best.alias("t"), F.max("a").alias("all_a"))

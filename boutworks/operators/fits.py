@@ -139,10 +139,10 @@ def bradley_terry_fit(w: np.ndarray, games: np.ndarray, reg: float = BT_REG, ste
 
 
 _DENSE_FITS = {
-    "colley": lambda t, steps: _colley(t["games"], t["wins"], t["games"]),
-    "massey": lambda t, steps: _massey(t["margin"], t["wins"], t["games"]),
-    "keener": lambda t, steps: _keener(t["points"], t["wins"], t["games"], steps),
-    "bradley_terry": lambda t, steps: (bradley_terry_fit(t["wins"], t["games"], steps=steps), 1.0),
+    "colley": lambda t, steps=STEPS: _colley(t["games"], t["wins"], t["games"]),
+    "massey": lambda t, steps=STEPS: _massey(t["margin"], t["wins"], t["games"]),
+    "keener": lambda t, steps=STEPS: _keener(t["points"], t["wins"], t["games"], steps),
+    "bradley_terry": lambda t, steps=STEPS: (bradley_terry_fit(t["wins"], t["games"], steps=steps), 1.0),
 }
 
 

@@ -52,10 +52,11 @@ def _ranges(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame
     return local, local.groupBy("_part").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
 
 
-def segmented_sums(df: DataFrame, keys: list[str], order: list[str], columns: list[str], current: bool = True) -> DataFrame:
+def segmented_sums(df: DataFrame, keys: list[str], order: list[str], columns: list[str], current: bool = True, part: bool = False) -> DataFrame:
     """``df`` with the columns replaced by their sums over the key's rows up to the row, or up to the one before it.
 
     ``order`` must be total within a key. Nulls count as nothing, and a key's first row has the sum 0 before it.
+    With ``part`` the number of the range partition stays as ``_part``.
     """
     local, ends = _ranges(df, keys, order)
     inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if current else -1)
@@ -64,7 +65,7 @@ def segmented_sums(df: DataFrame, keys: list[str], order: list[str], columns: li
     last = local.join(F.broadcast(ends.select("_part", "_last")), "_part").where(F.col("_key") == F.col("_last"))
     totals = last.groupBy("_part", "_last").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     so_far = Window.partitionBy("_last").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _with_earlier(sums, ends, totals.select("_part", "_last", *[F.sum(f"_{c}").over(so_far).alias(f"_{c}") for c in columns]), columns, lambda own, before: own + F.coalesce(before, F.lit(0)))
+    return _with_earlier(sums, ends, totals.select("_part", "_last", *[F.sum(f"_{c}").over(so_far).alias(f"_{c}") for c in columns]), columns, lambda own, before: own + F.coalesce(before, F.lit(0)), part)
 
 
 def carried_forward(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
@@ -79,11 +80,11 @@ def carried_forward(df: DataFrame, keys: list[str], order: list[str], column: st
     return _with_earlier(filled, ends, known.select("_part", "_last", F.last(f"_{column}", ignorenulls=True).over(so_far).alias(f"_{column}")), [column], lambda own, before: F.coalesce(own, before))
 
 
-def _with_earlier(rows: DataFrame, ends: DataFrame, upto: DataFrame, columns: list[str], combine) -> DataFrame:
+def _with_earlier(rows: DataFrame, ends: DataFrame, upto: DataFrame, columns: list[str], combine, part: bool = False) -> DataFrame:
     """``rows`` combined with what the partitions before have for the first key of each; ``upto`` has it for their last keys."""
     by_part = Window.orderBy("_part")
     shifted = ends.join(upto, ["_part", "_last"]).select("_part", "_first", F.lag("_last").over(by_part).alias("_before"), *[F.lag(f"_{c}").over(by_part).alias(f"_{c}") for c in columns])
     earlier = shifted.where(F.col("_first") == F.col("_before")).select("_part", F.col("_first").alias("_key"), *[f"_{c}" for c in columns])
     out = rows.join(F.broadcast(earlier), ["_part", "_key"], "left")
-    names = [c for c in rows.columns if c not in (*columns, "_part", "_key")]
+    names = [c for c in rows.columns if c not in (*columns, *(["_key"] if part else ["_part", "_key"]))]
     return out.select(*names, *[combine(F.col(c), F.col(f"_{c}")).alias(c) for c in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, models, records, reports, splits, state, systems
+from boutworks.operators import evaluation, fits, matchmaking, models, periods, records, reports, splits, state, systems
 from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
@@ -56,6 +56,16 @@ def elo_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("competitor", F.round("rating", 6).alias("rating"))
 
 
+def _periods(system) -> Query:
+    """Periods of five days, in which a competitor has some twenty bouts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rated = periods.rate_periods(bouts_events(spark, sf_dir), system, 5.0)
+        return _rounded(rated.select("competitor", "rating", "spread", "games", "last"), 6, "rating", "spread")
+
+    return run
+
+
 def pair_state_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored pair table with the later bouts added gives the fit of all bouts."""
     bouts = staged(records.unit_scores(bouts_events(spark, sf_dir)), "bouts")
@@ -379,6 +389,8 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "ecf_leaderboard": (_board(systems.Ecf()), oracle.ECF),
     "dwz_leaderboard": (_board(systems.Dwz()), oracle.DWZ),
     "ensemble_leaderboard": (_board(systems.Ensemble()), oracle.ENSEMBLE),
+    "glicko_periods": (_periods(systems.Glicko()), oracle.GLICKO_PERIODS),
+    "glicko2_periods": (_periods(systems.Glicko2()), oracle.GLICKO2_PERIODS),
     "colley_ratings": (_fit("colley", 9), oracle.COLLEY),
     "massey_ratings": (_fit("massey", 9), oracle.MASSEY),
     "keener_ratings": (_fit("keener", 6), oracle.KEENER),

@@ -437,3 +437,46 @@ EXPLORE = f"""WITH {RATED}, near AS ({NEAREST.replace("WITH " + RATED, "")}), re
   SELECT x.competitor, y.competitor AS opponent, row_number() OVER (PARTITION BY x.competitor ORDER BY md5(x.competitor || ':' || y.competitor || ':5')) AS k FROM rated x JOIN rated y ON x.competitor <> y.competitor AND abs(x.rating - y.rating) <= 100)
 SELECT near.competitor, CASE WHEN (('0x' || md5(near.competitor || ':5')[1:8])::BIGINT % 1000) / 1000.0::DOUBLE < 0.2::DOUBLE THEN reach.opponent ELSE near.opponent END AS opponent FROM near JOIN reach ON reach.competitor = near.competitor AND reach.k = 1"""
 WHR_OPTIMUM = f"WITH {BOUTS} SELECT who AS competitor, count(DISTINCT ts::DATE) AS days, true AS settled FROM (SELECT a AS who, ts FROM bouts UNION ALL SELECT b, ts FROM bouts) GROUP BY who"
+
+
+def periods(second: bool) -> str:
+    """Rating periods of five days as a recursion over them, all competitors in each step."""
+    slope, k2 = ("1.0::DOUBLE", "1.0::DOUBLE") if second else ("(ln(10) / 400)", f"({_Q2})")
+    new = "0.0::DOUBLE AS r, 350.0::DOUBLE / 173.7178::DOUBLE AS d, 0.06::DOUBLE AS v" if second else "1500.0::DOUBLE AS r, 350.0::DOUBLE AS d, 0.0::DOUBLE AS v"
+    waited = "least(350.0::DOUBLE / 173.7178::DOUBLE, sqrt(d * d + (k - last) * v * v))" if second else "least(350.0::DOUBLE, sqrt(d * d + 34.6::DOUBLE * 34.6::DOUBLE * (k + 1 - last)))"
+    f = lambda x: _F.format(x=x)
+    if second:
+        high = f"CASE WHEN h.d2 > h.p2 + h.v THEN ln(h.d2 - h.p2 - h.v) ELSE h.a - 0.5::DOUBLE * list_min(list_filter(range(1, 201), lambda n: n = 200 OR {f('(h.a - n * 0.5::DOUBLE)')} >= 0)) END"
+        mid = "(z.lo + (z.lo - z.hi) * z.fl / (z.fh - z.fl))"
+        root = f"""(list_transform([{{'a': ln(w.v * w.v), 'p2': w.d * w.d, 'v': 1 / info, 'd2': gain / info * gain / info}}], lambda h: (list_transform([{high}], lambda b: exp(list_reduce([{{'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE, 'fl': 0.0::DOUBLE, 'fh': 0.0::DOUBLE}} for _ in range(40)],
+          lambda z, _: CASE WHEN abs(z.hi - z.lo) <= 1e-6::DOUBLE THEN z ELSE (list_transform([{{'m': {mid}, 'f': (list_transform([{mid}], lambda m: {f('m')}))[1]}}],
+            lambda q1: {{'lo': CASE WHEN q1.f * z.fh < 0 THEN z.hi ELSE z.lo END, 'hi': q1.m, 'fl': CASE WHEN q1.f * z.fh < 0 THEN z.fh ELSE z.fl / 2 END, 'fh': q1.f}}))[1] END,
+          {{'lo': h.a, 'hi': b, 'fl': {f('h.a')}, 'fh': {f('b')}}}).lo / 2)))[1]))[1]"""
+        after = f"CASE WHEN info IS NULL THEN w.v ELSE {root} END AS nv"
+        total = "(1 / (dd * dd + nv * nv) + info)"
+        r, d = f"CASE WHEN info IS NULL THEN r ELSE r + gain / {total} END", f"CASE WHEN info IS NULL THEN d ELSE sqrt(1 / {total}) END"
+        shown = "round(greatest(100.0::DOUBLE, r * 173.7178::DOUBLE + 1500), 6) AS rating, round(least(350.0::DOUBLE, d * 173.7178::DOUBLE), 6) AS spread"
+    else:
+        after = "w.v AS nv"
+        total = f"(1 / (dd * dd) + {_Q2} * info)"
+        r, d = f"CASE WHEN info IS NULL THEN r ELSE greatest(100.0::DOUBLE, r + 0.0057565::DOUBLE / {total} * gain) END", f"CASE WHEN info IS NULL THEN d ELSE sqrt(1 / {total}) END"
+        shown = "round(r, 6) AS rating, round(d, 6) AS spread"
+    return f"""WITH RECURSIVE {BOUTS}, {SIDES.replace("SELECT league, a AS who", "SELECT ts, league, a AS who").replace("SELECT league, b, a", "SELECT ts, league, b, a")},
+days AS (SELECT datediff('day', DATE '1970-01-01', ts::DATE) // 5 AS day, who, other, score FROM sides),
+s AS (
+  SELECT (SELECT min(day) FROM days) - 1 AS k, c, {new}, NULL::BIGINT AS last, 0::BIGINT AS games FROM (SELECT DISTINCT who AS c FROM days)
+  UNION ALL
+  SELECT k + 1, c, {r}, {d}, nv, CASE WHEN info IS NULL THEN last ELSE k + 1 END, games + coalesce(n, 0) FROM (
+    SELECT u.*, {after} FROM (
+      SELECT x.k, x.c, x.r, x.d AS od, CASE WHEN x.last IS NULL THEN x.d ELSE {waited.replace("d * d", "x.d * x.d").replace("v * v", "x.v * x.v").replace("last", "x.last").replace("(k", "(x.k")} END AS dd, x.v, x.last, x.games, info, gain, n
+      FROM s x LEFT JOIN (
+        SELECT m.c, sum(g * g * e * (1 - e)) AS info, sum(g * (score - e)) AS gain, count(*) AS n FROM (
+          SELECT y.c, y.score, y.g, 1 / (1 + exp(-y.g * (y.r - y.o) * {slope})) AS e FROM (
+            SELECT me.c, t.score, me.r, you.r AS o, 1 / sqrt(1 + 3 * {k2} * pow(CASE WHEN you.last IS NULL THEN you.d ELSE {waited.replace("d * d", "you.d * you.d").replace("v * v", "you.v * you.v").replace("last", "you.last").replace("(k", "(you.k")} END, 2) / (pi() * pi())) AS g
+            FROM s me JOIN days t ON t.who = me.c AND t.day = me.k + 1 JOIN s you ON you.c = t.other) y) m GROUP BY m.c) q ON q.c = x.c
+      WHERE x.k < (SELECT max(day) FROM days)) u, LATERAL (SELECT u.v, u.dd AS d) w)
+)
+SELECT c AS competitor, {shown}, games, last FROM s WHERE k = (SELECT max(day) FROM days)""".replace("CASE WHEN info IS NULL THEN d ELSE", "CASE WHEN info IS NULL THEN od ELSE")
+
+
+GLICKO_PERIODS, GLICKO2_PERIODS = periods(False), periods(True)
