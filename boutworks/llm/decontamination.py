@@ -35,6 +35,8 @@ from boutworks.runtime import discard, work_path
 WINDOW = 10
 #: Text bytes of the test set in one broadcast.
 BLOCK_BYTES = 32 << 20
+#: Pairs of an occurrence in a chunk and a use in the test set that are looked at together.
+PLACES = 1 << 20
 
 #: Lower-cases A-Z; every ASCII byte outside letters and digits separates words.
 _FOLD = bytes(
@@ -187,24 +189,42 @@ def _match(texts: pa.Array, test: TestSet, window: int) -> _Found:
     first = np.concatenate([[0], np.cumsum(n_words + 1)])
     for d, a, b in zip(doc_of.tolist(), np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
         found.spans[d].append({"start": a - int(first[d]), "end": b - int(first[d])})
-    # every place of the window in the test set, as (document, item, alignment)
-    uses = np.diff(test.uses)[which]
-    use = gather(test.uses[which], uses)
-    item, place = test.use_item[use], np.repeat(at, uses)
-    doc = np.searchsorted(first, place, side="right") - 1
-    for key in np.unique(doc * len(test.names) + item).tolist():
-        name = test.names[key % len(test.names)]
-        if name is not None:
-            found.items[key // len(test.names)].append(name)
-    shift, size = place - test.use_at[use], np.repeat(test.size[which], uses)
-    order = np.lexsort((place, shift, item))
-    item, shift, place, size, doc = item[order], shift[order], place[order], size[order], doc[order]
-    fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] != place[:-1] + 1)])
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
-    np.maximum.at(found.longest, doc, place - place[head] + size)
+    _by_items(found, test, which, at, first)
     return found
 
 
+def _by_items(found: _Found, test: TestSet, which: np.ndarray, at: np.ndarray, first: np.ndarray) -> None:
+    """The items of each document and its longest match, from the places ``at`` where windows ``which`` occur.
+
+    Items are taken in blocks of ``PLACES`` places (occurrences times uses) at most, or one item, so that a window that
+    very many items share costs no more memory than others.
+    """
+    windows, code = np.unique(which, return_inverse=True)
+    uses = np.diff(test.uses)[windows]
+    use = gather(test.uses[windows], uses)
+    owner, times = np.repeat(np.arange(len(windows)), uses), np.bincount(code, minlength=len(windows))
+    cost = np.cumsum(np.bincount(test.use_item[use], weights=times[owner], minlength=len(test.names)))
+    block = np.concatenate([[0], cost[:-1]]) // PLACES
+    by_window = np.argsort(code, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(times)])
+    doc_at = np.searchsorted(first, at, side="right") - 1
+    for b in np.unique(block[test.use_item[use]]).tolist():
+        mine = np.flatnonzero(block[test.use_item[use]] == b)
+        spot = by_window[gather(starts[owner[mine]], times[owner[mine]])]
+        own = np.repeat(use[mine], times[owner[mine]])
+        item, place, doc = test.use_item[own], at[spot], doc_at[spot]
+        for key in np.unique(doc * len(test.names) + item).tolist():
+            name = test.names[key % len(test.names)]
+            if name is not None:
+                found.items[key // len(test.names)].append(name)
+        shift, size = place - test.use_at[own], test.size[which[spot]]
+        order = np.lexsort((place, shift, item))
+        item, shift, place, size, doc = item[order], shift[order], place[order], size[order], doc[order]
+        fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] != place[:-1] + 1)])
+        head = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+        np.maximum.at(found.longest, doc, place - place[head] + size)
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _FIELDS = [
     T.StructField("n_words", T.LongType()),

@@ -7,6 +7,13 @@ the pair of its best-ranked merge (segmented minimum), merges it leftmost first,
 and the arrays are compacted until no pair remains. Occurrences of that pair in
 one segment are merged at once only where no new pair could rank before it.
 
+Segments are also cut where two characters stand side by side in no piece, since no
+merge crosses such a place. In long segments, as texts without white space have them,
+every pair that ranks first among the ``reach`` symbols on each side is merged in the
+same round, where ``reach`` is the length of the longest piece: what is merged before
+it further away would have to grow into a longer piece than there is to touch it, and
+nothing nearer is merged before it. So the rounds don't grow with the text's length.
+
 Defined cases: a null or empty text encodes to the begin and end ids alone and
 decodes to the empty string; a literal U+2581 decodes to a space, as in the
 sentencepiece library; bytes that aren't UTF-8 become U+FFFD before encoding;
@@ -33,6 +40,8 @@ MAX_MODEL_BYTES = 64 << 20
 KNOWN_SEGMENTS = 200_000
 #: Text bytes encoded at once.
 ENCODE_BYTES = 1 << 20
+#: Bytes of the longest segment that is kept for the next chunks.
+KNOWN_BYTES = 64
 _SPACE = 0x2581
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int32).max
@@ -84,6 +93,8 @@ class BpeModel:
     unk: int
     byte_ids: np.ndarray | None
     barrier: bool  # a line feed is in no piece of several characters
+    beside: np.ndarray  # sorted (left << 21 | right) of characters that stand side by side in a piece
+    reach: int  # characters of the longest piece
 
     @classmethod
     def parse(cls, raw: bytes) -> BpeModel:
@@ -129,6 +140,7 @@ class BpeModel:
             keys, np.array([pairs[k] for k in keys.tolist()], dtype=np.int64), rank, alone,
             trainer.get(41, 1), trainer.get(42, 2), trainer.get(40, 0), byte_ids if len(byte_ids) == 256 else None,
             not any("\n" in t for t in of if len(t) > 1),
+            np.array(sorted({ord(a) << 21 | ord(b) for t in of for a, b in zip(t, t[1:], strict=False)}), dtype=np.int64), max(map(len, of), default=1),
         )
 
     def encode_segments(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +152,13 @@ class BpeModel:
         where = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
         sym = np.where(self.chars[where] == points, self.char_ids[where], -1 - points)
         seg = np.repeat(np.arange(len(segments), dtype=np.int32), np.diff(at))
+        whole, fresh = seg, np.ones(len(sym), dtype=bool)
+        if len(sym) > 1 and len(self.beside):
+            pair = points[:-1] << 21 | points[1:]
+            near = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+            fresh[1:] = (seg[1:] != seg[:-1]) | (self.beside[near] != pair)
+        seg = np.cumsum(fresh, dtype=np.int32) - 1  # the pieces of the segments, in the same order
+        parent = whole[fresh]
         made = self._pairs(sym, seg, np.arange(len(sym)))
         done_seg, done_sym = [], []
         while len(sym):
@@ -151,7 +170,7 @@ class BpeModel:
         seg = np.concatenate(done_seg) if done_seg else np.zeros(0, np.int32)
         sym = np.concatenate(done_sym) if done_sym else np.zeros(0, np.int64)
         order = np.argsort(seg, kind="stable")
-        return self._spell(sym[order], seg[order], len(segments))
+        return self._spell(sym[order], parent[seg[order]] if len(seg) else seg, len(segments))
 
     def _pairs(self, sym: np.ndarray, seg: np.ndarray, where: np.ndarray) -> np.ndarray:
         """The piece that each symbol of ``where`` makes with its right neighbour, or -1."""
@@ -184,6 +203,9 @@ class BpeModel:
             odd = (spot - np.maximum.accumulate(np.where(begin, spot, 0))) % 2 == 1
             first = np.maximum.accumulate(np.where(lead, spot, 0))
             at = at[np.where(self.alone[made[at[first]]], lead, ~odd)]
+            if sizes.max() > 4 * self.reach:
+                wide = np.flatnonzero(self._firsts(rank) & (np.repeat(sizes, sizes) > 4 * self.reach) & ((rank > best) | self.alone[made]) & ~over)
+                at = np.union1d(at, wide)
         sym[at] = made[at]
         stay = np.ones(len(sym), dtype=bool)
         stay[at + 1] = False
@@ -193,6 +215,19 @@ class BpeModel:
         made[around] = self._pairs(sym, seg, around)
         return sym, seg, made, over
 
+    def _firsts(self, rank: np.ndarray) -> np.ndarray:
+        """Pairs that rank before all within ``reach`` on their left and not after any on their right."""
+        n, padded = len(rank), np.concatenate([np.full(self.reach, _NONE, rank.dtype), rank, np.full(self.reach, _NONE, rank.dtype)])
+        # minima of ``reach`` neighbours, by doubling: low[i] is that of padded[i : i + width]
+        low, width = padded, 1
+        while width < self.reach:
+            step = min(width, self.reach - width)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            width += step
+        left, right = low[:n], low[self.reach + 1 :][:n]
+        right = np.concatenate([right, np.full(n - len(right), _NONE, rank.dtype)])
+        return (rank < left) & (rank <= right) & (rank != _NONE)
+
     def _spell(self, sym: np.ndarray, seg: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become byte pieces, or the unknown piece."""
         missing = np.flatnonzero(sym < 0)
@@ -250,21 +285,25 @@ class BpeModel:
         return out, ends
 
     def _known(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, starts and sizes of the segments; those met before in this worker aren't encoded again."""
+        """Ids, starts and sizes of the segments; short ones met before in this worker aren't encoded again.
+
+        Long segments rarely come again: nothing of them is kept.
+        """
         if not hasattr(self, "_seen") or len(self._seen) > KNOWN_SEGMENTS:
-            self._seen, self._ids = {}, np.zeros(0, np.int32)
-            self._starts, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self._seen, self._ids, self._sizes = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
         words = distinct.to_pylist()
         spot = np.fromiter((self._seen.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         new = np.flatnonzero(spot < 0)
-        if len(new):
-            ids, sizes = self.encode_segments(distinct.take(pa.array(new)))
-            spot[new] = len(self._sizes) + np.arange(len(new))
-            starts = len(self._ids) + np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            self._ids = np.concatenate([self._ids, ids.astype(np.int32)])
-            self._starts, self._sizes = np.concatenate([self._starts, starts]), np.concatenate([self._sizes, sizes])
-            self._seen.update((words[i], j) for i, j in zip(new.tolist(), spot[new].tolist(), strict=True) if len(words[i]) <= 64)
-        return self._ids, self._starts[spot], self._sizes[spot]
+        long = np.fromiter((len(words[i]) > KNOWN_BYTES for i in new.tolist()), dtype=bool, count=len(new))
+        new = np.concatenate([new[~long], new[long]])
+        kept = len(new) - int(long.sum())
+        ids, sizes = self.encode_segments(distinct.take(pa.array(new)))
+        spot[new] = len(self._sizes) + np.arange(len(new))
+        self._seen.update((words[i], j) for i, j in zip(new[:kept].tolist(), spot[new[:kept]].tolist(), strict=True))
+        known = int(sizes[:kept].sum())
+        every, every_sizes = np.concatenate([self._ids, ids.astype(np.int32)]), np.concatenate([self._sizes, sizes])
+        self._ids, self._sizes = every[: len(self._ids) + known].copy(), every_sizes[: len(self._sizes) + kept]
+        return every, (np.cumsum(every_sizes) - every_sizes)[spot], every_sizes[spot]
 
     def decode(self, rows: list[bytes]) -> list[str]:
         """Texts of packed ids."""

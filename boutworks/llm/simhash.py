@@ -388,9 +388,12 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Among rows with that id a hash of the row decides, and of equal rows one stays.
     """
     columns = documents.columns
-    keyed = documents.select("*", F.col(id_col).alias("_id"), F.xxhash64(*columns).alias("_row"))
-    named = keyed.select(F.struct("_id", "_row").alias("_key"), F.col(text_col).alias("_text"))
+    # the whole row is one column, so that no name clashes, and is hashed as JSON, which any type has
+    keyed = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]).alias("_all"))
+    keyed = keyed.withColumn("_row", F.xxhash64(F.to_json("_all"), "_text"))
+    named = keyed.select(F.struct("_id", "_row").alias("_key"), "_text")
     kept = similar_groups(named, "_key", "_text", shingle).select("component_id.*").distinct()
     kept = kept.select(F.col("_id").alias("_keep_id"), F.col("_row").alias("_keep_row"))
     stay = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row") == F.col("_keep_row")), "left_semi")
-    return stay.dropDuplicates(["_id", "_row"]).select(*columns)
+    one = stay.dropDuplicates(["_id", "_row"])
+    return one.select(*[F.col("_all").getField(f"c{k}").alias(c) for k, c in enumerate(columns)])

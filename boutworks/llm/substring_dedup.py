@@ -129,12 +129,24 @@ _CONTEXT = "suffix binary, before binary, weight int, r1 long, r2 long, a int"
 
 
 def _contexts(rows: DataFrame, text_col: str, width: int) -> DataFrame:
-    """The suffix of each listed run, and the bytes before it reversed."""
+    """The suffix of each listed run, and the bytes before it reversed.
+
+    Equal rows have the same runs: a task gives those of a row once, however often it comes. It remembers the last
+    ``SEEN_ROWS`` rows; one that slips through only adds a context that is there already.
+    """
     kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], None] = {}
         for batch in batches:
-            for part in chunks(batch, text_col, _CHUNK):
+            fresh = []
+            for i, key in enumerate(zip(batch.column("_r1").to_pylist(), batch.column("_r2").to_pylist(), strict=True)):
+                if key not in seen:
+                    fresh.append(i)
+                    seen[key] = None
+                    if len(seen) > SEEN_ROWS:
+                        del seen[next(iter(seen))]
+            for part in chunks(batch.take(pa.array(fresh, pa.int64())), text_col, _CHUNK):
                 texts = [t or b"" for t in part.column(text_col).cast(pa.large_binary()).to_pylist()]
                 found = [
                     (text[run["a"] : run["e"] + width], text[run["s"] : run["a"]][::-1], run["w"], r1, r2, run["a"])
@@ -213,6 +225,8 @@ def repeated_windows(suffixes: list[bytes], before: list[bytes], weight: np.ndar
     return out
 
 
+#: Rows whose contexts a task has given and remembers.
+SEEN_ROWS = 200_000
 _BUCKET = "dest long, packed binary, r1 long, r2 long, s int, e int"
 #: A window of an edge group: its digest, whether it is known to repeat, and its place.
 _WINDOW = np.dtype([("d", "S16"), ("known", "i1"), ("r1", "<i8"), ("r2", "<i8"), ("s", "<i4")])
@@ -335,17 +349,20 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """``documents`` with ``removed_spans`` (byte ranges), ``kept_bytes`` (what is left of the UTF-8 text) and
     ``kept_text`` (the same without the rest of characters that were cut).
 
-    Input columns named like an output are replaced.
+    Input columns named like an output are replaced; others, whatever their names and types, stay.
     """
     bound_batches(documents.sparkSession)
-    keyed = _keyed(documents, id_col, text_col)
-    spans = staged(repeated_spans(keyed.select("_r1", "_r2", text_col), text_col, width), "repeats")
-    rows = keyed.join(spans, ["_r1", "_r2"], "left").drop("_r1", "_r2")
+    made = ("removed_spans", "kept_bytes", "kept_text")
+    others = [c for c in documents.columns if c != text_col and c.lower() not in made]
+    given = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)]).alias("_others"))
+    keyed = _keyed(given, "_id", "_text")
+    spans = staged(repeated_spans(keyed.select("_r1", "_r2", "_text"), "_text", width), "repeats")
+    rows = keyed.join(spans, ["_r1", "_r2"], "left").drop("_r1", "_r2", "_id")
     fields = [T.StructField("removed_spans", _SPANS), T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_text", T.StringType())]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(part: pa.RecordBatch) -> list[pa.Array]:
-        flat, offsets = joined(text_array(part.column(text_col)))
+        flat, offsets = joined(text_array(part.column("_text")))
         ranges = [_cover(s, width) for s in part.column("_spans").to_pylist()]
         keep = np.ones(len(flat), dtype=bool)
         for at, own in zip(offsets[:-1].tolist(), ranges, strict=True):
@@ -358,7 +375,9 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             return [listed, kept.cast(pa.binary()), kept.cast(pa.large_string()).cast(pa.string())]
         return [listed, kept.cast(pa.binary()), pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())]
 
-    return append_columns(rows, text_col, fields, cut).drop("_spans")
+    cut_rows = append_columns(rows, "_text", fields, cut)
+    back = [F.col("_text").alias(c) if c == text_col else F.col("_others").getField(f"c{others.index(c)}").alias(c) for c in documents.columns if c in others or c == text_col]
+    return cut_rows.select(*back, *made)
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -589,5 +590,63 @@ def test_pipeline_stages_take_awkward_rows(spark):
 
 def test_queries_are_named_by_number():
     names = [n for n in queries.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries.queries() and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_long_segments_equal_the_library(library):
+    r = random.Random(9)
+    model = sentencepiece_bpe.BpeModel.parse(open(PIECES, "rb").read())
+    texts = ["".join(r.choices("abcdeABtheingon01éñ日本", k=r.randrange(600))) for _ in range(200)]
+    texts += ["".join(r.choices(r.sample("abcdefghijklmnopqrstuvwxyz", 3), k=r.randrange(100, 500))) for _ in range(200)]
+    texts += ["the" * 300, "a" * 5000, "ing" * 1000 + "x", "-" * 999 + "a" * 999, "".join(LONG.split())[:60_000]]
+    ids, ends = model.encode(text_array(pa.array(texts)))
+    starts = np.concatenate([[0], ends[:-1]])
+    assert [ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == [[1, *x, 2] for x in library.encode(texts, num_threads=1)]
+
+
+def test_a_million_characters_without_white_space(library):
+    r = random.Random(10)
+    text = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    model = sentencepiece_bpe.BpeModel.parse(open(PIECES, "rb").read())
+    began = time.time()
+    ids, ends = model.encode(text_array(pa.array([text])))
+    assert time.time() - began < 20
+    assert ids.tolist() == [1, *library.encode(text), 2]
+    assert len(model._ids) == 0  # nothing of long segments is kept
+
+
+def test_a_window_that_all_items_share(monkeypatch):
+    """Items and longest matches don't depend on how items are cut into blocks."""
+    head = "you are given a text read it and answer all questions below"
+    items = [(f"i{k}", f"{head} {k} {k + 1} {k + 2} tail of the item") for k in range(60)]
+    texts = text_array(pa.array([f"{head} {k} {k + 1} {k + 2} tail {head}" if k % 2 else head for k in range(40)]))
+    made = decontamination.build_test_set(items, 10)
+    whole = decontamination._match(texts, made, 10)
+    monkeypatch.setattr(decontamination, "PLACES", 7)
+    parts = decontamination._match(texts, made, 10)
+    assert [sorted(x) for x in parts.items] == [sorted(x) for x in whole.items] and len(whole.items[0]) == 60
+    assert parts.longest.tolist() == whole.longest.tolist() and whole.longest[1] > whole.longest[0] == 12
+
+
+def test_equal_rows_have_one_context(spark, monkeypatch):
+    shared = "this passage is shared by the two texts and it is long enough to be found " * 4
+    rows = [(i, "first " * 50 + shared + "x") for i in [1] * 500] + [(2, "other words before " * 20 + shared + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    contexts = []
+    real = substring_dedup._contexts
+    monkeypatch.setattr(substring_dedup, "_contexts", lambda *a: (contexts.append(real(*a)), contexts[-1])[1])
+    got = bag(substring_dedup.report(docs).collect())
+    assert contexts[0].count() < 60
+    assert sum(got.values()) == 501 and len(got) == 2
+
+
+def test_any_column_travels_along(spark):
+    names = ["_id", "_row", "_keep_id", "_r1", "_r2", "_spans", "_text", "_all", "_others", "c0"]
+    rows = [(d, t, *[d or 0] * len(names), {"k": d or 0}) for d, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names) + ", m map<string,long>")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and all(r.m == {"k": r.doc_id or 0} and r._id == (r.doc_id or 0) for r in kept.collect())
+    cut = substring_dedup.remove_repeats(docs)
+    assert cut.columns == [*docs.columns, "removed_spans", "kept_bytes", "kept_text"] and cut.count() == len(ODD)
+    assert all(r._r1 == r._spans == (r.doc_id or 0) for r in cut.collect())
