@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, models, periods, records, reports, splits, state, systems
+from boutworks.operators import evaluation, fits, matchmaking, models, periods, prequential, records, reports, splits, state, systems
 from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
@@ -155,6 +155,17 @@ def _fit(system: str, digits: int) -> Query:
     return run
 
 
+def _fit_history(model, digits: int = 7) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(prequential.fit_history(bouts_events(spark, sf_dir), model), digits, "predicted").drop("league")
+
+    return run
+
+
+def pythagorean_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(prequential.pythagorean_history(bouts_events(spark, sf_dir)), 9, "predicted").drop("league")
+
+
 def whr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fits.whole_history(bouts_events(spark, sf_dir)), 6, "rating")
 
@@ -389,6 +400,11 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "ecf_leaderboard": (_board(systems.Ecf()), oracle.ECF),
     "dwz_leaderboard": (_board(systems.Dwz()), oracle.DWZ),
     "ensemble_leaderboard": (_board(systems.Ensemble()), oracle.ENSEMBLE),
+    "pythagorean_history": (pythagorean_history, oracle.PYTHAGOREAN_HISTORY),
+    "colley_history": (_fit_history(models.Colley()), oracle.COLLEY_HISTORY),
+    "massey_history": (_fit_history(models.Massey()), None),
+    "keener_history": (_fit_history(models.Keener(), 6), None),
+    "bradley_terry_history": (_fit_history(models.BradleyTerry()), None),
     "glicko_periods": (_periods(systems.Glicko()), oracle.GLICKO_PERIODS),
     "glicko2_periods": (_periods(systems.Glicko2()), oracle.GLICKO2_PERIODS),
     "colley_ratings": (_fit("colley", 9), oracle.COLLEY),

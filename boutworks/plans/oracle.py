@@ -480,3 +480,20 @@ SELECT c AS competitor, {shown}, games, last FROM s WHERE k = (SELECT max(day) F
 
 
 GLICKO_PERIODS, GLICKO2_PERIODS = periods(False), periods(True)
+
+PYTHAGOREAN_HISTORY = f"""WITH {BOUTS}, two AS (SELECT seq, 'a' AS side, a AS who, score_a AS pf, score_b AS pa FROM bouts UNION ALL SELECT seq, 'b', b, score_b, score_a FROM bouts),
+k AS (SELECT seq, side, 1 / (1 + pow((coalesce(sum(pa) OVER u, 0) + 1) / (coalesce(sum(pf) OVER u, 0) + 1), 2.37::DOUBLE)) AS r FROM two WINDOW u AS (PARTITION BY who ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT seq, a, b, round(CASE WHEN x.r >= y.r THEN x.r * (1 - y.r) / (x.r * (1 - y.r) + y.r * (1 - x.r)) ELSE 1 - y.r * (1 - x.r) / (y.r * (1 - x.r) + x.r * (1 - y.r)) END, 9) AS predicted, outcome
+FROM bouts JOIN k x USING (seq) JOIN k y USING (seq) WHERE x.side = 'a' AND y.side = 'b'"""
+
+#: The inverse of Colley's matrix, row by row in one list, updated by each bout.
+COLLEY_HISTORY = f"""WITH {BOUTS}, ids AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i FROM (SELECT a AS c FROM bouts UNION SELECT b FROM bouts)),
+ms AS (SELECT list(seq ORDER BY seq) AS seqs, (SELECT count(*) FROM ids) AS n, list(CAST({{'i': x.i, 'j': y.i, 's': outcome, 'inv': NULL, 'b': NULL, 'p': NULL}} AS STRUCT(i BIGINT, j BIGINT, s DOUBLE, inv DOUBLE[], b DOUBLE[], p DOUBLE[])) ORDER BY seq) AS l
+  FROM bouts JOIN ids x ON x.c = a JOIN ids y ON y.c = b),
+f AS (SELECT seqs, list_reduce(l, lambda acc, m: (list_transform([list_transform(range(n), lambda k: acc.inv[k * n + m.i + 1] - acc.inv[k * n + m.j + 1])], lambda u:
+    CAST({{'i': m.i, 'j': m.j, 's': m.s,
+      'inv': (list_transform([1 / (1 + u[m.i + 1] - u[m.j + 1])], lambda d: list_transform(acc.inv, lambda v, t: v - d * u[(t - 1) // n + 1] * u[(t - 1) % n + 1])))[1],
+      'b': list_transform(acc.b, lambda v, t: CASE WHEN t = m.i + 1 THEN v + m.s - 0.5 WHEN t = m.j + 1 THEN v + 0.5 - m.s ELSE v END),
+      'p': list_append(acc.p, 1 / (1 + exp(-4 * list_inner_product(u, acc.b))))}} AS STRUCT(i BIGINT, j BIGINT, s DOUBLE, inv DOUBLE[], b DOUBLE[], p DOUBLE[]))))[1],
+    CAST({{'i': 0, 'j': 0, 's': 0, 'inv': list_transform(range(n * n), lambda t: CASE WHEN t // n = t % n THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 'b': list_transform(range(n), lambda _: 1.0::DOUBLE), 'p': []}} AS STRUCT(i BIGINT, j BIGINT, s DOUBLE, inv DOUBLE[], b DOUBLE[], p DOUBLE[]))).p AS p FROM ms)
+SELECT seq, a, b, round(p, 7) AS predicted, outcome FROM (SELECT unnest(seqs) AS seq, unnest(p) AS p FROM f) JOIN bouts USING (seq)"""
