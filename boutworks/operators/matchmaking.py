@@ -11,15 +11,6 @@ from boutworks.operators.sequence import with_sequence
 from boutworks.runtime import staged
 
 
-def _banded(ratings: DataFrame, within: float) -> DataFrame:
-    """All pairs of a league that are at most ``within`` apart, met through the same or the next band of the rating scale."""
-    band = F.floor(F.col("rating") / within)
-    left = ratings.select("league", "competitor", "rating", "spread", band.alias("band"))
-    right = left.select("league", F.col("competitor").alias("opponent"), F.col("rating").alias("other"), F.col("spread").alias("other_spread"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    near = left.join(right, ["league", "band"]).where(F.col("competitor") != F.col("opponent")).withColumn("diff", F.abs(F.col("rating") - F.col("other")))
-    return near.where(F.col("diff") <= within)
-
-
 def _ranked(ratings: DataFrame) -> DataFrame:
     return with_sequence(ratings, ["league", "rating", "competitor"])
 

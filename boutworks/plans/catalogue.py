@@ -13,9 +13,10 @@ from boutworks.operators import evaluation, fits, matchmaking, models, periods,
 from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
-from boutworks.runtime import read_table, staged
-from boutworks.sources import synthetic
+from boutworks.runtime import read_table, staged, work_path
+from boutworks.sources import pgn, schedule, synthetic
 from boutworks.sources.fixtures import bouts_events, bouts_supplier
+from boutworks.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -371,6 +372,64 @@ def explore_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.explore(rated, matchmaking.nearest(rated), 100.0, 0.2, 5).drop("league")
 
 
+def pgn_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts written as game texts, in files of both line ends, and parsed back."""
+    k, header = F.col("seq"), lambda name, value: F.concat(F.lit(f'[{name} "'), value, F.lit('"]\n'))
+    result = F.when(k % 10 == 0, "*").when(F.col("outcome") == 1, "1-0").when(F.col("outcome") == 0, "0-1").otherwise("1/2-1/2")
+    date = F.when(k % 11 == 0, "????.??.??").when(k % 7 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy.MM.dd"))
+    elo = F.when(k % 3 == 0, "").otherwise(header("WhiteElo", (1400 + k % 300).cast("string")))
+    text = F.concat(
+        header("Event", F.lit("Rated game")), header("Site", F.concat(F.lit("https://games.example/"), k.cast("string"))), header("White", F.concat(F.lit("p"), "a")), header("Black", F.concat(F.lit("p"), "b")),
+        header("Result", result), header("UTCDate", date), header("UTCTime", F.date_format("ts", "HH:mm:ss")), elo, F.lit("\n1. e4 { [%clk 0:05] } e5 "), result, F.lit("\n"),
+    )
+    path = work_path(spark, "pgn")
+    games_ = bouts_events(spark, sf_dir).select("seq", text.alias("value"))
+    games_.where(k % 2 == 0).select("value").write.text(path)
+    games_.where(k % 2 == 1).select(F.regexp_replace("value", "\n", "\r\n").alias("value")).write.mode("append").option("lineSep", "\r\n").text(path)
+    parsed = pgn.games(pgn.read_pgn(spark, path))
+    return parsed.select("a", "b", "outcome", "ts", F.col("attributes")["game_id"].alias("game_id"), F.col("attributes")["white_elo"].alias("white_elo"))
+
+
+def schedule_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts written as two seasons of a schedule, whose columns differ, and read back."""
+    rows = bouts_events(spark, sf_dir)
+    columns = [
+        F.date_format("ts", "yyyy-MM-dd").alias("date"), F.concat(F.lit("t"), "a").alias("home_name"), F.concat(F.lit("t"), "b").alias("away_name"),
+        F.floor("score_a").cast("long").alias("home_score"), F.floor("score_b").cast("long").alias("away_score"), F.when(F.col("seq") % 9 == 0, "false").otherwise("true").alias("status_type_completed"),
+    ]
+    more = [F.concat(F.lit("Team "), "a").alias("home_display_name"), F.concat(F.lit("Hall "), (F.col("seq") % 5).cast("string")).alias("venue")]
+    paths = {2023: work_path(spark, "season"), 2024: work_path(spark, "season")}
+    rows.where("seq % 2 = 0").select(*columns, *more).write.option("header", True).csv(paths[2023])
+    rows.where("seq % 2 = 1").select(*columns).write.option("header", True).csv(paths[2024])
+    games_, _ = schedule.read_seasons(spark, paths)
+    read = schedule.bouts(games_)
+    return read.select("a", "b", "outcome", "ts", "score_a", "score_b", F.col("attributes")["venue"].alias("venue"))
+
+
+def unseen_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later bouts, some of them against newcomers, predicted by ratings of the earlier ones."""
+    split = staged(splits.time_split(bouts_events(spark, sf_dir), 0.3), "split")
+    rated = ratings_of(replay(split.where("split = 'train'"), systems.Elo()))
+    fixtures = split.where("split = 'test'").withColumn("b", F.when(F.col("seq") % 10 == 0, F.concat(F.lit("new "), "b")).otherwise(F.col("b")))
+    return _rounded(predict(fixtures, rated, E.elo, systems.Elo().initial).select("seq", "a", "b", "predicted"), 9, "predicted")
+
+
+def elo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of a stream in four runs, each from the checkpoint of the one before, and the bouts that came too late."""
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    n = (bouts.agg(F.max("seq")).first()[0] or 0) + 1
+    block = F.least(F.lit(3), F.expr(f"seq * 4 div {n}"))
+    block = F.when((F.col("seq") % 97 == 0) & (block < 3), block + 1).otherwise(block)
+    played = streams.played_in_blocks(bouts, systems.Elo(), [block == k for k in range(4)])
+    late = played.where("kind = 'late'").select(F.lit("late").alias("kind"), F.col("seq").cast("string").alias("name"), F.lit(None).cast("double").alias("rating"))
+    rated = streams.last_ratings(played).select(F.lit("rating").alias("kind"), F.col("competitor").alias("name"), F.round("rating", 6).alias("rating"))
+    return rated.unionByName(late)
+
+
+def points_by_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(streams.points_stream(bouts_events(spark, sf_dir)), 4, "pts_for", "pts_against").drop("league")
+
+
 def synthetic_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.bouts(spark, 2000, 50).select("seq", "a", "b", "outcome", F.round("skill_diff", 6).alias("skill_diff"))
 
@@ -452,6 +511,11 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "team_strength": (team_strength, oracle.TEAMS),
     "rating_asof": (rating_asof, oracle.ASOF),
     "synthetic_bouts": (synthetic_bouts, oracle.SYNTHETIC),
+    "pgn_games": (pgn_games, oracle.PGN),
+    "schedule_bouts": (schedule_bouts, oracle.SCHEDULE),
+    "unseen_predictions": (unseen_predictions, oracle.UNSEEN),
+    "elo_stream": (elo_stream, oracle.STREAM),
+    "points_by_day_stream": (points_by_day_stream, oracle.STREAM_POINTS),
     "strict_flags": (strict_flags, oracle.STRICT),
     "prior_bouts_line": (_of_history(lambda h: reports.prior_bouts_line(evaluation.cohorts(h))), oracle.PRIOR_LINE),
     "round_robin": (round_robin, oracle.ROUND_ROBIN),

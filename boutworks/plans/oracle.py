@@ -434,8 +434,10 @@ SELECT seq, a, CAST(unnest(range(1, CAST(floor(weight) + CASE WHEN chance < weig
 CRITERIA = f"""WITH {BOUTS}, {SIDES}, c AS (SELECT 'points' AS criterion, who AS competitor, round(avg(pf), 6) AS rating FROM sides GROUP BY who UNION ALL SELECT 'wins', who, round(avg(score), 6) FROM sides GROUP BY who UNION ALL SELECT 'other', who, 1.0 FROM sides GROUP BY who)
 SELECT competitor, round(sum(rating * w) / sum(w), 4) AS rating, count(*) AS criteria FROM (SELECT *, CASE criterion WHEN 'points' THEN 0.25::DOUBLE WHEN 'wins' THEN 3.0::DOUBLE END AS w FROM c) WHERE w IS NOT NULL GROUP BY competitor"""
 EXPLORE = f"""WITH {RATED}, near AS ({NEAREST.replace("WITH " + RATED, "")}), reach AS (
-  SELECT x.competitor, y.competitor AS opponent, row_number() OVER (PARTITION BY x.competitor ORDER BY md5(x.competitor || ':' || y.competitor || ':5')) AS k FROM rated x JOIN rated y ON x.competitor <> y.competitor AND abs(x.rating - y.rating) <= 100)
-SELECT near.competitor, CASE WHEN (('0x' || md5(near.competitor || ':5')[1:8])::BIGINT % 1000) / 1000.0::DOUBLE < 0.2::DOUBLE THEN reach.opponent ELSE near.opponent END AS opponent FROM near JOIN reach ON reach.competitor = near.competitor AND reach.k = 1"""
+  SELECT x.competitor, y.competitor AS opponent, row_number() OVER (PARTITION BY x.competitor ORDER BY y.rating, y.competitor) - 1 AS k, count(*) OVER (PARTITION BY x.competitor) AS n
+  FROM rated x JOIN rated y ON x.competitor <> y.competitor AND y.rating >= x.rating - 100 AND y.rating <= x.rating + 100),
+drawn AS (SELECT competitor, opponent AS drawn FROM reach WHERE k = floor(('0x' || md5(competitor || ':6')[1:8])::BIGINT / 4294967296.0::DOUBLE * n) AND ('0x' || md5(competitor || ':5')[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.2::DOUBLE)
+SELECT competitor, coalesce(drawn, opponent) AS opponent FROM near LEFT JOIN drawn USING (competitor)"""
 WHR_OPTIMUM = f"WITH {BOUTS} SELECT who AS competitor, count(DISTINCT ts::DATE) AS days, true AS settled FROM (SELECT a AS who, ts FROM bouts UNION ALL SELECT b, ts FROM bouts) GROUP BY who"
 
 
@@ -497,3 +499,24 @@ f AS (SELECT seqs, list_reduce(l, lambda acc, m: (list_transform([list_transform
       'p': list_append(acc.p, 1 / (1 + exp(-4 * list_inner_product(u, acc.b))))}} AS STRUCT(i BIGINT, j BIGINT, s DOUBLE, inv DOUBLE[], b DOUBLE[], p DOUBLE[]))))[1],
     CAST({{'i': 0, 'j': 0, 's': 0, 'inv': list_transform(range(n * n), lambda t: CASE WHEN t // n = t % n THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 'b': list_transform(range(n), lambda _: 1.0::DOUBLE), 'p': []}} AS STRUCT(i BIGINT, j BIGINT, s DOUBLE, inv DOUBLE[], b DOUBLE[], p DOUBLE[]))).p AS p FROM ms)
 SELECT seq, a, b, round(p, 7) AS predicted, outcome FROM (SELECT unnest(seqs) AS seq, unnest(p) AS p FROM f) JOIN bouts USING (seq)"""
+
+
+#: Games whose sequence number is a multiple of 10 have no result in the text, and of 7 another form of date.
+PGN = f"""WITH {BOUTS} SELECT 'p' || a AS a, 'p' || b AS b, outcome, CASE WHEN seq % 11 = 0 THEN NULL ELSE date_trunc('second', ts) END AS ts, CAST(seq AS VARCHAR) AS game_id, CAST(CASE WHEN seq % 3 = 0 THEN 1500 ELSE 1400 + seq % 300 END AS VARCHAR) AS white_elo FROM bouts WHERE seq % 10 <> 0"""
+
+SCHEDULE = f"""WITH {BOUTS} SELECT CASE WHEN seq % 2 = 0 THEN 'Team ' || a ELSE 't' || a END AS a, 't' || b AS b, outcome_ AS outcome, ts::DATE::TIMESTAMP AS ts, x AS score_a, y AS score_b, CASE WHEN seq % 2 = 0 THEN 'Hall ' || seq % 5 END AS venue
+FROM (SELECT *, floor(score_a) AS x, floor(score_b) AS y, CASE WHEN floor(score_a) > floor(score_b) THEN 1.0::DOUBLE WHEN floor(score_a) < floor(score_b) THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS outcome_ FROM bouts) WHERE seq % 9 <> 0"""
+
+UNSEEN = f"""WITH {BOUTS}, {_SPLIT}, {fold_ctes("r", "train", *FOLDS["elo"][:3])}, g AS (SELECT seq, a, CASE WHEN seq % 10 = 0 THEN 'new ' || b ELSE b END AS b FROM held)
+SELECT seq, a, b, round(1 / (1 + pow(10.0::DOUBLE, (coalesce(y.v, 400.0::DOUBLE) - coalesce(x.v, 400.0::DOUBLE)) / 400)), 9) AS predicted FROM g LEFT JOIN r x ON x.competitor = a LEFT JOIN r y ON y.competitor = b"""
+
+#: Bouts come in four blocks, those whose number is a multiple of 97 one block later: late if a bout after them was in time.
+STREAM = f"""WITH {BOUTS.replace("bouts AS", "every AS")}, n AS (SELECT *, least(3, seq * 4 // (SELECT max(seq) + 1 FROM every)) AS block, seq % 97 = 0 AS moved FROM every),
+tops AS (SELECT block, max(ts) AS top FROM n WHERE NOT moved OR block = 3 GROUP BY block),
+late AS (SELECT n.seq FROM n JOIN tops USING (block) WHERE moved AND block < 3 AND ts < top),
+bouts AS (SELECT * FROM n WHERE seq NOT IN (SELECT seq FROM late)), {fold_ctes("r", "bouts", *FOLDS["elo"][:3])}
+SELECT 'rating' AS kind, competitor AS name, round(v, 6) AS rating FROM r UNION ALL SELECT 'late', CAST(seq AS VARCHAR), NULL FROM late"""
+
+STREAM_POINTS = f"""WITH {BOUTS}, {SIDES.replace("SELECT league, a AS who", "SELECT ts, league, a AS who").replace("SELECT league, b, a", "SELECT ts, league, b, a")}
+SELECT who AS competitor, ts::DATE::TIMESTAMP AS window_start, round(sum(pf), 4) AS pts_for, round(sum(pa), 4) AS pts_against FROM sides
+GROUP BY 1, 2 HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM bouts) - INTERVAL 1 DAY"""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NEXT_GAME = "\n\n[Event "
+#: A game begins with this header, whatever the line ends of the file.
+_NEXT_GAME = '[Event "'
 
 
 def read_pgn(spark: SparkSession, path: str) -> DataFrame:
-    """One game per row in ``game``, whatever the size of the files."""
-    return spark.read.option("lineSep", _NEXT_GAME).text(path).select(F.col("value").alias("game"))
+    """One game per row in ``game``, without the beginning of its first header, whatever the size of the files."""
+    return spark.read.option("lineSep", _NEXT_GAME).text(path).where("value <> ''").select(F.col("value").alias("game"))
 
 
 def _header(name: str) -> Column:

@@ -74,5 +74,5 @@ def running_points(bouts: DataFrame, window: str = "1 day", delay: str = "1 day"
     a = unit_score(F.col("score_a"), F.col("score_b"), F.col("outcome"))
     b = unit_score(F.col("score_b"), F.col("score_a"), 1 - F.col("outcome"))
     side = lambda who, mine, theirs: F.struct(F.col(who).alias("competitor"), mine.alias("mine"), theirs.alias("theirs"))
-    both = bouts.withWatermark("ts", delay).select("league", "ts", F.explode(F.array(side("a", a, b), side("b", b, a))).alias("s"))
+    both = bouts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("league", "ts", F.explode(F.array(side("a", a, b), side("b", b, a))).alias("s"))
     return both.groupBy(F.window("ts", window).alias("w"), "league", F.col("s.competitor").alias("competitor")).agg(F.sum("s.mine").alias("pts_for"), F.sum("s.theirs").alias("pts_against")).select("league", "competitor", F.col("w.start").alias("window_start"), "pts_for", "pts_against")
