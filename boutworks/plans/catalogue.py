@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, models, periods, prequential, records, reports, splits, state, systems
+from boutworks.operators import evaluation, fits, matchmaking, models, periods, prequential, records, reports, splits, state, systems, teams
 from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
 from boutworks.runtime import read_table, staged, work_path
 from boutworks.sources import pgn, schedule, synthetic
-from boutworks.sources.fixtures import bouts_events, bouts_supplier
+from boutworks.sources.fixtures import bouts_events, bouts_supplier, bouts_teams
 from boutworks.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,8 +242,8 @@ def least_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def team_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = _rated(spark, sf_dir)[1]
-    teams = rated.groupBy((F.col("competitor").cast("long") % 10).alias("team")).agg(F.round(F.sum("rating"), 4).alias("mu"))
-    return _rounded(matchmaking.match_teams(teams), 4, "gap")
+    sides = rated.groupBy((F.col("competitor").cast("long") % 10).alias("team")).agg(F.round(F.sum("rating"), 4).alias("mu"))
+    return _rounded(matchmaking.match_teams(sides), 4, "gap")
 
 
 def team_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,14 +255,20 @@ def team_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matchmaking.team_bouts(members, bouts), 6, "mu", "sigma")
 
 
+def team_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of an order at odd and at even places as two teams, order after order."""
+    played = teams.replay_teams(with_sequence(bouts_teams(spark, sf_dir), ["ts", "order_key"]), systems.TrueSkill())
+    return _rounded(played.where("kind = 'state'").select("league", "competitor", "mu", "sigma", "games"), 6, "mu", "sigma")
+
+
 def closest_pair_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matchmaking.closest_pair(_rated(spark, sf_dir)[1]), 6, "gap").drop("league")
 
 
 def team_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = _rated(spark, sf_dir)[1].select("competitor", F.col("rating").alias("mu"), F.col("spread").alias("sigma"))
-    teams = rated.select("competitor", (F.col("competitor").cast("long") % 10).alias("team"))
-    return _rounded(matchmaking.team_strength(rated, teams), 4, "mu", "sigma", "mean")
+    members = rated.select("competitor", (F.col("competitor").cast("long") % 10).alias("team"))
+    return _rounded(matchmaking.team_strength(rated, members), 4, "mu", "sigma", "mean")
 
 
 def leaderboard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,6 +513,7 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "min_games_ranking": (min_games_ranking, oracle.MIN_GAMES),
     "matchmaking_nearest": (matchmaking_nearest, oracle.NEAREST),
     "matchmaking_rd_quality": (matchmaking_rd_quality, oracle.DEVIATION),
+    "team_sequence": (team_sequence, oracle.TEAM_SEQUENCE),
     "closest_pair_next": (closest_pair_next, oracle.CLOSEST),
     "team_strength": (team_strength, oracle.TEAMS),
     "rating_asof": (rating_asof, oracle.ASOF),

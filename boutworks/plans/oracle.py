@@ -520,3 +520,33 @@ SELECT 'rating' AS kind, competitor AS name, round(v, 6) AS rating FROM r UNION
 STREAM_POINTS = f"""WITH {BOUTS}, {SIDES.replace("SELECT league, a AS who", "SELECT ts, league, a AS who").replace("SELECT league, b, a", "SELECT ts, league, b, a")}
 SELECT who AS competitor, ts::DATE::TIMESTAMP AS window_start, round(sum(pf), 4) AS pts_for, round(sum(pa), 4) AS pts_against FROM sides
 GROUP BY 1, 2 HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM bouts) - INTERVAL 1 DAY"""
+
+
+def _team_bouts() -> str:
+    """Teams are the suppliers of an order at odd and at even places; states by list_reduce, league by league."""
+    side = lambda team, f: f"list_sum(list_transform({team}, lambda i: {f}))"
+    grown = "acc.x[i].s * acc.x[i].s + 0.083::DOUBLE * 0.083::DOUBLE"
+    margin = "sqrt(len(b.a) + len(b.b)) * 4.166::DOUBLE * 0.12566134685507402::DOUBLE"
+    first = f"{{'d': {side('b.a', 'acc.x[i].m')} - {side('b.b', 'acc.x[i].m')}, 'c': sqrt((len(b.a) + len(b.b)) * 4.166::DOUBLE * 4.166::DOUBLE + {side('b.a', grown)} + {side('b.b', grown)}), 'u': CASE WHEN b.s = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END}}"
+    t = f"{{'c': k.c, 'u': k.u, 't': CASE WHEN b.s = 0.5 THEN k.d / k.c ELSE (k.u * k.d - {margin}) / k.c END, 'e': {margin} / k.c}}"
+    below = f"{{'z': z, 'w': CASE WHEN b.s = 0.5 THEN {_cdf('z.t + z.e')} - {_cdf('z.t - z.e')} ELSE {_cdf('z.t')} END, 'lo': {_pdf('z.t - z.e')}, 'hi': {_pdf('z.t + z.e')}, 'p': {_pdf('z.t')}}}"
+    shift = "{'z': w.z, 'w': w.w, 'lo': w.lo, 'hi': w.hi, 'v': CASE WHEN w.w <= 0 THEN 0.0::DOUBLE WHEN b.s = 0.5 THEN (w.lo - w.hi) / w.w ELSE w.p / w.w END}"
+    shrink = "{'c': v.z.c, 'g': CASE WHEN b.s = 0.5 THEN -v.v ELSE v.z.u * v.v END, 'h': CASE WHEN b.s <> 0.5 THEN v.v * (v.v + v.z.t) WHEN v.w <= 0 THEN 0.0::DOUBLE ELSE v.v * v.v + ((v.z.e - v.z.t) * v.lo + (v.z.e + v.z.t) * v.hi) / v.w END}"
+    out = f"(list_transform([{first}], lambda k: {t}))[1]"
+    for name, expr in (("z", below), ("w", shift), ("v", shrink)):
+        out = f"(list_transform([{out}], lambda {name}: {expr}))[1]"
+    v = "(y.s * y.s + 0.083::DOUBLE * 0.083::DOUBLE)"
+    moved = f"list_transform(acc.x, lambda y, i: CASE WHEN list_contains(b.a, i) OR list_contains(b.b, i) THEN {{'m': y.m + CASE WHEN list_contains(b.a, i) THEN 1 ELSE -1 END * {v} / r.c * r.g, 's': sqrt({v} * (1 - {v} / (r.c * r.c) * r.h)), 'n': y.n + 1}} ELSE y END)"
+    kind = "STRUCT(a BIGINT[], b BIGINT[], s DOUBLE, x STRUCT(m DOUBLE, s DOUBLE, n BIGINT)[])"
+    return f"""WITH rev AS (SELECT l_orderkey, l_suppkey, round(sum(l_extendedprice), 2) AS rv FROM lineitem GROUP BY ALL),
+pos AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) % 2 AS odd FROM rev),
+tb AS (SELECT l_orderkey, list(l_suppkey) FILTER (WHERE odd = 1) AS a, list(l_suppkey) FILTER (WHERE odd = 0) AS b, avg(rv) FILTER (WHERE odd = 1) AS ra, avg(rv) FILTER (WHERE odd = 0) AS rb FROM pos GROUP BY 1 HAVING count(*) > 1),
+ids AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) AS i FROM (SELECT DISTINCT l_suppkey FROM lineitem)),
+ms AS (SELECT o_orderpriority AS league, (SELECT count(*) FROM ids) AS n, list(CAST({{'a': list_transform(a, lambda k: mp[k]), 'b': list_transform(b, lambda k: mp[k]),
+   's': CASE WHEN abs(ra - rb) <= 0.1 * (ra + rb) THEN 0.5 WHEN ra > rb THEN 1.0 ELSE 0.0 END, 'x': NULL}} AS {kind}) ORDER BY o_orderdate, l_orderkey) AS l FROM tb JOIN orders ON o_orderkey = l_orderkey CROSS JOIN (SELECT map_from_entries(list((l_suppkey, i))) AS mp FROM ids) GROUP BY 1),
+f AS (SELECT league, list_reduce(l, lambda acc, b: CAST({{'a': b.a, 'b': b.b, 's': b.s, 'x': (list_transform([{out}], lambda r: {moved}))[1]}} AS {kind}),
+   CAST({{'a': [], 'b': [], 's': 0, 'x': list_transform(range(n), lambda _: {{'m': 25.0::DOUBLE, 's': 8.333::DOUBLE, 'n': 0}})}} AS {kind})).x AS x FROM ms)
+SELECT league, CAST(l_suppkey AS VARCHAR) AS competitor, round(x[i].m, 6) AS mu, round(x[i].s, 6) AS sigma, x[i].n AS games FROM f, ids WHERE x[i].n > 0"""
+
+
+TEAM_SEQUENCE = _team_bouts()

@@ -49,3 +49,18 @@ def bouts_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("revenue").alias("score_a"),
         "score_b",
     )
+
+
+def bouts_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's suppliers at odd places against those at even ones: order_key, league, team_a, team_b, outcome, ts.
+
+    The side with more revenue a supplier wins, and less than a tenth of both apart is a draw.
+    """
+    revenue = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_suppkey")  # an order has a handful of lines
+    placed = revenue.withColumn("odd", F.row_number().over(order) % 2 == 1)
+    side = lambda odd: F.when(F.col("odd") == odd, F.col("l_suppkey").cast("string"))
+    sums = placed.groupBy("l_orderkey").agg(F.collect_list(side(True)).alias("team_a"), F.collect_list(side(False)).alias("team_b"), F.avg(F.when(F.col("odd"), F.col("revenue"))).alias("x"), F.avg(F.when(~F.col("odd"), F.col("revenue"))).alias("y"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    outcome = F.when(F.abs(F.col("x") - F.col("y")) <= 0.1 * (F.col("x") + F.col("y")), 0.5).when(F.col("x") > F.col("y"), 1.0).otherwise(0.0)
+    return sums.where(F.size("team_b") > 0).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("order_key"), F.col("o_orderpriority").alias("league"), "team_a", "team_b", outcome.alias("outcome"), F.col("o_orderdate").alias("ts"))
