@@ -10,7 +10,7 @@ import pytest
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, records, reports, splits, state, systems
+from boutworks.operators import evaluation, fits, matchmaking, records, registry, reports, splits, state, systems
 from boutworks.operators.components import connected_components
 from boutworks.operators.fold import history_of, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import with_sequence
@@ -263,7 +263,7 @@ def test_state_documents(spark):
     with pytest.raises(Exception, match="not a elo state"):
         state.import_state(state.export_state(rated, Ensemble()), Elo()).collect()
     with pytest.raises(ValueError):
-        state.system_named("nothing")
+        registry.system_named("nothing")
     said = json.loads(state.export_state(rated, Ensemble()).first().document)
     assert {"id", "created_at", "type", "version", "parameters", "games", "rating", "state"} == set(said)
 
@@ -453,7 +453,8 @@ def test_random_search_equals_brute_force(spark):
 def test_evaluation_equals_a_loop(spark):
     rows = leagues(spark).where("league = 'x'")
     for system in (Elo(), Glicko(), TrueSkill(), Ensemble()):
-        got = evaluation.evaluate(rows, system, 0.3).first()
+        made = evaluation.evaluate(rows, system, 0.3)
+        got = made.metrics.first()
         bouts = sorted(rows.collect(), key=lambda r: (r.ts, r.seq))
         cut = int(len(bouts) * 0.7)
         known: dict = {}
@@ -468,8 +469,8 @@ def test_evaluation_equals_a_loop(spark):
                 total += 1
                 right += ("a" if p > 0.5 else "b" if p < 0.5 else "draw") == {1.0: "a", 0.0: "b", 0.5: "draw"}[r.outcome]
         assert (got.n, round(got.accuracy * got.n)) == (total, right)
-        assert got.accuracy <= got.accuracy_opt == got.optimized_accuracy and sum(c.total for c in got.cohorts) == total
-        assert got.top == [w for w, _ in sorted(((w, round(system.rating(s), 6)) for w, s in known.items()), key=lambda x: (-x[1], x[0]))[:5]]
+        assert got.accuracy <= got.accuracy_opt == got.optimized_accuracy and sum(c.total for c in made.cohorts.collect()) == total
+        assert [r.competitor for r in made.top.orderBy("place").collect()] == [w for w, _ in sorted(((w, round(system.rating(s), 6)) for w, s in known.items()), key=lambda x: (-x[1], x[0]))[:5]]
 
 
 def test_team_bouts(spark):
