@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, models, periods, prequential, records, reports, splits, state, systems, teams
+from boutworks.operators import evaluation, fits, levels, matchmaking, models, periods, prequential, records, reports, splits, state, systems, teams
 from boutworks.operators.fold import leaderboard, history_of, predict, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
@@ -57,6 +57,14 @@ def elo_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("competitor", F.round("rating", 6).alias("rating"))
 
 
+def elo_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts that wait for nobody played side by side, as long as a fifth of the competitors have one."""
+    bouts = staged(bouts_events(spark, sf_dir), "bouts")
+    competitors = bouts.select(F.explode(F.array("a", "b")).alias("who")).distinct().count()
+    _, rated = levels.replay_levels(bouts, systems.Elo(), max(1, bouts.count()), max(1, competitors // 5))
+    return rated.select("competitor", F.round("rating", 6).alias("rating"))
+
+
 def _periods(system) -> Query:
     """Periods of five days, in which a competitor has some twenty bouts."""
 
@@ -450,6 +458,7 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "elo_by_group": (elo_by_group, oracle.ELO),
     "elo_by_league": (elo_by_league, oracle.ELO_BY_LEAGUE),
     "elo_in_blocks": (elo_in_blocks, oracle.ELO),
+    "elo_by_levels": (elo_by_levels, oracle.ELO),
     "pair_state_fit": (pair_state_fit, oracle.COLLEY),
     "scores_from_attributes": (scores_from_attributes, oracle.SCORES_FROM),
     "outcome_quarantine": (outcome_quarantine, oracle.QUARANTINE),

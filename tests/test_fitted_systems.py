@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
-from boutworks.operators import evaluation, fits, models, periods, prequential, records, registry, reports, state, teams
+from boutworks.operators import evaluation, fits, levels, models, periods, prequential, records, registry, reports, state, teams
 from boutworks.operators.fold import history_of, ratings_of, replay, replay_many
 from boutworks.operators.sequence import carried_forward, segmented_sums
 from boutworks.operators.systems import Dwz, Elo, Glicko, Glicko2, TrueSkill
@@ -111,6 +111,15 @@ def bag(df):
     return Counter(map(str, df.collect()))
 
 
+@pytest.mark.parametrize("few, block", [(1, 100), (3, 25)])
+def test_replay_by_levels_equals_the_fold(spark, few, block):
+    rows = bouts_of(spark, played(20, [f"c{k}" for k in range(14)], 40)).withColumn("league", F.when(F.col("seq") % 4 == 0, "y").otherwise("x"))
+    whole = replay(rows, Glicko())
+    history, rated = levels.replay_levels(rows, Glicko(), block, few)
+    assert bag(history.select(*history_of(whole).columns)) == bag(history_of(whole))
+    assert bag(rated.select(*ratings_of(whole).columns)) == bag(ratings_of(whole))
+
+
 # ---- fits settle or raise
 
 
