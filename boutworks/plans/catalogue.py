@@ -337,9 +337,9 @@ def _evaluated(columns: list[str], *chosen) -> Query:
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five and the cohorts of one evaluation."""
     one = evaluation.evaluate(bouts_events(spark, sf_dir), systems.Elo())
-    none = F.lit(None).cast("long")
+    none = F.lit(0).cast("long")
     best = one.top.select(F.lit("top").alias("kind"), F.col("place").cast("long").alias("at"), "competitor", none.alias("correct"), none.alias("total"))
-    return best.unionByName(one.cohorts.select(F.lit("cohort").alias("kind"), F.col("bin").alias("at"), F.lit(None).cast("string").alias("competitor"), "correct", "total"))
+    return best.unionByName(one.cohorts.select(F.lit("cohort").alias("kind"), F.col("bin").alias("at"), F.lit("").alias("competitor"), "correct", "total"))
 
 
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,6 +386,10 @@ def explore_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.explore(rated, matchmaking.nearest(rated), 100.0, 0.2, 5).drop("league")
 
 
+def _second(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
 def pgn_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bouts written as game texts, in files of both line ends, and parsed back."""
     k, header = F.col("seq"), lambda name, value: F.concat(F.lit(f'[{name} "'), value, F.lit('"]\n'))
@@ -401,7 +405,7 @@ def pgn_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     games_.where(k % 2 == 0).select("value").write.text(path)
     games_.where(k % 2 == 1).select(F.regexp_replace("value", "\n", "\r\n").alias("value")).write.mode("append").option("lineSep", "\r\n").text(path)
     parsed = pgn.games(pgn.read_pgn(spark, path))
-    return parsed.select("a", "b", "outcome", "ts", F.col("attributes")["game_id"].alias("game_id"), F.col("attributes")["white_elo"].alias("white_elo"))
+    return parsed.select("a", "b", "outcome", _second("ts"), F.col("attributes")["game_id"].alias("game_id"), F.col("attributes")["white_elo"].alias("white_elo"))
 
 
 def schedule_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +421,7 @@ def schedule_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.where("seq % 2 = 1").select(*columns).write.option("header", True).csv(paths[2024])
     games_, _ = schedule.read_seasons(spark, paths)
     read = schedule.bouts(games_)
-    return read.select("a", "b", "outcome", "ts", "score_a", "score_b", F.col("attributes")["venue"].alias("venue"))
+    return read.select("a", "b", "outcome", _second("ts"), "score_a", "score_b", F.col("attributes")["venue"].alias("venue"))
 
 
 def unseen_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,7 +445,8 @@ def elo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_by_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(streams.points_stream(bouts_events(spark, sf_dir)), 4, "pts_for", "pts_against").drop("league")
+    rows = _rounded(streams.points_stream(bouts_events(spark, sf_dir)), 4, "pts_for", "pts_against")
+    return rows.select("competitor", _second("window_start"), "pts_for", "pts_against")
 
 
 def synthetic_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,7 +294,7 @@ past AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM train UNION ALL SELECT
 who AS (SELECT seq, a AS c FROM h_elo UNION ALL SELECT seq, b FROM h_elo),
 k AS (SELECT seq, min(before + coalesce(n, 0)) AS k FROM (SELECT seq, c, count(*) OVER (PARTITION BY c ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM who) LEFT JOIN past USING (c) GROUP BY seq),
 bins AS (SELECT k // 5 AS bin, count(*) FILTER (WHERE (CASE WHEN predicted > 0.5::DOUBLE THEN 'a' WHEN predicted < 0.5::DOUBLE THEN 'b' ELSE 'draw' END) = label) AS correct, count(*) AS total FROM h_elo JOIN k USING (seq) GROUP BY 1)
-SELECT 'top' AS kind, place AS at, competitor, NULL::BIGINT AS correct, NULL::BIGINT AS total FROM top UNION ALL SELECT 'cohort', bin, NULL, correct, total FROM bins"""
+SELECT 'top' AS kind, place AS at, competitor, 0::BIGINT AS correct, 0::BIGINT AS total FROM top UNION ALL SELECT 'cohort', bin, '', correct, total FROM bins"""
 
 ELO_BY_LEAGUE = f"""WITH {SUPPLIER.replace("bouts AS", "unnumbered AS")}, bouts AS (SELECT *, row_number() OVER (ORDER BY ts, order_key, a, b) - 1 AS seq FROM unnumbered), {SIDES},
 {fold_ctes("r", "bouts", *FOLDS["elo"][:3])}, g AS (SELECT league, who AS competitor, count(*) AS games FROM sides GROUP BY ALL)
@@ -502,9 +502,9 @@ SELECT seq, a, b, round(p, 7) AS predicted, outcome FROM (SELECT unnest(seqs) AS
 
 
 #: Games whose sequence number is a multiple of 10 have no result in the text, and of 7 another form of date.
-PGN = f"""WITH {BOUTS} SELECT 'p' || a AS a, 'p' || b AS b, outcome, CASE WHEN seq % 11 = 0 THEN NULL ELSE date_trunc('second', ts) END AS ts, CAST(seq AS VARCHAR) AS game_id, CAST(CASE WHEN seq % 3 = 0 THEN 1500 ELSE 1400 + seq % 300 END AS VARCHAR) AS white_elo FROM bouts WHERE seq % 10 <> 0"""
+PGN = f"""WITH {BOUTS} SELECT 'p' || a AS a, 'p' || b AS b, outcome, CASE WHEN seq % 11 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts, CAST(seq AS VARCHAR) AS game_id, CAST(CASE WHEN seq % 3 = 0 THEN 1500 ELSE 1400 + seq % 300 END AS VARCHAR) AS white_elo FROM bouts WHERE seq % 10 <> 0"""
 
-SCHEDULE = f"""WITH {BOUTS} SELECT CASE WHEN seq % 2 = 0 THEN 'Team ' || a ELSE 't' || a END AS a, 't' || b AS b, outcome_ AS outcome, ts::DATE::TIMESTAMP AS ts, x AS score_a, y AS score_b, CASE WHEN seq % 2 = 0 THEN 'Hall ' || seq % 5 END AS venue
+SCHEDULE = f"""WITH {BOUTS} SELECT CASE WHEN seq % 2 = 0 THEN 'Team ' || a ELSE 't' || a END AS a, 't' || b AS b, outcome_ AS outcome, strftime(ts, '%Y-%m-%d 00:00:00') AS ts, x AS score_a, y AS score_b, CASE WHEN seq % 2 = 0 THEN 'Hall ' || seq % 5 END AS venue
 FROM (SELECT *, floor(score_a) AS x, floor(score_b) AS y, CASE WHEN floor(score_a) > floor(score_b) THEN 1.0::DOUBLE WHEN floor(score_a) < floor(score_b) THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS outcome_ FROM bouts) WHERE seq % 9 <> 0"""
 
 UNSEEN = f"""WITH {BOUTS}, {_SPLIT}, {fold_ctes("r", "train", *FOLDS["elo"][:3])}, g AS (SELECT seq, a, CASE WHEN seq % 10 = 0 THEN 'new ' || b ELSE b END AS b FROM held)
@@ -518,8 +518,8 @@ bouts AS (SELECT * FROM n WHERE seq NOT IN (SELECT seq FROM late)), {fold_ctes("
 SELECT 'rating' AS kind, competitor AS name, round(v, 6) AS rating FROM r UNION ALL SELECT 'late', CAST(seq AS VARCHAR), NULL FROM late"""
 
 STREAM_POINTS = f"""WITH {BOUTS}, {SIDES.replace("SELECT league, a AS who", "SELECT ts, league, a AS who").replace("SELECT league, b, a", "SELECT ts, league, b, a")}
-SELECT who AS competitor, ts::DATE::TIMESTAMP AS window_start, round(sum(pf), 4) AS pts_for, round(sum(pa), 4) AS pts_against FROM sides
-GROUP BY 1, 2 HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM bouts) - INTERVAL 1 DAY"""
+SELECT who AS competitor, strftime(ts::DATE, '%Y-%m-%d 00:00:00') AS window_start, round(sum(pf), 4) AS pts_for, round(sum(pa), 4) AS pts_against FROM sides
+GROUP BY who, ts::DATE HAVING ts::DATE::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) FROM bouts) - INTERVAL 1 DAY"""
 
 
 def _team_bouts() -> str:
