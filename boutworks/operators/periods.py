@@ -95,16 +95,17 @@ def _played(system: Glicko | Glicko2, sums: DataFrame) -> DataFrame:
     return out.withColumns({"r": F.col("r") + F.col("gain") / total, "d": F.sqrt(1 / total)})
 
 
-def play_period(states: DataFrame, bouts: DataFrame, system: Glicko | Glicko2) -> DataFrame:
-    """The states (league, competitor, r, d, v, last, games) after ``bouts`` (league, a, b, outcome, period), all of one period.
+def play_period(states: DataFrame, results: DataFrame, system: Glicko | Glicko2) -> DataFrame:
+    """The states (league, competitor, r, d, v, last, games) after ``results`` (league, a, b, n, score, period), all of one period.
 
-    The period is a column, so that all periods share the code that Spark makes of the expressions.
+    A row holds n bouts of the two and the points of a. The period is a column, so that all periods share the code that
+    Spark makes of the expressions.
     """
     new = _state_columns(system)
-    ends = [F.struct(F.col(x).alias("competitor"), F.col(y).alias("other"), score.alias("score")) for x, y, score in (("a", "b", F.col("outcome")), ("b", "a", 1 - F.col("outcome")))]
-    sides = bouts.select("league", "period", F.explode(F.array(*ends)).alias("s")).select("league", "period", "s.*")
+    ends = [F.struct(F.col(x).alias("competitor"), F.col(y).alias("other"), "n", score.alias("score")) for x, y, score in (("a", "b", F.col("score")), ("b", "a", F.col("n") - F.col("score")))]
+    sides = results.select("league", "period", F.explode(F.array(*ends)).alias("s")).select("league", "period", "s.*")
     # results of the same two are one row with counts
-    met = sides.groupBy("league", "competitor", "other").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    met = sides.groupBy("league", "competitor", "other").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
     here = sides.groupBy("league", "competitor").agg(F.max("period").alias("period")).join(states, ["league", "competitor"], "left")
     here = here.withColumns({c: F.coalesce(c, F.lit(x)) for c, x in new.items()} | {"games": F.coalesce("games", F.lit(0).cast("long"))}).withColumn("d", _waited(system))
     other = here.select("league", F.col("competitor").alias("other"), F.col("r").alias("_r"), F.col("d").alias("_d"))
@@ -124,18 +125,22 @@ def empty_states(spark, system: Glicko | Glicko2) -> DataFrame:
     return spark.createDataFrame([], f"league string, competitor string, {numbers}, last long, games long")
 
 
-def rate_periods(bouts: DataFrame, system: Glicko | Glicko2, days: float = 1.0, states: DataFrame | None = None) -> DataFrame:
-    """(league, competitor, rating, spread, games, last) after all periods, and the state's own columns.
+def results_of(bouts: DataFrame) -> DataFrame:
+    """The bouts that count: league, a, b, n (1), score (of a) and ts."""
+    score = strict_outcome(F.col("outcome").cast("double")).alias("score")
+    return bouts.where("a <> b and outcome is not null and ts is not null").select("league", "a", "b", F.lit(1).cast("long").alias("n"), score, F.col("ts").cast("timestamp").alias("ts"))
 
-    ``states``, as ``play_period`` gives them, are those of earlier periods. A bout of a period that a competitor has gone beyond is an error.
+
+def rate_results(results: DataFrame, system: Glicko | Glicko2, states: DataFrame | None = None, into: str | None = None) -> tuple[DataFrame, list[int]]:
+    """The states after all periods of ``results`` (as ``play_period`` takes them), and the periods' numbers.
+
+    ``states`` are those of earlier periods; a result of a period that a competitor has gone beyond is an error. The
+    states are written to ``into``, if any period was rated, or to the working folder.
     """
-    if days <= 0:
-        raise ValueError("a period must be positive")
-    spark = bouts.sparkSession
-    rows = bouts.where("a <> b and outcome is not null and ts is not null").select("league", "a", "b", strict_outcome(F.col("outcome").cast("double")).alias("outcome"), period_of(F.col("ts"), days).alias("period"))
+    spark = results.sparkSession
     path = work_path(spark, "periods")
-    rows.write.partitionBy("period").parquet(path)
-    stored = spark.read.schema(rows.schema).parquet(path)
+    results.write.partitionBy("period").parquet(path)
+    stored = spark.read.schema(results.schema).parquet(path)
     numbers = sorted(r["period"] for r in stored.select("period").distinct().collect())
     now, before = states if states is not None else empty_states(spark, system), None
     if states is not None and numbers:
@@ -143,15 +148,26 @@ def rate_periods(bouts: DataFrame, system: Glicko | Glicko2, days: float = 1.0,
         if not late.isEmpty():
             raise ValueError("a period has been rated before")
     for k in numbers:
-        one = stored.where(F.col("period") == k)
-        after = work_path(spark, "rated")
-        made = play_period(now, one, system)
-        made.write.parquet(after)
+        after = into if into and k == numbers[-1] else work_path(spark, "rated")
+        made = play_period(now, stored.where(F.col("period") == k), system)
+        made.write.mode("overwrite").parquet(after)
         now = spark.read.schema(made.schema).parquet(after)
         if before:
             discard(spark, before)
         before = after
-    return displayed(now, system)
+    discard(spark, path)
+    return now, numbers
+
+
+def rate_periods(bouts: DataFrame, system: Glicko | Glicko2, days: float = 1.0, states: DataFrame | None = None) -> DataFrame:
+    """(league, competitor, rating, spread, games, last) after all periods, and the state's own columns.
+
+    ``states``, as ``play_period`` gives them, are those of earlier periods. A bout of a period that a competitor has gone beyond is an error.
+    """
+    if days <= 0:
+        raise ValueError("a period must be positive")
+    rows = results_of(bouts).withColumn("period", period_of(F.col("ts"), days)).drop("ts")
+    return displayed(rate_results(rows, system, states)[0], system)
 
 
 def displayed(states: DataFrame, system: Glicko | Glicko2) -> DataFrame:

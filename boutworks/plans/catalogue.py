@@ -449,6 +449,18 @@ def points_by_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("competitor", _second("window_start"), "pts_for", "pts_against")
 
 
+def _period_stream(system) -> Query:
+    """Periods of five days of a stream in three runs; those count that the watermark has closed."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bouts = staged(bouts_events(spark, sf_dir), "bouts")
+        n = (bouts.agg(F.max("seq")).first()[0] or 0) + 1
+        rated = streams.periods_in_blocks(bouts, system, 5.0, "1 day", [F.expr(f"seq * 3 div {n}") == k for k in range(3)])
+        return _rounded(rated.select("competitor", "rating", "spread", "games", "last"), 6, "rating", "spread")
+
+    return run
+
+
 def synthetic_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.bouts(spark, 2000, 50).select("seq", "a", "b", "outcome", F.round("skill_diff", 6).alias("skill_diff"))
 
@@ -537,6 +549,8 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "unseen_predictions": (unseen_predictions, oracle.UNSEEN),
     "elo_stream": (elo_stream, oracle.STREAM),
     "points_by_day_stream": (points_by_day_stream, oracle.STREAM_POINTS),
+    "glicko_periods_stream": (_period_stream(systems.Glicko()), oracle.GLICKO_PERIODS_STREAM),
+    "glicko2_periods_stream": (_period_stream(systems.Glicko2()), oracle.GLICKO2_PERIODS_STREAM),
     "strict_flags": (strict_flags, oracle.STRICT),
     "prior_bouts_line": (_of_history(lambda h: reports.prior_bouts_line(evaluation.cohorts(h))), oracle.PRIOR_LINE),
     "round_robin": (round_robin, oracle.ROUND_ROBIN),

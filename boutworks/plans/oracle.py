@@ -441,7 +441,12 @@ SELECT competitor, coalesce(drawn, opponent) AS opponent FROM near LEFT JOIN dra
 WHR_OPTIMUM = f"WITH {BOUTS} SELECT who AS competitor, count(DISTINCT ts::DATE) AS days, true AS settled FROM (SELECT a AS who, ts FROM bouts UNION ALL SELECT b, ts FROM bouts) GROUP BY who"
 
 
-def periods(second: bool) -> str:
+#: Bouts of periods of five days that end a day or more before the last bout.
+_CLOSED = f"""{BOUTS.replace("bouts AS", "every AS")}, bouts AS (SELECT * FROM every
+  WHERE TIMESTAMP '1970-01-01' + to_days(CAST(5 * (datediff('day', DATE '1970-01-01', ts::DATE) // 5 + 1) AS INTEGER)) <= (SELECT max(ts) FROM every) - INTERVAL 1 DAY)"""
+
+
+def periods(second: bool, bouts: str = BOUTS) -> str:
     """Rating periods of five days as a recursion over them, all competitors in each step."""
     slope, k2 = ("1.0::DOUBLE", "1.0::DOUBLE") if second else ("(ln(10) / 400)", f"({_Q2})")
     new = "0.0::DOUBLE AS r, 350.0::DOUBLE / 173.7178::DOUBLE AS d, 0.06::DOUBLE AS v" if second else "1500.0::DOUBLE AS r, 350.0::DOUBLE AS d, 0.0::DOUBLE AS v"
@@ -463,7 +468,7 @@ def periods(second: bool) -> str:
         total = f"(1 / (dd * dd) + {_Q2} * info)"
         r, d = f"CASE WHEN info IS NULL THEN r ELSE greatest(100.0::DOUBLE, r + 0.0057565::DOUBLE / {total} * gain) END", f"CASE WHEN info IS NULL THEN d ELSE sqrt(1 / {total}) END"
         shown = "round(r, 6) AS rating, round(d, 6) AS spread"
-    return f"""WITH RECURSIVE {BOUTS}, {SIDES.replace("SELECT league, a AS who", "SELECT ts, league, a AS who").replace("SELECT league, b, a", "SELECT ts, league, b, a")},
+    return f"""WITH RECURSIVE {bouts}, {SIDES.replace("SELECT league, a AS who", "SELECT ts, league, a AS who").replace("SELECT league, b, a", "SELECT ts, league, b, a")},
 days AS (SELECT datediff('day', DATE '1970-01-01', ts::DATE) // 5 AS day, who, other, score FROM sides),
 s AS (
   SELECT (SELECT min(day) FROM days) - 1 AS k, c, {new}, NULL::BIGINT AS last, 0::BIGINT AS games FROM (SELECT DISTINCT who AS c FROM days)
@@ -482,6 +487,7 @@ SELECT c AS competitor, {shown}, games, last FROM s WHERE k = (SELECT max(day) F
 
 
 GLICKO_PERIODS, GLICKO2_PERIODS = periods(False), periods(True)
+GLICKO_PERIODS_STREAM, GLICKO2_PERIODS_STREAM = periods(False, _CLOSED), periods(True, _CLOSED)
 
 PYTHAGOREAN_HISTORY = f"""WITH {BOUTS}, two AS (SELECT seq, 'a' AS side, a AS who, score_a AS pf, score_b AS pa FROM bouts UNION ALL SELECT seq, 'b', b, score_b, score_a FROM bouts),
 k AS (SELECT seq, side, 1 / (1 + pow((coalesce(sum(pa) OVER u, 0) + 1) / (coalesce(sum(pf) OVER u, 0) + 1), 2.37::DOUBLE)) AS r FROM two WINDOW u AS (PARTITION BY who ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

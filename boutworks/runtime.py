@@ -71,7 +71,17 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a work path early."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(target, True)
+    system.cancelDeleteOnExit(target)
+
+
+def finished(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match ``pattern`` and hold a table that was written to its end, in order."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(m.getPath().getParent().toString() for m in found or [])
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutworks.runtime import work_path
+from boutworks.streaming.periods import PeriodRatings
 from boutworks.streaming.ratings import STATE_STORE, rate_stream, running_points
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -67,3 +68,13 @@ def points_stream(bouts: DataFrame) -> DataFrame:
     inbox.put(bouts)
     inbox.run()
     return inbox.table()
+
+
+def periods_in_blocks(bouts: DataFrame, system, days: float, delay: str, blocks: list) -> DataFrame:
+    """Ratings by the periods that the watermark has closed, of ``bouts`` that arrive in blocks; each block is a run of its own."""
+    spark = bouts.sparkSession
+    inbox, rated = work_path(spark, "stream-in"), PeriodRatings(work_path(spark, "stream-periods"), system, days, delay)
+    for block in blocks:
+        bouts.where(block).write.mode("append").parquet(inbox)
+        rated.start(spark.readStream.schema(bouts.schema).parquet(inbox)).awaitTermination()
+    return rated.ratings(spark)
