@@ -14,7 +14,7 @@ from boutworks.operators.fold import leaderboard, history_of, predict, quarantin
 from boutworks.operators.sequence import segmented_sums, with_sequence
 from boutworks.plans import oracle
 from boutworks.runtime import read_table, staged, work_path
-from boutworks.sources import pgn, schedule, synthetic
+from boutworks.sources import kept, pgn, schedule, synthetic
 from boutworks.sources.fixtures import bouts_events, bouts_supplier, bouts_teams
 from boutworks.streaming import queries as streams
 
@@ -424,6 +424,14 @@ def schedule_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("a", "b", "outcome", _second("ts"), "score_a", "score_b", F.col("attributes")["venue"].alias("venue"))
 
 
+def kept_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts that are made once, kept, and read from where they are kept."""
+    root, made = work_path(spark, "kept"), [bouts_events(spark, sf_dir)]
+    for _ in range(2):  # there is nothing to make the second time
+        table = kept.kept(spark, root, "bouts", ("events", 1), made.pop)
+    return table.select("seq", "a", "b", "outcome", _second("ts"))
+
+
 def unseen_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later bouts, some of them against newcomers, predicted by ratings of the earlier ones."""
     split = staged(splits.time_split(bouts_events(spark, sf_dir), 0.3), "split")
@@ -546,6 +554,7 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "synthetic_bouts": (synthetic_bouts, oracle.SYNTHETIC),
     "pgn_games": (pgn_games, oracle.PGN),
     "schedule_bouts": (schedule_bouts, oracle.SCHEDULE),
+    "kept_bouts": (kept_bouts, oracle.KEPT),
     "unseen_predictions": (unseen_predictions, oracle.UNSEEN),
     "elo_stream": (elo_stream, oracle.STREAM),
     "points_by_day_stream": (points_by_day_stream, oracle.STREAM_POINTS),

@@ -513,6 +513,8 @@ PGN = f"""WITH {BOUTS} SELECT 'p' || a AS a, 'p' || b AS b, outcome, CASE WHEN s
 SCHEDULE = f"""WITH {BOUTS} SELECT CASE WHEN seq % 2 = 0 THEN 'Team ' || a ELSE 't' || a END AS a, 't' || b AS b, outcome_ AS outcome, strftime(ts, '%Y-%m-%d 00:00:00') AS ts, x AS score_a, y AS score_b, CASE WHEN seq % 2 = 0 THEN 'Hall ' || seq % 5 END AS venue
 FROM (SELECT *, floor(score_a) AS x, floor(score_b) AS y, CASE WHEN floor(score_a) > floor(score_b) THEN 1.0::DOUBLE WHEN floor(score_a) < floor(score_b) THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS outcome_ FROM bouts) WHERE seq % 9 <> 0"""
 
+KEPT = f"WITH {BOUTS} SELECT seq, a, b, outcome, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM bouts"
+
 UNSEEN = f"""WITH {BOUTS}, {_SPLIT}, {fold_ctes("r", "train", *FOLDS["elo"][:3])}, g AS (SELECT seq, a, CASE WHEN seq % 10 = 0 THEN 'new ' || b ELSE b END AS b FROM held)
 SELECT seq, a, b, round(1 / (1 + pow(10.0::DOUBLE, (coalesce(y.v, 400.0::DOUBLE) - coalesce(x.v, 400.0::DOUBLE)) / 400)), 9) AS predicted FROM g LEFT JOIN r x ON x.competitor = a LEFT JOIN r y ON y.competitor = b"""
 

@@ -84,6 +84,14 @@ def finished(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(m.getPath().getParent().toString() for m in found or [])
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Move a path to one that isn't there yet; whether that was so."""
+    jvm = spark.sparkContext._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not system.exists(target) and system.rename(source, target)
+
+
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,11 +1,14 @@
 import datetime as dt
+import os
 
 import pytest
 
 from boutworks.operators import systems
 from boutworks.operators.fold import history_of, replay
-from boutworks.sources import pgn, schedule, synthetic
+from boutworks.operators.periods import rate_periods
+from boutworks.sources import kept, pgn, schedule, synthetic
 from boutworks.streaming import ratings
+from boutworks.streaming.periods import PeriodRatings
 
 PGN = """[Event "Rated Blitz game"]
 [Site "https://example.org/abc1"]
@@ -122,3 +125,89 @@ def test_running_points(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.competitor, r.window_start.day): (r.pts_for, r.pts_against) for r in spark.table("points").collect()}
     assert got["a", 1] == (12 * 3 + 12, 12 * 1) and len(got) == 8
+
+
+def test_kept_tables(spark, tmp_path, monkeypatch):
+    root, calls = str(tmp_path), []
+    schema = "a string, b string, outcome double, ts timestamp"
+
+    def make():
+        calls.append(1)
+        return spark.createDataFrame([("x", "y", 1.0, dt.datetime(2024, 1, len(calls)))], schema)
+
+    rows = [kept.kept(spark, root, "bouts", ("football", 2020, 2021), make).collect() for _ in range(2)]
+    assert rows[0] == rows[1] and len(calls) == 1
+    kept.kept(spark, root, "bouts", ("football", 2020, 2022), make)
+    assert len(calls) == 2
+    monkeypatch.setitem(kept.KINDS, "bouts", (2, kept.KINDS["bouts"][1]))
+    assert kept.kept(spark, root, "bouts", ("football", 2020, 2021), make).first().ts.day == 3
+    assert sorted((v, c) for _, _, v, c in kept.kept_tables(spark, root)) == [(1, ["football", "2020", "2021"]), (1, ["football", "2020", "2022"]), (2, ["football", "2020", "2021"])]
+    assert len(kept.drop_older(spark, root)) == 2 and [v for _, _, v, _ in kept.kept_tables(spark, root)] == [2]
+
+
+def test_what_cannot_be_made_is_not_kept(spark, tmp_path):
+    root = str(tmp_path)
+    bad = lambda: spark.createDataFrame([("x", "y", 1.0, dt.datetime(2024, 1, 1))], "a string, b string, result double, ts timestamp")
+    with pytest.raises(ValueError, match=r"outcome \(missing\)"):
+        kept.kept(spark, root, "bouts", ("one",), bad)
+    good = bad().withColumnRenamed("result", "outcome")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        kept.kept(spark, root, "bouts", ("one",), lambda: good.selectExpr("a", "b", "outcome / (outcome - 1) AS outcome", "ts"))
+    assert os.listdir(root) == []
+    # columns that a table of this version lacks are found when it is read
+    bad().write.parquet(kept.kept_path(root, "bouts", "two"))
+    with pytest.raises(ValueError, match="version 1"):
+        kept.kept(spark, root, "bouts", ("two",), lambda: good)
+    # and a table that was never finished is not taken for one
+    os.makedirs(kept.kept_path(root, "bouts", "three"))
+    with pytest.raises(RuntimeError, match="not a whole table"):
+        kept.kept(spark, root, "bouts", ("three",), lambda: good)
+    with pytest.raises(ValueError, match="path"):
+        kept.kept_path(root, "bouts", "../x")
+    assert sorted(os.listdir(root)) == ["bouts_v1_three", "bouts_v1_two"]
+
+
+def test_period_stream(spark, tmp_path):
+    system, first = systems.Glicko2(), dt.datetime(2024, 1, 1)
+    schema = "seq long, league string, a string, b string, outcome double, ts timestamp"
+    rows = [(i, "xy"[i % 5 == 0], "abc"[i % 3], "bcd"[i // 3 % 3], i % 3 / 2, first + dt.timedelta(hours=5 * i)) for i in range(36)]
+    rows += [(100, "x", "a", "b", None, first), (101, "x", "a", "b", 1.0, None)]
+    rated = PeriodRatings(str(tmp_path / "rated"), system, 1.0, "6 hours")
+
+    def drain(*blocks):
+        for block in blocks:
+            spark.createDataFrame(block, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = rated.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), availableNow=True)
+        query.awaitTermination(120)
+        assert not query.isActive and query.exception() is None
+        return shown(rated.ratings(spark)), sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+    def shown(df):
+        return {(r.league, r.competitor): (round(r.rating, 9), round(r.spread, 9), r.games, r.last) for r in df.collect()}
+
+    def stored(until):
+        bouts = [p for p in rows if p[5] is None or p[5] < until]
+        return shown(rate_periods(spark.createDataFrame(bouts, schema), system, 1.0))
+
+    # the last bout of 24 that counts is on the fifth day, at two in the afternoon; minus six hours, four days are over
+    assert drain(rows[:15], rows[15:24]) == (stored(first + dt.timedelta(days=4)), 0)
+    # one of a closed period is left out, and counted; the last bout is on the eighth day, at seven
+    late = [(200, "x", "a", "d", 0.0, first)]
+    whole = stored(first + dt.timedelta(days=7))
+    assert drain(late, rows[24:]) == (whole, 1)
+    # a batch whose end was not noted runs again from the same ratings
+    commits = tmp_path / "rated" / "checkpoint" / "commits"
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+    assert drain()[0] == whole
+    assert len(list((tmp_path / "rated" / "states").iterdir())) <= 2
+
+
+def test_period_stream_without_closed_periods(spark, tmp_path):
+    rated = PeriodRatings(str(tmp_path / "rated"), systems.Glicko(), 1.0)
+    spark.createDataFrame([("x", "a", "b", 1.0, dt.datetime(2024, 1, 1))], "league string, a string, b string, outcome double, ts timestamp").write.parquet(str(tmp_path / "in"))
+    rated.start(spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))).awaitTermination(60)
+    assert rated.ratings(spark).count() == 0
+    with pytest.raises(ValueError):
+        PeriodRatings(str(tmp_path), systems.Glicko(), 0)
