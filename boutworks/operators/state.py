@@ -77,16 +77,38 @@ def older_state(document: Column, system) -> Column:
     return F.lit(None).cast("string")
 
 
+def _read(documents: DataFrame, system) -> DataFrame:
+    """``documents`` with the state, null where it can't be used, and then the reason."""
+    doc = lambda path: F.get_json_object("document", path)
+    kind, version = doc("$.type"), doc("$.version")
+    flat = F.from_json("document", "map<string,string>").isNotNull()
+    own, older = doc("$.state"), older_state(F.col("document"), system)
+    state = F.when(kind.isNull(), F.when(flat & well_formed(older, system), older)).when((kind == system.name) & (version == str(VERSION)) & well_formed(own, system), own)
+    reason = (
+        F.when(F.col("document").isNull(), "nothing")
+        .when(kind.isNull(), F.when(flat, "older state").otherwise("not a document"))
+        .when(kind != system.name, "another type")
+        .when(version.eqNullSafe(F.lit(str(VERSION))), "state")
+        .otherwise("another version")
+    )
+    return documents.withColumns({"_state": state, "_reason": F.when(state.isNull(), reason)})
+
+
+def _imported(read: DataFrame, state: Column) -> DataFrame:
+    doc = lambda path: F.get_json_object("document", path)
+    return read.select("league", "competitor", state.alias("state"), F.coalesce(doc("$.games").cast("long"), F.lit(0).cast("long")).alias("games"), doc("$.rating").cast("double").alias("rating"))
+
+
 def import_state(documents: DataFrame, system) -> DataFrame:
     """(league, competitor, state, games, rating).
 
     A document of another type or version, or whose state lacks a number, is an error. One without a type is read as an older, flat one.
     """
-    doc = lambda path: F.get_json_object("document", path)
-    typed = doc("$.type").isNotNull()
-    flat = ~typed & F.from_json("document", "map<string,string>").isNotNull()
-    known = (doc("$.type") == system.name) & (doc("$.version") == str(VERSION)) & well_formed(doc("$.state"), system)
-    older = older_state(F.col("document"), system)
     wrong = F.raise_error(F.concat(F.lit(f"not a {system.name} state of version {VERSION}: "), F.coalesce("document", F.lit("nothing"))))
-    state = F.when(F.coalesce(known, F.lit(False)), doc("$.state")).when(F.coalesce(flat & well_formed(older, system), F.lit(False)), older).otherwise(wrong)
-    return documents.select("league", "competitor", state.alias("state"), F.coalesce(doc("$.games").cast("long"), F.lit(0).cast("long")).alias("games"), doc("$.rating").cast("double").alias("rating"))
+    return _imported(_read(documents, system), F.coalesce("_state", wrong))
+
+
+def part_states(documents: DataFrame, system) -> tuple[DataFrame, DataFrame]:
+    """What ``import_state`` gives for the documents that can be used, and the others with the reason: league, competitor, document, reason."""
+    read = _read(documents, system)
+    return _imported(read.where("_state is not null"), F.col("_state")), read.where("_state is null").select("league", "competitor", "document", F.col("_reason").alias("reason"))

@@ -352,6 +352,33 @@ def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings_of(replay(bouts.where(F.col("seq") >= half), system, seeds=seeds)).select("competitor", F.round("rating", 6).alias("rating"))
 
 
+def state_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported states, two thirds of them damaged in one way or another, parted into those that can be used and the others."""
+    system = systems.Elo()
+    stored = state.export_state(ratings_of(replay(bouts_events(spark, sf_dir), system)), system)
+    k, doc = F.col("competitor").cast("long") % 6, F.col("document")
+    damaged = F.when(k == 1, F.regexp_replace(doc, '"elo"', '"glicko"')).when(k == 2, F.regexp_replace(doc, '"version": 1', '"version": 9')).when(k == 3, F.regexp_replace(doc, r"\[.*\]", "[]")).when(k == 4, F.substring(doc, 2, 20)).otherwise(doc)
+    good, bad = state.part_states(staged(stored.withColumn("document", damaged), "states"), system)
+    none = lambda kind: F.lit(None).cast(kind)
+    return good.select("competitor", F.round("rating", 6).alias("rating"), none("string").alias("reason")).unionByName(bad.select("competitor", none("double").alias("rating"), "reason"))
+
+
+def older_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat documents of an earlier version, made of suppliers, read as the states of both sides of their bouts."""
+    system, key = systems.Glicko(), F.col("s_suppkey")
+    suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    rating = F.lit(1500.0) + F.floor(F.col("s_acctbal") / 100)
+    fields = F.struct(F.when(key % 3 > 0, rating).alias("current_rating"), F.when(key % 4 > 0, rating + 50).alias("initial_rating"), F.when(key % 5 > 0, 60.0 + key % 7).alias("current_rd"))
+    documents = suppliers.select(F.lit("all").alias("league"), key.cast("string").alias("competitor"), F.to_json(fields).alias("document"))
+    seeds = state.import_state(documents, system)
+    bouts = bouts_supplier(spark, sf_dir).withColumn("league", F.lit("all"))
+    fixtures = bouts.select("league", "order_key", "a", "b")
+    of = lambda side: seeds.select("league", F.col("competitor").alias(side), F.from_json("state", "array<double>").alias(f"_{side}"))
+    both = fixtures.join(of("a"), ["league", "a"]).join(of("b"), ["league", "b"])
+    number = lambda side, i: F.get(f"_{side}", F.lit(i))
+    return both.select("order_key", "a", "b", number("a", 0).alias("rating_a"), number("a", 1).alias("rd_a"), number("b", 0).alias("rating_b"), number("b", 1).alias("rd_b"))
+
+
 def strict_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = _history(spark, sf_dir)
     outcome = F.when(F.col("label") == "a", 1.0).when(F.col("label") == "b", 0.0).otherwise(0.5)
@@ -493,6 +520,8 @@ _TABLE: dict[str, tuple[Query, str | None]] = {
     "team_bouts": (team_bouts, oracle.TEAM_BOUTS),
     "evaluation_report": (evaluation_report, oracle.EVALUATION_REPORT),
     "state_round_trip": (state_round_trip, oracle.ELO),
+    "state_quarantine": (state_quarantine, oracle.STATE_QUARANTINE),
+    "older_states": (older_states, oracle.OLDER_STATES),
     "glicko_leaderboard": (_board(systems.Glicko(), timed=True), oracle.GLICKO),
     "glicko2_leaderboard": (_board(systems.Glicko2(), timed=True), oracle.GLICKO2),
     "trueskill_leaderboard": (_board(systems.TrueSkill()), oracle.TRUESKILL),

@@ -515,6 +515,13 @@ FROM (SELECT *, floor(score_a) AS x, floor(score_b) AS y, CASE WHEN floor(score_
 
 KEPT = f"WITH {BOUTS} SELECT seq, a, b, outcome, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM bouts"
 
+STATE_QUARANTINE = f"""SELECT competitor, CASE WHEN CAST(competitor AS BIGINT) % 6 IN (0, 5) THEN rating END AS rating,
+CASE CAST(competitor AS BIGINT) % 6 WHEN 1 THEN 'another type' WHEN 2 THEN 'another version' WHEN 3 THEN 'state' WHEN 4 THEN 'not a document' END AS reason FROM ({ELO})"""
+
+OLDER_STATES = f"""WITH {SUPPLIER}, base AS (SELECT s_suppkey AS k, 1500 + floor(s_acctbal / 100) AS x FROM supplier),
+known AS (SELECT CAST(k AS VARCHAR) AS c, CASE WHEN k % 3 > 0 THEN x WHEN k % 4 > 0 THEN x + 50 ELSE 1500 END::DOUBLE AS rating, CASE WHEN k % 5 > 0 THEN 60 + k % 7 ELSE 350 END::DOUBLE AS rd FROM base)
+SELECT order_key, a, b, x.rating AS rating_a, x.rd AS rd_a, y.rating AS rating_b, y.rd AS rd_b FROM bouts JOIN known x ON x.c = a JOIN known y ON y.c = b"""
+
 UNSEEN = f"""WITH {BOUTS}, {_SPLIT}, {fold_ctes("r", "train", *FOLDS["elo"][:3])}, g AS (SELECT seq, a, CASE WHEN seq % 10 = 0 THEN 'new ' || b ELSE b END AS b FROM held)
 SELECT seq, a, b, round(1 / (1 + pow(10.0::DOUBLE, (coalesce(y.v, 400.0::DOUBLE) - coalesce(x.v, 400.0::DOUBLE)) / 400)), 9) AS predicted FROM g LEFT JOIN r x ON x.competitor = a LEFT JOIN r y ON y.competitor = b"""
 

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from boutworks.operators import systems
+from boutworks.operators import state, systems
 from boutworks.operators.fold import history_of, replay
 from boutworks.operators.periods import rate_periods
 from boutworks.sources import kept, pgn, schedule, synthetic
@@ -211,3 +211,20 @@ def test_period_stream_without_closed_periods(spark, tmp_path):
     assert rated.ratings(spark).count() == 0
     with pytest.raises(ValueError):
         PeriodRatings(str(tmp_path), systems.Glicko(), 0)
+
+
+def test_states_are_parted(spark):
+    good = '{"type": "elo", "version": 1, "state": [1510.5], "games": 3, "rating": 1510.5}'
+    documents = [
+        ("a", good), ("b", '{"current_rating": 1420}'), ("c", "{}"), ("d", None), ("e", "no json"), ("f", good.replace("elo", "glicko")), ("g", good.replace('"version": 1', '"version": 2')),
+        ("h", good.replace('"version": 1, ', "")), ("i", good.replace("[1510.5]", "[null]")), ("a", good), ("j", ""), ("k", "[1]"),
+    ]
+    rows = spark.createDataFrame([("x", *d) for d in documents], "league string, competitor string, document string")
+    used, others = state.part_states(rows, systems.Elo())
+    assert sorted((r.competitor, r.state, r.games) for r in used.collect()) == [("a", "[1510.5]", 3)] * 2 + [("b", "[1420.0]", 0), ("c", "[400.0]", 0)]
+    assert {r.competitor: r.reason for r in others.collect()} == {
+        "d": "nothing", "e": "not a document", "f": "another type", "g": "another version", "h": "another version", "i": "state", "j": "not a document", "k": "not a document",
+    }
+    with pytest.raises(Exception, match="not a elo state"):
+        state.import_state(rows, systems.Elo()).collect()
+    assert [df.count() for df in state.part_states(rows.limit(0), systems.Elo())] == [0, 0]
