@@ -23,8 +23,8 @@ headings, none is: such pages are copies of each other.
 
 Defined cases: null or empty html has the empty text; a url without a host shares
 the empty host; repeated rows have the same result each; a page with none of its
-host's main elements goes by names; unclosed and stray tags are tolerated; very
-long pages are handled one by one; an empty table has an empty result; other
+host's main elements goes by names; unclosed and stray tags are tolerated; text with
+``hidden`` or ``aria-hidden`` counts like any other; very long pages are handled one by one; an empty table has an empty result; other
 columns are ignored, whatever their names.
 """
 
