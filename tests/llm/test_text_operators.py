@@ -146,6 +146,31 @@ def test_without_labels_nothing_but_the_base_rejects(spark, small):
     assert quality_rules.verdicts(documents(spark).limit(0), odd).count() == 0
 
 
+def test_forest_is_fitted_on_all_labelled_rows(spark):
+    """More labelled rows than the 20,000 that the fit once took: each is in a tree, and the threshold is that of them all."""
+    n = 24_000
+    word = "concat(substr('abcdefghijklm', 1, cast(1 + pmod(xxhash64(id, k), 13) as int)), if(pmod(xxhash64(k, id), 40) < pmod(id, 9), '#', ''), k)"
+    docs = spark.range(n).selectExpr("id as doc_id", f"array_join(transform(sequence(1, 50 + cast(id % 7 as int)), k -> {word}), ' ') as text").cache()
+    labels = docs.selectExpr("doc_id", "cast(pmod(xxhash64(doc_id), 10) > pmod(doc_id, 9) as int) as quality", "0 as toxic")
+    forest = quality_rules.fit_forest(docs, labels)
+    rows = quality_rules.labelled_rows(quality_rules.rule_statistics(docs), labels).toPandas()
+    assert len(rows) == n
+    score, good = forest.scores(rows[quality_rules.FEATURES].to_numpy()), rows["good"].to_numpy()
+    cuts = np.unique(score[good])
+    own, bad = (np.searchsorted(np.sort(score[g]), cuts, side="right") for g in (good, ~good))
+    gain = own * int((~good).sum()) - bad * int(good.sum())
+    best = cuts[len(cuts) - 1 - int(np.argmax(gain[::-1]))]
+    assert forest.threshold == pytest.approx((best + score[score > best].min()) / 2 if (score > best).any() else best, rel=1e-12)
+    kept = quality_rules.labelled_rows(quality_rules.rule_statistics(docs), labels).where("good")
+    ids = kept.withColumn("f_length", F.col("doc_id").cast("double"))
+    for size in (int(good.sum()), 10**9):  # with many more rows than the trees ask for, each row is in one tree
+        trees = defaultdict(list)
+        for tree, doc in quality_rules.dealt_to_trees(ids, size).select("tree", "f_length").toPandas().itertuples(index=False):
+            trees[doc].append(tree)
+        assert len(trees) == good.sum() and all(len(set(t)) == len(t) for t in trees.values())
+        assert max(map(len, trees.values())) == min(quality_rules.TREES, -(-quality_rules.TREES * quality_rules.TREE_ROWS // size))
+
+
 # ---- 7
 
 
