@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney n-gram scoring.
 
-Counting runs in Spark: each task counts the n-grams of its texts and packs them
-into blocks by hash range, the blocks are shuffled, and each range is merged into a
-sorted hash array. Merging a range also gives, for the shorter n-grams at its
+Counting runs in Spark: a first pass gives every training word a number, small for
+frequent words. Then each task counts the n-grams of its texts and packs their word
+numbers into blocks by hash range, the blocks are shuffled, and each range is merged
+into a sorted hash array. Merging a range also gives, for the shorter n-grams at its
 n-grams' ends and beginnings, how many of the range's n-grams end in one (its
 continuation count is the sum over ranges) and what follows one; these go on as
 blocks of the next lower order, down to single words. All arrays are files in the shared folder; workers
@@ -38,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,10 +49,10 @@ from pyspark.sql import types as T
 from boutworks.llm._batches import append_columns, bound_batches, chunks, codes_of, give_back, joined, spans_array, text_array, word_spans
 from boutworks.runtime import staged, work_path
 
-#: Words of the longest n-grams, unless given; README has the figures for two and three.
-ORDER = 2
-#: Hashes of the start mark and of the end token.
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+#: Words of the longest n-grams, unless given; README has the figures for others.
+ORDER = 3
+#: Numbers of the start mark and of words that training never saw, and the hash of the end token.
+START, UNKNOWN, END = np.uint64(0), np.uint64(1), np.uint64(0x454E44)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD_SEED = 11
 #: Tokens that a task gathers before it packs their n-grams.
@@ -63,27 +65,27 @@ HELD_BYTES, HELD_MAPS = 256 << 20, 4096
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
     found = np.fromiter((xxhash.xxh64_intdigest(w, _WORD_SEED) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
-    return np.where((found == START) | (found == END), found + np.uint64(1), found)
+    return np.where(found == END, found + np.uint64(1), found)
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all rows, each row's words and its end token, and the ends of the rows."""
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the end token last; the tokens of all rows as places there, each row's words and its end token; and the ends of the rows."""
     flat, offsets = joined(texts)
     upper = (flat >= 0x41) & (flat <= 0x5A)
     flat = flat + (upper.astype(np.uint8) << np.uint8(5))
     starts, ends, row = word_spans(flat, offsets)
     codes, distinct = codes_of(spans_array(flat, starts, ends))
     count = np.bincount(row, minlength=len(texts))
-    out = np.full(len(codes) + len(texts), END, dtype=np.uint64)
-    out[np.arange(len(codes)) + row] = _word_hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
-    return out, np.cumsum(count + 1)
+    out = np.full(len(codes) + len(texts), len(distinct), dtype=np.int64)
+    out[np.arange(len(codes)) + row] = codes
+    return np.append(_word_hashes(distinct), END), out, np.cumsum(count + 1)
 
 
 def histories(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
     """The n-gram that ends in each token, as columns of words, the earliest first; rows begin with start marks."""
     columns = [tokens]
     for _ in range(order - 1):
-        before = np.concatenate([[START], columns[0][:-1]]) if len(tokens) else tokens
+        before = np.concatenate([np.full(1, START, tokens.dtype), columns[0][:-1]]) if len(tokens) else tokens
         if len(ends):
             before[ends[:-1]] = START
         columns.insert(0, before)
@@ -91,8 +93,8 @@ def histories(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarr
 
 
 def gram_key(words: list[np.ndarray]) -> np.ndarray:
-    """Hashes of n-grams; that of a word is its own."""
-    key = words[0]
+    """Hashes of n-grams; that of a word is its own number."""
+    key = words[0].astype(np.uint64)
     with np.errstate(over="ignore"):
         for word in words[1:]:
             key = (key ^ (key >> np.uint64(29))) * _MIX + word
@@ -102,8 +104,8 @@ def gram_key(words: list[np.ndarray]) -> np.ndarray:
 
 
 def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Equal ranges of the hash, which no frequent word makes uneven."""
-    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    """Ranges of the hash, by its remainder, which no frequent word makes uneven."""
+    return (key % np.uint64(buckets)).astype(np.int64)
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -136,9 +138,10 @@ def _least(array: np.ndarray) -> np.ndarray:
 
 
 def _squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers, each byte of a number in a row of its own."""
     raw = io.BytesIO()
     for a in arrays:
-        np.save(raw, a)
+        np.save(raw, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
     return raw.tell().to_bytes(8, "little") + _codec.compress(raw.getvalue(), asbytes=True)
 
 
@@ -146,40 +149,64 @@ def _restored(raw: bytes) -> list[np.ndarray]:
     size = int.from_bytes(raw[:8], "little")
     data, out = io.BytesIO(_codec.decompress(raw[8:], size, asbytes=True)), []
     while data.tell() < size:
-        out.append(np.load(data))
+        rows = np.load(data)
+        out.append(np.ascontiguousarray(rows.T).view(f"<u{len(rows)}").ravel())
     return out
 
 
 def _pack(words: list[np.ndarray], stats: list[np.ndarray]) -> bytes:
-    """A block: its distinct words once, the n-grams as codes, and their statistics. Single words need no codes."""
-    if len(words) == 1:
-        return _squeezed([words[0], *[_least(s) for s in stats]])
-    names, codes = np.unique(np.concatenate(words), return_inverse=True)
-    return _squeezed([names, *[_least(c) for c in codes.reshape(len(words), -1)], *[_least(s) for s in stats]])
+    """A block: n-grams as columns of words, the first as differences, and their statistics."""
+    first = np.diff(words[0].astype(np.uint64), prepend=np.uint64(0))
+    return _squeezed([_least(c) for c in (first, *words[1:], *stats)])
 
 
 def _unpack(raw: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    names, *columns = _restored(raw)
-    if order == 1:
-        return [names], [c.astype(np.int64) for c in columns]
-    return [names[c] for c in columns[:order]], [c.astype(np.int64) for c in columns[order:]]
+    first, *columns = _restored(raw)
+    return [_least(np.cumsum(first, dtype=np.uint64)), *columns[: order - 1]], [c.astype(np.int64) for c in columns[order - 1 :]]
+
+
+def _narrow(table: np.ndarray) -> np.ndarray:
+    """The values as bytes; of those that a byte can't hold, places and values stand behind them."""
+    flat = table.ravel()
+    over = np.flatnonzero(flat >= 255)
+    tail = np.concatenate([over, flat[over]]).astype(np.uint64).view(np.uint8)
+    return np.concatenate([np.minimum(flat, 255).astype(np.uint8), np.zeros(-len(flat) % 8, np.uint8), tail])
+
+
+def _widened(raw: np.ndarray, n: int, wide: int, rows: np.ndarray) -> np.ndarray:
+    """Some rows of a table of ``n`` rows that ``_narrow`` made."""
+    size = n * wide
+    out = raw[:size].reshape(n, wide)[rows].astype(np.int64)
+    at = np.nonzero(out == 255)
+    if len(at[0]):
+        places, values = np.array(raw[size + -size % 8 :]).view(np.uint64).reshape(2, -1)
+        out[at] = values[np.searchsorted(places, (rows[at[0]] * wide + at[1]).astype(np.uint64))]
+    return out
 
 
-_BLOCK = "bucket int, block binary, n long, n1 long, n2 long, n3 long, n4 long, total long, grams long"
+_BLOCK = "bucket int, block binary, k int, n long, n1 long, n2 long, n3 long, n4 long, total long, grams long"
 _NUMBERS = [f.split()[0] for f in _BLOCK.split(", ")][2:]
 
 
 def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
-    """(bucket, block) rows, or (bucket, None, numbers) of a merged range."""
+    """(bucket, block) rows, or (bucket, None, order and numbers) of a merged range."""
     made = zip(*(r if len(r) > 2 else (*r, *[None] * len(_NUMBERS)) for r in rows), strict=True) if rows else [[]] * (2 + len(_NUMBERS))
-    kinds = [pa.int32(), pa.binary(), *[pa.int64()] * len(_NUMBERS)]
+    kinds = [pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * (len(_NUMBERS) - 1)]
     return pa.RecordBatch.from_arrays([pa.array(m, k) for m, k in zip(made, kinds, strict=True)], names=["bucket", "block", *_NUMBERS])
 
 
 def _dealt(words: list[np.ndarray], stats: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """The n-grams as blocks of their ranges."""
+    if not len(words[0]):  # a range may hold histories alone, which no shorter n-gram is counted from
+        return
     bucket = _bucket_of(gram_key(words), buckets)
-    order = np.lexsort((words[0], bucket))  # inside a block the order is free: by first word, repeats compress well
+    if buckets < 1 << 16:  # inside a block the order is free: by the first words, as far as they fit, repeats compress well
+        place = bucket.astype(np.uint64) << np.uint64(48)
+        for w, shift in zip(words, (24, 0), strict=False):
+            place |= np.minimum(w, np.uint64((1 << 24) - 1)).astype(np.uint64) << np.uint64(shift)
+        order = np.argsort(place)
+    else:
+        order = np.lexsort((words[0], bucket))
     bucket, words, stats = bucket[order], [w[order] for w in words], [s[order] for s in stats]
     heads = _heads(bucket)
     rows, held = [], 0
@@ -193,23 +220,97 @@ def _dealt(words: list[np.ndarray], stats: list[np.ndarray], buckets: int) -> It
         yield _block_batch(rows)
 
 
-def _count(text_col: str, order: int, buckets: int):
+def _words(text_col: str, buckets: int):
+    """Blocks of the distinct words of the texts by hash, and how often they occur."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, _, (count,) = _summed(np.concatenate([k for k, _ in held]), [], [np.concatenate([c for _, c in held])])
+        return key, count
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                distinct, tokens, _ = tokens_of(text_array(part.column(text_col)))
+                held.append((distinct, np.bincount(tokens, minlength=len(distinct))))
+                size += len(distinct)
+                if size > _HELD // 4:
+                    held = [flush(held)]
+                    size = len(held[0][0])
+                    if size > _HELD // 8:
+                        yield from _dealt([held[0][0]], [held[0][1]], buckets)
+                        held, size = [], 0
+        if held:
+            key, count = flush(held)
+            yield from _dealt([key], [count], buckets)
+        give_back()
+
+    return run
+
+
+def _number(path: str, buckets: int):
+    """Write a range's words, by hash, with their places in the order of falling counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (key,), stats in _groups(batches, 1):
+            key, _, (count,) = _summed(key, [], stats)
+            place = np.empty(len(key), np.int64)
+            place[np.lexsort((key, -count))] = np.arange(len(key))
+            _save(f"{path}/0-{bucket}.key.npy", key.astype(np.uint64))
+            _save(f"{path}/0-{bucket}.n.npy", _least(place))
+            yield _block_batch([(bucket, None, 0, len(key), *[None] * (len(_NUMBERS) - 2))])
+        give_back()
+
+    return run
+
+
+@dataclass
+class Vocabulary:
+    """Numbers of the training words: their place in their range, so that frequent words have small ones, and the range."""
+
+    path: str
+    buckets: int
+    present: list[int]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), UNKNOWN, dtype=np.uint64)
+        for bucket, rows in _by_bucket(hashes, self.buckets, self.present):
+            keys, places = _ranges.get(f"{self.path}/0-{bucket}")
+            at = np.minimum(np.searchsorted(keys, hashes[rows]), len(keys) - 1)
+            hit = keys[at] == hashes[rows]
+            out[rows[hit]] = (places[at[hit]].astype(np.uint64) + np.uint64(1)) * np.uint64(self.buckets) + np.uint64(bucket)
+        return out
+
+
+def _by_bucket(key: np.ndarray, buckets: int, present: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of ``key`` that fall in each range that is there, in their order."""
+    bucket = _bucket_of(key, buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    heads, here = _heads(bucket[order]), set(present)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
+        if int(bucket[order[a]]) in here:
+            yield int(bucket[order[a]]), order[a:b]
+
+
+def _count(text_col: str, order: int, buckets: int, vocabulary: Vocabulary):
     """Blocks of the n-grams of the texts, counted within some ``_HELD`` tokens."""
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
         _, words, (count,) = _summed(gram_key(columns), columns, [np.ones(len(columns[0]), dtype=np.int64)])
+        del columns
         yield from _dealt(words, [count], buckets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in chunks(batch, text_col):
-                tokens, ends = token_hashes(text_array(part.column(text_col)))
+                distinct, tokens, ends = tokens_of(text_array(part.column(text_col)))
+                columns = histories(_least(vocabulary.numbers(distinct))[tokens], ends, order)
                 for at in range(0, len(tokens), _HELD):  # a very long text in several parts
-                    columns = [c[at : at + _HELD] for c in histories(tokens, ends, order)]
-                    held.append(columns)
-                    size += len(columns[0])
+                    held.append([c[at : at + _HELD] for c in columns])
+                    size += len(held[-1][0])
                     if size > _HELD:
                         yield from flush(held)
                         held, size = [], 0
@@ -271,20 +372,29 @@ def _groups(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[tuple[int
 
 
 def _merge(path: str, order: int, top: bool, buckets: int):
-    """Write a range's sorted hashes and statistics of one order; pass on what the next lower order gets from it.
+    """Write a range's sorted hashes and statistics of one order; pass on what the next lower order gets from it, and the numbers of higher ones.
 
     Statistics below the top are: count (distinct words before), frequency, and of what follows: the sum of the
     counts, and how many have the count one, two, and three or more.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, words, stats in _groups(batches, order):
+        numbers = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                empty = batch.column(1).is_null()
+                numbers.append(batch.filter(empty))
+                yield batch.filter(pc.invert(empty))
+
+        for bucket, words, stats in _groups(blocks(), order):
             key, words, stats = _summed(gram_key(words), words, stats)
             count, frequency = stats[0], stats[0] if top else stats[1]
             _save(f"{path}/{order}-{bucket}.key.npy", key)
-            _save(f"{path}/{order}-{bucket}.n.npy", _least(count) if top else _least(np.column_stack([stats[0], *stats[2:], *([frequency] if order == 1 else [])]).ravel()))
+            kept = [count] if top else [stats[0], *stats[2:], *([frequency] if order == 1 else [])]
+            _save(f"{path}/{order}-{bucket}.n.npy", (_least if order == 1 else _narrow)(np.column_stack(kept).ravel()))
             seen = count > 0
-            yield _block_batch([(bucket, None, len(key), *_counts_of(count), int(frequency.sum()), int(count.sum()))])
+            yield _block_batch([(bucket, None, order, len(key), *_counts_of(count), int(frequency.sum()), int(count.sum()))])
             if order > 1:
                 n = count[seen]
                 one, two = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
@@ -297,6 +407,7 @@ def _merge(path: str, order: int, top: bool, buckets: int):
                 shorter = [np.concatenate(pair) for pair in zip(ends, fronts, strict=True)]
                 _, shorter, both = _summed(gram_key(shorter), shorter, both)
                 yield from _dealt(shorter, both, buckets)
+        yield from numbers
         give_back()
 
     return run
@@ -344,6 +455,7 @@ class NgramModel:
     path: str
     order: int
     buckets: int
+    words: Vocabulary
     present: dict[int, list[int]]  # by order, ranges that have n-grams
     discount: dict[int, list[float]]
     vocabulary: int
@@ -355,36 +467,37 @@ class NgramModel:
         """Statistics of n-grams, a row each; zero where one is unknown."""
         wide = 1 if order == self.order else 6 if order == 1 else 5
         key, back = np.unique(gram_key(words), return_inverse=True)
-        bucket = _bucket_of(key, self.buckets)
         out = np.zeros((len(key), wide), dtype=np.int64)
-        here = set(self.present[order])
-        heads = _heads(bucket)
-        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
-            if int(bucket[a]) in here:
-                keys, values = _ranges.get(f"{self.path}/{order}-{int(bucket[a])}")
-                at = np.minimum(np.searchsorted(keys, key[a:b]), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == key[a:b])
-                out[a + hit] = values.reshape(-1, wide)[at[hit]]
+        for bucket, rows in _by_bucket(key, self.buckets, self.present[order]):
+            keys, values = _ranges.get(f"{self.path}/{order}-{bucket}")
+            at = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == key[rows])
+            out[rows[hit]] = values.reshape(-1, wide)[at[hit]] if order == 1 else _widened(values, len(keys), wide, at[hit])
         return out[back]
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per row: tokens, known tokens, add-one base score and log10 probability."""
-        tokens, ends = token_hashes(texts)
+        distinct, tokens, ends = tokens_of(texts)
         if not len(ends):
             return {"n_tokens": ends, "n_known": ends, "base_score": ends.astype(float), "score": ends.astype(float)}
-        columns = histories(tokens, ends, self.order)
-        words = self._lookup(1, [tokens])
+        heads = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        numbers = self.words.numbers(distinct)
+        columns = histories(numbers[tokens], ends, self.order)
+        words = self._lookup(1, [numbers])[tokens]
         v, count = self.vocabulary, words[:, 0]
         p = np.maximum(count - _discount_of(count, self.discount[1]), 0) / max(1, self.bigrams) + self.word_gamma / (v + 1)
+        lower = words
         for order in range(2, self.order + 1):
+            # a history is the shorter n-gram that ends in the token before
+            history = np.roll(lower, 1, axis=0)
+            history[heads] = self._lookup(order - 1, [np.array([START])] * (order - 1))
             gram = self._lookup(order, columns[-order:])
-            history = self._lookup(order - 1, columns[-order:-1])
             discount = self.discount[order]
             total, free = history[:, 1], history[:, 2:5] @ np.array(discount)
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = np.where(total > 0, (np.maximum(gram[:, 0] - _discount_of(gram[:, 0], discount), 0) + free * p) / total, p)
+            lower = gram
         base = np.log10((words[:, 5] + 1) / (self.tokens + (v + 1)))
-        heads = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return {
             "n_tokens": np.diff(np.append(heads, len(tokens))),
             "n_known": np.add.reduceat((words[:, 5] > 0).astype(np.int64), heads),
@@ -405,22 +518,23 @@ def train(rows: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
     bound_batches(spark)
     path = work_path(spark, "ngrams")
     buckets = max(16, RANGES * rows.rdd.getNumPartitions())
-    blocks = rows.select(text_col).mapInArrow(_count(text_col, order, buckets), _BLOCK)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _NUMBERS]
-    numbers = {}
+    dealt = lambda blocks: blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")  # noqa: E731 - ranges go to tasks by their number, so every task has as many
+    numbered = dealt(rows.select(text_col).mapInArrow(_words(text_col, buckets), _BLOCK)).mapInArrow(_number(path, buckets), _BLOCK)
+    words = Vocabulary(path, buckets, sorted(r.bucket for r in numbered.select("bucket").collect()))  # a row for each range
+    blocks = rows.select(text_col).mapInArrow(_count(text_col, order, buckets, words), _BLOCK)
     for k in range(order, 0, -1):
-        # ranges go to tasks by their number, so every task has as many
-        dealt = blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
-        merged = staged(dealt.select("bucket", "block").mapInArrow(_merge(path, k, k == order, buckets), _BLOCK), f"merged-{k}")
-        # a row of seven numbers for each range, summed by Spark
-        numbers[k] = merged.where("n is not null").agg(*sums, F.collect_set("bucket").alias("at")).first()
-        blocks = merged.where("n is null").select("bucket", "block")
+        blocks = dealt(blocks).mapInArrow(_merge(path, k, k == order, buckets), _BLOCK)
+    # a row of eight numbers for each order and range, summed by Spark
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _NUMBERS[1:]]
+    orders = spark.createDataFrame([(k,) for k in range(1, order + 1)], "k int")
+    found = orders.join(staged(blocks, "merged"), "k", "left").groupBy("k").agg(*sums, F.collect_set("bucket").alias("at")).collect()
+    numbers = {n.k: n for n in found}
     discount = {k: _discounts(n.n1, n.n2, n.n3, n.n4) for k, n in numbers.items()}
     single, d = numbers[1], discount[1]
     vocabulary = max(0, single.n - 1)  # the start mark is the one word that follows nothing
     more = vocabulary - single.n1 - single.n2
     gamma = (d[0] * single.n1 + d[1] * single.n2 + d[2] * more) / single.grams if single.grams else 1.0
-    return NgramModel(path, order, buckets, {k: sorted(n["at"]) for k, n in numbers.items()}, discount, vocabulary, single.grams, single.total, gamma)
+    return NgramModel(path, order, buckets, words, {k: sorted(n["at"]) for k, n in numbers.items()}, discount, vocabulary, single.grams, single.total, gamma)
 
 
 def score(rows: DataFrame, model: NgramModel, text_col: str = "text") -> DataFrame:

@@ -230,6 +230,25 @@ def test_language_model(spark, small, source, order):
         assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_the_query_reads_two_words_back(spark, tmp_path):
+    """The word after the next depends on the first one of three, which bigrams can't see."""
+    rng = random.Random(7)
+    texts = [" ".join(f"{w} the {w.upper()}x{rng.randrange(2)}" for w in rng.choices(["red", "Green", "blue", "grey"], k=12)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op7_kneser_ney(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({r[0]: r[6] for r in brute_kneser_ney(rows, 3)}, rel=1e-9)
+    pairs = {r[0]: r[6] for r in brute_kneser_ney(rows, 2)}
+    assert all(got[d] > pairs[d] + 5 for d in got)
+
+
+def test_values_beyond_a_byte():
+    table = np.array([[0, 254, 255], [256, 7, 2**40], [1, 255, 3]])
+    raw = kneser_ney._narrow(table)
+    for rows in ([0, 1, 2], [2], [1, 1, 0]):
+        assert kneser_ney._widened(raw, 3, 3, np.array(rows)).tolist() == table[rows].tolist()
+
+
 def test_large_counts_are_exact(spark):
     rows = [(0, "x y " * 1000), (1, "x y"), (2, "y x z")]
     got = {r.doc_id: r.score for r in kneser_ney.report(documents(spark, rows)).collect()}
