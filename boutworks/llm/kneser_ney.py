@@ -6,7 +6,11 @@ numbers into blocks by hash range, the blocks are shuffled, and each range is me
 into a sorted hash array. Merging a range also gives, for the shorter n-grams at its
 n-grams' ends and beginnings, how many of the range's n-grams end in one (its
 continuation count is the sum over ranges) and what follows one; these go on as
-blocks of the next lower order, down to single words. All arrays are files in the shared folder; workers
+blocks of the next lower order, down to single words. Blocks of shorter n-grams are
+kept as a table in ``PARTS`` parts, which are shuffled and merged one after another and
+deleted, and Spark drops the shuffle files of each step when it ends: the disk holds the
+arrays, one order's blocks and what is made of them, never those of all orders.
+All arrays are files in the shared folder; workers
 map them into memory and look up whole chunks of sorted queries, so pages are
 shared and no worker holds the model. On a store that can't be mapped, a worker
 reads the ranges it needs and keeps at most ``HELD_BYTES`` of them.
@@ -35,6 +39,7 @@ import os
 import urllib.parse
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,12 +47,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutworks.llm._batches import append_columns, bound_batches, chunks, codes_of, give_back, joined, spans_array, text_array, word_spans
-from boutworks.runtime import staged, work_path
+from boutworks.runtime import discard, staged, work_path
 
 #: Words of the longest n-grams, unless given; README has the figures for others.
 ORDER = 3
@@ -59,6 +64,8 @@ _WORD_SEED = 11
 _HELD = 4_000_000
 #: Hash ranges for each input partition: few, so that a block shares its words among many n-grams.
 RANGES = 2
+#: Parts of the ranges in which shorter n-grams are merged, one part after another.
+PARTS = 4
 #: Bytes of ranges that a worker keeps of a model it can't map, and ranges it keeps mapped.
 HELD_BYTES, HELD_MAPS = 256 << 20, 4096
 
@@ -353,6 +360,12 @@ def _counts_of(count: np.ndarray) -> list[int]:
     return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def _padded(stats: list[np.ndarray]) -> list[np.ndarray]:
+    """All six statistics of a shorter n-gram; blocks of ends have the first two, blocks of beginnings the others."""
+    none = np.zeros(len(stats[0]), np.int64)
+    return {2: [*stats, *[none] * 4], 4: [*[none] * 2, *stats]}.get(len(stats), stats)
+
+
 def _groups(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
     """Words and statistics of each range, joined; rows ascend by range."""
 
@@ -366,7 +379,8 @@ def _groups(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[tuple[int
                 yield now, *whole(held)
                 held = []
             now = bucket
-            held.append(_unpack(raw, order))
+            words, stats = _unpack(raw, order)
+            held.append((words, _padded(stats)))
     if held:
         yield now, *whole(held)
 
@@ -399,14 +413,9 @@ def _merge(path: str, order: int, top: bool, buckets: int):
                 n = count[seen]
                 one, two = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
                 each = np.ones_like(n)
-                ends, fronts = [w[seen] for w in words[1:]], [w[seen] for w in words[:-1]]
-                _, ends, end_stats = _summed(gram_key(ends), ends, [each, frequency[seen]])
-                _, fronts, front_stats = _summed(gram_key(fronts), fronts, [n, one, two, each - one - two])
-                none = [np.zeros(len(ends[0]), np.int64)] * 4, [np.zeros(len(fronts[0]), np.int64)] * 2
-                both = [np.concatenate(pair) for pair in zip([*end_stats, *none[0]], [*none[1], *front_stats], strict=True)]
-                shorter = [np.concatenate(pair) for pair in zip(ends, fronts, strict=True)]
-                _, shorter, both = _summed(gram_key(shorter), shorter, both)
-                yield from _dealt(shorter, both, buckets)
+                for shorter, passed in (([w[seen] for w in words[1:]], [each, frequency[seen]]), ([w[seen] for w in words[:-1]], [n, one, two, each - one - two])):
+                    _, shorter, passed = _summed(gram_key(shorter), shorter, passed)
+                    yield from _dealt(shorter, passed, buckets)
         yield from numbers
         give_back()
 
@@ -510,6 +519,18 @@ def _discount_of(count: np.ndarray, discount: list[float]) -> np.ndarray:
     return np.array([0.0, *discount])[np.minimum(count, 3)]
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete the shuffle files of a query when it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def train(rows: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramModel:
     """Count the n-grams of ``rows`` and write the model's arrays to the shared folder."""
     if order < 2:
@@ -518,16 +539,37 @@ def train(rows: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
     bound_batches(spark)
     path = work_path(spark, "ngrams")
     buckets = max(16, RANGES * rows.rdd.getNumPartitions())
-    dealt = lambda blocks: blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")  # noqa: E731 - ranges go to tasks by their number, so every task has as many
-    numbered = dealt(rows.select(text_col).mapInArrow(_words(text_col, buckets), _BLOCK)).mapInArrow(_number(path, buckets), _BLOCK)
-    words = Vocabulary(path, buckets, sorted(r.bucket for r in numbered.select("bucket").collect()))  # a row for each range
-    blocks = rows.select(text_col).mapInArrow(_count(text_col, order, buckets, words), _BLOCK)
-    for k in range(order, 0, -1):
-        blocks = dealt(blocks).mapInArrow(_merge(path, k, k == order, buckets), _BLOCK)
-    # a row of eight numbers for each order and range, summed by Spark
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _NUMBERS[1:]]
-    orders = spark.createDataFrame([(k,) for k in range(1, order + 1)], "k int")
-    found = orders.join(staged(blocks, "merged"), "k", "left").groupBy("k").agg(*sums, F.collect_set("bucket").alias("at")).collect()
+
+    def dealt(blocks: DataFrame, share: int = 1) -> DataFrame:
+        """Ranges go to tasks by their number, so every task has as many; of a part there are only every ``share``-th."""
+        return blocks.repartitionById(-(-buckets // share), F.floor(F.col("bucket") / share).cast("int")).sortWithinPartitions("bucket")
+
+    def read(table: str) -> DataFrame:
+        return spark.read.schema(f"{_BLOCK}, part int").parquet(table)
+
+    def kept(blocks: DataFrame, to: str) -> None:
+        blocks.withColumn("part", F.col("bucket") % PARTS).write.partitionBy("part").mode("append").parquet(to)
+
+    with _shuffles_dropped(spark):
+        numbered = dealt(rows.select(text_col).mapInArrow(_words(text_col, buckets), _BLOCK)).mapInArrow(_number(path, buckets), _BLOCK)
+        words = Vocabulary(path, buckets, sorted(r.bucket for r in numbered.select("bucket").collect()))  # a row for each range
+        counted = rows.select(text_col).mapInArrow(_count(text_col, order, buckets, words), _BLOCK)
+        table = work_path(spark, "blocks")
+        kept(dealt(counted).mapInArrow(_merge(path, order, True, buckets), _BLOCK), table)
+        for k in range(order - 1, 1, -1):
+            shorter = work_path(spark, "blocks")
+            for part in range(PARTS):
+                blocks = dealt(read(table).where(F.col("part") == part).drop("part"), PARTS)
+                kept(blocks.mapInArrow(_merge(path, k, False, buckets), _BLOCK), shorter)
+                discard(spark, f"{table}/part={part}")
+            discard(spark, table)
+            table = shorter
+        merged = staged(dealt(read(table).drop("part")).mapInArrow(_merge(path, 1, False, buckets), _BLOCK), "merged")
+        discard(spark, table)
+        # a row of eight numbers for each order and range, summed by Spark
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _NUMBERS[1:]]
+        orders = spark.createDataFrame([(k,) for k in range(1, order + 1)], "k int")
+        found = orders.join(merged, "k", "left").groupBy("k").agg(*sums, F.collect_set("bucket").alias("at")).collect()
     numbers = {n.k: n for n in found}
     discount = {k: _discounts(n.n1, n.n2, n.n3, n.n4) for k, n in numbers.items()}
     single, d = numbers[1], discount[1]

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from boutworks.llm import _xxh64, decontamination, kneser_ney, quality_rules, queries, sentencepiece_bpe, simhash, substring_dedup
 from boutworks.llm._batches import text_array
+from boutworks.runtime import shared_dir
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -269,6 +271,24 @@ def test_counts_beyond_32_bits(tmp_path):
     assert dict(zip(key.tolist(), stats[:, 5].tolist(), strict=True)) == {5: 0, 6: 0, 7: 16_000_000_000, 9: 2}
 
 
+def test_training_leaves_its_arrays_alone(spark, small):
+    """Shuffles and blocks are deleted step by step, so the disk never holds those of all orders."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n.rsplit("/", 1)[-1] for n in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    tables = lambda: set(Path(shared_dir(spark).removeprefix("file://")).glob("boutworks/*"))
+    before, there = shuffles(), tables()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    model = kneser_ney.train(documents(spark, rows_of(small)))
+    assert spark.conf.get(name, None) == setting
+    for _ in range(50):  # Spark deletes in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert {p.name.rsplit("-", 1)[0] for p in tables() - there} == {"ngrams", "merged"} and model.tokens > 0
+
+
 def test_ranges_that_can_t_be_mapped_are_bounded(monkeypatch, tmp_path):
     for k in range(9):
         kneser_ney._save(f"{tmp_path}/{k}.key.npy", np.arange(1000, dtype=np.uint64))
