@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutworks.llm._batches import append_columns, bound_batches, chunks, codes_of, give_back, joined, spans_array, text_array, word_spans
+from boutworks.llm._batches import IS_SPACE, append_columns, binary_from, bound_batches, chunks, codes_of, give_back, joined, text_array, word_spans
 from boutworks.runtime import discard, staged, work_path
 
 #: Words of the longest n-grams, unless given; README has the figures for others.
@@ -71,7 +71,7 @@ HELD_BYTES, HELD_MAPS = 256 << 20, 4096
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
-    found = np.fromiter((xxhash.xxh64_intdigest(w, _WORD_SEED) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    found = np.fromiter((xxhash.xxh64_intdigest(w, _WORD_SEED) for w in words.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
     return np.where(found == END, found + np.uint64(1), found)
 
 
@@ -81,7 +81,7 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     upper = (flat >= 0x41) & (flat <= 0x5A)
     flat = flat + (upper.astype(np.uint8) << np.uint8(5))
     starts, ends, row = word_spans(flat, offsets)
-    codes, distinct = codes_of(spans_array(flat, starts, ends))
+    codes, distinct = codes_of(binary_from(flat[~IS_SPACE[flat]], np.concatenate([[0], np.cumsum(ends - starts)])))  # words are all that isn't white space
     count = np.bincount(row, minlength=len(texts))
     out = np.full(len(codes) + len(texts), len(distinct), dtype=np.int64)
     out[np.arange(len(codes)) + row] = codes
