@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutworks.llm._batches import IS_SPACE, append_columns, binary_from, bound_batches, chunks, codes_of, give_back, joined, text_array, word_spans
+from boutworks.llm._batches import append_columns, bound_batches, chunks, codes_of, give_back, joined, text_array, word_spans
 from boutworks.runtime import discard, staged, work_path
 
 #: Words of the longest n-grams, unless given; README has the figures for others.
@@ -60,6 +60,10 @@ ORDER = 3
 START, UNKNOWN, END = np.uint64(0), np.uint64(1), np.uint64(0x454E44)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD_SEED = 11
+#: Longer words, in bytes, are hashed one by one.
+_LONG_WORD = 512
+#: Text bytes scored at once: n-grams of more text lie closer together in the sorted arrays, and fewer are distinct.
+SCORED_BYTES = 8 << 20
 #: Tokens that a task gathers before it packs their n-grams.
 _HELD = 4_000_000
 #: Hash ranges for each input partition: few, so that a block shares its words among many n-grams.
@@ -70,9 +74,31 @@ PARTS = 4
 HELD_BYTES, HELD_MAPS = 256 << 20, 4096
 
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    found = np.fromiter((xxhash.xxh64_intdigest(w, _WORD_SEED) for w in words.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
-    return np.where(found == END, found + np.uint64(1), found)
+def _word_hashes(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words flat[start : start + length], eight bytes at a time."""
+    padded = np.concatenate([flat, np.zeros(8, dtype=np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, shape=(len(flat) + 1, 8), strides=(1, 1))
+    own = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+    def stirred(key: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        key = key ^ (eight[at].view("<u8").ravel() & own[np.minimum(left, 8)])
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            key ^= key >> np.uint64(shift)
+            key *= np.uint64(factor)
+        return key ^ (key >> np.uint64(31))
+
+    with np.errstate(over="ignore"):
+        key = stirred(lengths.astype(np.uint64) * _MIX, starts, lengths)
+        rows, done = np.flatnonzero((lengths > 8) & (lengths <= _LONG_WORD)), 8
+        while len(rows):
+            key[rows] = stirred(key[rows], starts[rows] + done, lengths[rows] - done)
+            done += 8
+            rows = rows[lengths[rows] > done]
+    raw = memoryview(padded)
+    for row in np.flatnonzero(lengths > _LONG_WORD).tolist():
+        key[row] = xxhash.xxh64_intdigest(raw[starts[row] : starts[row] + lengths[row]], _WORD_SEED)
+    key[key == END] += np.uint64(1)
+    return key
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +107,11 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     upper = (flat >= 0x41) & (flat <= 0x5A)
     flat = flat + (upper.astype(np.uint8) << np.uint8(5))
     starts, ends, row = word_spans(flat, offsets)
-    codes, distinct = codes_of(binary_from(flat[~IS_SPACE[flat]], np.concatenate([[0], np.cumsum(ends - starts)])))  # words are all that isn't white space
+    codes, distinct = codes_of(pa.array(_word_hashes(flat, starts, ends - starts)))
     count = np.bincount(row, minlength=len(texts))
     out = np.full(len(codes) + len(texts), len(distinct), dtype=np.int64)
     out[np.arange(len(codes)) + row] = codes
-    return np.append(_word_hashes(distinct), END), out, np.cumsum(count + 1)
+    return np.append(distinct.to_numpy(), END), out, np.cumsum(count + 1)
 
 
 def histories(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
@@ -115,6 +141,11 @@ def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
+def _ordinal(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges in a type that sorts fast."""
+    return bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket
+
+
 def _heads(*columns: np.ndarray) -> np.ndarray:
     """Where a run of equal rows begins."""
     if not len(columns[0]):
@@ -135,6 +166,27 @@ def _summed(key: np.ndarray, words: list[np.ndarray], stats: list[np.ndarray]) -
     return key[heads], [w[first] for w in words], [np.add.reduceat(s[order], heads) if len(heads) else s for s in stats]
 
 
+def _side_by_side(words: list[np.ndarray]) -> np.ndarray | None:
+    """The words of n-grams as numbers of 64 bits that have the order of the words; nothing if they don't fit."""
+    bits = [int(w.max()).bit_length() if len(w) else 0 for w in words]
+    if sum(bits) > 64:
+        return None
+    key = words[0].astype(np.uint64)
+    for word, size in zip(words[1:], bits[1:], strict=True):
+        key = (key << np.uint64(size)) | word
+    return key
+
+
+def _distinct(words: list[np.ndarray], stats: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams with the sums of the statistics, in the order of their first words."""
+    key = _side_by_side(words)
+    if key is not None:
+        return _summed(key, words, stats)[1:]
+    _, words, stats = _summed(gram_key(words), words, stats)
+    order = np.lexsort(words[1::-1])
+    return [w[order] for w in words], [s[order] for s in stats]
+
+
 _codec = pa.Codec("zstd")
 
 
@@ -145,19 +197,19 @@ def _least(array: np.ndarray) -> np.ndarray:
 
 
 def _squeezed(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of whole numbers, each byte of a number in a row of its own."""
-    raw = io.BytesIO()
-    for a in arrays:
-        np.save(raw, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
-    return raw.tell().to_bytes(8, "little") + _codec.compress(raw.getvalue(), asbytes=True)
+    """Arrays of whole numbers, each byte of a number in a row of its own, behind their lengths and widths."""
+    head = np.array([len(arrays), *(n for a in arrays for n in (len(a), a.itemsize))], dtype="<i8").tobytes()
+    raw = head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
 
 
 def _restored(raw: bytes) -> list[np.ndarray]:
-    size = int.from_bytes(raw[:8], "little")
-    data, out = io.BytesIO(_codec.decompress(raw[8:], size, asbytes=True)), []
-    while data.tell() < size:
-        rows = np.load(data)
-        out.append(np.ascontiguousarray(rows.T).view(f"<u{len(rows)}").ravel())
+    data = np.frombuffer(_codec.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True), np.uint8)
+    at = 8 + 16 * int(data[:8].view("<i8")[0])
+    out = []
+    for n, wide in data[8:at].view("<i8").reshape(-1, 2).tolist():
+        out.append(np.ascontiguousarray(data[at : at + n * wide].reshape(wide, n).T).view(f"<u{wide}").ravel())
+        at += n * wide
     return out
 
 
@@ -183,12 +235,12 @@ def _narrow(table: np.ndarray) -> np.ndarray:
 def _widened(raw: np.ndarray, n: int, wide: int, rows: np.ndarray) -> np.ndarray:
     """Some rows of a table of ``n`` rows that ``_narrow`` made."""
     size = n * wide
-    out = raw[:size].reshape(n, wide)[rows].astype(np.int64)
-    at = np.nonzero(out == 255)
-    if len(at[0]):
+    found = raw[:size].reshape(n, wide)[rows].ravel()
+    at, out = np.flatnonzero(found == 255), found.astype(np.int64)
+    if len(at):
         places, values = np.array(raw[size + -size % 8 :]).view(np.uint64).reshape(2, -1)
-        out[at] = values[np.searchsorted(places, (rows[at[0]] * wide + at[1]).astype(np.uint64))]
-    return out
+        out[at] = values[np.searchsorted(places, (rows[at // wide] * wide + at % wide).astype(np.uint64))]
+    return out.reshape(-1, wide)
 
 
 _BLOCK = "bucket int, block binary, k int, n long, n1 long, n2 long, n3 long, n4 long, total long, grams long"
@@ -203,17 +255,11 @@ def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _dealt(words: list[np.ndarray], stats: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The n-grams as blocks of their ranges."""
+    """The n-grams as blocks of their ranges; inside a block they keep their order, and repeats of words compress well in that of ``_distinct``."""
     if not len(words[0]):  # a range may hold histories alone, which no shorter n-gram is counted from
         return
     bucket = _bucket_of(gram_key(words), buckets)
-    if buckets < 1 << 16:  # inside a block the order is free: by the first words, as far as they fit, repeats compress well
-        place = bucket.astype(np.uint64) << np.uint64(48)
-        for w, shift in zip(words, (24, 0), strict=False):
-            place |= np.minimum(w, np.uint64((1 << 24) - 1)).astype(np.uint64) << np.uint64(shift)
-        order = np.argsort(place)
-    else:
-        order = np.lexsort((words[0], bucket))
+    order = np.argsort(_ordinal(bucket, buckets), kind="stable")
     bucket, words, stats = bucket[order], [w[order] for w in words], [s[order] for s in stats]
     heads = _heads(bucket)
     rows, held = [], 0
@@ -292,21 +338,43 @@ class Vocabulary:
 def _by_bucket(key: np.ndarray, buckets: int, present: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """The rows of ``key`` that fall in each range that is there, in their order."""
     bucket = _bucket_of(key, buckets)
-    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    order = np.argsort(_ordinal(bucket, buckets), kind="stable")
     heads, here = _heads(bucket[order]), set(present)
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
         if int(bucket[order[a]]) in here:
             yield int(bucket[order[a]]), order[a:b]
 
 
+def _tallied(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams, in the order of their first words, and how often each occurs; ``held`` has chunks' word numbers and n-grams as columns of places there."""
+    numbers, place = np.unique(np.concatenate([n for n, _ in held]), return_inverse=True)
+    places = np.split(place.astype(np.uint64), np.cumsum([len(n) for n, _ in held])[:-1])
+    order, size = len(held[0][1]), len(numbers).bit_length()
+    if order * size > 64:
+        columns = [np.concatenate([numbers[own[c[k]]] for own, (_, c) in zip(places, held, strict=True)]) for k in range(order)]
+        words, (count,) = _distinct(columns, [np.ones(len(columns[0]), dtype=np.int64)])
+        return words, count
+    # the few words of one task fit side by side, and plain numbers sort fast
+    key = np.empty(sum(len(c[0]) for _, c in held), dtype=np.uint64)
+    end = 0
+    for own, (_, columns) in zip(places, held, strict=True):
+        part = own[columns[0]]
+        for c in columns[1:]:
+            part = (part << np.uint64(size)) | own[c]
+        key[end : end + len(part)] = part
+        end += len(part)
+    key.sort()
+    heads = _heads(key)
+    count, key = np.diff(heads, append=len(key)), key[heads]
+    return [numbers[(key >> np.uint64(k * size)) & np.uint64((1 << size) - 1)] for k in range(order - 1, -1, -1)], count
+
+
 def _count(text_col: str, order: int, buckets: int, vocabulary: Vocabulary):
     """Blocks of the n-grams of the texts, counted within some ``_HELD`` tokens."""
 
-    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    def flush(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        words, count = _tallied(held)
         held.clear()
-        _, words, (count,) = _summed(gram_key(columns), columns, [np.ones(len(columns[0]), dtype=np.int64)])
-        del columns
         yield from _dealt(words, [count], buckets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +382,11 @@ def _count(text_col: str, order: int, buckets: int, vocabulary: Vocabulary):
         for batch in batches:
             for part in chunks(batch, text_col):
                 distinct, tokens, ends = tokens_of(text_array(part.column(text_col)))
-                columns = histories(_least(vocabulary.numbers(distinct))[tokens], ends, order)
+                numbers = _least(np.append(START, vocabulary.numbers(distinct)))  # the start mark is in place 0
+                columns = histories(_least(tokens + 1), ends, order)
                 for at in range(0, len(tokens), _HELD):  # a very long text in several parts
-                    held.append([c[at : at + _HELD] for c in columns])
-                    size += len(held[-1][0])
+                    held.append((numbers, [c[at : at + _HELD] for c in columns]))
+                    size += len(held[-1][1][0])
                     if size > _HELD:
                         yield from flush(held)
                         held, size = [], 0
@@ -414,8 +483,7 @@ def _merge(path: str, order: int, top: bool, buckets: int):
                 one, two = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
                 each = np.ones_like(n)
                 for shorter, passed in (([w[seen] for w in words[1:]], [each, frequency[seen]]), ([w[seen] for w in words[:-1]], [n, one, two, each - one - two])):
-                    _, shorter, passed = _summed(gram_key(shorter), shorter, passed)
-                    yield from _dealt(shorter, passed, buckets)
+                    yield from _dealt(*_distinct(shorter, passed), buckets)
         yield from numbers
         give_back()
 
@@ -472,17 +540,26 @@ class NgramModel:
     tokens: int
     word_gamma: float
 
-    def _lookup(self, order: int, words: list[np.ndarray]) -> np.ndarray:
-        """Statistics of n-grams, a row each; zero where one is unknown."""
+    def _lookup(self, order: int, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Statistics of the distinct n-grams, a row each, zero where one is unknown; and the row of every n-gram."""
         wide = 1 if order == self.order else 6 if order == 1 else 5
         key, back = np.unique(gram_key(words), return_inverse=True)
         out = np.zeros((len(key), wide), dtype=np.int64)
         for bucket, rows in _by_bucket(key, self.buckets, self.present[order]):
-            keys, values = _ranges.get(f"{self.path}/{order}-{bucket}")
-            at = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == key[rows])
+            keys, values = map(np.asarray, _ranges.get(f"{self.path}/{order}-{bucket}"))
+            sought = key[rows]
+            at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == sought)
             out[rows[hit]] = values.reshape(-1, wide)[at[hit]] if order == 1 else _widened(values, len(keys), wide, at[hit])
-        return out[back]
+        return out, back
+
+    def _rest(self, order: int, table: np.ndarray) -> np.ndarray:
+        """Counts less their discounts."""
+        return np.maximum(table[:, 0] - _discount_of(table[:, 0], self.discount[order]), 0)
+
+    def _follow(self, order: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of histories of ``order`` words: the sum of what follows, and what the discounts free of it."""
+        return table[:, 1].astype(float), sum(table[:, 2 + k] * d for k, d in enumerate(self.discount[order + 1]))
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per row: tokens, known tokens, add-one base score and log10 probability."""
@@ -491,25 +568,25 @@ class NgramModel:
             return {"n_tokens": ends, "n_known": ends, "base_score": ends.astype(float), "score": ends.astype(float)}
         heads = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         numbers = self.words.numbers(distinct)
-        columns = histories(numbers[tokens], ends, self.order)
-        words = self._lookup(1, [numbers])[tokens]
-        v, count = self.vocabulary, words[:, 0]
-        p = np.maximum(count - _discount_of(count, self.discount[1]), 0) / max(1, self.bigrams) + self.word_gamma / (v + 1)
-        lower = words
+        columns = histories(_least(numbers)[tokens], ends, self.order)
+        # all that follows from statistics is taken for distinct n-grams, and then dealt to the tokens
+        table, back = self._lookup(1, [numbers])
+        table, back, v = table[back], tokens, self.vocabulary
+        p = (self._rest(1, table) / max(1, self.bigrams) + self.word_gamma / (v + 1))[back]
+        base = np.log10((table[:, 5] + 1) / (self.tokens + (v + 1)))[back]
+        known = (table[:, 5] > 0)[back]
         for order in range(2, self.order + 1):
             # a history is the shorter n-gram that ends in the token before
-            history = np.roll(lower, 1, axis=0)
-            history[heads] = self._lookup(order - 1, [np.array([START])] * (order - 1))
-            gram = self._lookup(order, columns[-order:])
-            discount = self.discount[order]
-            total, free = history[:, 1], history[:, 2:5] @ np.array(discount)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(total > 0, (np.maximum(gram[:, 0] - _discount_of(gram[:, 0], discount), 0) + free * p) / total, p)
-            lower = gram
-        base = np.log10((words[:, 5] + 1) / (self.tokens + (v + 1)))
+            first = self._follow(order - 1, self._lookup(order - 1, [np.array([START])] * (order - 1))[0])
+            total, free = (np.concatenate([f, per[back[:-1]]]) for f, per in zip(first, self._follow(order - 1, table), strict=True))
+            total[heads], free[heads] = first
+            table, back = self._lookup(order, columns[-order:])
+            free *= p
+            free += self._rest(order, table)[back]
+            p = np.divide(free, total, out=p, where=total > 0)
         return {
             "n_tokens": np.diff(np.append(heads, len(tokens))),
-            "n_known": np.add.reduceat((words[:, 5] > 0).astype(np.int64), heads),
+            "n_known": np.add.reduceat(known.astype(np.int64), heads),
             "base_score": np.add.reduceat(base, heads),
             "score": np.add.reduceat(np.log10(p), heads),
         }
@@ -588,7 +665,7 @@ def score(rows: DataFrame, model: NgramModel, text_col: str = "text") -> DataFra
         perplexity = np.power(10.0, np.minimum(-found["score"] / np.maximum(found["n_tokens"], 1), 300))
         return [pa.array(found[c]) for c in ("n_tokens", "n_known", "base_score", "score")] + [pa.array(perplexity)]
 
-    return append_columns(rows, text_col, fields, compute)
+    return append_columns(rows, text_col, fields, compute, SCORED_BYTES)
 
 
 def fold(documents: DataFrame) -> DataFrame:

@@ -271,6 +271,37 @@ def test_counts_beyond_32_bits(tmp_path):
     assert dict(zip(key.tolist(), stats[:, 5].tolist(), strict=True)) == {5: 0, 6: 0, 7: 16_000_000_000, 9: 2}
 
 
+def test_words_are_hashed_together(monkeypatch):
+    """Words of up to 512 bytes have no call of their own; equal words, and no others, have equal hashes."""
+    rng = random.Random(5)
+    words = ["a", "a\x00", "\x00a", "\x00", "\x00\x00", "é" * 4, "日本語", *("x" * n for n in (7, 8, 9, 15, 16, 17, 511, 512, 513)), *("".join(rng.choices("ab", k=n)) for n in range(1, 40))]
+    texts = [" ".join(rng.choices(words, k=400)).upper() if k % 2 else "\t".join(words) for k in range(6)] + ["", " ", "x" * 513]
+    alone = []
+    monkeypatch.setattr(kneser_ney.xxhash, "xxh64_intdigest", lambda raw, seed: alone.append(len(raw)) or 77)
+    hashes, tokens, ends = kneser_ney.tokens_of(pa.array([t.encode() for t in texts], pa.large_binary()))
+    assert set(alone) == {513}
+    want = [[*WORD.findall(t.translate(LOWER)), None] for t in texts]
+    assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    flat = [w for t in want for w in t]
+    pairs = set(zip(flat, hashes[tokens].tolist(), strict=True))
+    assert len(pairs) == len(set(flat)) == len({h for _, h in pairs}) == len(hashes) and (None, int(kneser_ney.END)) in pairs
+
+
+@pytest.mark.parametrize("kinds", [30, 3_000_000])
+def test_counts_of_word_places(kinds):
+    """Chunks with words of their own are counted as one; of many words, three don't fit in 64 bits."""
+    rng = np.random.default_rng(4)
+    held, want = [], Counter()
+    for k in range(3):
+        numbers = np.concatenate([[0], rng.permutation(kinds)[: kinds - 7] + 1]).astype(np.uint32)
+        places = [np.minimum(rng.zipf(1.3, 2000), kinds - 7).astype(np.uint32) for _ in range(3)]
+        held.append((numbers, places))
+        want.update(zip(*(numbers[c].tolist() for c in places), strict=True))
+    words, count = kneser_ney._tallied(held)
+    assert dict(zip(zip(*(w.tolist() for w in words), strict=True), count.tolist(), strict=True)) == want
+    assert words[0].tolist() == sorted(words[0].tolist())
+
+
 def test_training_leaves_its_arrays_alone(spark, small):
     """Shuffles and blocks are deleted step by step, so the disk never holds those of all orders."""
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
