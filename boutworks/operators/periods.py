@@ -71,7 +71,7 @@ def _volatility(system: Glicko2) -> Column:
 
         def step(z: Column, _: Column) -> Column:
             def moved(m: Column) -> Column:
-                turned = m["f"] * z["fh"] < 0
+                turned = m["f"] * z["fh"] <= 0  # a step that hits the root ends the search too
                 return state(F.when(turned, z["hi"]).otherwise(z["lo"]), m["x"], F.when(turned, z["fh"]).otherwise(z["fl"] / 2), m["f"])
 
             mid = z["lo"] + (z["lo"] - z["hi"]) * z["fl"] / (z["fh"] - z["fl"])

@@ -265,6 +265,16 @@ def test_rating_periods(spark, system):
         assert got[who].games == sum(who in p[:2] for p in rows)
 
 
+def test_a_volatility_that_is_hit_exactly(spark):
+    """The search ends at a root that it hits to the last bit, which a few of these do; it used to go on, to its last step and off the root."""
+    system, rng = Glicko2(volatility=0.3, tau=1.2), random.Random(3)
+    near = [tuple(x * (1 + rng.gauss(0, 4e-16)) for x in (0.8378158806299262, 0.30747142434002184, 1.7935025853569992, 0.8353883196720215)) for _ in range(1000)]
+    assert max(f := [system._volatility(*x) for x in near]) - min(f) < 1e-8
+    rows = spark.createDataFrame([(d, v, var, delta / var) for d, v, var, delta in near], "d double, v double, var double, gain double")
+    got = [r.v for r in rows.select(periods._volatility(system).alias("v")).collect()]
+    assert max(abs(x - f[0]) for x in got) < 1e-8
+
+
 def test_periods_go_on_from_stored_states(spark):
     rows = bouts_of(spark, played(14, "abcd", 40), 12)
     first = periods.rate_periods(rows.where("seq < 20"), Glicko(), 1.0)
