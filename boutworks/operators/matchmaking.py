@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutworks.operators.sequence import with_sequence
@@ -15,16 +15,33 @@ def _ranked(ratings: DataFrame) -> DataFrame:
     return with_sequence(ratings, ["league", "rating", "competitor"])
 
 
+def _by_rating(ratings: DataFrame) -> DataFrame:
+    """(league, rating, _first, _second): the ratings that occur, with the first two names that have each."""
+    first = ratings.groupBy("league", "rating").agg(F.min("competitor").alias("_first"))
+    second = ratings.join(first, ["league", "rating"]).where("competitor <> _first").groupBy("league", "rating").agg(F.min("competitor").alias("_second"))
+    return first.join(second, ["league", "rating"], "left")
+
+
+def _equal() -> Column:
+    """The first other name of a competitor's own rating."""
+    return F.when(F.col("competitor") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+
+
 def nearest(ratings: DataFrame, within: float = 100.0) -> DataFrame:
-    """Each competitor's closest opponent by rating, at most ``within`` away.
+    """Each competitor's closest opponent by rating, at most ``within`` away; of equally close ones the first name.
 
-    The closest one is a neighbour in the order of ratings, so no pairs are formed.
+    The closest one has the same rating or one beside it in the order of those that occur, so no pairs are formed.
     """
-    ranked = _ranked(ratings)
-    beside = ranked.select("league", F.explode(F.array(F.col("seq") - 1, F.col("seq") + 1)).alias("seq"), F.struct(F.col("competitor").alias("opponent"), F.col("rating").alias("other")).alias("o"))
-    both = ranked.select("league", "seq", "competitor", "rating").join(beside, ["league", "seq"])
-    diff = F.abs(F.col("rating") - F.col("o.other"))
-    best = both.withColumn("diff", diff).where(F.col("diff") <= within).groupBy("league", "competitor").agg(F.min(F.struct("diff", F.col("o.opponent").alias("opponent"))).alias("b"))
+    ratings = staged(ratings.select("league", "competitor", "rating").where("rating is not null"), "rated")
+    levels = staged(with_sequence(_by_rating(ratings), ["league", "rating"], "_at"), "levels")
+    beside = levels.select("league", F.explode(F.array(F.col("_at") - 1, F.col("_at") + 1)).alias("_at"), F.col("rating").alias("_other"), F.col("_first").alias("_name"))
+    diff = F.abs(F.col("rating") - F.col("_other"))
+    met = levels.join(beside, ["league", "_at"]).withColumn("_diff", diff).where(F.col("_diff") <= within)
+    near = met.groupBy("league", "rating").agg(F.min(F.struct(F.col("_diff").alias("diff"), F.col("_name").alias("opponent"))).alias("_near"))
+    both = ratings.join(levels.join(near, ["league", "rating"], "left"), ["league", "rating"])
+    own = F.abs(F.col("rating") - F.col("rating"))  # no number where the rating is none
+    equal = F.when(F.col("_second").isNotNull() & (own <= within), F.struct(own.alias("diff"), _equal().alias("opponent")))
+    best = both.select("league", "competitor", F.coalesce(equal, "_near").alias("b")).where("b is not null")
     return best.select("league", "competitor", F.col("b.opponent").alias("opponent"), F.col("b.diff").alias("diff"))
 
 
@@ -41,10 +58,8 @@ def deviation_quality(ratings: DataFrame, within: float = 100.0, step: int = SEA
     ranked = staged(_ranked(ratings).select("league", "seq", "competitor", "rating", "spread"), "ranked")
     widest = staged(ranked.groupBy("league").agg(F.max("spread").alias("widest")), "widest")
     # of equal ratings the first other name is best, however many there are
-    first = ranked.groupBy("league", "rating").agg(F.min("competitor").alias("_first"))
-    second = ranked.join(first, ["league", "rating"]).where("competitor <> _first").groupBy("league", "rating").agg(F.min("competitor").alias("_second"))
-    equal = F.when(F.col("competitor") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
-    todo = ranked.join(widest, "league").join(staged(first.join(second, ["league", "rating"]), "equals"), ["league", "rating"], "left").withColumn("opponent", equal)
+    equals = staged(_by_rating(ranked).where("_second is not null"), "equals")
+    todo = ranked.join(widest, "league").join(equals, ["league", "rating"], "left").withColumn("opponent", _equal())
     todo = todo.withColumn("quality", F.when(F.col("opponent").isNotNull(), 0.0)).drop("_first", "_second")
     done, reach = None, 0
     weigh = lambda mine, theirs: 1 + F.sqrt(mine * mine + theirs * theirs) / 100

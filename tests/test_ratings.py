@@ -433,6 +433,14 @@ def test_opponents_equal_brute_force_by_league(spark, within):
             assert got[who] == (pytest.approx(q), o)
 
 
+def test_equally_close_opponents_go_by_name(spark):
+    ratings = {"a": 500.0, "b": 501.0, "c": 501.0, "d": 501.0, "e": 502.0, "f": 503.0, "g": 503.0, "h": 504.0, "i": 900.0}
+    table = spark.createDataFrame([("x", who, r) for who, r in ratings.items()], "league string, competitor string, rating double")
+    want = {who: min((abs(r - r2), o) for o, r2 in ratings.items() if o != who) for who, r in ratings.items()}
+    got = {r.competitor: (r["diff"], r.opponent) for r in matchmaking.nearest(table).collect()}
+    assert got == {who: best for who, best in want.items() if best[0] <= 100.0}
+
+
 def test_exploring_stays_in_the_league(spark):
     rows, table = rated(spark)
     league = {who: x for x, who, *_ in rows}
