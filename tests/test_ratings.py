@@ -441,6 +441,12 @@ def test_equally_close_opponents_go_by_name(spark):
     assert got == {who: best for who, best in want.items() if best[0] <= 100.0}
 
 
+def test_those_that_do_not_explore_meet_the_first_of_equally_close_ones(spark):
+    table = spark.createDataFrame([("x", "a", 500.0), ("x", "b", 500.0), ("x", "c", 500.0), ("x", "d", 501.0)], "league string, competitor string, rating double")
+    got = {r.competitor: r.opponent for r in reports.explore(table, matchmaking.nearest(table), 100.0, 0.0).collect()}
+    assert got == {"a": "b", "b": "a", "c": "a", "d": "a"}
+
+
 def test_exploring_stays_in_the_league(spark):
     rows, table = rated(spark)
     league = {who: x for x, who, *_ in rows}
