@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
-from boutworks.operators import evaluation, fits, levels, models, periods, prequential, records, registry, reports, state, teams
+from boutworks.operators import evaluation, fits, levels, models, periods, prefixes, prequential, records, registry, reports, state, teams
 from boutworks.operators.fold import history_of, ratings_of, replay, replay_many
 from boutworks.operators.sequence import carried_forward, segmented_sums
 from boutworks.operators.systems import Dwz, Elo, Glicko, Glicko2, TrueSkill
@@ -198,6 +198,28 @@ def test_histories_equal_a_refit_before_each_bout(spark, system, monkeypatch):
             assert said[k] == pytest.approx(CHANCE[system](x, y, max(sx, sy)), abs=1e-8)
 
 
+@pytest.mark.parametrize("system", sorted(CHANCE))
+def test_histories_of_large_groups_by_ranges_equal_those_bout_by_bout(spark, system, monkeypatch):
+    for name, value in (("RANGES", 5), ("BLOCK", 8), ("SORTED", 16), ("WIDE", 4), ("ROWS", 50)):
+        monkeypatch.setattr(prefixes, name, value)
+    r = random.Random(14)
+    rows = played(12, "abcdefgh", 40) + played(13, "ijklmnop", 40)  # two groups that meet later on
+    r.shuffle(rows)
+    rows += [("a", x, 1.0, 3.0, 1.0) for x in "bcdefghijklmnop"] + played(15, "abcdefghijklmnopqrstuvwxyz", 70)
+    bouts = bouts_of(spark, rows)
+    want = {x.seq: x.predicted for x in prequential.fit_history(bouts, models.FITS[system]()).collect()}
+    monkeypatch.setattr(prequential, "HELD", 3)
+    got = {x.seq: x.predicted for x in prequential.fit_history(bouts, models.FITS[system]()).collect()}
+    assert len(got) == len(rows) and got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("system", sorted(CHANCE))
+def test_groups_of_over_two_thousand_have_histories(spark, system):
+    names = [f"c{k}" for k in range(2001)]
+    rows = [(a, b, 1.0, 2.0, 1.0) for a, b in zip(names, names[1:], strict=False)]
+    assert prequential.fit_history(bouts_of(spark, rows, 1), models.FITS[system]()).where("predicted between 0 and 1").count() == 2000
+
+
 def test_pythagorean_history(spark):
     rows = played(11, "abcdef", 60)
     got = {x.seq: x.predicted for x in prequential.pythagorean_history(bouts_of(spark, rows)).collect()}
