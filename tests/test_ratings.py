@@ -10,7 +10,7 @@ import pytest
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import evaluation, fits, matchmaking, records, registry, reports, splits, state, systems
+from boutworks.operators import blocks, evaluation, fits, matchmaking, records, registry, reports, splits, state, systems
 from boutworks.operators.components import connected_components
 from boutworks.operators.fold import history_of, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import with_sequence
@@ -403,6 +403,29 @@ def test_whole_history_is_a_maximum(spark):
         fits.whole_history(rows, precision=1e-4, dense=2, rounds=2)
 
 
+def some_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "LINKS", 40)
+
+
+def test_curves_by_several_blocks_are_the_maximum(spark, monkeypatch):
+    some_blocks(monkeypatch)
+    rng = random.Random(5)
+    played = [(*rng.sample("abcdefgh", 2), rng.choice([0.0, 0.5, 1.0]), rng.randrange(9)) for _ in range(150)] + [("y", "z", 1.0, 3)]
+    rows = spark.createDataFrame([(i, "x", a, b, o, DAY + dt.timedelta(days=2 * d), None, None) for i, (a, b, o, d) in enumerate(played)], BOUTS)
+    curve = {(r.competitor, r.day): r.rating for r in fits.whole_history(rows, precision=1e-9).collect()}
+    spread = fits.whole_history(rows, dense=0)
+    assert {(r.competitor, r.day): r.rating for r in spread.collect()} == pytest.approx(curve, abs=1e-4)
+    assert max(abs(r.pull) for r in fits.curve_pull(spread, rows).collect()) < 1e-7
+
+
+def test_strengths_by_several_blocks_and_groups_equal_the_dense_fit(spark, monkeypatch):
+    some_blocks(monkeypatch)
+    rng = random.Random(6)
+    rows = bouts_of(spark, [(*rng.sample(names, 2), rng.choice([0.0, 0.5, 1.0])) for names in ("abcdefghij", "klmnopqrst") for _ in range(60)] + [("y", "z", 1.0)])
+    dense = {r.competitor: r.rating for r in fits.fit(rows, "bradley_terry").collect()}
+    assert {r.competitor: r.rating for r in fits.fit(rows, "bradley_terry", dense=1).collect()} == pytest.approx(dense, abs=1e-9)
+
+
 def test_components_of_text_with_loops_and_nulls(spark):
     edges = [("b", "a"), ("c", "b"), ("c", "b"), ("d", None), (None, "e"), ("x", "x"), ("z", "y")]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u string, v string").repartition(3)).collect()}
