@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
@@ -470,6 +471,16 @@ def test_those_that_do_not_explore_meet_the_first_of_equally_close_ones(spark):
     assert got == {"a": "b", "b": "a", "c": "a", "d": "a"}
 
 
+def test_a_round_robin_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(reports, "ROBIN_BLOCK", 8)
+    table = spark.createDataFrame([("x", f"c{k:02d}") for k in range(60)] + [("y", "d"), ("y", "e")], "league string, competitor string")
+    rows = reports.round_robin(table).select("league", "a", "b", F.spark_partition_id().alias("task")).collect()
+    both = reports.round_robin(table, ordered=True).count()
+    names = sorted(f"c{k:02d}" for k in range(60))
+    assert sorted((r.league, r.a, r.b) for r in rows) == [("x", a, b) for i, a in enumerate(names) for b in names[i + 1 :]] + [("y", "d", "e")]
+    assert both == 60 * 59 + 2 and len({r.task for r in rows if r.league == "x"}) > 1
+
+
 def test_exploring_stays_in_the_league(spark):
     rows, table = rated(spark)
     league = {who: x for x, who, *_ in rows}
