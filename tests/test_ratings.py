@@ -419,6 +419,20 @@ def test_curves_by_several_blocks_are_the_maximum(spark, monkeypatch):
     assert max(abs(r.pull) for r in fits.curve_pull(spread, rows).collect()) < 1e-7
 
 
+def league_of_days(spark):
+    rng = random.Random(12)
+    played = [(*rng.sample("abcdefgh", 2), rng.choice([0.0, 0.5, 1.0]), rng.randrange(9)) for _ in range(120)]
+    return spark.createDataFrame([(i, "x", a, b, o, DAY + dt.timedelta(days=3 * d), None, None) for i, (a, b, o, d) in enumerate(played)], BOUTS)
+
+
+def test_ratings_are_read_off_curves_by_blocks(spark, monkeypatch):
+    some_blocks(monkeypatch)
+    rows = league_of_days(spark)
+    wanted = rows.select("league", F.col("a").alias("competitor"), F.date_add(F.to_date("ts"), 1).alias("day"))
+    read = lambda **how: {(r.competitor, r.day): r.rating for r in fits.rating_at(fits.whole_history(rows, **how), wanted).collect()}
+    assert read(dense=0) == pytest.approx(read(), abs=1e-4)
+
+
 def test_strengths_by_several_blocks_and_groups_equal_the_dense_fit(spark, monkeypatch):
     some_blocks(monkeypatch)
     rng = random.Random(6)
