@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from boutworks.functions import expected as E
 from boutworks.functions import outcomes
-from boutworks.operators import blocks, evaluation, fits, matchmaking, records, registry, reports, splits, state, systems
+from boutworks.operators import blocks, evaluation, fits, matchmaking, models, records, registry, reports, splits, state, systems
 from boutworks.operators.components import connected_components
 from boutworks.operators.fold import history_of, quarantine, ratings_of, replay, replay_blocks, split_groups
 from boutworks.operators.sequence import with_sequence
@@ -433,6 +433,14 @@ def test_ratings_are_read_off_curves_by_blocks(spark, monkeypatch):
     assert read(dense=0) == pytest.approx(read(), abs=1e-4)
 
 
+def test_last_ratings_of_curves_by_blocks(spark, monkeypatch):
+    some_blocks(monkeypatch)
+    rows = league_of_days(spark)
+    want = {r.competitor: r.rating for r in models.WholeHistory().fit(rows).collect()}
+    monkeypatch.setattr(fits.whole_history, "__defaults__", tuple(0 if v == fits.WHR_ROWS else v for v in fits.whole_history.__defaults__))
+    assert {r.competitor: r.rating for r in models.WholeHistory().fit(rows).collect()} == pytest.approx(want, abs=1e-4)
+
+
 def test_strengths_by_several_blocks_and_groups_equal_the_dense_fit(spark, monkeypatch):
     some_blocks(monkeypatch)
     rng = random.Random(6)
